@@ -7,17 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.decontaminate import op7_decontaminate
+from foliospark.llm.license_scan import op1_license_scan
+from foliospark.llm.license_scan import oracle as op1_oracle
 from foliospark.llm.quality import op10_quality_rules
 from foliospark.llm.simhash import op2_simhash
 from foliospark.llm.substring_dedup import op6_substring_dedup
 from foliospark.llm.token_counts import op8_token_counts
+from foliospark.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
+    "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_counts": op8_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": op1_oracle(),
+}
