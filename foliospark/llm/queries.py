@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from foliospark.llm.decontaminate import op7_decontaminate
 from foliospark.llm.license_scan import op1_license_scan
 from foliospark.llm.license_scan import oracle as op1_oracle
+from foliospark.llm.line_dedup import op3_line_dedup
+from foliospark.llm.line_dedup import oracle as op3_oracle
+from foliospark.llm.packing import op9_packing
+from foliospark.llm.packing import oracle as op9_oracle
 from foliospark.llm.quality import op10_quality_rules
 from foliospark.llm.simhash import op2_simhash
 from foliospark.llm.substring_dedup import op6_substring_dedup
@@ -18,13 +22,17 @@ from foliospark.llm.toxicity import op5_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
+    "op3_line_dedup": op3_line_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_counts": op8_token_counts,
+    "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": op1_oracle(),
+    "op3_line_dedup": op3_oracle(),
+    "op9_packing": op9_oracle(),
 }
