@@ -17,12 +17,15 @@ from foliospark.llm.quality import op10_quality_rules
 from foliospark.llm.simhash import op2_simhash
 from foliospark.llm.substring_dedup import op6_substring_dedup
 from foliospark.llm.token_counts import op8_token_counts
+from foliospark.llm.tool_calls import op4_tool_calls
+from foliospark.llm.tool_calls import oracle as op4_oracle
 from foliospark.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
+    "op4_tool_calls": op4_tool_calls,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_decontaminate": op7_decontaminate,
@@ -34,5 +37,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": op1_oracle(),
     "op3_line_dedup": op3_oracle(),
+    "op4_tool_calls": op4_oracle(),
     "op9_packing": op9_oracle(),
 }
