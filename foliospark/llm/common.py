@@ -23,6 +23,12 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder's path, for tables that stages write."""
+    ensure_checkpoints(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The table, written once to the shared folder: lineage ends here and it is not computed twice."""
     ensure_checkpoints(df.sparkSession)
