@@ -300,7 +300,7 @@ class Builder:
 
 
 # Fixed value: the message of href-format-invalid.
-HREF_MESSAGE = "The 'href' format cannot contain Markdoc tag or variable. URLs must be static strings."
+HREF_MESSAGE = "The 'href' format cannot contain a tag or variable. URLs must be static strings."
 
 
 def _is_comment(node: Node) -> bool:

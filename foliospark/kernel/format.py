@@ -356,4 +356,4 @@ def settle(source: str, options: FormatOptions | None = None) -> tuple[str, bool
         if new == text:
             return text, True
         text = new
-    return text, format_node(parse(text, ParseOptions(allow_comments=options.allow_comments)), options) == text
+    return text, False
