@@ -13,7 +13,7 @@ from typing import Any
 from foliospark.functions.document import BUILTIN
 from foliospark.functions.document import Function as ConfigFunction
 from foliospark.kernel.tree import TYPES, Node, Problem
-from foliospark.kernel.values import UNDEFINED, Variable, is_number, js_truthy, type_name
+from foliospark.kernel.values import UNDEFINED, Variable, encode, is_number, js_truthy, type_name
 
 PRIMITIVES = ("String", "Number", "Boolean", "Object", "Array")
 
@@ -97,10 +97,22 @@ def _condition_check(value: Any, config: Config, name: str) -> list[Problem]:
     return []
 
 
+def _typed(value: Any) -> str:
+    """A value that is no string, as the partial's message names it."""
+    if value is None:
+        return "Null"
+    if isinstance(value, bool):
+        return f"Boolean({'true' if value else 'false'})"
+    if is_number(value):
+        text = encode(value)
+        return f"Number({text}{'' if '.' in text or 'e' in text else '.0'})"
+    return str(type_name(value))
+
+
 def _partial_check(value: Any, config: Config, name: str) -> list[Problem]:
     if isinstance(value, str) and value in config.partials:
         return []
-    shown = value if isinstance(value, str) else repr(value)
+    shown = value if isinstance(value, str) else _typed(value)
     return [Problem("attribute-value-invalid", "error", f"Partial `{shown}` not found. The 'file' attribute must be set in `config.partials`")]
 
 

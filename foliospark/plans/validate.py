@@ -147,10 +147,12 @@ def _custom(name: Column, value: Column, custom: Column, partials: list[str]) ->
         _error("attribute-type-invalid", "error", _text("Attribute '", name, "' must be type 'boolean | object' (null or undefined are also allowed)")),
     )
     known = F.array(*[F.lit(p) for p in partials]).cast("array<string>")
+    number = F.concat(F.lit("Number("), value, F.when(value.rlike("[.e]"), ")").otherwise(".0)"))
+    typed = F.when(value == "null", "Null").when(kind == "Boolean", F.concat(F.lit("Boolean("), value, F.lit(")"))).when(kind == "Number", number).otherwise(kind)
     lost = ~F.coalesce((kind == "String") & F.array_contains(known, text), F.lit(False))
     return own.when(
         (custom == "PartialFile") & lost,
-        _error("attribute-value-invalid", "error", _text("Partial `", F.when(kind == "String", text).otherwise(value), "` not found. The 'file' attribute must be set in `config.partials`")),
+        _error("attribute-value-invalid", "error", _text("Partial `", F.when(kind == "String", text).otherwise(typed), "` not found. The 'file' attribute must be set in `config.partials`")),
     )
 
 

@@ -19,9 +19,9 @@ _LEVELS_THAT_FAIL = ("error", "critical")
 
 
 def write_html(df: DataFrame, path: str, html: str = "html", order: str | None = None, mode: str = "errorifexists") -> None:
-    """HTML as text files, in the order of a column if one is named (range-partitioned, never one task)."""
+    """HTML as text files, a line end behind each document, in the order of a column if one is named (range-partitioned, never one task)."""
     rows = df if order is None else df.repartitionByRange(F.col(order)).sortWithinPartitions(order)
-    rows.select(F.col(html).alias("value")).write.mode(mode).option("lineSep", "").text(path)
+    rows.select(F.col(html).alias("value")).write.mode(mode).text(path)
 
 
 def write_lines(df: DataFrame, path: str, column: str, mode: str = "errorifexists") -> None:
