@@ -124,6 +124,11 @@ class Kernels:
         text = F.lit(None).cast("string")
         return run(source, text if variables is None else variables, text if label is None else label)
 
+    def diagnostics_json(self, source: Column, label: Column, variables: Column | None = None) -> Column:
+        """{"file", "errors"} of each document, an error's own place inside it."""
+        options = self.options
+        return self._call(T.StringType(), lambda s, c, f, r: dump(diagnostics_plain(s, c, options, f)), source, variables, label)
+
     def formatted(self, source: Column) -> Column:
         """(text, changed, settled) of the canonical source."""
         formatting = self.formatting

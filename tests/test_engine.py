@@ -172,6 +172,34 @@ def test_files_partials_and_configuration(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "json")).count() == 1
 
 
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from foliospark import __main__ as cli
+
+    def run(*args, stdin=None):
+        if stdin is not None:
+            monkeypatch.setattr("sys.stdin", __import__("io").StringIO(stdin))
+        code = cli.main(list(args))
+        out = capsys.readouterr()
+        return code, out.out, out.err
+
+    a, b, config = tmp_path / "a.md", tmp_path / "b.md", tmp_path / "c.yaml"
+    a.write_text("# a\n\n{% t n=1 /%}\n")
+    b.write_text("#  b\n")
+    config.write_text("tags: {t: {render: hr, attributes: {n: {type: String}}}}\n")
+    assert run("render", str(b), str(a), "--config", str(config)) == (0, '<article><h1>b</h1></article><article><h1>a</h1><hr n="1"></article>', "")
+    assert run("validate", str(a), str(b)) == (1, f"{a}:3:1: critical[tag-undefined]: Undefined tag: 't'\n", "")
+    code, out, _ = run("validate", str(a), str(b), "--config", str(config), "--format", "json")
+    first, second = map(json.loads, out.splitlines())
+    assert code == 1 and first["errors"][0]["error"]["id"] == "attribute-type-invalid" and second == {"file": str(b), "errors": []}
+    code, out, err = run("render", str(tmp_path / "none.md"), str(b))
+    assert code == 2 and out == "<article><h1>b</h1></article>" and "none.md" in err
+    assert run("render", "--var", "novalue", str(b))[0] == 2 and run("render", "--config", str(tmp_path / "no.yaml"), str(b))[0] == 2
+    assert run("validate", "--file", "page.md", stdin="{% nope /%}\n")[1].startswith("page.md:1:1: critical[tag-undefined]")
+    assert json.loads(run("transform", str(b))[1])[0]["name"] == "article" and json.loads(run("parse", str(b))[1])["type"] == "document"
+    assert run("fmt", str(b))[:2] == (0, "# b\n") and run("fmt", "--check", str(b))[0] == 1 and run("fmt", "--check", str(a))[0] == 0
+    assert run("fmt", "--write", str(b))[0] == 0 and b.read_text() == "# b\n" and run("fmt", "--write", stdin="x")[0] == 2
+
+
 def test_declarations_are_refused_with_their_path():
     cases = {
         "tags: {a: {validate: x}}": "config.tags.a.validate",
