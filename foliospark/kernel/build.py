@@ -6,7 +6,7 @@ from bisect import bisect_right
 from dataclasses import dataclass, field
 
 from foliospark.kernel.blocks import Block, Blocks
-from foliospark.kernel.grammar import TagError, find_tag_end, parse_tag, tag_in_url
+from foliospark.kernel.grammar import Attribute, TagError, find_tag_end, known_tag, parse_tag, tag_in_url
 from foliospark.kernel.inline import Inline, unescape
 from foliospark.kernel.tree import Node, Positions, Problem, annotate
 
@@ -19,6 +19,7 @@ class ParseOptions:
     allow_comments: bool = False
     validated_protocols: tuple[str, ...] = ()
     conditional_tags: tuple[str, ...] = ("if",)
+    bare: bool = False  # no lines and places of inline nodes: for trees that are only rendered
 
 
 @dataclass
@@ -237,8 +238,12 @@ class Builder:
 
     def event(self, event: list, run: Run, depth: int) -> None:
         kind, a, b = event[0], event[-1], run
-        span = (b.at(a[0]), b.at(max(a[0], a[1] - 1)) + 1)
-        make = lambda kind, **attributes: Node(kind, attributes, lines=self.lines(span), inline=True, span=span)
+        bare = self.options.bare
+        if bare and kind == "text":
+            self.attach(Node("text", {"content": event[1]}, inline=True))
+            return
+        span = None if bare and kind != "tag" else (b.at(a[0]), b.at(max(a[0], a[1] - 1)) + 1)
+        make = lambda kind, **attributes: Node(kind, attributes, lines=[] if bare else self.lines(span), inline=True, span=span)
         if kind == "text":
             self.attach(make("text", content=event[1]))
         elif kind == "code":
@@ -263,24 +268,21 @@ class Builder:
 
     def tag(self, body: str, span: tuple[int, int], inline: bool) -> None:
         trimmed = body.strip()
-        lines = [self.positions.line(span[0]), self.positions.line(max(span[0], span[1] - 1)) + 1]
+        lines = [] if self.options.bare else [self.positions.line(span[0]), self.positions.line(max(span[0], span[1] - 1)) + 1]
         start = span[0] + 2 + len(body) - len(body.lstrip())
-        try:
-            item = parse_tag(trimmed)
-        except TagError as e:
+        item = known_tag(trimmed)
+        if isinstance(item, TagError):
             node = Node("error", lines=lines, inline=inline, span=span)
-            node.errors.append(Problem("parse-error", "critical", e.message, (start + e.start, start + e.end)))
+            node.errors.append(Problem("parse-error", "critical", item.message, (start + item.start, start + item.end)))
             self.attach(node)
             return
-        for a in item.attributes:
-            a.start, a.end = a.start + start, a.end + start
-            if a.value_start is not None:
-                a.value_start, a.value_end = a.value_start + start, a.value_end + start
+        moved = lambda at: None if at is None else at + start
+        attributes = [Attribute(a.kind, a.name, a.value, a.start + start, a.end + start, moved(a.value_start), moved(a.value_end)) for a in item.attributes]
         if item.kind == "value":
             self.attach(Node("text", {"content": item.value}, lines=lines, inline=inline, span=span))
         elif item.kind == "open":
             node = Node("tag", tag=item.name, lines=lines, inline=inline, span=span)
-            annotate(node, item.attributes)
+            annotate(node, attributes)
             self.stack.append(node)
             if item.self_closing:
                 self.finish()
@@ -294,7 +296,7 @@ class Builder:
             node.errors.append(Problem("missing-opening", "critical", f"Node '{item.name}' is missing opening"))
             self.attach(node)
         elif self.owner is not None:
-            annotate(self.stack[self.owner], item.attributes)
+            annotate(self.stack[self.owner], attributes)
         else:
             self.top.errors.append(Problem("no-inline-annotations", "error", f"Can't apply inline annotations to '{self.top.name}'", span))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Any
 
 from foliospark.kernel.values import Function, Variable, js_truthy
@@ -334,6 +335,15 @@ def parse_tag(body: str) -> Item:
     return item
 
 
+@lru_cache(maxsize=8192)
+def known_tag(body: str) -> Item | TagError:
+    """What parse_tag gives or raises, remembered: corpora repeat their tags.  Results are shared and must not be changed."""
+    try:
+        return parse_tag(body)
+    except TagError as e:
+        return e
+
+
 def parse_value(text: str) -> Any:
     """One value standing alone; raises TagError."""
     reader = _Reader(text)

@@ -151,6 +151,8 @@ class Inline:
     def run(self) -> list[list]:
         text, at, n = self.text, 0, len(self.text)
         self.ticks: dict[int, list[int]] | None = None
+        if text and not _SPECIAL.search(text):
+            return [["text", text, (0, n)]]
         while at < n:
             m = _SPECIAL.search(text, at)
             stop = m.start() if m else n

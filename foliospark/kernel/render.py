@@ -53,24 +53,26 @@ def render(value: Any, renderer: Renderer = HTML) -> str:
     """Text of a renderable or a list of them; null, booleans and hashes print nothing."""
     out: list[str] = []
     todo: list[Any] = [value]
+    write, text, opening, closing = out.append, renderer.text, renderer.open, renderer.close
     while todo:
         item = todo.pop()
-        if isinstance(item, str):
-            out.append(renderer.text(item))
-        elif is_number(item):
-            out.append(renderer.number(item))
-        elif isinstance(item, list):
-            todo += item[::-1]
-        elif isinstance(item, Element):
+        kind = type(item)
+        if kind is str:
+            write(text(item))
+        elif kind is Element:
             if not item.name:
                 todo += item.children[::-1]
                 continue
-            out.append(renderer.open(item))
+            write(opening(item))
             if item.name not in VOID:
                 todo.append(_Close(item))
                 todo += item.children[::-1]
-        elif isinstance(item, _Close):
-            out.append(renderer.close(item.element))
+        elif kind is _Close:
+            write(closing(item.element))
+        elif isinstance(item, list):
+            todo += item[::-1]
+        elif is_number(item):
+            write(renderer.number(item))
     return "".join(out)
 
 

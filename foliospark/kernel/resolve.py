@@ -26,6 +26,8 @@ def resolve(value: Any, config, depth: int = 0) -> Any:
     """The value without references: undefined array elements become null, undefined hash entries go."""
     if depth > MAX_DEPTH:
         return UNDEFINED
+    if value is None or isinstance(value, str | float):
+        return value
     if isinstance(value, list):
         return [None if (v := resolve(x, config, depth + 1)) is UNDEFINED else v for x in value]
     if isinstance(value, dict):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 from typing import Any
 
 from foliospark.functions.document import BUILTIN
@@ -72,6 +73,12 @@ class Schema:
     validate: Callable[[Node, Config], list[Problem]] | None = None
     description: str | None = None
 
+    @cached_property
+    def rendered(self) -> list[tuple[str, Attribute, str, bool]]:
+        """(key, attribute, output name, whether it may have a value without being written), class and id first."""
+        named = [(key, a, a.output_name(key)) for key, a in (GLOBAL | self.attributes).items()]
+        return [(key, a, name, a.default is not UNDEFINED or isinstance(a.type, AttributeType) and a.type is not CLASS and a.type.transform is not None) for key, a, name in named if name is not None]
+
 
 def _class_check(value: Any, config: Config, name: str) -> list[Problem]:
     if isinstance(value, bool) or is_number(value):

@@ -11,7 +11,7 @@ from typing import Any
 from foliospark.functions.links import normalize_link
 from foliospark.functions.numbers import js_number
 from foliospark.kernel.resolve import has_reference, resolve
-from foliospark.kernel.schema import GLOBAL, NODES, TAGS, AttributeType, Config
+from foliospark.kernel.schema import NODES, TAGS, AttributeType, Config, Schema
 from foliospark.kernel.tree import Node
 from foliospark.kernel.values import UNDEFINED, is_number, truthy
 
@@ -33,6 +33,7 @@ class Many(list):
 
 
 _depth = 0
+_UNKNOWN = Schema()
 
 
 def scalar(value: Any) -> Any:
@@ -44,11 +45,14 @@ def attributes(node: Node, config: Config) -> dict[str, Any]:
     """class, id, then the schema's attributes in its order, then slots; undeclared ones drop out."""
     schema = config.schema(node)
     out: dict[str, Any] = {}
-    for key, a in (GLOBAL | (schema.attributes if schema else {})).items():
-        name = a.output_name(key)
-        if name is None:
+    given = node.attributes
+    for key, a, name, unwritten in schema.rendered if schema else _UNKNOWN.rendered:
+        if key in given:
+            value = resolve(given[key], config)
+        elif unwritten:
+            value = UNDEFINED
+        else:
             continue
-        value = resolve(node.attributes[key], config) if key in node.attributes else UNDEFINED
         if isinstance(value, str) and (node.type, key) in (("link", "href"), ("image", "src")):
             value = normalize_link(value)
         if isinstance(a.type, AttributeType):

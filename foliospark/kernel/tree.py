@@ -64,10 +64,7 @@ def annotate(node: Node, attributes: list[Attribute]) -> None:
         node.annotations.append(a)
         if a.kind == "class":
             known = node.attributes.get("class")
-            if isinstance(known, dict):
-                known[a.name] = True
-            else:
-                node.attributes["class"] = {a.name: True}
+            node.attributes["class"] = {**(known if isinstance(known, dict) else {}), a.name: True}
             continue
         if a.name in node.attributes:
             node.errors.append(Problem("duplicate-attribute", "warning", f"Attribute '{a.name}' already set"))

@@ -99,12 +99,12 @@ class Kernels:
         return self._map(kind, fn, source, text if variables is None else variables, text if label is None else label)
 
     def html(self, source: Column, variables: Column | None = None) -> Column:
-        options = self.options
+        options = replace(self.options, bare=True)
         return self._call(T.StringType(), lambda s, c, _, r: render(renderables(s, c, options), r), source, variables, None)
 
     def renderable_json(self, source: Column, variables: Column | None = None) -> Column:
         """An array a document, elements as {"$$mdtype":"Tag",...}."""
-        options = self.options
+        options = replace(self.options, bare=True)
         return self._call(T.StringType(), lambda s, c, _, r: dump([to_plain(x) for x in renderables(s, c, options)]), source, variables, None)
 
     def ast_json(self, source: Column, label: Column | None = None) -> Column:

@@ -9,6 +9,7 @@ Null sources have no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,7 +62,7 @@ def flatten(roots: list) -> list[dict]:
 
 def transform_documents(df: DataFrame, config: Config | None = None, id_col: str = "doc_id", source: str = "source", variables: str | None = None, options: ParseOptions | None = None) -> DataFrame:
     """The renderable node table of all documents; `variables` names a JSON column of each row's own."""
-    options = options or ParseOptions()
+    options = replace(options or ParseOptions(), bare=True)
     rows = df.select(F.col(id_col).alias("__id"), F.col(source).alias("__source"), (F.col(variables) if variables else F.lit(None)).cast("string").alias("__variables"))
     schema = T.StructType([T.StructField(id_col, rows.schema["__id"].dataType), *FIELDS])
     arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema.fields])

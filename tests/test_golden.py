@@ -159,3 +159,8 @@ def test_deep_documents_neither_fail_nor_render_without_end():
     assert html("> " * 600 + "x").count("<blockquote>") <= 512
     assert parse("[" * 5000 + "x").children
     assert parse("*a " * 5000).children
+
+
+def test_remembered_tags_are_not_changed():
+    source = "# x {% class={a: true} .b %}\n"
+    assert html(source) == html(source) == '<article><h1 class="a b">x </h1></article>'
