@@ -137,41 +137,42 @@ class Field:
         size = np.array([len(b) for b, _ in chains])
         label = np.array([y for _, y in chains])
         weight = 0.5 / np.bincount(label, size, minlength=2)[label]
-        n, longest = len(chains), int(size[0])
-        active = [int((size > t).sum()) for t in range(longest)]
-        bins = np.zeros((n, longest, len(EDGES)), dtype=np.int64)
-        for i, (b, _) in enumerate(chains):
-            bins[i, : len(b)] = b
-        mask = np.arange(longest)[None, :] < size[:, None]
+        # Lines lie by their place in the chain: all first lines, then all second ones of the chains that have one, ...
+        active = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
+        edge = np.concatenate([[0], np.cumsum(active)])
+        owner = np.concatenate([np.arange(m) for m in active])
+        place = np.concatenate([edge[:k] for k in size]) + np.repeat(np.arange(len(size)), size)
+        bins = np.empty((int(edge[-1]), len(EDGES)), dtype=np.int64)
+        bins[place] = np.concatenate([b for b, _ in chains])
+        kinds, kind = np.unique(bins, axis=0, return_inverse=True)
+        kind = kind.ravel()
+        truth, line_weight = np.eye(2)[label[owner]], weight[owner]
+        kept = np.bincount(label, weight * (size - 1), minlength=2)  # steps from a state to itself
+        later = np.arange(edge[1], edge[-1])
+        before = np.concatenate([later[:0], *(edge[t - 1] + np.arange(active[t]) for t in range(1, len(active)))])
         params = [self.emit, self.step, self.start]
         speed = [np.zeros_like(p) for p in params]
         for _ in range(rounds):
-            score = self.emit[bins].sum(axis=2)
-            ahead, back = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-            ahead[:, 0] = score[:, 0] + self.start
-            for t in range(1, longest):
-                m = active[t]
-                x = ahead[:m, t - 1, :, None] + self.step
-                ahead[:m, t] = np.logaddexp(x[:, 0], x[:, 1]) + score[:m, t]
-            for t in range(longest - 2, -1, -1):
-                m = active[t + 1]
-                x = self.step + (score[:m, t + 1] + back[:m, t + 1])[:, None, :]
-                back[:m, t] = np.logaddexp(x[..., 0], x[..., 1])
+            score = self.emit[kinds].sum(axis=1)[kind]
+            ahead, back = np.zeros_like(score), np.zeros_like(score)
+            now = ahead[: edge[1]] = score[: edge[1]] + self.start
+            for t in range(1, len(active)):
+                x = now[: active[t], :, None] + self.step
+                now = ahead[edge[t] : edge[t + 1]] = np.logaddexp(x[:, 0], x[:, 1]) + score[edge[t] : edge[t + 1]]
+            for t in range(len(active) - 2, -1, -1):
+                ahead_of = slice(edge[t + 1], edge[t + 2])
+                x = self.step + (score[ahead_of] + back[ahead_of])[:, None, :]
+                back[edge[t] : edge[t] + active[t + 1]] = np.logaddexp(x[..., 0], x[..., 1])
             both = ahead + back
-            norm = np.logaddexp(both[:, 0, 0], both[:, 0, 1])
-            prob = np.exp(both - norm[:, None, None]) * mask[..., None]
-            gap = (np.eye(2)[label][:, None, :] - prob) * mask[..., None] * weight[:, None, None]
-            g_emit = np.zeros_like(self.emit)
-            for k in range(len(EDGES)):
-                np.add.at(g_emit, bins[:, :, k].ravel(), gap.reshape(-1, 2))
-            g_step = np.zeros((2, 2))
-            for t in range(1, longest):
-                m = active[t]
-                x = np.exp(ahead[:m, t - 1, :, None] + self.step + (score[:m, t] + back[:m, t])[:, None, :] - norm[:m, None, None])
-                w = weight[:m]
-                g_step -= (x * w[:, None, None]).sum(axis=0)
-                g_step += np.bincount(label[:m] * 3, w, minlength=4).reshape(2, 2)
-            for p, v, g in zip(params, speed, [g_emit, g_step, gap[:, 0].sum(axis=0)], strict=True):
+            norm = np.logaddexp(both[: edge[1], 0], both[: edge[1], 1])
+            gap = (truth - np.exp(both - norm[owner][:, None])) * line_weight[:, None]
+            g_emit = np.empty_like(self.emit)
+            for y in (0, 1):
+                by_kind = np.bincount(kind, gap[:, y], minlength=len(kinds))
+                g_emit[:, y] = np.bincount(kinds.ravel(), np.repeat(by_kind, len(EDGES)), minlength=N_FEATURES)
+            x = np.exp(ahead[before][:, :, None] + self.step + (score[later] + back[later])[:, None, :] - norm[owner[later]][:, None, None])
+            g_step = np.diag(kept) - np.tensordot(line_weight[later], x, axes=1)
+            for p, v, g in zip(params, speed, [g_emit, g_step, gap[: edge[1]].sum(axis=0)], strict=True):
                 v *= 0.9
                 v += rate * (g - ridge * p)
                 p += v
