@@ -84,6 +84,22 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
+def id_bitmap(ids: DataFrame, column: str, log2_bits: int = 26) -> DataFrame:
+    """(__bucket, __bits): a hashed bitmap of a column's values in rows of 4 KB, 8 MiB in all by default however many there are."""
+    h = F.pmod(F.xxhash64(column), F.lit(1 << log2_bits))
+    return ids.groupBy(F.bitmap_bucket_number(h).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("__bits"))
+
+
+def split_by_bitmap(df: DataFrame, column: str, bitmap: DataFrame, log2_bits: int = 26) -> tuple[DataFrame, DataFrame]:
+    """(rows whose value may be in the bitmap, rows whose value is surely not or null), without a shuffle."""
+    h = F.pmod(F.xxhash64(column), F.lit(1 << log2_bits))
+    at = F.bitmap_bit_position(h).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    has = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8))) == 1, F.lit(False)) & F.col(column).isNotNull()
+    met = df.withColumn("__bucket", F.bitmap_bucket_number(h)).join(F.broadcast(bitmap), "__bucket", "left")  # of fixed size
+    return met.filter(has).select(*df.columns), met.filter(~has).select(*df.columns)
+
+
 def unsigned_key(column) -> F.Column:
     """A signed long that stands for an unsigned 64-bit value, as 16 hex digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))

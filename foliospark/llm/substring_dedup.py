@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import cut, map_texts, read, rest
+from foliospark.llm.common import cut, id_bitmap, map_texts, read, rest, split_by_bitmap
 from foliospark.llm.words import find_words, mix, slices, text_buffers, window_at, window_sums
 
 WINDOW, ANCHOR = 50, 25
@@ -234,7 +234,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     # Anchors with different units: only there can a window be shared without its unit.
     mixed = units.groupBy("anchor").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.min("k2").alias("c"), F.max("k2").alias("d")).filter("a <> b or c <> d").select("anchor")
     ask = marked.filter("id = least").join(mixed, "anchor").groupBy("id").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
-    rows = cut(_window_rows(docs.join(ask.hint("shuffle_hash"), "id"), window))
+    ask = cut(ask)
+    asked, _ = split_by_bitmap(docs, "id", cut(id_bitmap(ask, "id")))  # texts that no window is asked of are not shuffled
+    rows = cut(_window_rows(asked.join(ask.hint("shuffle_hash"), "id"), window))
     first = rows.groupBy("k1", "k2").agg(F.min("id").alias("least"))
     single = rows.join(first, ["k1", "k2"]).filter("id > least").select("id", "at", F.lit(1).alias("n"))
     return copies.union(single)
@@ -248,7 +250,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     fields = FIELDS + ([T.StructField("kept_text", T.StringType())] if with_text else [])
     base = rest(df, *(f.name for f in fields))
     carry = list(base.columns) if carry is None else carry
-    joined = base.select(*dict.fromkeys([*carry, id_col, text])).join(spans.hint("shuffle_hash"), base[id_col].cast("long") == spans["__id"], "left")
+    # Only texts that may lose a word meet their spans in a shuffle; the others stay where they are.
+    spans = cut(spans)
+    keyed = base.select(*dict.fromkeys([*carry, id_col, text])).withColumn("__key", F.col(id_col).cast("long"))
+    some, none = split_by_bitmap(keyed, "__key", cut(id_bitmap(spans, "__id")))
+    met = some.join(spans.hint("shuffle_hash"), some["__key"] == spans["__id"], "left").select(*keyed.columns, "__spans")
+    joined = met.unionByName(none.withColumn("__spans", F.lit(None).cast(spans.schema["__spans"].dataType)))
 
     def fn(batch, data, offsets):
         raw = data.tobytes()
