@@ -5,8 +5,6 @@ Each has SQL that builds the expected output without the engine.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,33 +14,10 @@ from foliospark.kernel.schema import Attribute, Config, Schema, Slot
 from foliospark.operators.nodes import parse_nodes
 from foliospark.operators.values import debug_column, js_number_column, normalize_link_column, parse_tag_column, resolve_column
 from foliospark.plans.analytics import error_rollup, links, node_counts, outline, tag_usage
+from foliospark.queries.registry import query, read, written
 from foliospark.sources.declare import configure
 from foliospark.sources.sinks import diagnostics_json, format_check, human_lines
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    """Register a query with its SQL."""
-
-    def keep(fn):
-        QUERIES[fn.__name__] = fn
-        ORACLE_SQL[fn.__name__] = sql
-        return fn
-
-    return keep
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def written(*parts: str | Column) -> Column:
-    """Texts and columns as one source."""
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
 #: The vocabulary of the queries, as a user would declare it.
 VOCABULARY = """
 tags:

@@ -8,9 +8,11 @@ as the watermark says.  `latest_documents` keeps one row an id within the waterm
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -38,6 +40,20 @@ def latest_documents(stream: DataFrame, time: str, id_col: str = "doc_id", delay
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([id_col])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that the session shares between machines; a temporary one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
+    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """What a bounded stream gives to its end, through a Parquet table in the shared folder."""
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def write_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
     """Plans that need whole tables (ordered aggregates, sorted diagnostics) on each micro-batch."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
