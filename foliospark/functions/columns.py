@@ -80,3 +80,20 @@ def unsafe_link(url: Column) -> Column:
 def html_attribute(attr: Column) -> Column:
     """` name="text"` of one attribute row of the renderable table; names in lower case."""
     return F.concat(F.lit(" "), F.lower(attr["name"]), F.lit('="'), escape_html(attr["text"]), F.lit('"'))
+
+
+#: What a document may not hold to be plain prose: marks of inline Markdown, tags and entities, white space that is not a
+#: space or line end, blanks at the edges of a line, and first characters that can open a block.
+_NOT_PLAIN = r"[*_`\[\]<~{\\&|\x00-\x09\x0B-\x1F\x7F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]|(?:^|\n)[ #>+\-0-9]| (?:\n|\z)"
+
+
+def is_plain(source: Column) -> Column:
+    """Whether a document is paragraphs of plain prose, which need no parser."""
+    return ~source.rlike(_NOT_PLAIN)
+
+
+def plain_html(source: Column) -> Column:
+    """The HTML of a document of plain prose: paragraphs at blank lines, line ends as spaces."""
+    paragraphs = F.filter(F.split(F.btrim(source, F.lit("\n")), "\n\n+"), lambda p: p != "")
+    body = F.transform(paragraphs, lambda p: F.concat(F.lit("<p>"), escape_html(F.replace(p, F.lit("\n"), F.lit(" "))), F.lit("</p>")))
+    return F.concat(F.lit("<article>"), F.array_join(body, ""), F.lit("</article>"))

@@ -19,11 +19,12 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.functions.columns import is_plain, plain_html
 from foliospark.kernel.build import ParseOptions, parse
 from foliospark.kernel.check import validate
 from foliospark.kernel.format import FormatOptions, settle
 from foliospark.kernel.render import HTML, Renderer, render
-from foliospark.kernel.schema import Config
+from foliospark.kernel.schema import NODES, Config
 from foliospark.kernel.transform import Many, to_plain, transform
 from foliospark.kernel.tree import Node, Positions
 from foliospark.kernel.values import from_plain
@@ -79,6 +80,8 @@ class Kernels:
 
     def __init__(self, spark: SparkSession, config: Config | None = None, options: ParseOptions | None = None, renderer: Renderer = HTML, formatting: FormatOptions | None = None):
         self.options = options or ParseOptions()
+        built_in = all(config is None or config.nodes.get(n) is NODES[n] for n in ("document", "paragraph", "inline", "text", "softbreak"))
+        self.prose_is_native = built_in and renderer is HTML and (config is None or config.source is None)
         self.shared = Shared(spark, (config or Config(), renderer))
         self.formatting = formatting or FormatOptions(allow_comments=self.options.allow_comments)
 
@@ -99,8 +102,12 @@ class Kernels:
         return self._map(kind, fn, source, text if variables is None else variables, text if label is None else label)
 
     def html(self, source: Column, variables: Column | None = None) -> Column:
+        """HTML; where the vocabulary leaves plain prose alone, such documents never leave the JVM."""
         options = replace(self.options, bare=True)
-        return self._call(T.StringType(), lambda s, c, _, r: render(renderables(s, c, options), r), source, variables, None)
+        parsed = lambda text: self._call(T.StringType(), lambda s, c, _, r: render(renderables(s, c, options), r), text, variables, None)
+        if not self.prose_is_native:
+            return parsed(source)
+        return F.when(is_plain(source), plain_html(source)).otherwise(parsed(F.when(~is_plain(source), source)))
 
     def renderable_json(self, source: Column, variables: Column | None = None) -> Column:
         """An array a document, elements as {"$$mdtype":"Tag",...}."""

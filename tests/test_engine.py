@@ -69,6 +69,27 @@ def test_relational_rendering_agrees_with_the_kernel(spark, docs):
     assert rows(engine.render_relational(docs)) == kernel and len(kernel) == len(SOURCES) - 1
 
 
+def test_plain_prose_renders_natively_as_the_kernel_does(spark):
+    import random
+
+    from foliospark.functions.columns import is_plain
+    from foliospark.kernel.build import parse
+    from foliospark.kernel.render import render
+    from foliospark.kernel.transform import transform
+
+    rng = random.Random(1)
+    pieces = ["a", "Bc", "é", "😀", " ", "  ", "\n", "\n\n", "\n\n\n", ".", "!", "1", "-", "=", "===", ">", '"', "'", "(", ")", "#", "+", ":", "/", "$", "%", "}", "@", ";", "\u3000", "\u00a0", "\x0b", "\r", "\t", "*", "x" * 30]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 14))) for _ in range(6000)] + [None, "", "\n", " "]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, source string")
+    got = Engine(spark).render(df).select("doc_id", "html", is_plain(F.col("source")).alias("plain")).collect()
+    assert sum(bool(r["plain"]) for r in got) > 1000
+    for r in got:
+        text = texts[r["doc_id"]]
+        assert r["html"] == (None if text is None else render(transform(parse(text), Config()))), repr(text)
+    own = Engine(spark, Config.of(nodes={"paragraph": Schema("div")}))
+    assert own.render(spark.createDataFrame([("x",)], "source string")).first()["html"] == "<article><div>x</div></article>"
+
+
 def test_void_elements_have_no_content(spark):
     config = Config.of({"v": Schema("br"), "w": Schema("")})
     df = spark.createDataFrame([(1, "{% v %}\nx\n{% /v %}\n{% w %}\ny\n{% /w %}\n")], "doc_id long, source string")
