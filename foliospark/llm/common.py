@@ -100,6 +100,17 @@ def split_by_bitmap(df: DataFrame, column: str, bitmap: DataFrame, log2_bits: in
     return met.filter(has).select(*df.columns), met.filter(~has).select(*df.columns)
 
 
+def met_by(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows joined with an aggregate by its keys, so that a hot key's rows can be split.
+
+    An aggregate that is already dealt by the keys joins where it lies, and then all rows of a key
+    meet in one task.  A further key, a hash of the others, has both sides dealt anew, and the
+    adaptive skew join splits what is large.
+    """
+    again = F.xxhash64(*keys)
+    return rows.withColumn("__again", again).join(groups.withColumn("__again", again), [*keys, "__again"]).drop("__again")
+
+
 def unsigned_key(column) -> F.Column:
     """A signed long that stands for an unsigned 64-bit value, as 16 hex digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))

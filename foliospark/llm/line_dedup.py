@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import cut, read, rest
+from foliospark.llm.common import cut, met_by, read, rest
 
 ROLL, DIVISOR, FACTOR = 2, 4, 31
 NEW = ("n_lines", "n_removed_lines", "n_removed_chunks", "kept_text")
@@ -71,9 +71,7 @@ def removed_chunks(df: DataFrame, id_col: str = "doc_id", text: str = "text", ro
     seen = _occurrences(df, id_col, text, roll, divisor)
     by_bytes = seen.groupBy("h1", "h2", "body").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first"))
     keys = by_bytes.groupBy("h1", "h2").agg(F.sum("c").alias("c"), F.min("first").alias("first"), F.count(F.lit(1)).alias("texts")).filter("c > 1 and texts = 1").select("h1", "h2", "first")
-    # The keys carry a third hash, so that both sides of the join are dealt anew and a hot key's occurrences can be split.
-    both = F.col("h1").bitwiseXOR(F.col("h2"))
-    where = cut(seen.select("h1", "h2", "id", "k", both.alias("h3")).join(keys.withColumn("h3", both), ["h1", "h2", "h3"]).select("h1", "h2", "id", "k", "first"))
+    where = cut(met_by(seen.select("h1", "h2", "id", "k"), keys, ["h1", "h2"]))
     here = where.filter("id = first").groupBy("h1", "h2").agg(F.min("k").alias("k0"))
     later = where.filter("id > first").select("id", "k")
     again = where.filter("id = first").join(here, ["h1", "h2"]).filter("k > k0").select("id", "k")

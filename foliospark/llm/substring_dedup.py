@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import cut, id_bitmap, map_texts, read, rest, split_by_bitmap
+from foliospark.llm.common import cut, id_bitmap, map_texts, met_by, read, rest, split_by_bitmap
 from foliospark.llm.words import find_words, mix, slices, text_buffers, window_at, window_sums
 
 WINDOW, ANCHOR = 50, 25
@@ -229,16 +229,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     bitmap = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs.select("text"), window, anchor, depth, log2_width))
     units = cut(_units(docs, bitmap, window, anchor))
     least = units.groupBy("k1", "k2").agg(F.min("id").alias("least"))
-    marked = cut(units.join(least, ["k1", "k2"]).select("id", "anchor", "k1", "k2", "at", "n", "least"))
+    marked = cut(met_by(units, least, ["k1", "k2"]).select("id", "anchor", "k1", "k2", "at", "n", "least"))
     copies = marked.filter("id > least").select("id", "at", "n")
     # Anchors with different units: only there can a window be shared without its unit.
     mixed = units.groupBy("anchor").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.min("k2").alias("c"), F.max("k2").alias("d")).filter("a <> b or c <> d").select("anchor")
-    ask = marked.filter("id = least").join(mixed, "anchor").groupBy("id").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    ask = met_by(marked.filter("id = least"), mixed, ["anchor"]).groupBy("id").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
     ask = cut(ask)
     asked, _ = split_by_bitmap(docs, "id", cut(id_bitmap(ask, "id")))  # texts that no window is asked of are not shuffled
     rows = cut(_window_rows(asked.join(ask.hint("shuffle_hash"), "id"), window))
     first = rows.groupBy("k1", "k2").agg(F.min("id").alias("least"))
-    single = rows.join(first, ["k1", "k2"]).filter("id > least").select("id", "at", F.lit(1).alias("n"))
+    single = met_by(rows, first, ["k1", "k2"]).filter("id > least").select("id", "at", F.lit(1).alias("n"))
     return copies.union(single)
 
 
