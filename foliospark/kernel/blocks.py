@@ -19,6 +19,8 @@ _ORDERED = re.compile(r"(\d{1,9})([.)])(?=[ \t]|$)")
 _RULE = re.compile(r"(?:(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|(?:-[ \t]*){3,})$")
 _HEADING = re.compile(r"(#{1,6})(?:[ \t]+|$)")
 _FENCE = re.compile(r"(`{3,})([^`]*)$|(~{3,})(.*)$")
+#: First characters of whatever is no paragraph.
+_OPENERS = frozenset("#>`~*_-+0123456789<{")
 _DELIMITERS = re.compile(r"\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 
 
@@ -251,6 +253,8 @@ class Blocks:
             indent = line.indent()
             at = line.next
             rest = text[at:]
+            if indent < 4 and rest[0] not in _OPENERS:
+                break
             tag = self.tag_at(line, at)
             if tag is not None:
                 self.unwind(containers, opened)

@@ -20,7 +20,8 @@ _AUTOLINK = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>\x00-\x20]*)>")
 _EMAIL = re.compile(r"<([A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*)>")
 _UNSAFE = re.compile(r"(?:javascript|vbscript|file|data):", re.I)
 _SAFE_DATA = re.compile(r"data:image/(?:gif|png|jpeg|webp);", re.I)
-_UNESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])")
+_BLANKS, _SPACES, _TICKS = re.compile(r"[ \t]*\n?[ \t]*"), re.compile(r" *"), re.compile(r"`+")
+_PLAIN_DESTINATION = re.compile(r"[^\x00-\x20\x7f()<{\\]+(?=[) ])")
 
 
 def _entity(m: re.Match) -> str:
@@ -36,6 +37,8 @@ def entities(text: str) -> str:
 
 def unescape(text: str) -> str:
     """Backslash escapes and entities resolved, tags kept as written."""
+    if "\\" not in text and "&" not in text:
+        return text
     out, at = [], 0
     while at < len(text):
         if text.startswith("{%", at) and (end := find_tag_end(text, at)) is not None:
@@ -67,6 +70,8 @@ def label_key(label: str) -> str:
 
 def destination(text: str, at: int) -> tuple[str, int] | None:
     """(destination as written, offset behind it); tags inside it are opaque."""
+    if m := _PLAIN_DESTINATION.match(text, at):
+        return m[0], m.end()
     if text.startswith("<", at):
         k = at + 1
         while k < len(text):
@@ -123,8 +128,7 @@ def title(text: str, at: int) -> tuple[str, int] | None:
 
 def blanks(text: str, at: int) -> int:
     """Offset behind spaces with at most one line end among them."""
-    m = re.compile(r"[ \t]*\n?[ \t]*").match(text, at)
-    return m.end()
+    return _BLANKS.match(text, at).end()
 
 
 def _is_space(ch: str) -> bool:
@@ -173,12 +177,11 @@ class Inline:
         if ch == "\n":
             spaces = at - len(text[:at].rstrip(" "))
             self.push("hard", None, (at - spaces, at)) if spaces >= 2 else self.push("soft", None, (at, at + 1))
-            m = re.compile(r" *").match(text, at + 1)
-            return m.end()
+            return _SPACES.match(text, at + 1).end()
         if ch == "\\":
             if text.startswith("\n", at + 1):
                 self.push("hard", None, (at, at + 1))
-                return re.compile(r" *").match(text, at + 2).end()
+                return _SPACES.match(text, at + 2).end()
             if at + 1 < len(text) and text[at + 1] in _PUNCTUATION:
                 self.add_text(text[at + 1], at, at + 2)
                 return at + 2
@@ -223,9 +226,9 @@ class Inline:
         text = self.text
         if self.ticks is None:
             self.ticks = {}
-            for m in re.finditer(r"`+", text):
+            for m in _TICKS.finditer(text):
                 self.ticks.setdefault(len(m[0]), []).append(m.start())
-        size = re.compile(r"`+").match(text, at).end() - at
+        size = _TICKS.match(text, at).end() - at
         close = next((p for p in self.ticks.get(size, ()) if p > at), None)
         if close is None:
             self.add_text("`" * size, at, at + size)
@@ -317,6 +320,8 @@ class Inline:
     def emphasis(self, bottom: int) -> None:
         """Match delimiter runs from `bottom` on; opens and closes go into the events around their text."""
         marks = self.marks
+        if len(marks) == bottom:
+            return
         inserts: dict[int, tuple[list, list]] = {}  # event: (closes before its text, opens after it)
         floor: dict[tuple, int] = {}
         k = bottom

@@ -54,6 +54,16 @@ def from_column(df: DataFrame, source: Column | str, id_col: str = "doc_id", fil
     return df.select(id_col, (F.lit(None).cast("string") if file is None else file).alias("file"), text.cast("string").alias("source"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table over all cores where its files give fewer splits than there are cores; others stay as they are.
+
+    Parsing a document costs far more than reading its bytes, by which Spark sizes splits: a small
+    file would be one task.  Tables of many splits are never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def strip_frontmatter(source: Column) -> Column:
     """The source without a leading block between lines of three dashes (a host's concern, not the parser's)."""
     return F.regexp_replace(source, r"^---[ \t]*\r?\n(?:[^\n]*\n)*?---[ \t]*(?:\r?\n|$)", "")
