@@ -24,7 +24,7 @@ def duck():
 
 
 def plain(rows):
-    return sorted(tuple(None if v is None else str(v) for v in r) for r in rows)
+    return sorted(tuple("<null>" if v is None else str(v) for v in r) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
