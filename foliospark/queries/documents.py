@@ -205,7 +205,7 @@ def parse_tag_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies that are no tag: one critical error each, at the character that does not fit."""
     rows = read(spark, sf_dir, "part").select("p_partkey", written("{% item ", F.col("p_size"), "! %}\n").alias("source"))
     found = Engine(spark).validate(rows, "p_partkey").filter("error_id = 'parse-error'")
-    return found.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n_errors"), F.first("level").alias("level"), F.first(F.col("loc.start.offset")).alias("start"))
+    return found.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n_errors"), F.first("level").alias("level"), F.first(F.col("loc.start.offset")).cast("long").alias("start"))
 
 
 @query("""SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS ordinal, 2 AS level, 'Order ' || o_orderkey AS text FROM orders
@@ -214,7 +214,8 @@ def document_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of each document with their ordinals."""
     items = F.array_sort(F.collect_list(F.struct("o_orderkey", written("## Order ", F.col("o_orderkey"), "\n\n", F.col("o_orderpriority"), "\n\n").alias("line"))))
     source = F.concat(written("# Customer ", F.col("o_custkey"), "\n\n"), F.array_join(F.transform(items, lambda x: x["line"]), ""))
-    return outline(parse_nodes(read(spark, sf_dir, "orders").groupBy("o_custkey").agg(source.alias("source")), "o_custkey"), "o_custkey")
+    found = outline(parse_nodes(read(spark, sf_dir, "orders").groupBy("o_custkey").agg(source.alias("source")), "o_custkey"), "o_custkey")
+    return found.withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 @query("""SELECT p_partkey, 'link' AS type, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 'https://shop.example/' || p_partkey END AS url FROM part WHERE p_size % 3 <> 0""")
@@ -361,7 +362,7 @@ def number_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalize_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Destinations with a host outside ASCII, a blank and an umlaut; lengths in UTF-16 units."""
     link = normalize_link_column(written("https://müller.example/a b/", F.col("page_id"), "?q=ü#x"))
-    return read(spark, sf_dir, "pages").select("page_id", link.alias("link"), (utf16_length(F.concat("url", F.lit("😀"))) - 1).alias("units"))
+    return read(spark, sf_dir, "pages").select("page_id", link.alias("link"), (utf16_length(F.concat("url", F.lit("😀"))) - 1).cast("long").alias("units"))
 
 
 # ---- formatting

@@ -206,7 +206,7 @@ def written_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The end of a tag past quoted delimiters; a value parsed and printed again."""
     text = written('ab {% x "%} \\" ', F.col("p_brand"), '" %} c')
     value = parse_value_column(written("{a: [1, $x[", F.col("p_size"), ']], b: "', F.col("p_brand"), '",}'))
-    return read(spark, sf_dir, "part").select("p_partkey", tag_end_column(text).alias("tag_end"), value.alias("value"), format_value_column(value).alias("source"))
+    return read(spark, sf_dir, "part").select("p_partkey", tag_end_column(text).cast("long").alias("tag_end"), value.alias("value"), format_value_column(value).alias("source"))
 
 
 @query("""SELECT o_orderkey, 8 + length(CAST(o_orderkey AS VARCHAR)) AS start_offset, 2 AS start_line, 0 AS start_column, 16 + length(CAST(o_orderkey AS VARCHAR)) AS end_offset FROM orders""")
@@ -214,8 +214,8 @@ def node_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, columns and byte offsets of a tag behind a line with characters of two and four bytes."""
     rows = read(spark, sf_dir, "orders").select("o_orderkey", written("é😀\n", F.col("o_orderkey"), "\n{% a /%}\n").alias("source"))
     tags = parse_nodes(rows, "o_orderkey").filter("type = 'tag'")
-    place = lambda at, part: F.col(f"loc.{at}.{part}").alias(f"{at}_{part}")
-    return tags.select("o_orderkey", place("start", "offset"), place("start", "line"), place("start", "column"), place("end", "offset"))
+    start, end = F.col("loc.start"), F.col("loc.end")
+    return tags.select("o_orderkey", start["offset"].cast("long").alias("start_offset"), start["line"].alias("start_line"), start["column"].alias("start_column"), end["offset"].cast("long").alias("end_offset"))
 
 
 # ---- printers
