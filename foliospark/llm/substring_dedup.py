@@ -35,8 +35,8 @@ from foliospark.llm.words import find_words, mix, slices, text_buffers, window_a
 
 WINDOW, ANCHOR = 50, 25
 DEPTH, LOG2_WIDTH, LOG2_SLICE = 4, 24, 19
-#: Anchors that a task gathers before it sends cells on.
-GATHER = 1 << 20
+#: Bytes of text that a task works on at once, and anchors that it gathers before it sends cells on.
+SLICE, GATHER = 2 << 20, 1 << 19
 _BASES = (0xD6E8FEB86659FD93, 0xCA5A826395121157)
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
 
@@ -112,7 +112,7 @@ def _partition_sketches(df: DataFrame, window: int, anchor: int, depth: int, log
         size = 0
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE):
                 a = Anchored(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], window, anchor, exact=False)
                 first, _ = a.units()
                 if not len(first):
@@ -184,7 +184,7 @@ def _units(docs: DataFrame, bitmap, window: int, anchor: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             data, offsets = text_buffers(batch.column(1))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE):
                 a = Anchored(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], window, anchor)
                 first, end = a.units()
                 some = estimated_repeated(bitmap.value, a.anchor[first])
@@ -205,7 +205,7 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             data, offsets = text_buffers(batch.column(1))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE):
                 words = find_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], seeds=(1, 2))
                 sums = [window_sums(h, b) for h, b in zip(words.hashes.values(), _BASES, strict=True)]
                 runs = batch.column(2).slice(lo, hi - lo)
@@ -278,7 +278,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
         return out | ({"kept_text": pa.array(kept_text, pa.string())} if with_text else {})
 
     # The spans ride along only to the function; they are no column of the result.
-    out = map_texts(joined, fn, fields, text, [*carry, "__spans"])
+    out = map_texts(joined, fn, fields, text, [*carry, "__spans"], limit=SLICE)
     return out.drop("__spans")
 
 
