@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import checkpoint_folder, read
+from foliospark.llm.common import checkpoint_folder, quoted, read
 from foliospark.llm.decontaminate import decontaminate
 from foliospark.llm.line_dedup import dedup_lines
 from foliospark.llm.packing import pack
@@ -27,15 +27,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without chunks of lines that repeat (operator 3); a document with no word left goes, n_chars follows the text."""
-    kept = dedup_lines(docs)
-    text = F.col("kept_text")
-    columns = [text.alias(c) if c == "text" else F.when(text == F.col("text"), F.col(c)).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return kept.filter((F.col("n_removed_chunks") == 0) | text.rlike(r"[^\x20\x09-\x0D]")).select(*columns)
+    own = {c: c if c in ("doc_id", "text") else f"__c{k}" for k, c in enumerate(docs.columns)}  # out of the way of the operator's columns
+    kept = dedup_lines(docs.select(*[quoted(c).alias(name) for c, name in own.items()]))
+    text, changed = F.col("kept_text"), F.col("n_removed_chunks") > 0
+
+    def column(name: str) -> F.Column:
+        if name == "text":
+            return text.alias(name)
+        value = F.col(own[name])
+        return (F.when(changed, F.length(text)).otherwise(value).cast(docs.schema[name].dataType) if name == "n_chars" else value).alias(name)
+
+    return kept.filter(~changed | text.rlike(r"[^\x20\x09-\x0D]")).select(*map(column, docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (operator 2)."""
-    return near_dedup(docs).select(*docs.columns)
+    return near_dedup(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

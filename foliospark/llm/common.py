@@ -39,6 +39,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def quoted(name: str) -> F.Column:
+    """A column by its name as it is, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def rest(df: DataFrame, *new: str) -> DataFrame:
     """The table without columns that an operator is about to add (names compare without case)."""
     lower = {n.lower() for n in new}
@@ -63,18 +68,19 @@ def map_texts(
     """
     carry = list(df.columns) if carry is None else carry
     names = [f.name for f in fields]
-    source = df.select(*[df[c] for c in dict.fromkeys([*carry, text])])
-    by_name = {f.name: f for f in source.schema.fields}
+    given = list(dict.fromkeys([*carry, text]))
+    source = df.select(*[quoted(c).alias(f"c{k}") for k, c in enumerate(given)])  # Arrow maps take no names with dots
+    by_name = {c: T.StructField(c, f.dataType, f.nullable) for c, f in zip(given, source.schema.fields, strict=True)}
     schema = T.StructType([*(by_name[c] for c in carry), *(f for f in fields if f.name != keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            data, offsets = text_buffers(batch.column(at))
+            batch = pa.RecordBatch.from_arrays(batch.columns, names=given)
+            data, offsets = text_buffers(batch.column(given.index(text)))
             for lo, hi in slices(offsets, limit):
                 part = batch.slice(lo, hi - lo)
                 got = fn(part, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                cols = [part.column(part.schema.get_field_index(c)) for c in carry]
+                cols = [part.column(given.index(c)) for c in carry]
                 cols += [got[n] for n in names if n != keep]
                 out = pa.RecordBatch.from_arrays(cols, names=[*carry, *(n for n in names if n != keep)])
                 if keep is not None:
@@ -97,7 +103,7 @@ def split_by_bitmap(df: DataFrame, column: str, bitmap: DataFrame, log2_bits: in
     byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
     has = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8))) == 1, F.lit(False)) & F.col(column).isNotNull()
     met = df.withColumn("__bucket", F.bitmap_bucket_number(h)).join(F.broadcast(bitmap), "__bucket", "left")  # of fixed size
-    return met.filter(has).select(*df.columns), met.filter(~has).select(*df.columns)
+    return tuple(met.filter(side).drop("__bucket", "__bits") for side in (has, ~has))
 
 
 def met_by(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import cut, map_texts, read, rest
+from foliospark.llm.common import cut, map_texts, quoted, read, rest
 from foliospark.llm.words import ALNUM, LOWER, find_words, text_buffers
 
 WIDTH, SAMPLE, BLOCK_BYTES, SHARD_BYTES, RUN = 13, 8, 32 << 20, 16 << 20, 1 << 20
@@ -314,7 +314,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", i
     if clean_only:
         bad = hits.filter("contaminated").select("__id")
         return df.join(bad, df[id_col].eqNullSafe(bad["__id"]), "left_anti")
-    base = rest(df, *(f.name for f in FIELDS)) if carry is None else df.select(*dict.fromkeys([*carry, id_col]))
+    base = rest(df, *(f.name for f in FIELDS)) if carry is None else df.select(*map(quoted, dict.fromkeys([*carry, id_col])))
     return base.join(hits, base[id_col].eqNullSafe(hits["__id"]), "left").drop("__id")
 
 

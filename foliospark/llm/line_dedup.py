@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import cut, met_by, read, rest
+from foliospark.llm.common import cut, met_by, quoted, read, rest
 
 ROLL, DIVISOR, FACTOR = 2, 4, 31
 NEW = ("n_lines", "n_removed_lines", "n_removed_chunks", "kept_text")
@@ -97,7 +97,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", roll:
     joined = joined.withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
     done = joined.withColumn("__done", F.explode(F.array(_let(chunks_of(F.col(text), roll, divisor), result))))
     got = [F.coalesce(F.col("__done")[c], F.lit(0).cast("long")).alias(c) for c in NEW[:3]] + [F.when(F.col(text).isNotNull(), F.col("__done")["kept_text"]).alias("kept_text")]
-    return done.select(*base.columns, *got)
+    return done.select(*map(quoted, base.columns), *got)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

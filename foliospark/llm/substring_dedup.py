@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import cut, id_bitmap, map_texts, met_by, read, rest, split_by_bitmap
+from foliospark.llm.common import cut, id_bitmap, map_texts, met_by, quoted, read, rest, split_by_bitmap
 from foliospark.llm.words import find_words, mix, slices, text_buffers, window_at, window_sums
 
 WINDOW, ANCHOR = 50, 25
@@ -252,9 +252,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     carry = list(base.columns) if carry is None else carry
     # Only texts that may lose a word meet their spans in a shuffle; the others stay where they are.
     spans = cut(spans)
-    keyed = base.select(*dict.fromkeys([*carry, id_col, text])).withColumn("__key", F.col(id_col).cast("long"))
+    keyed = base.select(*map(quoted, dict.fromkeys([*carry, id_col, text]))).withColumn("__key", F.col(id_col).cast("long"))
     some, none = split_by_bitmap(keyed, "__key", cut(id_bitmap(spans, "__id")))
-    met = some.join(spans.hint("shuffle_hash"), some["__key"] == spans["__id"], "left").select(*keyed.columns, "__spans")
+    met = some.join(spans.hint("shuffle_hash"), some["__key"] == spans["__id"], "left").select(*map(quoted, keyed.columns), "__spans")
     joined = met.unionByName(none.withColumn("__spans", F.lit(None).cast(spans.schema["__spans"].dataType)))
 
     def fn(batch, data, offsets):

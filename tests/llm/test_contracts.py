@@ -50,7 +50,7 @@ HARD = [
     (19, "\x00 <s> </s> <unk> ▁ <0x41>  two  spaces "),
     (20, "ALPHA BETA GAMMA"),
 ]
-CLASH = ["1 AS n_words", "'x' AS fp", "'y' AS `ID`", "true AS kept", "2.5 AS score", "'z' AS Fingerprint", "3 AS n_lines", "array(1) AS n_tokens", "'q' AS dice", "null AS lang"]
+CLASH = ["1 AS n_words", "'x' AS fp", "'y' AS `ID`", "true AS kept", "2.5 AS score", "'z' AS Fingerprint", "3 AS n_lines", "array(1) AS n_tokens", "'q' AS dice", "null AS lang", "1 AS `a.b`"]
 
 
 @pytest.fixture(scope="module")

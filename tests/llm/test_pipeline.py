@@ -17,7 +17,7 @@ def folder(spark, tmp_path_factory):
     out = tmp_path_factory.mktemp("tables")
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     more = spark.createDataFrame([(10**9 + k, t, None, "x", None) for k, t in HARD], docs.schema)
-    docs.unionByName(more).withColumn("score", F.lit("mine")).write.parquet(f"{out}/documents.parquet")
+    docs.unionByName(more).withColumn("score", F.lit("mine")).withColumn("n_removed_chunks", F.lit("own")).withColumn("a.b", F.lit(1)).write.parquet(f"{out}/documents.parquet")
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(f"{out}/{name}.parquet")
     return str(out)
@@ -40,6 +40,7 @@ def texts(df):
 
 def test_all_but_the_last_keep_the_columns(tables):
     assert all(t.columns == tables[0].columns for t in tables[:-1])
+    assert all(t.filter("n_removed_chunks <> 'own' or `a.b` <> 1").isEmpty() for t in tables[:-1])
 
 
 def test_quality_keeps_what_the_rules_keep(spark, tables, folder):
