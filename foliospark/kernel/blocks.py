@@ -24,7 +24,7 @@ _OPENERS = frozenset("#>`~*_-+0123456789<{")
 _DELIMITERS = re.compile(r"\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     """An open or finished block; kind is a node type, "tagline" or "plain" (paragraph text of a tight item)."""
 

@@ -19,7 +19,7 @@ MAX_DEPTH = 512
 PARTIAL_NAME = "$$partial:filename"
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     """A renderable tag; an unnamed one renders only its children."""
 

@@ -29,7 +29,7 @@ class Problem:
     span: tuple[int, int] | None = None
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     type: str
     attributes: dict[str, Any] = field(default_factory=dict)
