@@ -166,9 +166,10 @@ def messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linked calls of the whole conversations table."""
+    """Linked calls of the whole conversations table; a level or position that is not there is -1."""
     got = link(*messages(read(spark, sf_dir, "conversations")))
-    return got.select("conv_id", "id", "turn", "name", "status", "level", "position", "n_calls", "n_results", "errors", "valid", "canonical")
+    place = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("level", "position")]
+    return got.select("conv_id", "id", "turn", "name", "status", *place, "n_calls", "n_results", "errors", "valid", "canonical")
 
 
 def oracle() -> str:
@@ -194,7 +195,7 @@ e AS (SELECT *, CASE WHEN orphan THEN 'no_call' WHEN content IS NULL THEN 'no_re
       WHEN n % 3 = 1 THEN '{' || CASE WHEN after IS NOT NULL THEN '"after":' || to_json(after) || ',' ELSE '' END || CASE WHEN n % 7 = 0 THEN '"fast":true,' ELSE '' END || '"target":"en","text":' || to_json(text) || '}'
       ELSE '{' || CASE WHEN after IS NOT NULL THEN '"after":' || to_json(after) || ',' ELSE '' END || CASE WHEN n % 14 = 0 THEN '"note":"half",' ELSE '' END
         || CASE WHEN n % 7 <> 0 THEN '"ratio":' || CASE n % 8 WHEN 0 THEN '0' ELSE ((n % 8) / 8.0)::DOUBLE::VARCHAR END || ',' ELSE '' END || '"text":' || to_json(text) || '}' END AS args FROM m)
-SELECT conv_id, id, turn, name, status, level, CASE WHEN NOT orphan THEN row_number() OVER (PARTITION BY conv_id, orphan ORDER BY coalesce(level, 2147483647), turn, id) - 1 END AS position,
+SELECT conv_id, id, turn, name, status, coalesce(level, -1)::INTEGER AS level, CASE WHEN orphan THEN -1 ELSE row_number() OVER (PARTITION BY conv_id, orphan ORDER BY coalesce(level, 2147483647), turn, id) - 1 END AS position,
   n_calls, n_results, errors, errors = '' AND status = 'linked' AS valid,
   '{' || CASE WHEN orphan THEN '' ELSE '"arguments":' || args || ',' END || '"id":' || to_json(id) || CASE WHEN orphan THEN '' ELSE ',"name":' || to_json(name) END || CASE WHEN content IS NOT NULL THEN ',"result":' || to_json(content) ELSE '' END || '}' AS canonical
 FROM e
