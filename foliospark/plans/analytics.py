@@ -31,12 +31,15 @@ def error_rollup(problems: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def outline(nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, ordinal, level, text) of every heading, numbered from 1 in each document; text joins the plain text below it."""
-    heads = nodes.filter("type = 'heading'").select(F.col(id_col), F.col("node_id").alias("__head"), attribute("level").cast("double").cast("int").alias("level"))
-    under = nodes.filter("type in ('text', 'code')").select(F.col(id_col), "node_id", attribute("content").alias("content"), F.explode("path").alias("__head"))
-    texts = under.filter(F.col("content").startswith('"')).groupBy(id_col, "__head").agg(F.array_sort(F.collect_list(F.struct("node_id", text_of(F.col("content")).alias("t")))).alias("parts"))
-    met = heads.join(texts, [id_col, "__head"], "left")
+    # Headings stand for themselves and texts for all their ancestors, so the node table is read once and grouped once.
+    is_head = F.col("type") == "heading"
+    content = attribute("content")
+    level = F.when(is_head, attribute("level").cast("double").cast("int"))
+    rows = nodes.filter("type in ('heading', 'text', 'code')").select(id_col, "node_id", level.alias("level"), F.when(content.startswith('"'), text_of(content)).alias("t"), F.explode(F.when(is_head, F.array("node_id")).otherwise(F.col("path"))).alias("__head"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("node_id", "t"))))
+    heads = rows.groupBy(id_col, "__head").agg(F.max("level").alias("level"), parts.alias("parts")).filter("level is not null")
     order = Window.partitionBy(id_col).orderBy("__head")
-    return met.select(id_col, F.row_number().over(order).alias("ordinal"), "level", F.coalesce(F.array_join(F.transform("parts", lambda p: p["t"]), ""), F.lit("")).alias("text"))
+    return heads.select(id_col, F.row_number().over(order).alias("ordinal"), "level", F.array_join(F.transform("parts", lambda p: p["t"]), "").alias("text"))
 
 
 def links(nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -4,7 +4,8 @@ A child's branch is the number of `else` siblings before it; the first branch wh
 holds wins.  Conditions are resolved by `resolve_column` where they hold references.  Rows of
 other branches go, and with them everything below: `path` holds a row's ancestors, so one array
 test against the document's dropped rows does it.  The windows and the join go by document and
-parent; a document's dropped rows are one array, bounded by the document.
+parent; a document's dropped rows are one array, bounded by the document.  The node table is read
+four times: write or persist it first where parsing is what costs.
 """
 
 from __future__ import annotations
