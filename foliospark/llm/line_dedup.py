@@ -15,6 +15,11 @@ numbers return by document, and the text is put together again from the chunks t
 Null texts have no chunk and stay null; empty texts are one empty line; repeated rows of an id are
 one document (chunks of a document repeat inside it at their second place, not in its second row);
 rows with a null id keep their lines, and other documents' repeats are not measured against them.
+
+A chunk goes only where both of its boundaries lie inside the repeated passage, so most short runs
+of repeated lines stay.  `dedup_runs` removes every one: all lines of every window of two lines with
+a word that an earlier document, or an earlier place of the document, has.  Its windows are equal
+where their MD5 is.  The chunks are what op3_line_dedup, its SQL and the pipeline go by.
 """
 
 from __future__ import annotations
@@ -100,12 +105,66 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", roll:
     return done.select(*map(quoted, base.columns), *got)
 
 
+def _windows(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, version, k, key) of every window of lines k and k + 1 with a word; version tells texts of one id apart."""
+
+    def pairs(lines):
+        n = F.size(lines) - 1
+        return F.zip_with(F.slice(lines, F.lit(1), n), F.slice(lines, F.lit(2), n), lambda a, b: F.concat(a, F.lit("\n"), b))
+
+    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), F.posexplode(_let(F.split(F.col(text), "\n", -1), pairs)).alias("k", "body"))
+    return rows.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]")).select("id", "version", "k", F.unhex(F.md5(F.col("body").cast("binary"))).alias("key"))
+
+
+def removed_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, version, k): number of each line in a window of two lines that an earlier document or place has."""
+    seen = _windows(df, id_col, text)
+    keys = seen.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first")).filter("c > 1").select("key", "first")
+    where = cut(met_by(seen, keys, ["key"]))
+    at = where.filter("id = first").groupBy("key").agg(F.min(F.struct("version", "k")).alias("at"))
+    later = where.filter("id > first").select("id", "version", "k", F.lit(False).alias("lapped"))
+    lapped = F.expr("version = at.version and k = at.k + 1")  # its first line is the last of the window that stays
+    again = where.filter("id = first").join(at, "key").filter(F.struct("version", "k") > F.col("at")).select("id", "version", "k", lapped.alias("lapped"))
+    return later.union(again).select("id", "version", F.explode(F.when(F.col("lapped"), F.array(F.col("k") + 1)).otherwise(F.array("k", F.col("k") + 1))).alias("k"))
+
+
+def dedup_runs(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of dedup_lines with every repeated run of two or more lines removed; n_removed_chunks counts the runs.
+
+    Nulls and empty texts as in dedup_lines; equal rows of an id are one document, different ones are told apart.
+    """
+    base = rest(df, *NEW)
+    gone = removed_lines(base, id_col, text).groupBy("id", "version").agg(F.collect_set("k").alias("__gone")).withColumnRenamed("id", "__id").withColumnRenamed("version", "__version")
+    joined = base.join(gone.hint("shuffle_hash"), (quoted(id_col) == gone["__id"]) & (F.xxhash64(quoted(text)) == gone["__version"]), "left").drop("__id", "__version")
+    none = F.col("__gone").isNull()
+
+    def result(lines):
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+        return F.struct(
+            F.size(lines).cast("long").alias("n_lines"),
+            F.size("__gone").cast("long").alias("n_removed_lines"),
+            F.size(F.array_except("__gone", F.transform("__gone", lambda k: k + 1))).cast("long").alias("n_removed_chunks"),
+            F.when(none, F.col(text)).otherwise(F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n")).alias("kept_text"),
+        )
+
+    done = joined.withColumn("__done", F.explode(F.array(_let(F.split(F.col(text), "\n", -1), result))))
+    got = [F.when(F.lit(c == "n_lines") | ~none, F.col("__done")[c]).otherwise(F.lit(0)) for c in NEW[:3]]
+    got = [F.coalesce(g, F.lit(0)).cast("long").alias(c) for g, c in zip(got, NEW[:3], strict=True)]
+    return done.select(*map(quoted, base.columns), *got, F.when(F.col(text).isNotNull(), F.col("__done")["kept_text"]).alias("kept_text"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that every document keeps, as counts and a digest."""
     got = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_line_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op3_line_dedup, with every repeated run of two or more lines removed."""
+    got = dedup_runs(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def oracle(roll: int = ROLL, divisor: int = DIVISOR) -> str:
     """DuckDB SQL of op3_line_dedup: the same boundaries, chunks compared as text."""
     rolled = " + ".join(["h[i]"] + [f"(CASE WHEN i > {k} THEN h[i - {k}] ELSE 0 END) * {FACTOR**k}" for k in range(1, roll)])

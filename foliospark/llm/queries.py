@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foliospark.llm.decontaminate import op7_decontaminate
 from foliospark.llm.license_scan import op1_license_scan
 from foliospark.llm.license_scan import oracle as op1_oracle
-from foliospark.llm.line_dedup import op3_line_dedup
+from foliospark.llm.line_dedup import op3_line_dedup, op3_line_dedup_runs
 from foliospark.llm.line_dedup import oracle as op3_oracle
 from foliospark.llm.packing import op9_packing
 from foliospark.llm.packing import oracle as op9_oracle
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
+    "op3_line_dedup_runs": op3_line_dedup_runs,
     "op4_tool_calls": op4_tool_calls,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,

@@ -226,6 +226,48 @@ def test_line_dedup_hard_cases(spark, hard):
     assert line_dedup.dedup_lines(hard.limit(0)).isEmpty()
 
 
+def run_result(docs):
+    """Every line of a two-line window with a word that an earlier (document, place) has."""
+    first, out = {}, {}
+    for i, text in sorted((i, t) for i, t in docs.items() if t is not None):
+        lines, gone = text.split("\n"), set()
+        for k, w in enumerate(zip(lines, lines[1:], strict=False)):
+            if brute.words("\n".join(w)):
+                at = first.setdefault(w, (i, k))
+                if at != (i, k):
+                    gone |= {k, k + 1} - ({at[1], at[1] + 1} if at[0] == i else set())
+        kept = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        out[i] = (len(lines), len(gone), sum(k - 1 not in gone for k in gone), kept if gone else text)
+    return out
+
+
+def test_line_runs_by_brute_force(spark, corpus, texts):
+    more = {
+        1: "own 1\nshared a\nshared b\nown 2",
+        2: "own 3\nshared a\nshared b\nown 4",
+        3: "shared b\nown 5\nshared a\nshared b",
+        4: "same\nsame\nsame\nsame\nother",
+        5: "\n\n\n",
+        6: "shared a\nshared b",
+    }
+    docs = texts | {2 * 10**9 + k: t for k, t in more.items()}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = by_id(line_dedup.dedup_runs(df.repartition(5)), "n_lines", "n_removed_lines", "n_removed_chunks", "kept_text")
+    assert {i: got[i] for i, t in docs.items() if t is not None} == run_result(docs)
+    assert all(got[i] == (0, 0, 0, None) for i, t in docs.items() if t is None)
+    kept = [got[2 * 10**9 + k][3] for k in more]
+    assert kept == [more[1], "own 3\nown 4", "shared b\nown 5", "same\nsame\nother", more[5], ""]
+
+
+def test_line_runs_hard_cases(spark, hard):
+    got = line_dedup.dedup_runs(hard)
+    assert got.count() == hard.count() and set(got.columns) >= set(hard.columns)
+    assert got.filter("doc_id is null and n_removed_lines <> 0").isEmpty()
+    assert line_dedup.dedup_runs(hard.limit(0)).isEmpty()
+    two = spark.createDataFrame([(1, "a\nb\nc"), (1, "x\na\nb"), (1, "a\nb\nc")], "doc_id long, text string")
+    assert sorted(r["n_removed_lines"] for r in line_dedup.dedup_runs(two).collect()) in ([0, 0, 2], [0, 2, 2])
+
+
 # ---- 4: tool calls
 
 
