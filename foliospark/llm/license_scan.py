@@ -7,6 +7,14 @@ unit and template and m in both.  As m is at most the smaller of a and b, a temp
 threshold t only if b lies in [a t / (2 - t), a (2 - t) / t]: sizes outside that range are pruned
 before any overlap is counted, and units without a template's bigram never reach it.
 
+Passages inside a unit, or over several, are windows of words of each template's own size, at every
+place of the text: there Dice is m / b, and a passage reaches t if at most a share 1 - t of its
+bigrams is other.  Bigrams that a matching unit shares with a template it matches are that unit's
+and count for no window.  A window begins at every word; as the k-th bigram of a kind counts only
+if fewer than its number in the template stand before it in the window, each occurrence adds one to
+a run of beginnings, and running sums give m for all of them.  Texts with fewer than b t such
+bigrams are pruned.  op1_license_scan's SQL has units alone, and the given tables no such passage.
+
 One Arrow pass, no shuffle; only the templates (a fixed table) go to the tasks.  Nulls count as
 empty texts, which match nothing; ties of the best score go to the smaller template id; repeated
 rows each get their own result.
@@ -87,6 +95,42 @@ class Templates:
         good = dice >= t
         return unit[good], template[good], dice[good]
 
+    def taken(self, unit: np.ndarray, gram: np.ndarray, hit_unit: np.ndarray, hit_template: np.ndarray) -> np.ndarray:
+        """Which bigram occurrences a unit shares with a template that it matches."""
+        out = np.zeros(len(gram), dtype=bool)
+        at = np.flatnonzero(np.isin(unit, hit_unit))
+        n = self.first[gram[at] + 1] - self.first[gram[at]]
+        post = np.repeat(self.first[gram[at]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.isin(np.repeat(unit[at], n) * len(self.names) + self.template[post], hit_unit * len(self.names) + hit_template)
+        out[np.repeat(at, n)[both]] = True
+        return out
+
+    def windows(self, row: np.ndarray, place: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, template, Dice) of the best window of each template's size in each row, at or over the threshold; rows and places ascend."""
+        n = self.first[gram + 1] - self.first[gram]
+        post = np.repeat(self.first[gram] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        key, place, gram = np.repeat(row, n) * len(self.names) + self.template[post], np.repeat(place, n), np.repeat(gram, n)
+        pairs, back, total = np.unique(key, return_inverse=True, return_counts=True)
+        able = total / self.size[pairs % len(self.names)] >= self.threshold
+        some = np.flatnonzero(able[back])
+        order = some[np.lexsort((place[some], gram[some], back[some]))]
+        pair, place, gram, many = back[order], place[order], gram[order], self.count[post[order]]
+        if not len(pair):
+            return pair, pair, np.zeros(0)
+        earlier = np.arange(len(pair)) - many  # as often as the template has the bigram, before this one
+        same = (earlier >= 0) & (pair[earlier] == pair) & (gram[earlier] == gram)
+        size = self.size[pairs[pair] % len(self.names)]
+        begin = np.maximum(place - size, np.where(same, place[earlier], -(1 << 40))) + 1
+        at, what = np.concatenate([begin, place + 1]), np.repeat(np.array([1, -1]), len(place))
+        pair = np.concatenate([pair, pair])
+        order = np.lexsort((what, at, pair))  # ends before beginnings of one place
+        pair, shared = pair[order], np.cumsum(what[order])
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        template = pairs[pair[first]] % len(self.names)
+        dice = np.maximum.reduceat(shared, first) / self.size[template]
+        good = dice >= self.threshold
+        return pairs[pair[first]][good] // len(self.names), template[good], dice[good]
+
 
 @functools.lru_cache(maxsize=4)
 def _compiled(rows: tuple, threshold: float) -> Templates:
@@ -102,7 +146,7 @@ def _edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def scan(df: DataFrame, rows: list[tuple[str, str, str]] | None = None, threshold: float = THRESHOLD, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Adds n_templates (matched by any unit), template and dice of the best match (null if none) and licenses (distinct, sorted, comma-joined)."""
+    """Adds n_templates (matched by any unit or window), template and dice of the best match (null if none) and licenses (distinct, sorted, comma-joined)."""
     fixed = tuple(templates() if rows is None else rows)
 
     def fn(_, data, offsets):
@@ -115,13 +159,18 @@ def scan(df: DataFrame, rows: list[tuple[str, str, str]] | None = None, threshol
             grams = _bigrams(hashes)
             place, number = known.find(grams)
             lines, blanks = _edges(data, offsets)
+            free = words.row[place] == words.row[place + 1]
+            hits = []
             for edges in (offsets[1:-1], np.union1d(lines, offsets[1:-1]), np.union1d(blanks, offsets[1:-1])):
                 unit = np.searchsorted(edges, words.start, side="right")
                 inside = unit[1:] == unit[:-1]
                 size = np.bincount(unit[1:][inside], minlength=int(unit[-1]) + 1)
                 keep = inside[place]
                 u, k, dice = known.match(unit[place[keep]], number[keep], size)
-                row = words.row[np.searchsorted(unit, u)]
+                free[keep] &= ~known.taken(unit[place[keep]], number[keep], u, k)
+                hits.append((words.row[np.searchsorted(unit, u)], k, dice))
+            hits.append(known.windows(words.row[place[free]], place[free], number[free]))
+            for row, k, dice in hits:
                 for r, t, d in zip(row.tolist(), k.tolist(), dice.tolist(), strict=True):
                     found.setdefault(r, set()).add(t)
                     if d > score[r] or d == score[r] and t < best[r]:

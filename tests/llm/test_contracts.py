@@ -113,6 +113,40 @@ def test_licence_scan_by_brute_force(spark):
         assert got[k][0] == len(good) and got[k][1] == (top[1] if top else None) and (top is None or got[k][2] == pytest.approx(-top[0]))
 
 
+def test_licences_inside_longer_texts_by_brute_force(spark):
+    known = {name: (licence, text) for name, licence, text in templates()}
+    rng = random.Random(8)
+    docs, expected = [], []
+    for k, (name, size) in enumerate((n, s) for n in ("MIT/text/1", "BSD-2-Clause/text/1", "GPL-3.0/text/1", "GPL-3.0/notice/1", "MIT/notice/1") for s in (0, 1, 2)):
+        words = known[name][1].split()
+        a, b = len(words) // 3, 2 * len(words) // 3
+        gap = ["\n\n", "\n", " "][size]  # over paragraphs, over lines, within a line of prose
+        passage = gap.join([" ".join(words[:a]), " ".join(words[a:b]), " ".join(words[b:])])
+        docs.append((k, f"{prose(rng.random(), 80)} {passage} {prose(rng.random(), 80)}"))
+        expected.append((name, 1.0, known[name][0]))
+    got = by_id(license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")), "template", "dice", "licenses")
+    assert all(got[k][:2] == e[:2] and e[2] in got[k][2].split(",") for k, e in enumerate(expected))
+
+    rows = [("x", "X", "a b a b a c"), ("y", "Y", "c d e c d e f a")]
+    docs = [(k, " ".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 60)))) for k in range(200)]
+    got = by_id(license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string"), rows, 0.6), "n_templates", "template", "dice")
+    for k, text in docs:
+        words, best = text.split(), {}
+        for name, _, body in rows:
+            n = len(body.split())
+            best[name] = max([dice(words, body.split()), *(dice(words[i : i + n], body.split()) for i in range(len(words) - n + 1))])
+        if dice(words, rows[0][2].split()) < 0.6 and dice(words, rows[1][2].split()) < 0.6:  # no unit takes bigrams
+            good = {n: d for n, d in best.items() if d >= 0.6}
+            top = min(((-d, n) for n, d in good.items()), default=(None, None))
+            assert got[k][:2] == (len(good), top[1]) and (not good or got[k][2] == pytest.approx(-top[0]))
+
+
+def test_a_notice_in_prose_stands_beside_a_matching_unit(spark):
+    text = f"{templates()[6][2]}\n{prose(1, 40)} licensed under\nthe MIT License. {prose(2, 40)}"
+    row = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["licenses"] == "AGPL-3.0,GPL-2.0,GPL-3.0,LGPL-3.0,MIT" and row["template"] == "GPL-3.0/notice/1"
+
+
 def test_licence_scan_hard_cases(spark, hard):
     got = license_scan.scan(hard)
     assert got.count() == hard.count() and set(hard.columns) - {"dice"} <= set(got.columns)
