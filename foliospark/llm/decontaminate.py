@@ -10,8 +10,8 @@ located by stepping to a sampled position; hit words are merged per document.  N
 task, so nothing is shuffled and no key is hot.
 
 The phrases are broadcast in blocks of at most BLOCK_BYTES of benchmark text; a larger benchmark
-takes one pass per block, whose word spans are then merged by document id.  Null texts have no
-words; items with a null id or no word are ignored; items that repeat an id count once.
+takes one pass per block, whose word spans are then merged by id and text (two hashes), so every row
+is judged by its own text, whatever rows share its id or have none.  Null texts have no words; items with a null id or no word are ignored; items that repeat an id count once.
 """
 
 from __future__ import annotations
@@ -277,6 +277,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", i
     With clean_only the table's own columns of the rows that are not contaminated return instead.
     """
     spark = df.sparkSession
+    version = {"__h1": F.xxhash64(F.col(text)), "__h2": F.xxhash64(F.lit(1), F.col(text))}
     parts: list[DataFrame] = []
     for n, items in _blocks(benchmark, item_col, text):
         shared = spark.sparkContext.broadcast(Phrases.of(items))
@@ -298,24 +299,28 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", i
             lists = [np.flatnonzero(hit[a:b]) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
             return {"n_words": pa.array(words.counts, pa.int64()), "spans": pa.array(lists, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
 
-        keyed = df.select(F.col(id_col).alias("__id"), F.col(text).alias("text"))
-        parts.append(cut(map_texts(keyed, spans, _SPANS, "text", ["__id"], limit=SHARD_BYTES)))
+        keyed = df.select(F.col(id_col).alias("__id"), *(h.alias(k) for k, h in version.items()), F.col(text).alias("text"))
+        parts.append(cut(map_texts(keyed, spans, _SPANS, "text", ["__id", *version], limit=SHARD_BYTES)))
         shared.unpersist()
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    hits = every.groupBy("__id").agg(
+    hits = every.groupBy("__id", *version).agg(
         F.max("n_words").alias("n_words"),
         F.size(F.array_distinct(F.flatten(F.collect_set("spans")))).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    hits = hits.select("__id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    hits = hits.select("__id", *version, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     hits = hits.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+    def with_hits(rows: DataFrame, hits: DataFrame, how: str) -> DataFrame:
+        same = [rows[id_col].eqNullSafe(hits["__id"]), *(h == hits[k] for k, h in version.items())]
+        return rows.join(hits, same, how)
+
     if clean_only:
-        bad = hits.filter("contaminated").select("__id")
-        return df.join(bad, df[id_col].eqNullSafe(bad["__id"]), "left_anti")
-    base = rest(df, *(f.name for f in FIELDS)) if carry is None else df.select(*map(quoted, dict.fromkeys([*carry, id_col])))
-    return base.join(hits, base[id_col].eqNullSafe(hits["__id"]), "left").drop("__id")
+        return with_hits(df, hits.filter("contaminated").select("__id", *version), "left_anti")
+    base = rest(df, *(f.name for f in FIELDS)) if carry is None else df.select(*map(quoted, dict.fromkeys([*carry, id_col, text])))
+    done = with_hits(base, hits, "left").drop("__id", *version)
+    return done if carry is None or text in [*carry, id_col] else done.drop(text)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

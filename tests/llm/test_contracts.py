@@ -459,6 +459,22 @@ def test_decontamination_hard_cases(spark, hard):
     assert decontaminate.decontaminate(hard.limit(0), items).isEmpty()
 
 
+@pytest.mark.parametrize("block", [32 << 20, 200])
+def test_every_row_is_judged_by_its_own_text(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    rows = [(None, prose(1, 30)), (None, ITEM), (None, None), (1, prose(2, 40)), (1, ITEM + " " + prose(3, 9)), (1, ITEM + " " + prose(3, 9)), (2, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(k, prose(50 + k, 20)) for k in range(8)] + [(9, ITEM)], "item_id long, text string")
+    got = decontaminate.decontaminate(df, items)
+    words = [30, 20, 0, 40, 29, 29, 1]
+    expected = [(i, t, n, 20 * (t is not None and ITEM in t)) for (i, t), n in zip(rows, words, strict=True)]
+    assert sorted(map(repr, [tuple(r)[:4] for r in got.collect()])) == sorted(map(repr, expected))
+    clean = decontaminate.decontaminate(df, items, clean_only=True)
+    assert sorted(repr(tuple(r)) for r in clean.collect()) == sorted(repr(r) for r in rows if r[1] is None or ITEM not in r[1])
+    carried = decontaminate.decontaminate(df, items, carry=["doc_id"])
+    assert carried.columns == ["doc_id", *FIVE] and carried.count() == len(rows)
+
+
 # ---- 8: token counts
 
 
