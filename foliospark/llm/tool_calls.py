@@ -9,7 +9,8 @@ from counts of (conversation, level, turn // CHUNK), so a conversation of any le
 in parallel.  Arguments are parsed as VARIANT, checked against the tool's parameters (type,
 required, unknown) and serialised with sorted keys and no white space.  DataFrame functions only.
 
-Calls without an identifier are dropped from linking and returned with status no_id; arguments
+Calls and results without an identifier are dropped from linking and returned with status no_id, one
+row each (n_calls and n_results tell which); arguments
 that are null or no JSON object have the error not_json; results without a call are returned
 with status no_call.  Dependencies that name no call are the error missing_dependency and do not
 count in the order.  Empty tables give an empty result.
@@ -98,7 +99,7 @@ def positions(rows: DataFrame) -> DataFrame:
 
 
 def link(calls: DataFrame, results: DataFrame, tools: list[tuple[str, str, str, bool]] | None = None) -> DataFrame:
-    """One row per identifier, from calls (conv_id, id, turn, name, arguments, depends_on) and results (conv_id, id, turn, content).
+    """One row per identifier and per call or result without one, from calls (conv_id, id, turn, name, arguments, depends_on) and results (conv_id, id, turn, content).
 
     Identifiers are unique across conversations.  Columns: conv_id, id, turn, name, status (linked, no_result, no_call, no_id),
     level and position (null for no_call and no_id; level also on a cycle), n_calls, n_results, errors (comma-joined),
@@ -136,10 +137,16 @@ def link(calls: DataFrame, results: DataFrame, tools: list[tuple[str, str, str,
         text.alias("canonical"),
     )
     placed = positions(rows.filter("status <> 'no_call'")).unionByName(rows.filter("status = 'no_call'").withColumn("position", F.lit(None).cast("long")))
-    lost = calls.filter("id is null").select(
-        "conv_id", F.lit(None).cast("string").alias("id"), "turn", "name", F.lit("no_id").alias("status"), F.lit(None).cast("int").alias("level"), F.lit(1).cast("long").alias("n_calls"), F.lit(0).cast("long").alias("n_results"), F.lit("").alias("errors"), F.lit(None).cast("string").alias("canonical"), F.lit(None).cast("long").alias("position")
-    )
-    return placed.unionByName(lost).withColumn("valid", (F.col("errors") == "") & (F.col("status") == "linked"))
+
+    def lost(rows: DataFrame, name: F.Column, canonical: F.Column, n_calls: int) -> DataFrame:
+        none = {"id": "string", "level": "int", "position": "long"}
+        own = rows.filter("id is null").select("conv_id", "turn", name.cast("string").alias("name"), canonical.cast("string").alias("canonical"))
+        own = own.withColumns({k: F.lit(None).cast(t) for k, t in none.items()} | {"status": F.lit("no_id"), "errors": F.lit("")})
+        return own.withColumns({"n_calls": F.lit(n_calls).cast("long"), "n_results": F.lit(1 - n_calls).cast("long")})
+
+    result = F.to_json(F.struct(F.col("content").alias("result")))
+    placed = placed.unionByName(lost(calls, F.col("name"), F.lit(None), 1)).unionByName(lost(results, F.lit(None), result, 0))
+    return placed.withColumn("valid", (F.col("errors") == "") & (F.col("status") == "linked"))
 
 
 def messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -337,6 +337,16 @@ def test_tool_calls_are_linked_ordered_and_checked(spark):
     assert [p for p, _ in order] == list(range(len(order))) and [i for _, i in order][-2:] == ["e", "f"]
 
 
+def test_results_without_an_identifier_are_rows(spark):
+    calls = spark.createDataFrame([(1, None, 7, "search", "{}", [])], "conv_id long, id string, turn long, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([(1, None, 3, "x"), (None, None, None, "y"), (1, None, 3, None)], "conv_id long, id string, turn long, content string")
+    got = tool_calls.link(calls, results).select("conv_id", "turn", "name", "status", "n_calls", "n_results", "valid", "canonical").collect()
+    none = (None, None, None, "no_id", 0, 1, False, '{"result":"y"}')
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, 7, "search", "no_id", 1, 0, False, None), (1, 3, None, "no_id", 0, 1, False, '{"result":"x"}'), none, (1, 3, None, "no_id", 0, 1, False, "{}")]))
+    said = spark.createDataFrame([(None, 1, "assistant", "z"), (1, None, "assistant", "z"), (1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    assert sorted(r["status"] for r in tool_calls.link(*tool_calls.messages(said)).collect()) == ["no_id", "no_id", "no_result"]
+
+
 def test_no_calls_give_no_rows(spark):
     calls = spark.createDataFrame([], "conv_id long, id string, turn long, name string, arguments string, depends_on array<string>")
     results = spark.createDataFrame([], "conv_id long, id string, turn long, content string")
