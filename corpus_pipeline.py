@@ -18,6 +18,7 @@ from foliospark.llm.line_dedup import dedup_lines
 from foliospark.llm.packing import pack
 from foliospark.llm.quality import keep_good
 from foliospark.llm.simhash import near_dedup
+from foliospark.llm.token_counts import count_tokens, vocabulary
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +52,9 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket, batch and slot of every document left (operator 9)."""
-    return pack(docs)
+    """Bucket, batch and slot of every document left (operator 9), by operator 8's token counts."""
+    counted = count_tokens(docs, vocabulary("piece_bpe_32k.model"), carry=["doc_id"])
+    return pack(counted, length="n_tokens")
 
 
 STAGES = [

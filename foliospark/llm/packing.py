@@ -109,7 +109,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: str
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bucket, batch and slot of every document, by words."""
+    """Bucket, batch and slot of every document; n_tokens and the budget are in words, as in its SQL."""
     return pack(read(spark, sf_dir, "documents"))
 
 

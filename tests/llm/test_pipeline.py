@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliospark.llm import quality
+from foliospark.llm import packing, quality, token_counts
 from tests.llm import brute
 from tests.llm.test_contracts import HARD, line_result
 
@@ -76,6 +76,18 @@ def test_every_document_left_is_packed_once(tables):
     assert sorted(r["doc_id"] for r in tables[5].collect()) == sorted(texts(tables[4]))
 
 
+def test_documents_are_packed_by_tokens(spark):
+    texts = ["one two three", None, "", "unbelievably" * 300, "ñandú 😀 " * 50, "a"]
+    docs = spark.createDataFrame([(k, t, "own") for k, t in enumerate(texts)], "doc_id long, text string, n_tokens string")
+    got = corpus_pipeline.packing_stage(spark, docs, "").collect()
+    counts = token_counts.count_tokens(docs, token_counts.vocabulary("piece_bpe_32k.model")).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {r["doc_id"]: r["n_tokens"] for r in counts} and max(r["n_tokens"] for r in got) > 300
+    rows = {}
+    for r in got:
+        rows.setdefault((r["bucket"], r["batch"]), []).append(r)
+    assert all(len(b) == 1 or len(b) * b[0]["bucket_length"] <= packing.BUDGET for b in rows.values())
+
+
 def test_run_gives_the_last_stages_rows(spark, tables, folder):
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(corpus_pipeline.run(spark, folder)) == rows(tables[5])
