@@ -1,15 +1,18 @@
 """Vectorised word spans, word hashes and window hashes over Arrow text batches.
 
 Every operator that reads whole texts word by word shares this kernel: one numpy pass
-over the bytes of a batch gives the word boundaries and a 64-bit hash of every word;
-window hashes then come from prefix sums over the word hashes.  Work is done in pieces
-of about a megabyte cut between words, so memory does not follow the longest text.
+over the bytes of a batch gives the word boundaries and the XXH64 of every word; window
+hashes then come from prefix sums of polynomials over the word hashes in the field of
+2**61 - 1 elements (modulo a power of two, some word patterns would collide for every
+base).  Work is done in pieces of about a megabyte cut between words, so memory does not
+follow the longest text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 PIECE = 1 << 20
 
@@ -26,7 +29,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 SAME = np.arange(256, dtype=np.uint8)
 
-_MASK = (1 << 64) - 1
+# The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+#: Window hashes are polynomials over the field of this many elements.
+FIELD = (1 << 61) - 1
+_FIELD, _LOW32, _LOW29 = np.uint64(FIELD), np.uint64((1 << 32) - 1), np.uint64((1 << 29) - 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -40,24 +48,77 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _bytes_table(seed: int) -> np.ndarray:
-    """A fixed 64-bit code for each byte value."""
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0x632BE59BD9B4E019 & _MASK))
-
-
-_TABLES = {seed: _bytes_table(seed) for seed in (1, 2)}
-_BASES = {1: 0xD1342543DE82EF95, 2: 0xAF251AF3B0F025B5}
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def xxh64(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of the bytes [start, end) of each span: short ones all at once, those of 32 bytes or more by the library."""
+    n = end - start
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight, four = (np.ndarray((len(data) + 1,), kind, padded, 0, (1,)) for kind in ("<u8", "<u4"))
+    h = n.astype(np.uint64) + np.uint64(seed) + _P5
+    for k in range(0, 24, 8):
+        some = np.flatnonzero(n >= k + 8)
+        if not len(some):
+            break
+        h[some] = _turn(h[some] ^ (_turn(eight[start[some] + k] * _P2, 31) * _P1), 27) * _P1 + _P4
+    at = start + (n & ~7)
+    some = np.flatnonzero(n & 4)
+    h[some] = _turn(h[some] ^ (four[at[some]].astype(np.uint64) * _P1), 23) * _P2 + _P3
+    at += n & 4
+    for k in range(3):
+        some = np.flatnonzero((n & 3) > k)
+        h[some] = _turn(h[some] ^ (padded[at[some] + k].astype(np.uint64) * _P5), 11) * _P1
+    h ^= h >> np.uint64(33)
+    h *= _P2
+    h ^= h >> np.uint64(29)
+    h *= _P3
+    h ^= h >> np.uint64(32)
+    long = np.flatnonzero(n >= 32)
+    if len(long):
+        raw, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh64_intdigest
+        h[long] = [digest(raw[a:b], seed) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return h
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit integer modulo the field's size."""
+    x = (x & _FIELD) + (x >> np.uint64(61))
+    return np.where(x >= _FIELD, x - _FIELD, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products in the field; 2**61 is 1 there, so the 122 bits fold into sums of parts below 2**61."""
+    a1, a0, b1, b0 = a >> np.uint64(32), a & _LOW32, b >> np.uint64(32), b & _LOW32
+    mid, low = a1 * b0 + a0 * b1, a0 * b0
+    return _reduced(((a1 * b1) << np.uint64(3)) + (mid >> np.uint64(29)) + ((mid & _LOW29) << np.uint64(32)) + (low & _FIELD) + (low >> np.uint64(61)))
+
+
+def _running(x: np.ndarray) -> np.ndarray:
+    """Prefix sums in the field, the empty one first; halves are summed apart so that nothing overflows."""
+    low = np.cumsum(x & _LOW32, dtype=np.uint64)
+    high = _reduced(np.cumsum(x >> np.uint64(32), dtype=np.uint64))
+    out = np.zeros(len(x) + 1, dtype=np.uint64)
+    out[1:] = _reduced(_reduced(low) + (high >> np.uint64(29)) + ((high & _LOW29) << np.uint64(32)))
+    return out
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
+    """base**i and base**-i in the field for i up to n."""
     got = _powers.get(base)
     if got is None or len(got[0]) <= n:
         size = max(n + 1, PIECE + 4096)
-        up = np.full(size, base & _MASK, dtype=np.uint64)
-        down = np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64)
-        up[0] = down[0] = 1
-        got = _powers[base] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
+        both = []
+        for x in (base % FIELD, pow(base, -1, FIELD)):
+            out = np.ones(size, dtype=np.uint64)
+            done = 1
+            while done < size:
+                more = min(done, size - done)
+                out[done : done + more] = _times(out[:more], np.uint64(pow(x, done, FIELD)))
+                done += more
+            both.append(out)
+        got = _powers[base] = tuple(both)
     return got
 
 
@@ -140,11 +201,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = PLAIN,
             if fold is not None:
                 piece = fold[piece]
             for seed in seeds:
-                up, down = powers(_BASES[seed], len(piece))
-                sums = np.empty(len(piece) + 1, dtype=np.uint64)
-                sums[0] = 0
-                np.cumsum(_TABLES[seed][piece] * up[: len(piece)], dtype=np.uint64, out=sums[1:])
-                hashes[seed].append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
+                hashes[seed].append(xxh64(piece, s, e, seed))
             starts.append(s + at)
             ends.append(e + at)
         at = stop
@@ -176,21 +233,11 @@ def windows(hashes: np.ndarray, first: np.ndarray, width: int, base: int = 0xD6E
 def window_sums(hashes: np.ndarray, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     """Prefix sums from which window_at() takes the hash of any run of words."""
     up, _ = powers(base, len(hashes))
-    sums = np.empty(len(hashes) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64, out=sums[1:])
-    return sums
+    return _running(_times(_reduced(hashes), up[: len(hashes)]))
 
 
 def window_at(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     """Hash of the words [start, end), the same wherever they stand."""
     _, down = powers(base, len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-
-
-def union_length(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
-    """Boolean mask of length n of the positions that any span [start, end) covers."""
-    edge = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, end, -1)
-    return np.cumsum(edge[:-1]) > 0
+    whole = _times(_reduced(sums[end] + (_FIELD - sums[start])), down[start])
+    return mix(whole ^ ((end - start).astype(np.uint64) * _P1))
