@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,11 +17,13 @@ from foliospark.llm.words import slices, text_buffers
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """The shared folder is the one the session names; a folder of our own only where none is named."""
+    """The shared folder is the one the session names; where none is named, only a session on one machine gets a folder of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
@@ -90,19 +94,42 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
-def id_bitmap(ids: DataFrame, column: str, log2_bits: int = 26) -> DataFrame:
-    """(__bucket, __bits): a hashed bitmap of a column's values in rows of 4 KB, 8 MiB in all by default however many there are."""
-    h = F.pmod(F.xxhash64(column), F.lit(1 << log2_bits))
-    return ids.groupBy(F.bitmap_bucket_number(h).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("__bits"))
+def total_bytes(df: DataFrame, column: str) -> int:
+    """Bytes of all texts of a column."""
+    return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
-def split_by_bitmap(df: DataFrame, column: str, bitmap: DataFrame, log2_bits: int = 26) -> tuple[DataFrame, DataFrame]:
-    """(rows whose value may be in the bitmap, rows whose value is surely not or null), without a shuffle."""
-    h = F.pmod(F.xxhash64(column), F.lit(1 << log2_bits))
+#: The largest bitmap of ids, in bits: 64 MiB.
+MAX_LOG2_BITS = 29
+
+
+class IdBitmap:
+    """A hashed bitmap of key values: (__bucket, __bits) in rows of 4 KB and its size, or no rows beyond MAX_LOG2_BITS."""
+
+    def __init__(self, rows: DataFrame | None, log2_bits: int):
+        self.rows, self.log2_bits = rows, log2_bits
+
+
+def id_bitmap(ids: DataFrame, columns: list[str]) -> IdBitmap:
+    """The bitmap of a written table's distinct keys, eight bits a key, so that one key in eight passes by chance however many there are."""
+    log2_bits = max(15, math.ceil(math.log2(8 * ids.count() + 1)))
+    if log2_bits > MAX_LOG2_BITS:
+        return IdBitmap(None, log2_bits)
+    h = F.pmod(F.xxhash64(*columns), F.lit(1 << log2_bits))
+    rows = ids.groupBy(F.bitmap_bucket_number(h).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("__bits"))
+    return IdBitmap(cut(rows), log2_bits)
+
+
+def split_by_bitmap(df: DataFrame, columns: list[str], bitmap: IdBitmap) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in the bitmap, rows whose key is surely not or has a null), without a shuffle; without a bitmap all rows may."""
+    given = functools.reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))
+    if bitmap.rows is None:
+        return df.filter(given), df.filter(~given)
+    h = F.pmod(F.xxhash64(*columns), F.lit(1 << bitmap.log2_bits))
     at = F.bitmap_bit_position(h).cast("int")
     byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    has = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8))) == 1, F.lit(False)) & F.col(column).isNotNull()
-    met = df.withColumn("__bucket", F.bitmap_bucket_number(h)).join(F.broadcast(bitmap), "__bucket", "left")  # of fixed size
+    has = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8))) == 1, F.lit(False)) & given
+    met = df.withColumn("__bucket", F.bitmap_bucket_number(h)).join(F.broadcast(bitmap.rows), "__bucket", "left")  # at most 64 MiB
     return tuple(met.filter(side).drop("__bucket", "__bits") for side in (has, ~has))
 
 
@@ -120,3 +147,21 @@ def met_by(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
 def unsigned_key(column) -> F.Column:
     """A signed long that stands for an unsigned 64-bit value, as 16 hex digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds `name`: 0, 1, ... inside each group in the given order, nulls first; no task holds a group.
+
+    `rows` must be a written table (see cut).  It is dealt by ranges of (group, order, place in the
+    table), so that a hot group, a hot key and repeated rows are split alike; a row's number is its
+    place in its range and what earlier ranges hold of its group.
+    """
+    keys = [*group, *order, "__tie"]
+    dealt = rows.withColumn("__tie", F.monotonically_increasing_id())
+    dealt = cut(dealt.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie").withColumn("__at", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("__range", F.shiftright("__at", 33))
+    parts = dealt.groupBy("__range", *group).agg(F.min("__at").alias("__low"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    parts = parts.select(F.col("__range").alias("__r"), *[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], "__low", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    same = [dealt["__range"] == parts["__r"], *(dealt[g].eqNullSafe(parts[f"__g{k}"]) for k, g in enumerate(group))]
+    return dealt.join(parts, same).withColumn(name, F.col("__before") + F.col("__at") - F.col("__low")).select(*rows.columns, name)
