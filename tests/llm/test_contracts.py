@@ -10,6 +10,7 @@ import random
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from foliospark.llm import decontaminate, license_scan, line_dedup, packing, quality, simhash, substring_dedup, token_counts, tool_calls, toxicity
@@ -211,21 +212,25 @@ def test_near_dedup_hard_cases(spark, hard):
 # ---- 3: line dedup
 
 
-def chunks(text, roll=line_dedup.ROLL, divisor=line_dedup.DIVISOR):
+def chunks(text, roll=line_dedup.ROLL, divisor=line_dedup.DIVISOR, longest=line_dedup.LONGEST):
     lines = text.split("\n")
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-    out, begin = [], 0
-    for i in range(1, len(lines) + 1):
-        rolled = sum((h[i - 1 - k] if i - 1 - k >= 0 else 0) * line_dedup.FACTOR**k for k in range(roll))
-        if i == len(lines) or i >= roll and rolled % divisor == 0:
-            out.append(lines[begin:i])
-            begin = i
+    marked = lambda i: i >= roll and sum(h[i - 1 - k] * line_dedup.FACTOR**k for k in range(roll)) % divisor == 0
+    ends = [i for i in range(1, len(lines) - 1) if marked(i) and not marked(i - 1)] + [len(lines)]
+    out = []
+    for begin, end in zip([0, *ends], ends, strict=False):
+        while end - begin >= longest + 2:
+            out.append(lines[begin : begin + longest])
+            begin += longest
+        out.append(lines[begin:end])
     return out
 
 
-def line_result(docs):
+def line_rows(rows):
+    """{(id, text): result} of rows (id, text); texts of one id in the order of Spark's hash."""
+    order = lambda r: (r[0], (x := xxhash.xxh64_intdigest(r[1].encode(), 42)) - ((x >> 63) << 64))
     seen, out = set(), {}
-    for i, text in sorted((i, t) for i, t in docs.items() if t is not None):
+    for i, text in sorted({(i, t) for i, t in rows if t is not None and i is not None}, key=order):
         kept, n, removed, n_chunks = [], 0, 0, 0
         for c in chunks(text):
             n += len(c)
@@ -237,10 +242,14 @@ def line_result(docs):
                     continue
                 seen.add(body)
             kept.append(body)
-        out[i] = (n, removed, n_chunks, "\n".join(kept))
+        out[i, text] = (n, removed, n_chunks, "\n".join(kept))
     return out
 
 
+def line_result(docs):
+    return {i: r for (i, _), r in line_rows(docs.items()).items()}
+
+
 def test_line_dedup_by_brute_force(spark, corpus, texts):
     page = "\n".join(f"shared line {k} of a long notice" for k in range(30))
     more = {2 * 10**9 + k: f"start {k}\n" * (k % 3) + page + f"\nend {k}" for k in range(6)}
@@ -260,46 +269,34 @@ def test_line_dedup_hard_cases(spark, hard):
     assert line_dedup.dedup_lines(hard.limit(0)).isEmpty()
 
 
-def run_result(docs):
-    """Every line of a two-line window with a word that an earlier (document, place) has."""
-    first, out = {}, {}
-    for i, text in sorted((i, t) for i, t in docs.items() if t is not None):
-        lines, gone = text.split("\n"), set()
-        for k, w in enumerate(zip(lines, lines[1:], strict=False)):
-            if brute.words("\n".join(w)):
-                at = first.setdefault(w, (i, k))
-                if at != (i, k):
-                    gone |= {k, k + 1} - ({at[1], at[1] + 1} if at[0] == i else set())
-        kept = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-        out[i] = (len(lines), len(gone), sum(k - 1 not in gone for k in gone), kept if gone else text)
-    return out
+IDENTITY = [(1, "t"), (2, "t"), (2, "other"), (2, "t"), (2, "other"), (None, "t"), (None, "other"), (2**62 + 1, "t"), (2**62 + 3, "mixed"), (3, None), (3, "")]
 
 
-def test_line_runs_by_brute_force(spark, corpus, texts):
-    more = {
-        1: "own 1\nshared a\nshared b\nown 2",
-        2: "own 3\nshared a\nshared b\nown 4",
-        3: "shared b\nown 5\nshared a\nshared b",
-        4: "same\nsame\nsame\nsame\nother",
-        5: "\n\n\n",
-        6: "shared a\nshared b",
-    }
-    docs = texts | {2 * 10**9 + k: t for k, t in more.items()}
-    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    got = by_id(line_dedup.dedup_runs(df.repartition(5)), "n_lines", "n_removed_lines", "n_removed_chunks", "kept_text")
-    assert {i: got[i] for i, t in docs.items() if t is not None} == run_result(docs)
-    assert all(got[i] == (0, 0, 0, None) for i, t in docs.items() if t is None)
-    kept = [got[2 * 10**9 + k][3] for k in more]
-    assert kept == [more[1], "own 3\nown 4", "shared b\nown 5", "same\nsame\nother", more[5], ""]
+def identity_rows(t, other):
+    """Rows of equal, null and large ids with equal and with different texts."""
+    text = {"t": t, "other": other, "mixed": other + "\n" + t}
+    return [(i, text.get(x, x)) for i, x in IDENTITY]
 
 
-def test_line_runs_hard_cases(spark, hard):
-    got = line_dedup.dedup_runs(hard)
-    assert got.count() == hard.count() and set(got.columns) >= set(hard.columns)
-    assert got.filter("doc_id is null and n_removed_lines <> 0").isEmpty()
-    assert line_dedup.dedup_runs(hard.limit(0)).isEmpty()
-    two = spark.createDataFrame([(1, "a\nb\nc"), (1, "x\na\nb"), (1, "a\nb\nc")], "doc_id long, text string")
-    assert sorted(r["n_removed_lines"] for r in line_dedup.dedup_runs(two).collect()) in ([0, 0, 2], [0, 2, 2])
+@pytest.mark.parametrize("collide", [False, True])
+def test_line_dedup_keeps_rows_of_one_id_apart(spark, monkeypatch, collide):
+    if collide:  # keys that stand for many bodies
+        monkeypatch.setattr(line_dedup, "keys_of", lambda body: (F.pmod(F.xxhash64(body), F.lit(3)), F.lit(0).cast("long")))
+    rows = identity_rows("\n".join(f"shared {k}" for k in range(9)), "\n".join(f"own {k % 5}" for k in range(20)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_dedup.dedup_lines(df).collect()
+    expected = line_rows(rows)
+    whole = lambda t: (0 if t is None else t.count("\n") + 1, 0, 0, t)
+    assert len(got) == len(rows)
+    for r in got:
+        assert tuple(r)[2:] == (whole(r["text"]) if r["doc_id"] is None or r["text"] is None else expected[r["doc_id"], r["text"]])
+    assert sum(e[1] for e in expected.values()) > 20
+
+
+def test_texts_of_one_line_over_and_over_have_short_chunks(spark):
+    df = spark.createDataFrame([(1, "same\n" * 50 + "end"), (2, "a\nb\n" * 40)], "doc_id long, text string")
+    sizes = df.select(F.expr("doc_id"), F.explode(line_dedup.chunks_of(F.col("text"))).alias("c")).groupBy("doc_id").agg(F.max("c.n").alias("n")).collect()
+    assert all(r["n"] <= line_dedup.LONGEST + 1 for r in sizes)
 
 
 # ---- 4: tool calls
@@ -413,9 +410,9 @@ def test_toxicity_hard_cases(spark, hard, labels):
 # ---- 6: substring dedup
 
 
-@pytest.mark.parametrize("log2_width", [6, 24])
-def test_substring_dedup_by_brute_force(spark, corpus, texts, log2_width):
-    got = by_id(substring_dedup.remove_repeats(corpus, log2_width=log2_width), "n_words", "n_removed", "kept_sha256")
+@pytest.mark.parametrize(("log2_width", "broadcast_bytes"), [(6, None), (24, None), (None, None), (22, 0), (10, 0)])
+def test_substring_dedup_by_brute_force(spark, corpus, texts, log2_width, broadcast_bytes):
+    got = by_id(substring_dedup.remove_repeats(corpus, log2_width=log2_width, broadcast_bytes=broadcast_bytes), "n_words", "n_removed", "kept_sha256")
     assert got == brute.substring(texts)
 
 
@@ -438,6 +435,50 @@ def test_substring_dedup_hard_cases(spark, hard):
     assert substring_dedup.remove_repeats(hard.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("broadcast_bytes", [None, 0])
+def test_substring_dedup_keeps_rows_of_one_id_apart(spark, broadcast_bytes):
+    rows = identity_rows(prose(31, 150), prose(32, 300))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substring_dedup.remove_repeats(df, broadcast_bytes=broadcast_bytes).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        # Only documents of smaller ids count, each with all its texts.
+        smaller = {-1 - k: t for k, (i, t) in enumerate(rows) if i is not None and r["doc_id"] is not None and i < r["doc_id"]}
+        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == brute.substring(smaller | {0: r["text"]})[0]
+
+
+def test_windows_and_words_that_weaker_hashes_take_for_equal(spark):
+    pattern = lambda n, a, b: [(a, b)[k.bit_count() & 1] for k in range(n)]
+    one, two = "".join(pattern(1024, "a", "b")), "".join(pattern(1024, "b", "a"))
+    tail = prose(33, 49)
+    docs = {1: f"{one} {tail}", 2: f"{two} {tail}", 3: " ".join(pattern(2048, "x", "y")), 4: " ".join(pattern(2048, "y", "x"))}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert by_id(substring_dedup.remove_repeats(df), "n_words", "n_removed", "kept_sha256") == brute.substring(docs)
+    item = [(7, one + " " + " ".join(tail.split()[:12]))]
+    assert by_id(decontaminate.decontaminate(df, spark.createDataFrame(item, "item_id long, text string")), *FIVE) == brute.contamination(docs, item)
+    lines = {1: f"{one}\n{two}\n{one}\n{two} x", 2: f"{one} a b {two} a b"}
+    df = spark.createDataFrame(list(lines.items()), "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    got = by_id(quality.quality_rules(df, none), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert got == {i: brute.quality_base(t) for i, t in lines.items()}
+
+
+def test_the_sketch_grows_with_the_text_and_seldom_passes_single_anchors():
+    import numpy as np
+
+    assert substring_dedup.width_for(30 << 30) == 29 and substring_dedup.width_for(0) == 10
+    anchors = np.arange(1, 200_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    log2_width = substring_dedup.width_for(100 * len(anchors))
+    shape = substring_dedup._shape(log2_width)
+    bits = np.zeros(shape, dtype=np.uint8)
+    count = np.zeros((shape[0], shape[1], shape[2] * 8), dtype=np.int64)
+    place = substring_dedup.slices_of(anchors, log2_width)
+    for r, cell in enumerate(substring_dedup.cells(anchors, log2_width)):
+        np.add.at(count, (place, r, cell), 1)
+    bits = np.packbits(count > 1, axis=2, bitorder="little")
+    assert substring_dedup.passes(bits, anchors, log2_width, place).mean() < 0.1
+
+
 # ---- 7: decontamination
 
 ITEMS = [(1, ITEM), (2, "short item"), (3, None), (4, "..."), (None, PASSAGE), (5, ITEM), (10, " ".join(ITEM.split()[3:18])), (1, prose(97, 15)), (6, PASSAGE)]
