@@ -3,19 +3,24 @@
 Candidates come from BK-trees (children keyed by the integer Hamming distance to the parent).
 Fingerprints go to shards by the pigeonhole rule: of m bit blocks, two fingerprints at most r
 bits apart agree in at least m - r, so each choice of m - r blocks gives one shard key, and
-every linked pair meets in some shard.  A shard of more than SHARD fingerprints is split into
-parts and each pair of parts is searched by a task of its own, so no task holds an unbounded
-shard.  Shards reach tasks by a shuffle: broadcasting trees of all fingerprints would bring the
-whole corpus through the driver.  Each task builds its trees as arrays, follows only edges whose
-distance lies within the radius of the query's, and returns a spanning forest of the links,
-never all pairs.  Components of the forest edges come from star contraction.
-
-Null and empty texts have fingerprint zero and link like any other; repeated rows of a doc_id
-are one document; an empty table gives an empty result.
+every linked pair meets in some shard.  Fingerprints of a shard of more than SHARD members are
+dealt anew by the largest number of blocks (radius + MORE), where shards are much smaller; what is
+still crowded there lies within few bits of one another, is split into parts, and each pair of
+parts is searched by a task of its own.  So no task holds an unbounded shard.  Shards reach tasks
+by a shuffle: a broadcast of the trees of all fingerprints would bring the whole corpus through
+the driver (README has the sizes).  Each task builds its trees as arrays, follows only edges whose
+distance lies within the radius of the query's, and returns a spanning forest of the links, never
+all pairs.  Components of the forest edges over distinct fingerprints come from star contraction.
+
+Null and empty texts have fingerprint zero and link like any other.  Equal rows of a doc_id are one
+document; rows of one doc_id with different texts are told apart, each with the component of its own
+text.  Rows with a null id have a fingerprint, no component, and link nothing; near_dedup keeps
+them.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,14 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import cut, map_texts, read, rest, unsigned_key
+from foliospark.llm.common import cut, id_bitmap, map_texts, quoted, read, rest, split_by_bitmap, unsigned_key
 from foliospark.llm.graph import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Fingerprints of a shard that one tree holds, and rows that a task searches at once.
 SHARD, FOREST = 2048, 1 << 15
-#: Mean size of a shard up to which no further block is added.
-MEAN_SHARD = 64
+#: Mean size of a shard up to which no further block is added, and the most blocks over the radius.
+MEAN_SHARD, MORE = 64, 4
 
 
 def fingerprint(raw: bytes, width: int = SHINGLE) -> int:
@@ -161,15 +166,16 @@ def link_shards(fps: np.ndarray, ids: np.ndarray, shard: np.ndarray, part: np.nd
     return ids[child], ids[label[child]]
 
 
-def blocks_for(n: int, radius: int = RADIUS) -> tuple[int, list[tuple[int, int]]]:
-    """(number of blocks, their (low bit, width)) for n fingerprints: the fewest with shards of MEAN_SHARD at most."""
-    for m in range(radius + 1, radius + 5):
-        edge = [BITS * i // m for i in range(m + 1)]
-        spans = [(lo, hi - lo) for lo, hi in zip(edge, edge[1:], strict=False)]
-        bits = (m - radius) * min(w for _, w in spans)
-        if n >> bits <= MEAN_SHARD:
-            break
-    return m, spans
+def spans_of(m: int) -> list[tuple[int, int]]:
+    """(low bit, width) of m blocks."""
+    edge = [BITS * i // m for i in range(m + 1)]
+    return [(lo, hi - lo) for lo, hi in zip(edge, edge[1:], strict=False)]
+
+
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """Number of blocks for n fingerprints: the fewest with shards of MEAN_SHARD at most."""
+    fits = (m for m in range(radius + 1, radius + MORE) if n >> ((m - radius) * min(w for _, w in spans_of(m))) <= MEAN_SHARD)
+    return next(fits, radius + MORE)
 
 
 def _links(rows: DataFrame, radius: int) -> DataFrame:
@@ -206,45 +212,70 @@ def _links(rows: DataFrame, radius: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def link_fingerprints(reps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between ids of `reps` (fp, id: distinct fingerprints) whose components are those of all links."""
-    m, spans = blocks_for(n, radius)
-    keys = []
+def _sharded(reps: DataFrame, m: int, radius: int) -> DataFrame:
+    """(fp, id, combo, key): every fingerprint in the shard of each choice of m - radius blocks."""
+    spans, keys = spans_of(m), []
     for c, chosen in enumerate(combinations(range(m), m - radius)):
         key = F.lit(0).cast("long")
         for block in chosen:
             low, width = spans[block]
             key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)))
         keys.append(F.struct(F.lit(c).alias("combo"), key.alias("key")))
-    rows = reps.select("fp", "id", F.explode(F.array(*keys)).alias("k")).select("fp", "id", "k.combo", "k.key")
-    large = rows.groupBy("combo", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARD).select("combo", "key", F.ceil(F.col("n") / SHARD).cast("int").alias("parts"))
-    rows = rows.join(large, ["combo", "key"], "left")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.coalesce("parts", F.lit(1))).cast("int")
-    rows = rows.withColumn("own", own)
+    return reps.select("fp", "id", F.explode(F.array(*keys)).alias("k")).select("fp", "id", "k.combo", "k.key")
+
+
+def link_fingerprints(reps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) between ids of `reps` (fp, id: distinct fingerprints) whose components are those of all links."""
+    found, m = [], blocks_for(n, radius)
+    while True:
+        rows = _sharded(reps, m, radius)
+        crowded = cut(rows.groupBy("combo", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARD).select("combo", "key", F.ceil(F.col("n") / SHARD).cast("int").alias("parts")))
+        rows = rows.join(crowded, ["combo", "key"], "left")
+        last = m == radius + MORE or crowded.isEmpty()
+        found.append(_in_parts(rows if last else rows.filter("parts is null"), radius))
+        if last:
+            break
+        reps, m = cut(rows.filter("parts is not null").select("fp", "id").distinct()), radius + MORE
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _in_parts(rows: DataFrame, radius: int) -> DataFrame:
+    """Edges inside shards (combo, key); a shard with a number of parts is searched by pairs of them."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.coalesce("parts", F.lit(1))).cast("int"))
     # A part meets itself and every other part: (i, j) with i <= j; part i is the tree, part j asks.
     pairs = F.transform(
         F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1),
         lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"), F.when(x == F.col("own"), 0).when(F.col("own") < x, 1).otherwise(2).alias("part")),
     )
     rows = rows.select("combo", "key", "fp", "id", F.explode(pairs).alias("p")).select("combo", "key", "fp", "id", "p.i", "p.j", "p.part")
-    rows = rows.repartition("combo", "key", "i", "j").sortWithinPartitions("combo", "key", "i", "j")
-    return _links(rows, radius)
+    return _links(rows.repartition("combo", "key", "i", "j").sortWithinPartitions("combo", "key", "i", "j"), radius)
+
+
+def _grouped(df: DataFrame, id_col: str, text: str, radius: int) -> DataFrame:
+    """(id, v, fp, component_id) of every row, v telling texts of one id apart."""
+    docs = df.select(quoted(id_col).cast("long").alias("id"), F.xxhash64(quoted(text)).alias("v"), quoted(text).alias("text"))
+    fps = cut(fingerprints(docs, "text", ["id", "v"]))
+    reps = cut(fps.filter("id is not null").groupBy("fp").agg(F.min("id").alias("least")))
+    comps = components(link_fingerprints(reps.select("fp", F.col("fp").alias("id")), reps.count(), radius))
+    by_fp = reps.join(comps, reps["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    lows = by_fp.groupBy("c").agg(F.min("least").alias("component_id"))
+    by_fp = by_fp.join(lows, "c").select("fp", "component_id")
+    return fps.join(by_fp, "fp", "left").select("id", "v", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id, fp, component_id) of every row: component_id is the smallest id reachable over links."""
-    fps = cut(fingerprints(df, text, [id_col]).select(F.col(id_col).cast("long").alias("id"), "fp"))
-    reps = cut(fps.groupBy("fp").agg(F.min("id").alias("id")))
-    edges = link_fingerprints(reps, reps.count(), radius)
-    comps = components(edges)
-    by_fp = reps.join(comps, reps["id"] == comps["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(by_fp, "fp").select("id", "fp", "component_id")
+    return _grouped(df, id_col, text, radius).drop("v")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `df` whose id is the smallest of its group of near copies; rows with a null id stay."""
-    gone = near_groups(df.filter(df[id_col].isNotNull()), id_col, text).filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone")).distinct()
-    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    gone = _grouped(df.filter(quoted(id_col).isNotNull()), id_col, text, RADIUS).filter("id <> component_id")
+    gone = cut(gone.select(F.col("id").alias("__id"), F.col("v").alias("__v")).distinct())
+    keyed = df.withColumn("__key", quoted(id_col).cast("long")).withColumn("__version", F.xxhash64(quoted(text)))
+    some, none = split_by_bitmap(keyed, ["__key", "__version"], id_bitmap(gone, ["__id", "__v"]))  # other rows are not shuffled
+    kept = some.join(gone, (F.col("__key") == F.col("__id")) & (F.col("__version") == F.col("__v")), "left_anti")
+    return kept.unionByName(none).select(*map(quoted, df.columns))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
