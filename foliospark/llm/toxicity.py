@@ -1,6 +1,7 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Fit, on labelled rows outside the held-out fold (a bounded sample, SAMPLE_ROWS in hash order):
+Fit, on labelled rows outside the held-out fold (a bounded sample, SAMPLE_ROWS ids in hash order;
+an id that some label calls toxic is, and of several texts of an id the smallest counts):
 a word's log-odds between toxic and clean text under Dirichlet priors in two levels.  The first
 PREFIX bytes of a word have log-odds under a prior centred on both classes together; a word
 departs from those of its beginning as far as its own counts outweigh a prior of WORD_PRIOR
@@ -16,7 +17,8 @@ expected number K n exp(-lambda S) is below EXPECT; the document adds up -ln of
 logistic curve fitted to the sample turns the sum into a probability.
 
 Null and empty texts have no segment and get the curve's lowest value.  Without labels of both
-kinds every score is the share of toxic labels (0 without labels).
+kinds every score is the share of toxic labels (0 without labels).  Every row gets the score of its
+own text, repeated rows and null ids included.
 """
 
 from __future__ import annotations
@@ -31,12 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.common import cut, map_texts, read, rest
-from foliospark.llm.words import ALNUM, LOWER, Words, find_words, mix
+from foliospark.llm.words import ALNUM, LOWER, Words, find_words, mix, slices, text_buffers
 
-SAMPLE_ROWS, MAX_WORDS = 8000, 200_000
+SAMPLE_ROWS = 8000
 PREFIX, BASE_PRIOR, WORD_PRIOR, LEAST, TOP, COST, EXPECT = 5, 500.0, 10.0, 1.5, 8.0, 0.15, 0.05
 SURE, LEAST_COUNT = 3.0, 3
 CUT_OFF = 0.7
+#: Evidence beyond this adds nothing to a score.
+TOO_SURE = 50.0
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_segments", T.IntegerType()), T.StructField("n_tokens", T.LongType()), T.StructField("segments", T.StringType())]
 
 
@@ -77,7 +81,9 @@ class Lexicon:
 
 def segments(at: np.ndarray, score: np.ndarray, cost: float = COST) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, last token, score), tokens not in `at` costing `cost` each."""
-    out: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
+    # Segments held so far: first and last token, sums before and after, and the nearest earlier one with a smaller sum
+    # before.  A search follows these links only; what it passes over is never passed over again, so the scan is linear.
+    firsts, lasts, lows, highs, links = [], [], [], [], []
     total, last = 0.0, None
     for p, s in zip(at.tolist(), score.tolist(), strict=True):
         if last is not None:
@@ -86,15 +92,19 @@ def segments(at: np.ndarray, score: np.ndarray, cost: float = COST) -> list[tupl
         first, low, high = p, total, total + s
         total = high
         while True:
-            k = len(out) - 1
-            while k >= 0 and out[k][2] >= low:
-                k -= 1
-            if k < 0 or out[k][3] >= high:
-                out.append((first, p, low, high))
+            k = len(lows) - 1
+            while k >= 0 and lows[k] >= low:
+                k = links[k]
+            if k < 0 or highs[k] >= high:
                 break
-            first, low = out[k][0], out[k][2]
-            del out[k:]
-    return [(a, b, hi - lo) for a, b, lo, hi in out]
+            first, low = firsts[k], lows[k]
+            del firsts[k:], lasts[k:], lows[k:], highs[k:], links[k:]
+        firsts.append(first)
+        lasts.append(p)
+        lows.append(low)
+        highs.append(high)
+        links.append(k)
+    return [(a, b, hi - lo) for a, b, lo, hi in zip(firsts, lasts, lows, highs, strict=True)]
 
 
 def _by_text(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray):
@@ -125,8 +135,6 @@ def _counts(sample: DataFrame) -> DataFrame:
     """(stem, word, toxic, clean): distinct contexts of each word by class, over (id, label, text)."""
 
     def run(batches):
-        from foliospark.llm.words import slices, text_buffers
-
         for batch in batches:
             label = batch.column(0).to_numpy()
             data, offsets = text_buffers(batch.column(1))
@@ -187,7 +195,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "t
     spark = df.sparkSession
     none = np.zeros(0)
     empty = Lexicon(none.astype(np.uint64), none, none.astype(np.int64), none, flat=0.0)
-    known = labels.filter(~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col("toxic").cast("int").alias("label")).filter("__id is not null and label in (0, 1)").dropDuplicates(["__id"])
+    known = labels.filter(~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col("toxic").cast("int").alias("label")).filter("__id is not null and label in (0, 1)").groupBy("__id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows).collect()
     if not chosen:
         return empty
@@ -196,6 +204,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "t
         return empty
     small = spark.createDataFrame([tuple(r) for r in chosen], known.schema)
     sample = df.select(F.col(id_col).alias("__id"), F.col(text).alias("text")).join(F.broadcast(small), "__id")  # at most sample_rows ids
+    sample = cut(sample.groupBy("__id", "label").agg(F.min("text").alias("text")))
     counts = cut(_counts(sample))
     n1, n0 = (float(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("clean")).first())
     if not n1 or not n0:
@@ -211,34 +220,40 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "t
     w_spread = F.sqrt(1 / (F.col("toxic") + WORD_PRIOR * part) + 1 / (F.col("clean") + WORD_PRIOR * part))
     by_word = counts.join(by_stem, "stem").withColumn("word_odds", F.col("odds") + F.log(w1 / w0))
     by_word = by_word.filter((F.col("toxic") + F.col("clean") >= LEAST_COUNT) & ((F.abs(F.log(w1 / w0)) >= 0.3) & (F.col("odds") >= LEAST) | (F.col("word_odds") >= LEAST) & (F.col("word_odds") / w_spread >= SURE)))
-    top_words = by_word.select("word", "word_odds").orderBy(F.desc(F.abs("word_odds")), "word").limit(MAX_WORDS).collect()
-    top_stems = by_stem.filter((F.col("odds") >= LEAST) & (F.col("sure") >= SURE) & (F.col("s1") + F.col("s0") >= LEAST_COUNT)).select("stem", "odds").orderBy(F.desc("odds"), "stem").limit(MAX_WORDS).collect()
+    top_words = by_word.select("word", "word_odds").collect()  # the sample's
+    top_stems = by_stem.filter((F.col("odds") >= LEAST) & (F.col("sure") >= SURE) & (F.col("s1") + F.col("s0") >= LEAST_COUNT)).select("stem", "odds").collect()
     w = sorted((r["word"] % (1 << 64), r["word_odds"]) for r in top_words)
     s = sorted((r["stem"], r["odds"]) for r in top_stems)
     lexicon = Lexicon(np.array([a for a, _ in w], dtype=np.uint64), np.array([b for _, b in w], dtype=float), np.array([a for a, _ in s], dtype=np.int64), np.array([b for _, b in s], dtype=float))
     shared = spark.sparkContext.broadcast(lexicon)
 
-    def fn(_, data, offsets):
+    def sums(_, data, offsets):
         words, found = _by_text(shared.value, data, offsets)
         score = shared.value.scores(data, words)
         total = np.concatenate([[0.0], np.cumsum(score)])[words.first]
         hits = np.concatenate([[0], np.cumsum(score > 0)])[words.first]
-        rows = [[s for _, _, s in found.get(r, [])] for r in range(len(offsets) - 1)]
-        return {"n": pa.array(words.counts, pa.int64()), "hits": pa.array(np.diff(hits), pa.int64()), "mean": pa.array(np.diff(total), pa.float64()), "sums": pa.array(rows, pa.list_(pa.float64()))}
+        best = [max((s for _, _, s in found.get(r, [])), default=0.0) for r in range(len(offsets) - 1)]
+        return {"n": pa.array(words.counts, pa.int64()), "hits": pa.array(np.diff(hits), pa.int64()), "gain": pa.array(np.diff(total), pa.float64()), "best": pa.array(best, pa.float64())}
 
-    fields = [T.StructField("n", T.LongType()), T.StructField("hits", T.LongType()), T.StructField("mean", T.DoubleType()), T.StructField("sums", T.ArrayType(T.DoubleType()))]
-    got = map_texts(sample, fn, fields, "text", ["__id", "label"]).dropDuplicates(["__id"]).collect()
+    fields = [T.StructField("n", T.LongType()), T.StructField("hits", T.LongType()), T.StructField("gain", T.DoubleType()), T.StructField("best", T.DoubleType())]
+    clean = sorted(map(tuple, map_texts(sample.filter("label = 0"), sums, fields, "text", ["__id"]).collect()), key=str)  # a row an id; sums in one order
     shared.unpersist()
-    clean = [r for r in got if r["label"] == 0]
-    n, hits, gain = sum(r["n"] for r in clean), sum(r["hits"] for r in clean), sum(r["mean"] for r in clean)
+    n, hits, gain = (sum(r[k] for r in clean) for k in (1, 2, 3))
     mean_hit = gain / hits if hits else (LEAST + TOP) / 2
     prob = (hits + 1.0) / (n + 2.0)  # one more: a sample without a hit does not prove that there are none
     prob = min(prob, 0.5 * COST / (mean_hit + COST))  # keeps the mean step negative
     lexicon.rate = _root(np.array([-COST, mean_hit]), np.array([1 - prob, prob]))
-    lexicon.share = (len(clean) + 1) / (sum(r["n"] * math.exp(-lexicon.rate * max(r["sums"], default=0.0)) for r in clean) + 1)
-    x = np.array([min(_evidence(lexicon, [(0, 0, s) for s in r["sums"]], r["n"])[0], 50.0) for r in got])
-    y = np.array([float(r["label"]) for r in got])
-    lexicon.slope, lexicon.base = _logistic(x, y)
+    lexicon.share = (len(clean) + 1) / (sum(r[1] * math.exp(-lexicon.rate * r[4]) for r in clean) + 1)
+    law = spark.sparkContext.broadcast(lexicon)
+
+    def evidence(_, data, offsets):
+        words, found = _by_text(law.value, data, offsets)
+        x = [min(_evidence(law.value, found.get(r, []), int(words.counts[r]))[0], TOO_SURE) for r in range(len(offsets) - 1)]
+        return {"x": pa.array(x, pa.float64())}
+
+    got = sorted((r["x"], r["label"]) for r in map_texts(sample, evidence, [T.StructField("x", T.DoubleType())], "text", ["label"]).collect())
+    law.unpersist()
+    lexicon.slope, lexicon.base = _logistic(np.array([x for x, _ in got]), np.array([float(y) for _, y in got]))
     return lexicon
 
 
@@ -255,7 +270,7 @@ def toxicity(df: DataFrame, lexicon: Lexicon, text: str = "text", carry: list[st
         if lex.flat is None:
             for r, segs in found.items():
                 x, sure = _evidence(lex, segs, int(words.counts[r]))
-                score[r] = 1 / (1 + math.exp(-(lex.slope * min(x, 50.0) + lex.base)))
+                score[r] = 1 / (1 + math.exp(-(lex.slope * min(x, TOO_SURE) + lex.base)))
                 count[r] = len(sure)
                 spans[r] = " ".join(f"{a}-{b}:{s:.3f}" for a, b, s in sure)
         return {"score": pa.array(score), "predicted": pa.array((score >= CUT_OFF).astype(np.int32)), "n_segments": pa.array(count), "n_tokens": pa.array(words.counts, pa.int64()), "segments": pa.array(spans, pa.string())}
