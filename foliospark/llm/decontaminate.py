@@ -9,9 +9,13 @@ every SAMPLE.  All phrases are searched backwards at once through the ranks; eac
 located by stepping to a sampled position; hit words are merged per document.  No row leaves its
 task, so nothing is shuffled and no key is hot.
 
-The phrases are broadcast in blocks of at most BLOCK_BYTES of benchmark text; a larger benchmark
-takes one pass per block, whose word spans are then merged by id and text (two hashes), so every row
-is judged by its own text, whatever rows share its id or have none.  Null texts have no words; items with a null id or no word are ignored; items that repeat an id count once.
+The phrases are broadcast in blocks of about BLOCK_BYTES of benchmark text, as word numbers and the
+places where phrases begin, some five times that size; a larger benchmark takes one pass per block,
+whose word spans are then merged by id and text (two hashes).  Either way every row is judged by its
+own text, whatever rows share its id or have none.  Words are equal where their XXH64 is.
+
+Null texts have no words; items with a null id or no word are ignored; items that repeat an id count
+once, with the windows of all their texts.  A single item longer than a block is a block of its own.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import types as T
 from foliospark.llm.common import cut, map_texts, quoted, read, rest
 from foliospark.llm.words import ALNUM, LOWER, find_words, text_buffers
 
-WIDTH, SAMPLE, BLOCK_BYTES, SHARD_BYTES, RUN = 13, 8, 32 << 20, 16 << 20, 1 << 20
+WIDTH, SAMPLE, BLOCK_BYTES, SHARD_BYTES, RUN = 13, 8, 8 << 20, 16 << 20, 1 << 20
 _FILTER_BITS = 22
 FIELDS = [T.StructField(n, T.LongType()) for n in ("n_words", "n_hit", "n_items")] + [T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
 _SPANS = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
@@ -113,12 +117,12 @@ class FMIndex:
         self.number = np.concatenate([[0], np.cumsum(sampled)])
         self.positions = order[sampled]
 
-    def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(phrase, first row, row after the last) of the phrases (rows of equal length) that occur."""
-        live = np.arange(len(phrases))
-        lo, hi = np.zeros(len(phrases), dtype=np.int64), np.full(len(phrases), self.n, dtype=np.int64)
-        for k in range(phrases.shape[1] - 1, -1, -1):
-            c = phrases[live, k]
+    def search(self, number: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrase, first row, row after the last) of the phrases number[start:start + size] that occur."""
+        live = np.arange(len(start))
+        lo, hi = np.zeros(len(start), dtype=np.int64), np.full(len(start), self.n, dtype=np.int64)
+        for k in range(size - 1, -1, -1):
+            c = number[start[live] + k].astype(np.int64)
             lo, hi = self.before[c] + self.wave.rank(c, lo), self.before[c] + self.wave.rank(c, hi)
             some = hi > lo
             live, lo, hi = live[some], lo[some], hi[some]
@@ -139,13 +143,23 @@ class FMIndex:
         return out
 
 
+def distinct_runs(numbers: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """The number of each run numbers[start:start + size] among the distinct ones: words are taken in one by one, so runs are compared exactly."""
+    kind = np.zeros(len(start), dtype=np.int64)
+    top = int(numbers.max(initial=0)) + 1
+    for k in range(size):
+        _, kind = np.unique(kind * top + numbers[start + k], return_inverse=True)
+    return kind
+
+
 @dataclass
 class Phrases:
     """Distinct windows of benchmark items by length, with the items of each."""
 
     vocabulary: np.ndarray  # sorted word hashes; word number = place + 1
     maybe: np.ndarray  # low hash bits that some vocabulary word has
-    groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # (phrases of one length, first item of each, item numbers)
+    numbers: np.ndarray  # word numbers of all items, one after the other
+    groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # (length, where each phrase begins, first owner of each, owners)
     items: list[str]
     shortest: int
 
@@ -153,25 +167,24 @@ class Phrases:
     def of(cls, items: list[tuple[str, str]], width: int = WIDTH) -> Phrases:
         data, offsets = text_buffers(pa.array([t for _, t in items], pa.large_string()))
         words = find_words(data, offsets, ALNUM, LOWER)
-        hashes = words.hashes[1]
-        vocabulary = np.unique(hashes)
-        number = np.searchsorted(vocabulary, hashes) + 1
+        vocabulary, numbers = np.unique(words.hashes[1], return_inverse=True)
+        numbers = (numbers + 1).astype(np.int32)
         maybe = np.zeros(1 << _FILTER_BITS, dtype=bool)
         maybe[(vocabulary & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
         names = sorted({i for i, _ in items})
         place = {name: k for k, name in enumerate(names)}
-        found: dict[int, dict[tuple, set[int]]] = {}
-        for (name, _), a, b in zip(items, words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-            if b == a:
-                continue
-            size = min(width, b - a)
-            for i in range(a, b - size + 1):
-                found.setdefault(size, {}).setdefault(tuple(number[i : i + size].tolist()), set()).add(place[name])
+        owner = np.array([place[name] for name, _ in items], dtype=np.int64)
+        count = words.counts
         groups = []
-        for _, phrases in sorted(found.items()):
-            owners = [sorted(v) for v in phrases.values()]
-            groups.append((np.array(list(phrases), dtype=np.int64), np.cumsum([0, *map(len, owners)]), np.array([x for o in owners for x in o], dtype=np.int64)))
-        return cls(vocabulary, maybe, groups, names, min(found, default=0))
+        for size in np.unique(np.minimum(count[count > 0], width)).tolist():
+            some = np.flatnonzero(np.minimum(count, width) == size)
+            n = count[some] - size + 1
+            start = np.repeat(words.first[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            kind = distinct_runs(numbers, start, size)
+            pair = np.unique(kind * len(names) + np.repeat(owner[some], n))  # an item owns a phrase once
+            _, first = np.unique(kind, return_index=True)
+            groups.append((size, start[first], np.searchsorted(pair // len(names), np.arange(len(first) + 1)), (pair % len(names)).astype(np.int32)))
+        return cls(vocabulary, maybe, numbers, groups, names, min((g[0] for g in groups), default=0))
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """Word numbers; 0 for a word in no phrase."""
@@ -200,7 +213,7 @@ def occurrences(phrases: Phrases, hashes: np.ndarray, first: np.ndarray) -> tupl
     size = np.diff(np.concatenate([begin, [len(inside)]]))
     long = size >= phrases.shortest
     begin, size = begin[long], size[long]
-    width = max(g[0].shape[1] for g in phrases.groups)
+    width = max(g[0] for g in phrases.groups)
     if len(size) and size.max() > RUN:  # very long runs become overlapping ones, so an index stays small
         parts = [(b + k, min(RUN, s - k)) for b, s in zip(begin.tolist(), size.tolist(), strict=True) for k in range(0, max(1, s - width + 1), RUN - width + 1)]
         begin, size = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
@@ -216,18 +229,18 @@ def occurrences(phrases: Phrases, hashes: np.ndarray, first: np.ndarray) -> tupl
         spot = np.repeat(place - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))
         values[spot], word[spot] = number[inside[inner]], inside[inner]
         index = FMIndex(values, len(phrases.vocabulary))
-        for group, owner_at, owners in phrases.groups:
-            which, lo, hi = index.search(group)
+        for length, begins, owner_at, owners in phrases.groups:
+            which, lo, hi = index.search(phrases.numbers, begins, length)
             n = hi - lo
             hit = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             which = np.repeat(which, n)
             where = word[index.locate(hit)]
             starts.append(where)
-            ends.append(where + group.shape[1])
+            ends.append(where + length)
             k = owner_at[which + 1] - owner_at[which]
             take = np.repeat(owner_at[which] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
             rows.append(np.repeat(np.searchsorted(first, where, side="right") - 1, k))
-            items.append(owners[take])
+            items.append(owners[take].astype(np.int64))
     if not starts:
         return none, none, none, none
     pair = np.unique(np.concatenate(rows) * (len(phrases.items) + 1) + np.concatenate(items))
