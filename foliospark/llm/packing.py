@@ -3,27 +3,27 @@
 Lengths (words of `[^\\x20\\x09-\\x0D]+` unless a length column is named) go into a global histogram
 of bounded size: exact up to EXACT, then STEPS bins an octave.  Dynamic programming over the
 histogram finds the at most BUCKETS boundaries whose total padding is smallest, each a largest
-length seen in its bin.  A bucket with boundary b takes max(1, budget // b) rows a batch.
+length seen in its bin: the least of all for lengths up to EXACT, the least over bins beyond.
+Padding has the quadrangle inequality, so best last cuts never move back and each bucket takes
+n log n steps.  A bucket with boundary b takes max(1, budget // b) rows a batch.
 
-Rows are numbered in the order of their ids without gathering a bucket in one task: rows are
-counted by (bucket, id // CHUNK) and numbered inside these chunks; offsets come from running sums
-of the chunk counts, first within groups of FAN chunks and then over the groups, so no window
-holds more than the chunks of a bucket divided by FAN.
+Rows are numbered in the order of their ids over ranges of (bucket, id, length), so no task holds a
+bucket, however ids are spread and however many rows share one or have none.
 
 Null and empty texts have length 0 and sit in the first bucket (boundary at least 1); rows with a
 null id come first; repeated rows of an id are numbered one after the other; an empty table gives
-an empty result.
+an empty result.  Other columns do not return.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import cut, read
+from foliospark.llm.common import cut, numbered, quoted, read
 
-BUCKETS, BUDGET, EXACT, STEPS, CHUNK, FAN = 8, 16384, 256, 64, 8192, 512
+BUCKETS, BUDGET, EXACT, STEPS = 8, 16384, 1 << 15, 64
 
 
 def word_count(text: str) -> F.Column:
@@ -54,19 +54,23 @@ def boundaries(rows: list[tuple[int, int, int]], buckets: int = BUCKETS) -> list
     kind = np.int64 if exact else object
     top, count, total = top.astype(kind), count.astype(kind), total.astype(kind)
     # least[j]: padding of the first j bins; a bucket of bins i..j-1 costs top[j-1] * rows - lengths.
-    cost = np.empty((n, n + 1), dtype=kind)
-    for j in range(1, n + 1):
-        cost[:j, j] = top[j - 1] * (count[j] - count[:j]) - (total[j] - total[:j])
-    least = cost[0].copy()
-    least[0] = 0
+    ends_at = np.concatenate([top[:1] * 0, top])
+    least = ends_at * count - total
     steps, ends = [], [least[n]]
     for _ in range(1, min(buckets, n)):
         new, came = least.copy(), np.zeros(n + 1, dtype=np.int64)
-        for j in range(2, n + 1):
-            through = least[1:j] + cost[1:j, j]
-            i = int(np.argmin(through))
-            if through[i] < new[j]:
-                new[j], came[j] = through[i], i + 1
+        left = [(2, n, 1, n - 1)]  # ends lo..hi, whose best last cuts lie in a..b
+        while left:
+            lo, hi, a, b = left.pop()
+            if lo > hi:
+                continue
+            j = (lo + hi) // 2
+            i = np.arange(a, min(b, j - 1) + 1)
+            through = least[i] + ends_at[j] * (count[j] - count[i]) - (total[j] - total[i])
+            best = int(np.argmin(through))
+            if through[best] < new[j]:
+                new[j], came[j] = through[best], a + best
+            left += [(lo, j - 1, a, a + best), (j + 1, hi, a + best, b)]
         steps.append(came)
         least = new
         ends.append(least[n])
@@ -79,33 +83,19 @@ def boundaries(rows: list[tuple[int, int, int]], buckets: int = BUCKETS) -> list
     return sorted(set(out))
 
 
-def _offsets(chunks: DataFrame) -> DataFrame:
-    """(bucket, chunk, before): rows of the bucket in all earlier chunks, by two levels of running sums."""
-    groups = chunks.withColumn("group", F.floor(F.col("chunk") / FAN))
-    sums = groups.groupBy("bucket", "group").agg(F.sum("n").alias("n"))
-    over = Window.partitionBy("bucket").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("bucket", "group", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("outer"))
-    own = Window.partitionBy("bucket", "group").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return groups.withColumn("inner", F.coalesce(F.sum("n").over(own), F.lit(0))).join(sums, ["bucket", "group"]).select("bucket", "chunk", (F.col("outer") + F.col("inner")).alias("before"))
-
-
 def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: str | None = None, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """(id, n_tokens, bucket, bucket_length, batch, slot) of every row: batches of a bucket are numbered from 0 in id order."""
-    size = word_count(text) if length is None else F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("long")
-    rows = cut(df.select(F.col(id_col).cast("long").alias("__id"), size.alias("n_tokens")))
+    size = word_count(text) if length is None else F.greatest(F.coalesce(quoted(length), F.lit(0)), F.lit(0)).cast("long")
+    rows = cut(df.select(quoted(id_col).cast("long").alias("__id"), size.alias("n_tokens")))
     bins = rows.groupBy(histogram_bin("n_tokens").alias("bin")).agg(F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("total"))
     edges = boundaries([(r["top"], r["rows"], r["total"]) for r in bins.collect()], buckets)  # a bounded number of bins
     bucket = F.lit(len(edges) - 1 if edges else 0)
     for k in range(len(edges) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= edges[k], F.lit(k)).otherwise(bucket)
     limit = F.element_at(F.array(*[F.lit(e) for e in edges or [1]]), F.col("bucket") + 1).cast("long")
-    rows = rows.withColumn("bucket", bucket).withColumn("bucket_length", limit).withColumn("chunk", F.coalesce(F.floor(F.col("__id") / CHUNK), F.lit(-(1 << 62))))
-    counts = rows.groupBy("bucket", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    inside = Window.partitionBy("bucket", "chunk").orderBy(F.col("__id").asc_nulls_first(), "n_tokens")
-    numbered = rows.withColumn("own", F.row_number().over(inside) - 1).join(_offsets(counts), ["bucket", "chunk"])
-    place = F.col("before") + F.col("own")
-    per = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_length")))
-    return numbered.select(F.col("__id").alias(id_col), "n_tokens", "bucket", "bucket_length", F.floor(place / per).cast("long").alias("batch"), F.pmod(place, per).cast("long").alias("slot"))
+    placed = numbered(rows.withColumn("bucket", bucket), ["bucket"], ["__id", "n_tokens"], "__place").withColumn("bucket_length", limit)
+    place, per = F.col("__place"), F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_length")))
+    return placed.select(F.col("__id").alias(id_col), "n_tokens", "bucket", "bucket_length", F.floor(place / per).cast("long").alias("batch"), F.pmod(place, per).cast("long").alias("slot"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
