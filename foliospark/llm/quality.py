@@ -2,12 +2,14 @@
 
 Lines (split at \\n, those without a word apart) carry binned features: length, punctuation, symbols,
 capitals, digits, repeats.  The field is fitted on the driver to a bounded sample of labelled rows
-(SAMPLE_ROWS, in hash order; a line takes its document's label), lines of long documents in chains
-of CHAIN lines.  Viterbi decoding then marks every line of every document, and the share of words
+(SAMPLE_ROWS ids, in hash order; a line takes its document's label), lines of long documents in chains
+of CHAIN lines, of which a document gives at most SAMPLE_CHAINS, spread evenly over it.  An id that
+some label calls bad is, and of several texts of an id the smallest counts.  Viterbi decoding then marks every line of every document, and the share of words
 in content lines decides: a document is kept if the base rules pass and the share is at least
 SHARE.  Counting and decoding are one Arrow pass over the documents with no shuffle.
 
-Nulls count as empty texts, which fail the base rules.  With no labels (an empty table, or one
+Words and lines are equal where their XXH64 is (lines: within one text).  Nulls count as empty
+texts, which fail the base rules; every row is judged by its own text.  With no labels (an empty table, or one
 label only) the field keeps its zero weights, ties go to content, and the base rules decide alone.
 """
 
@@ -22,7 +24,7 @@ from pyspark.sql import types as T
 from foliospark.llm.common import map_texts, read, rest
 from foliospark.llm.words import PLAIN, find_words, mix, windows
 
-SAMPLE_ROWS, CHAIN, SHARE = 4000, 64, 0.5
+SAMPLE_ROWS, CHAIN, SAMPLE_CHAINS, SHARE = 4000, 64, 16, 0.5
 MIN_WORDS = 50
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -209,25 +211,35 @@ class Field:
 
 def fit_field(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text: str = "text") -> Field:
     """The field fitted to the first `sample_rows` labelled rows in the order of a hash of their id."""
-    known = labels.select(F.col(id_col).alias("__id"), F.col("quality").cast("int").alias("__y")).filter("__id is not null and __y in (0, 1)").dropDuplicates(["__id"])
+    known = labels.select(F.col(id_col).alias("__id"), F.col("quality").cast("int").alias("__y")).filter("__id is not null and __y in (0, 1)").groupBy("__id").agg(F.min("__y").alias("__y"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows).collect()
     if not chosen:
         return Field()
     small = df.sparkSession.createDataFrame([(r["__id"], r["__y"]) for r in chosen], known.schema)
     rows = df.select(F.col(id_col).alias("__id"), F.col(text).alias("text")).join(F.broadcast(small), "__id")  # at most sample_rows ids
+    rows = rows.groupBy("__id", "__y").agg(F.min("text").alias("text"))
 
     def fn(_, data, offsets):
         _, first, bins, _ = measure(data, offsets)
-        return {"bins": pa.array([bins[a:b].astype(np.uint8).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())}
+        return {"bins": pa.array([_sampled(bins[a:b]).astype(np.uint8).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())}
 
-    got = map_texts(rows, fn, [T.StructField("bins", T.BinaryType())], "text", ["__id", "__y"]).dropDuplicates(["__id"]).collect()
+    got = map_texts(rows, fn, [T.StructField("bins", T.BinaryType())], "text", ["__id", "__y"]).collect()
     chains = []
-    for r in sorted(got, key=lambda r: str(r["__id"])):
+    for r in sorted(got, key=lambda r: (str(r["__id"]), r["bins"])):
         bins = np.frombuffer(r["bins"], dtype=np.uint8).reshape(-1, len(EDGES)).astype(np.int64)
         chains += [(bins[i : i + CHAIN], r["__y"]) for i in range(0, len(bins), CHAIN)]
     return Field().fit(chains)
 
 
+def _sampled(bins: np.ndarray) -> np.ndarray:
+    """The lines of a document's chains that the fit sees."""
+    n = -(-len(bins) // CHAIN)
+    if n <= SAMPLE_CHAINS:
+        return bins
+    at = np.arange(SAMPLE_CHAINS) * n // SAMPLE_CHAINS * CHAIN  # whole chains: the last is the only short one and is left out
+    return bins[(at[:, None] + np.arange(CHAIN)).ravel()]
+
+
 def _judge(field: Field, share: float):
     def fn(_, data, offsets):
         counts, first, bins, n_words = measure(data, offsets)

@@ -5,10 +5,13 @@ extra columns whose names clash with an operator's own.
 """
 
 import hashlib
+import itertools
 import json
 import random
+import time
 import zlib
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -209,6 +212,19 @@ def test_near_dedup_hard_cases(spark, hard):
     assert simhash.near_dedup(hard.limit(0)).isEmpty()
 
 
+def test_rows_of_one_id_have_the_component_of_their_own_text(spark):
+    t, other, big = prose(41, 80), prose(42, 80), 2**62
+    rows = [(5, t), (5, other), (7, other), (None, t), (None, prose(43, 9)), (None, None), (big + 1, t), (big + 3, prose(44, 60)), (big + 5, prose(44, 60)), (5, t), (9, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = simhash.near_groups(df).collect()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    component = {t: 5, other: 5, prose(44, 60): big + 3, None: 8, "": 8}
+    expected = [(i, signed(brute.fingerprint(x)), None if i is None else component[x]) for i, x in rows]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+    kept = simhash.near_dedup(df).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(repr(r) for r in rows if r[0] is None or r[0] == component[r[1]])
+
+
 # ---- 3: line dedup
 
 
@@ -341,7 +357,7 @@ def test_results_without_an_identifier_are_rows(spark):
     none = (None, None, None, "no_id", 0, 1, False, '{"result":"y"}')
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, 7, "search", "no_id", 1, 0, False, None), (1, 3, None, "no_id", 0, 1, False, '{"result":"x"}'), none, (1, 3, None, "no_id", 0, 1, False, "{}")]))
     said = spark.createDataFrame([(None, 1, "assistant", "z"), (1, None, "assistant", "z"), (1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
-    assert sorted(r["status"] for r in tool_calls.link(*tool_calls.messages(said)).collect()) == ["no_id", "no_id", "no_result"]
+    assert sorted(r["status"] for r in tool_calls.link(*tool_calls.messages(said)).collect()) == ["no_call", "no_id", "no_result"]  # a null conv_id is a conversation, a null turn gives no identifier
 
 
 def test_no_calls_give_no_rows(spark):
@@ -350,10 +366,51 @@ def test_no_calls_give_no_rows(spark):
     assert tool_calls.link(calls, results).isEmpty()
 
 
-def test_long_chains_are_levelled(spark):
-    nodes = spark.createDataFrame([(f"n{k}",) for k in range(12)], "id string")
-    edges = spark.createDataFrame([(f"n{k + 1}", f"n{k}") for k in range(11)] + [("n11", "n0"), ("n5", "n2")], "id string, dep string")
-    assert {r["id"]: r["level"] for r in tool_calls.levels(nodes, edges).collect()} == {f"n{k}": k for k in range(12)}
+@pytest.mark.parametrize("fold", [tool_calls.FOLD, 5, 0])
+def test_levels_by_brute_force(spark, fold):
+    rng = random.Random(12)
+    deps = {}
+    for c in range(6):
+        ids = [f"n{k}" for k in range(12)]
+        for k, i in enumerate(ids):
+            pool = ids if c % 3 == 0 else ids[:k]  # forward dependencies and cycles, or none
+            deps[f"c{c}", i] = set(rng.sample(pool, min(len(pool), rng.randrange(0, 3))))
+    deps |= {("chain", f"n{k}"): {f"n{k - 1}"} if k else set() for k in range(8)}
+    expected = {}
+    while more := {key for key, d in deps.items() if key not in expected and all((key[0], x) in expected for x in d)}:
+        expected |= {k: max((expected[k[0], x] + 1 for x in deps[k]), default=0) for k in more}
+    nodes = spark.createDataFrame([(c, i, int(i[1:])) for c, i in deps], "conv string, id string, turn long")
+    edges = spark.createDataFrame([(c, i, d) for (c, i), ds in deps.items() for d in ds], "conv string, id string, dep string")
+    assert {(r["conv"], r["id"]): r["level"] for r in tool_calls.levels(nodes, edges, fold).collect()} == expected
+
+
+def test_a_chain_of_a_thousand_calls_needs_no_round_a_level(spark):
+    n = 1000
+    calls = [(1, f"call_{k}", k, "search", '{"limit":1,"query":"q"}', [f"call_{k - 1}"] if k else []) for k in range(n)]
+    df = spark.createDataFrame(calls, "conv_id long, id string, turn long, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([(1, f"call_{k}", k, "r") for k in range(n)], "conv_id long, id string, turn long, content string")
+    began = time.time()
+    got = tool_calls.link(df, results).filter("valid and level = position and level = turn").count()
+    assert got == n and time.time() - began < 60
+
+
+def test_conversations_may_share_identifiers_and_extra_columns_pass_by(spark):
+    long = "x" * 100_000
+    calls = [(c, "call_1", 1, "search", f'{{"limit":1,"query":"{c}"}}', ["call_0"], "own") for c in (1, 2, None)] + [(2, "call_0", 0, "search", f'{{"limit":1,"query":"{long}"}}', [], "own"), (3, "", 0, "", "", None, "own")]
+    df = spark.createDataFrame(calls, "conv_id long, id string, turn long, name string, arguments string, depends_on array<string>, level string")
+    results = spark.createDataFrame([(1, "call_1", 2, "one", 1), (2, "call_1", 2, "two", 1), (None, "call_1", 2, "none", 1), (2, "call_0", 1, "", 1)], "conv_id long, id string, turn long, content string, position int")
+    got = {(r["conv_id"], r["id"]): r for r in tool_calls.link(df, results).collect()}
+    assert len(got) == 5 and all(json.loads(got[c, "call_1"]["canonical"])["result"] == t and got[c, "call_1"]["n_calls"] == 1 for c, t in ((1, "one"), (2, "two"), (None, "none")))
+    assert got[2, "call_1"]["level"] == 1 and got[2, "call_1"]["valid"] and got[1, "call_1"]["errors"] == "missing_dependency"
+    assert got[3, ""]["errors"] == "not_json" and long in got[2, "call_0"]["canonical"]
+
+
+def test_registered_calls_show_every_kind_of_error(spark):
+    got = tool_calls.op4_tool_calls(spark, "/root/testdata/sf0.01").collect()
+    kinds = {e for r in got for e in r["errors"].split(",")}
+    assert {"unknown_tool", "not_json", "missing:limit", "type:limit", "unknown:fast", "unknown:note", "missing_dependency", "cycle"} <= kinds
+    on_cycle = [r for r in got if "cycle" in r["errors"].split(",") and json.loads(r["canonical"])["arguments"].get("after") != r["id"]]
+    assert on_cycle
 
 
 # ---- 5: toxicity
@@ -386,6 +443,71 @@ def test_segments_are_all_maximal(spark):
         assert [s for _, _, s in got] == pytest.approx([s for _, _, s in expected]) and [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in expected]
 
 
+def test_segments_are_found_in_linear_time():
+    import numpy as np
+
+    n = 1_000_000
+    began = time.time()
+    falling = toxicity.segments(np.arange(n) * 40, np.full(n, 2.0))  # every hit is a segment and each sum a new low
+    rng = np.random.default_rng(1)
+    toxicity.segments(np.sort(rng.choice(20 * n, n, replace=False)), rng.choice([1.5, 2.0, 4.0], n))
+    assert len(falling) == n and time.time() - began < 10
+
+
+def test_labels_and_texts_of_one_id_are_chosen_alike_in_any_order(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    known = spark.read.parquet(f"{DATA}/labels.parquet")
+    more = spark.createDataFrame([(k, prose(k, 60)) for k in range(0, 200, 3)], "doc_id long, text string")
+    twice = known.unionByName(known.select("doc_id", F.lit(0).alias("quality"), F.lit(1).alias("toxic")).filter("doc_id % 5 = 0"))
+    docs = docs.unionByName(more)
+    first, second = (toxicity.fit(d.repartition(p), k.repartition(p)) for d, k, p in ((docs, twice, 1), (docs.orderBy(F.desc("text")), twice.orderBy(F.desc("doc_id")), 5)))
+    assert all((getattr(first, f) == getattr(second, f)).all() for f in ("words", "stems")) and (first.slope, first.base) == pytest.approx((second.slope, second.base), rel=1e-9)
+    one, two = (quality.fit_field(d.repartition(p), k.repartition(p)) for d, k, p in ((docs, twice, 1), (docs.orderBy(F.desc("text")), twice.orderBy(F.desc("doc_id")), 5)))
+    assert (one.emit == two.emit).all() and (one.step == two.step).all()
+
+
+def test_log_odds_and_calibration_against_an_independent_fit(spark):
+    """The lexicon from plain counts of distinct contexts, and the law from its defining equation."""
+    import math
+    import re
+    from collections import defaultdict
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    label = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    lexicon = toxicity.fit(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"))
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})))
+    stem = lambda w: w.encode()[: toxicity.PREFIX]
+    contexts = defaultdict(set)
+    for i, y in label.items():
+        w = [None, *split(docs.get(i)), None]
+        for a, b, c in zip(w, w[1:], w[2:], strict=False):
+            contexts[b].add((a, c, y))
+    counts = {w: [len({x[:2] for x in c if x[2] == y}) for y in (1, 0)] for w, c in contexts.items()}
+    total = [sum(c[k] for c in counts.values()) for k in (0, 1)]
+    stems = defaultdict(lambda: [0, 0])
+    for w, c in counts.items():
+        stems[stem(w)] = [a + b for a, b in zip(stems[stem(w)], c, strict=True)]
+    expected = {}
+    for s, c in stems.items():
+        prior = toxicity.BASE_PRIOR * sum(c) / sum(total)
+        odds = math.log((c[0] + prior) / (total[0] + toxicity.BASE_PRIOR)) - math.log((c[1] + prior) / (total[1] + toxicity.BASE_PRIOR))
+        if odds >= toxicity.LEAST and sum(c) >= toxicity.LEAST_COUNT and odds / math.sqrt(1 / (c[0] + prior) + 1 / (c[1] + prior)) >= toxicity.SURE:
+            expected[int.from_bytes(s, "little")] = odds
+    got = dict(zip(lexicon.stems.tolist(), lexicon.stem_scores.tolist(), strict=True))
+    assert got == pytest.approx(expected) and got
+    # lambda solves E[exp(lambda s)] = 1 over clean tokens, so the expected step of the tilted walk is positive and the plain one negative.
+    hits = n = gain = 0
+    for i, y in label.items():
+        if y == 0:
+            data, offsets = toxicity.text_buffers(pa.array([docs.get(i) or ""]))
+            words = toxicity.find_words(data, offsets, toxicity.ALNUM, toxicity.LOWER)
+            score = lexicon.scores(data, words)
+            n, hits, gain = n + len(score), hits + int((score > 0).sum()), gain + float(score.sum())
+    mean_hit = gain / hits if hits else (toxicity.LEAST + toxicity.TOP) / 2
+    p = min((hits + 1) / (n + 2), 0.5 * toxicity.COST / (mean_hit + toxicity.COST))
+    assert p * math.exp(lexicon.rate * mean_hit) + (1 - p) * math.exp(-lexicon.rate * toxicity.COST) == pytest.approx(1, abs=1e-6) and lexicon.rate > 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     got = toxicity.op5_toxicity(spark, sf)
@@ -489,7 +611,7 @@ def contaminated(df):
     return by_id(df, *FIVE)
 
 
-@pytest.mark.parametrize("block", [32 << 20, 200])
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 1000])
 def test_decontamination_by_brute_force(spark, corpus, texts, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()] + [i for i in ITEMS if i[0] is not None]
@@ -510,7 +632,7 @@ def test_decontamination_hard_cases(spark, hard):
     assert decontaminate.decontaminate(hard.limit(0), items).isEmpty()
 
 
-@pytest.mark.parametrize("block", [32 << 20, 200])
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 1000])
 def test_every_row_is_judged_by_its_own_text(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     rows = [(None, prose(1, 30)), (None, ITEM), (None, None), (1, prose(2, 40)), (1, ITEM + " " + prose(3, 9)), (1, ITEM + " " + prose(3, 9)), (2, "one")]
@@ -526,6 +648,18 @@ def test_every_row_is_judged_by_its_own_text(spark, monkeypatch, block):
     assert carried.columns == ["doc_id", *FIVE] and carried.count() == len(rows)
 
 
+def test_runs_are_numbered_by_their_words():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    numbers = rng.integers(1, 4, 500).astype(np.int32)
+    start = np.arange(490)
+    kind = decontaminate.distinct_runs(numbers, start, 5)
+    runs = [tuple(numbers[a : a + 5].tolist()) for a in start]
+    order = {run: k for k, run in enumerate(sorted(set(runs)))}
+    assert kind.tolist() == [order[run] for run in runs]
+
+
 # ---- 8: token counts
 
 
@@ -569,8 +703,6 @@ def test_token_counts_hard_cases(spark, hard):
 
 
 def least_padding(lengths, buckets):
-    import itertools
-
     sizes = sorted(set(lengths))
     best = None
     for k in range(min(buckets, len(sizes))):
@@ -608,6 +740,31 @@ def test_batches_keep_to_the_budget_and_hold_every_row(spark, corpus, texts):
         assert [x[2] for x in own] == sorted(x[2] for x in own) and {x[0] for x in own} == set(range(max(x[0] for x in own) + 1))
 
 
+@pytest.mark.parametrize("kind", ["hashed", "null", "one", "mixed"])
+def test_rows_are_numbered_however_their_ids_lie(spark, kind):
+    rng = random.Random(13)
+    ids = {"hashed": lambda: rng.getrandbits(63) - 2**62, "null": lambda: None, "one": lambda: 7, "mixed": lambda: rng.choice([None, 7, rng.getrandbits(62)])}[kind]
+    rows = [(ids(), rng.randrange(0, 40)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, size int").repartition(5)
+    got = packing.pack(df, length="size", buckets=3, budget=200).collect()
+    assert sorted(map(repr, rows)) == sorted(repr((r["doc_id"], r["n_tokens"])) for r in got)
+    for b in {r["bucket"] for r in got}:
+        own = sorted(((r["batch"], r["slot"]), (r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"])) for r in got if r["bucket"] == b)
+        per = max(1, 200 // next(r["bucket_length"] for r in got if r["bucket"] == b))
+        assert [x[0] for x in own] == [(k // per, k % per) for k in range(len(own))] and [x[1] for x in own] == sorted(x[1] for x in own)
+
+
+def test_many_lengths_are_cut_by_the_whole_dynamic_programme():
+    rng = random.Random(14)
+    rows = sorted((n, c, n * c) for n, c in ((n, rng.randrange(1, 9)) for n in rng.sample(range(1, 30_000), 300)))
+    edges = packing.boundaries(rows, 4)
+    count, total = ([0, *itertools.accumulate(r[k] for r in rows)] for k in (1, 2))
+    cost = [0] + [float("inf")] * len(rows)
+    for _ in range(4):  # the plain programme over all pairs
+        cost = [0] + [min(cost[i] + rows[j - 1][0] * (count[j] - count[i]) - (total[j] - total[i]) for i in range(j)) for j in range(1, len(rows) + 1)]
+    assert len(edges) == 4 and sum(c * next(e for e in edges if e >= n) - s for n, c, s in rows) == cost[-1]
+
+
 def test_packing_hard_cases(spark, hard):
     got = packing.pack(hard)
     assert got.count() == hard.count() and got.filter("doc_id is null").count() == 2
@@ -624,8 +781,6 @@ def test_base_counts_by_brute_force(spark, corpus, texts, labels):
 
 
 def test_viterbi_by_brute_force():
-    import itertools
-
     import numpy as np
 
     rng = np.random.default_rng(1)
