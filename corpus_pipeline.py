@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import checkpoint_folder, quoted, read
+from foliospark.llm.common import checkpoint_folder, quoted, read, remove
 from foliospark.llm.decontaminate import decontaminate
 from foliospark.llm.line_dedup import dedup_lines
 from foliospark.llm.packing import pack
@@ -70,10 +70,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over all documents; stages pass their tables through the shared folder."""
+    """The rows of the last stage over all documents; stages pass their tables through the shared folder, and a table goes when the next is written."""
     docs = read(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        at = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        if before is not None:
+            remove(spark, before)
+        before = at
     return docs
