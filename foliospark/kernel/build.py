@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from foliospark.kernel.blocks import Block, Blocks
 from foliospark.kernel.grammar import Attribute, TagError, find_tag_end, known_tag, parse_tag, tag_in_url
 from foliospark.kernel.inline import Inline, unescape
-from foliospark.kernel.tree import Node, Positions, Problem, annotate
+from foliospark.kernel.tree import Node, Positions, Problem, annotate, deep
 
 
 @dataclass(frozen=True)
@@ -353,6 +353,7 @@ def rewrite_tables(document: Node, conditional: tuple[str, ...]) -> None:
 
 def parse(source: str, options: ParseOptions | None = None) -> Node:
     """The tree of one document."""
+    deep()
     return Builder(source, options or ParseOptions()).parse()
 
 

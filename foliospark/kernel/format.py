@@ -16,7 +16,7 @@ from typing import Any
 from foliospark.functions.numbers import js_number
 from foliospark.kernel.build import ParseOptions, parse
 from foliospark.kernel.grammar import Attribute
-from foliospark.kernel.tree import Node
+from foliospark.kernel.tree import Node, deep
 from foliospark.kernel.values import UNDEFINED, Function, Variable, is_number, js_string, js_truthy
 
 MAX_DEPTH, MAX_HASHES, PASSES = 128, 1024, 4
@@ -344,6 +344,7 @@ class Printer:
 
 
 def format_node(node: Node, options: FormatOptions | None = None) -> str:
+    deep()
     return joined(left_trimmed(Printer(options or FormatOptions()).node(node, Place()))) if node.type == "document" else joined(Printer(options or FormatOptions()).node(node, Place())).lstrip()
 
 

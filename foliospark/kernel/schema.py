@@ -6,6 +6,7 @@ as rows for the DataFrame plans, and `Config.is_relational` says whether no hook
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import cached_property
@@ -104,8 +105,8 @@ def _condition_check(value: Any, config: Config, name: str) -> list[Problem]:
     return []
 
 
-def _typed(value: Any) -> str:
-    """A value that is no string, as the partial's message names it."""
+def typed(value: Any) -> str:
+    """A value as the partial's message names it: every part with its kind."""
     if value is None:
         return "Null"
     if isinstance(value, bool):
@@ -113,13 +114,19 @@ def _typed(value: Any) -> str:
     if is_number(value):
         text = encode(value)
         return f"Number({text}{'' if '.' in text or 'e' in text else '.0'})"
+    if isinstance(value, str):
+        return f"String({json.dumps(value, ensure_ascii=False)})"
+    if isinstance(value, list):
+        return f"Array([{', '.join(map(typed, value))}])"
+    if isinstance(value, dict):
+        return "Hash({" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {typed(v)}" for k, v in value.items()) + "})"
     return str(type_name(value))
 
 
 def _partial_check(value: Any, config: Config, name: str) -> list[Problem]:
     if isinstance(value, str) and value in config.partials:
         return []
-    shown = value if isinstance(value, str) else _typed(value)
+    shown = value if isinstance(value, str) else typed(value)
     return [Problem("attribute-value-invalid", "error", f"Partial `{shown}` not found. The 'file' attribute must be set in `config.partials`")]
 
 

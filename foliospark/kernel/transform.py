@@ -12,7 +12,7 @@ from foliospark.functions.links import normalize_link
 from foliospark.functions.numbers import js_number
 from foliospark.kernel.resolve import has_reference, resolve
 from foliospark.kernel.schema import NODES, TAGS, AttributeType, Config, Schema
-from foliospark.kernel.tree import Node
+from foliospark.kernel.tree import Node, deep
 from foliospark.kernel.values import UNDEFINED, is_number, truthy
 
 MAX_DEPTH = 512
@@ -81,6 +81,8 @@ def transform(node: Node, config: Config) -> Any:
     global _depth
     if _depth >= MAX_DEPTH:
         return Many()
+    if not _depth:
+        deep()
     _depth += 1
     try:
         schema = config.schema(node)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,6 +20,12 @@ TYPES = [
 ]
 
 
+def deep() -> None:
+    """Room for deep documents: Python frames live on the heap, so the interpreter's limit is only a number."""
+    if sys.getrecursionlimit() < 60_000:
+        sys.setrecursionlimit(60_000)
+
+
 @dataclass
 class Problem:
     """A validation error: id, level, message and an optional (start, end) in characters of the source."""

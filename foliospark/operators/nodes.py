@@ -13,7 +13,6 @@ through: join them by the id where they are wanted.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from foliospark.kernel.build import ParseOptions, parse
 from foliospark.kernel.check import shown
-from foliospark.kernel.tree import Node, Positions, Problem
+from foliospark.kernel.schema import typed
+from foliospark.kernel.tree import Node, Positions, Problem, deep
 from foliospark.kernel.values import encode, is_number
 
 BATCH_NODES = 20_000
@@ -32,7 +32,7 @@ BATCH_NODES = 20_000
 _PLACE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("line", "column", "offset")])
 LOCATION = T.StructType([T.StructField("file", T.StringType()), T.StructField("start", _PLACE), T.StructField("end", _PLACE)])
 ERROR = T.StructType([*(T.StructField(n, T.StringType()) for n in ("id", "level", "message")), T.StructField("loc", LOCATION)])
-ATTRIBUTE = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "value", "shown")])
+ATTRIBUTE = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "value", "shown", "typed")])
 ANNOTATION = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "name", "value")])
 FIELDS = [
     T.StructField("node_id", T.IntegerType()),
@@ -55,12 +55,6 @@ FIELDS = [
 ]
 
 
-def deep() -> None:
-    """Room for deep documents: Python frames live on the heap, so the interpreter's limit is only a number."""
-    if sys.getrecursionlimit() < 60_000:
-        sys.setrecursionlimit(60_000)
-
-
 def place(positions: Positions, at: int) -> dict[str, int]:
     line, column, offset = positions.place(at)
     return {"line": line, "column": column, "offset": offset}
@@ -75,10 +69,10 @@ def problem_row(p: Problem, positions: Positions, file: str | None) -> dict:
 
 
 def attribute_row(name: str, value) -> dict:
-    """`shown` is what messages print for values whose text Catalyst would spell otherwise: arrays and unusual numbers."""
+    """What messages print for values whose text Catalyst would spell otherwise: `shown` arrays and unusual numbers, `typed` arrays and objects with their kinds."""
     text = encode(value)
     odd = isinstance(value, list) or is_number(value) and shown(value) != text
-    return {"name": name, "value": text, "shown": shown(value) if odd else None}
+    return {"name": name, "value": text, "shown": shown(value) if odd else None, "typed": typed(value) if isinstance(value, list | dict) else None}
 
 
 def flatten(root: Node, source: str, file: str | None = None, with_location: bool = True) -> Iterator[dict]:

@@ -136,7 +136,7 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _custom(name: Column, value: Column, custom: Column, partials: list[str]) -> Column:
+def _custom(name: Column, value: Column, parts: Column, custom: Column, partials: list[str]) -> Column:
     """The error of a built-in attribute type, or null."""
     kind = value_type(value)
     text = text_of(value)
@@ -148,7 +148,7 @@ def _custom(name: Column, value: Column, custom: Column, partials: list[str]) ->
     )
     known = F.array(*[F.lit(p) for p in partials]).cast("array<string>")
     number = F.concat(F.lit("Number("), value, F.when(value.rlike("[.e]"), ")").otherwise(".0)"))
-    typed = F.when(value == "null", "Null").when(kind == "Boolean", F.concat(F.lit("Boolean("), value, F.lit(")"))).when(kind == "Number", number).otherwise(kind)
+    typed = F.when(value == "null", "Null").when(kind == "Boolean", F.concat(F.lit("Boolean("), value, F.lit(")"))).when(kind == "Number", number).otherwise(F.coalesce(parts, kind))
     lost = ~F.coalesce((kind == "String") & F.array_contains(known, text), F.lit(False))
     return own.when(
         (custom == "PartialFile") & lost,
@@ -167,7 +167,7 @@ def _attribute_errors(config: Config) -> Column:
         free = F.coalesce(kind.isin("Function", "Variable"), F.lit(False))
         wrong = declared["types"].isNotNull() & ~free & ~F.coalesce(F.array_contains(declared["types"], kind), F.lit(False))
         type_error = F.when(wrong, _error("attribute-type-invalid", declared["level"], _text("Attribute '", name, "' must be type of '", declared["type_text"], "'")))
-        own = F.when(~free & declared["custom"].isNotNull(), _custom(name, value, declared["custom"], list(config.partials)))
+        own = F.when(~free & declared["custom"].isNotNull(), _custom(name, value, attr["typed"], declared["custom"], list(config.partials)))
         bad = declared["matches"].isNotNull() & ~F.coalesce(F.array_contains(declared["matches"], value), F.lit(False))
         match_error = F.when(bad, _error("attribute-value-invalid", declared["level"], _text("Attribute '", name, "' must match one of ", declared["matches_text"], ". Got '", shown(attr), "' instead.")))
         lost = F.lit(None).cast(ERROR)

@@ -22,10 +22,10 @@ SLOT_KEYS = ("render", "required")
 
 #: Why some keys cannot stand in a file.
 REASONS = {
-    "transform": "a hook is code, and a configuration file cannot hold code; pass a Schema with the hook instead",
-    "validate": "a hook is code, and a configuration file cannot hold code; pass a Schema with the hook instead",
-    "functions": "a function is code, and a configuration file cannot hold code; the built-in functions are already present",
-    "partials": "partials are documents: read them from a folder, not from the configuration",
+    "transform": "hooks are Python; give them to Schema(transform=...)",
+    "validate": "hooks are Python; give them to Schema(validate=...)",
+    "functions": "functions are Python; give them to Config.of(functions=...)",
+    "partials": "give a folder of documents to read_config(partials=...)",
 }
 
 
@@ -62,7 +62,7 @@ def _shape(value: Any) -> str:
 
 
 def _expected(at: str, what: str, got: Any) -> DeclarationError:
-    return DeclarationError(at, f"expected {what}, not {_shape(got)}")
+    return DeclarationError(at, f"{_shape(got)} stands where {what} belongs")
 
 
 def _object(value: Any, at: str, keys: tuple[str, ...] | None = None) -> dict[str, Any]:
@@ -70,7 +70,7 @@ def _object(value: Any, at: str, keys: tuple[str, ...] | None = None) -> dict[st
         raise _expected(at, "an object", value)
     for key in value:
         if keys is not None and key not in keys:
-            raise DeclarationError(f"{at}.{key}", f"unrecognised key. Expected one of {', '.join(keys)}", REASONS.get(str(key)))
+            raise DeclarationError(f"{at}.{key}", f"no such key here; there are {', '.join(keys)}", REASONS.get(str(key)))
     return value
 
 
@@ -94,26 +94,26 @@ def _flag(value: Any, at: str) -> bool:
 
 def _render(value: Any, at: str) -> bool | str:
     if not isinstance(value, bool | str):
-        raise _expected(at, "true, false, or a name to render under", value)
+        raise _expected(at, "a boolean or an output name", value)
     return value
 
 
 def _node_type(name: str, at: str) -> str:
     if name not in TYPES:
-        raise DeclarationError(at, f"unknown node type {json.dumps(name)}; expected one of {', '.join(TYPES)}")
+        raise DeclarationError(at, f"{json.dumps(name)} names no type of node ({', '.join(TYPES)})")
     return name
 
 
 def _type_name(name: str, at: str) -> str:
     if name not in PRIMITIVES:
-        raise DeclarationError(at, f"unknown attribute type {json.dumps(name)}; expected {', '.join(PRIMITIVES)}, or an array of those")
+        raise DeclarationError(at, f"{json.dumps(name)} names no type of attribute ({', '.join(PRIMITIVES)}; a list of them is a union)")
     return name
 
 
 def _type(value: Any, at: str) -> str | tuple[str, ...]:
     if isinstance(value, list):
-        return tuple(_type_name(_text(x, f"{at}[{k}]", "an attribute type name inside a union"), f"{at}[{k}]") for k, x in enumerate(value))
-    return _type_name(_text(value, at, "an attribute type name as a string, or an array of them"), at)
+        return tuple(_type_name(_text(x, f"{at}[{k}]", "a type of the union"), f"{at}[{k}]") for k, x in enumerate(value))
+    return _type_name(_text(value, at, "a type or a list of types"), at)
 
 
 def plain_value(value: Any, at: str) -> Any:
@@ -128,7 +128,7 @@ def plain_value(value: Any, at: str) -> Any:
         return {_key(k): plain_value(x, f"{at}.{_key(k)}") for k, x in value.items()}
     if isinstance(value, datetime.date | datetime.datetime):
         return value.isoformat()
-    raise DeclarationError(at, f"{_shape(value)} has no counterpart in documents; use a string, number, boolean, null, array or plain object")
+    raise DeclarationError(at, f"documents cannot hold {_shape(value)}")
 
 
 def _key(key: Any) -> str:
@@ -148,14 +148,14 @@ def _attribute(value: Any, at: str) -> Attribute:
             read["required"] = _flag(item, here)
         elif key == "matches":
             if not isinstance(item, list):
-                raise DeclarationError(here, "expected an array of acceptable values", "write the acceptable values out as a list")
+                raise DeclarationError(here, f"{_shape(item)} stands where a list of the allowed texts belongs")
             read["matches"] = [_text(x, f"{here}[{k}]") for k, x in enumerate(item)]
         elif key == "render":
             read["render"] = _render(item, here)
         elif key == "errorLevel":
-            level = _text(item, here, "an error level name")
+            level = _text(item, here, "a level")
             if level not in LEVELS:
-                raise DeclarationError(here, f"unknown error level {json.dumps(level)}; expected one of {', '.join(LEVELS)}")
+                raise DeclarationError(here, f"{json.dumps(level)} is no level ({', '.join(LEVELS)})")
             read["error_level"] = level
         else:
             read["description"] = _text(item, here)
@@ -180,7 +180,7 @@ def _schema(value: Any, at: str) -> Schema:
         if key == "render":
             policy = _render(item, here)
             if policy is True:
-                raise DeclarationError(here, "expected an element name or false, not true")
+                raise DeclarationError(here, "true names no element; give a name or false")
             read["render"] = policy or None
         elif key == "children":
             read["children"] = tuple(_node_type(_text(x, f"{here}[{k}]", "a node type name"), f"{here}[{k}]") for k, x in enumerate(_list(item, here)))
@@ -208,7 +208,7 @@ def declare(root: Any) -> Declared:
     for name, value in _object(given.get("nodes", {}), "config.nodes").items():
         at = f"config.nodes.{_key(name)}"
         if _node_type(_key(name), at) == "tag":
-            raise DeclarationError(at, 'a tag is looked up by its name, never as the node type "tag"; declare it under "tags"')
+            raise DeclarationError(at, 'tags go by their own names, under config.tags')
         out.nodes[name] = _schema(value, at)
     if "variables" in given:
         out.variables = {_key(k): plain_value(v, f"config.variables.{_key(k)}") for k, v in _object(given["variables"], "config.variables").items()}
@@ -224,9 +224,9 @@ def load_text(text: str) -> Any:
     try:
         documents = list(yaml.safe_load_all(text))
     except yaml.YAMLError as e:
-        raise DeclarationError("config", f"not valid YAML: {e}") from e
+        raise DeclarationError("config", f"the YAML cannot be read: {e}") from e
     if len(documents) > 1:
-        raise DeclarationError("config", f"expected one YAML document, found {len(documents)}; remove the `---` separators")
+        raise DeclarationError("config", f"{len(documents)} YAML documents stand in one configuration")
     return documents[0] if documents else None
 
 
@@ -234,7 +234,7 @@ def parse_variable(text: str) -> tuple[str, Any]:
     """NAME=VALUE, the value read as a configuration's would be."""
     name, sign, value = text.partition("=")
     if not sign or not name:
-        raise DeclarationError("variables", f"{text}: expected NAME=VALUE")
+        raise DeclarationError("variables", f"{text} is not of the form NAME=VALUE")
     return name, plain_value(load_text(value), f"config.variables.{name}")
 
 

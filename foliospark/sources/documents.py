@@ -28,7 +28,7 @@ def _decoded(content: Column) -> tuple[Column, Column]:
 
 
 def read_documents(spark: SparkSession, paths: str | list[str], label: str | None = None, recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """(doc_id, file, source, error), one row a file; doc_id is a hash of the label."""
+    """(doc_id, file, source, error), one row a file; doc_id is a hash of the path."""
     named = [paths] if isinstance(paths, str) else list(paths)
     found, lost = [], []
     for path in named:
@@ -40,12 +40,12 @@ def read_documents(spark: SparkSession, paths: str | list[str], label: str | Non
     out = None
     for files in found:
         text, error = _decoded(F.col("content"))
-        rows = files.select((F.lit(label) if label else F.col("path")).alias("file"), text.alias("source"), error.alias("error"))
+        rows = files.select((F.lit(label) if label else F.col("path")).alias("file"), text.alias("source"), error.alias("error"), "path")
         out = rows if out is None else out.unionByName(rows)
     if lost or out is None:
-        rows = spark.createDataFrame([(p, None, e) for p, e in lost], "file string, source string, error string")
+        rows = spark.createDataFrame([(p, None, e, p) for p, e in lost], "file string, source string, error string, path string")
         out = rows if out is None else out.unionByName(rows)
-    return out.select(F.xxhash64("file").alias("doc_id"), "file", "source", "error")
+    return out.select(F.xxhash64("path").alias("doc_id"), "file", "source", "error")
 
 
 def from_column(df: DataFrame, source: Column | str, id_col: str = "doc_id", file: Column | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 Rendering, parsing, formatting and validation work row by row, so a stream of documents needs no
 state: the same columns and plans run on streaming tables in append mode.  Corpus counts over a
 stream are windowed aggregates behind a watermark; documents later than it are dropped by Spark,
-as the watermark says.  `latest_documents` keeps one row an id within the watermark.
+as the watermark says.  `first_documents` keeps one row an id within the watermark.
 """
 
 from __future__ import annotations
@@ -35,15 +35,17 @@ def problem_counts(problems: DataFrame, time: str, delay: str = "10 minutes", wi
     return rows.select(F.col("w.start").alias("window_start"), "error_id", "level", "n")
 
 
-def latest_documents(stream: DataFrame, time: str, id_col: str = "doc_id", delay: str = "10 minutes") -> DataFrame:
+def first_documents(stream: DataFrame, time: str, id_col: str = "doc_id", delay: str = "10 minutes") -> DataFrame:
     """The first arrival of each id within the watermark."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([id_col])
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the session shares between machines; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the one that the session shares between machines; where none is named, only a session on one machine gets one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(named or tempfile.mkdtemp(prefix='streams-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from foliospark.plans.render import render_nodes
 from foliospark.sources.declare import DeclarationError, configure, declare, load_text, parse_variable
 from foliospark.sources.documents import read_config, read_documents, read_partials, strip_frontmatter
 from foliospark.sources.sinks import diagnostics_json, exit_code, format_check, format_code, human_lines, unified_diff, write_formatted, write_html, write_lines
-from foliospark.streaming.documents import latest_documents, problem_counts, render_stream, validate_stream, write_batches
+from foliospark.streaming.documents import first_documents, problem_counts, render_stream, validate_stream, write_batches
 
 SOURCES = [
     "# Title {% #t .a %}\n\nText *em* **st** `co` [l](/ä b) ![i](/c).\n",
@@ -297,7 +297,7 @@ def test_streams_need_no_state(spark, tmp_path):
 
     assert rows(run(render_stream(engine, stream), "htmls").select("doc_id", "html")) == rows(engine.render(batch).select("doc_id", "html"))
     assert rows(run(validate_stream(engine, stream), "problems").select("doc_id", "node_id", "pos", "message")) == rows(engine.validate(batch).select("doc_id", "node_id", "pos", "message"))
-    assert run(latest_documents(stream, "at"), "latest").count() == len(SOURCES)
+    assert run(first_documents(stream, "at"), "latest").count() == len(SOURCES)
     found = engine.validate(stream).withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     counts = run(problem_counts(found, "at"), "counts", "complete")
     assert counts.agg(F.sum("n")).first()[0] == engine.validate(batch).count()
