@@ -31,13 +31,17 @@ def error_rollup(problems: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def outline(nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, ordinal, level, text) of every heading, numbered from 1 in each document; text joins the plain text below it."""
-    # Headings stand for themselves and texts for all their ancestors, so the node table is read once and grouped once.
+    # In document order a text belongs to the last heading before it if that one reaches so far; all steps go by document.
     is_head = F.col("type") == "heading"
     content = attribute("content")
     level = F.when(is_head, attribute("level").cast("double").cast("int"))
-    rows = nodes.filter("type in ('heading', 'text', 'code')").select(id_col, "node_id", level.alias("level"), F.when(content.startswith('"'), text_of(content)).alias("t"), F.explode(F.when(is_head, F.array("node_id")).otherwise(F.col("path"))).alias("__head"))
+    rows = nodes.filter("type in ('heading', 'text', 'code')").select(
+        id_col, "node_id", level.alias("level"), F.when(content.startswith('"'), text_of(content)).alias("t"), F.when(is_head, F.struct("node_id", "last_desc")).alias("own")
+    )
+    before = Window.partitionBy(id_col).orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("head", F.last("own", ignorenulls=True).over(before)).filter("node_id <= head.last_desc")
     parts = F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("node_id", "t"))))
-    heads = rows.groupBy(id_col, "__head").agg(F.max("level").alias("level"), parts.alias("parts")).filter("level is not null")
+    heads = rows.groupBy(id_col, F.col("head.node_id").alias("__head")).agg(F.max("level").alias("level"), parts.alias("parts"))
     order = Window.partitionBy(id_col).orderBy("__head")
     return heads.select(id_col, F.row_number().over(order).alias("ordinal"), "level", F.array_join(F.transform("parts", lambda p: p["t"]), "").alias("text"))
 

@@ -1,11 +1,12 @@
 """Conditionals as a relational plan: which branch of each `if` the node table keeps.
 
 A child's branch is the number of `else` siblings before it; the first branch whose condition
-holds wins.  Conditions are resolved by `resolve_column` where they hold references.  Rows of
-other branches go, and with them everything below: `path` holds a row's ancestors, so one array
-test against the document's dropped rows does it.  The windows and the join go by document and
-parent; a document's dropped rows are one array, bounded by the document.  The node table is read
-four times: write or persist it first where parsing is what costs.
+holds wins.  Conditions are resolved by `resolve_column` where they hold references.  An `if`
+stands among its siblings and once more at the head of its own children, so one window by document
+and parent decides all branches; rows of other branches go, and with them everything below: in
+document order a row lies below a dropped one if the largest `last_desc` of those before it
+reaches it.  The node table is read once, nothing is joined, and both windows are bounded by a
+document.
 """
 
 from __future__ import annotations
@@ -24,24 +25,19 @@ def _primary(attrs: str) -> Column:
 
 def select_branches(nodes: DataFrame, config: Config | None = None, id_col: str = "doc_id") -> DataFrame:
     """The node table without the branches that do not hold (the `if` and `else` rows stay, `node_id`s too)."""
-    spark = nodes.sparkSession
-    tests = nodes.filter(F.col("tag").isin("if", "else") & (F.col("type") == "tag"))
-    given = F.size(_primary("attrs")) > 0
-    value = resolve_column(spark, F.get(_primary("attrs"), F.lit(0))["value"], config)
-    holds = F.when(given, truthy(value)).otherwise(F.col("tag") == "else")
-    tests = tests.select(id_col, "node_id", "parent_id", "tag", holds.alias("holds"))
-    ifs = tests.filter("tag = 'if'").select(F.col(id_col).alias("__id"), F.col("node_id").alias("__if"), F.col("holds").alias("first_holds"))
-    children = nodes.filter("parent_id is not null").select(F.col(id_col).alias("__id"), F.col("parent_id").alias("__if"), "node_id", "ordinal", "tag", "slot")
-    children = children.join(ifs, ["__id", "__if"])
-    else_holds = tests.filter("tag = 'else'").select(F.col(id_col).alias("__id"), "node_id", F.col("holds").alias("else_holds"))
-    children = children.join(else_holds, ["__id", "node_id"], "left")
-    order = Window.partitionBy("__id", "__if").orderBy("ordinal")
-    is_else = F.coalesce(F.col("tag") == "else", F.lit(False)) & F.col("slot").isNull()
-    branch = F.sum(is_else.cast("int")).over(order)
-    children = children.withColumn("branch", branch).withColumn("is_else", is_else)
-    winner = F.when(F.col("first_holds"), F.lit(0)).otherwise(F.min(F.when(F.col("is_else") & F.col("else_holds"), F.col("branch"))).over(Window.partitionBy("__id", "__if")))
-    dropped = children.withColumn("winner", winner).filter(~F.col("is_else") & (F.col("winner").isNull() | (F.col("branch") != F.col("winner"))))
-    gone = dropped.groupBy("__id").agg(F.collect_set("node_id").alias("__gone"))
-    met = nodes.join(gone, nodes[id_col] == gone["__id"], "left")
-    inside = F.arrays_overlap(F.array_append("path", F.col("node_id")), F.col("__gone"))
-    return met.filter(F.col("__gone").isNull() | ~inside).select(*nodes.columns)
+    is_tag = lambda name: F.coalesce((F.col("type") == "tag") & (F.col("tag") == name), F.lit(False))
+    test = is_tag("if") | is_tag("else")
+    value = resolve_column(nodes.sparkSession, F.when(test, F.get(_primary("attrs"), F.lit(0))["value"]), config)
+    holds = F.when(test, F.when(F.size(_primary("attrs")) > 0, truthy(value)).otherwise(is_tag("else")))
+    rows = nodes.withColumn("__holds", holds).withColumn("__under", F.explode(F.when(is_tag("if"), F.array("parent_id", "node_id")).otherwise(F.array("parent_id"))))
+    head = is_tag("if") & F.coalesce(F.col("__under") == F.col("node_id"), F.lit(False))
+    rows = rows.withColumn("__head", head).withColumn("__else", is_tag("else") & F.col("slot").isNull())
+    siblings = Window.partitionBy(id_col, "__under")
+    before = siblings.orderBy(F.when(F.col("__head"), -1).otherwise(F.col("ordinal"))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__branch", F.sum(F.col("__else").cast("int")).over(before)).withColumn("__first", F.max(F.when(F.col("__head"), F.col("__holds"))).over(siblings))
+    winner = F.when(F.col("__first"), F.lit(0)).otherwise(F.min(F.when(F.col("__else") & F.col("__holds"), F.col("__branch"))).over(siblings))
+    rows = rows.withColumn("__winner", winner).filter(~F.col("__head"))
+    lost = F.col("__first").isNotNull() & ~F.col("__else") & (F.col("__winner").isNull() | (F.col("__branch") != F.col("__winner")))
+    earlier = Window.partitionBy(id_col).orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__until", F.max(F.when(lost, F.col("last_desc"))).over(earlier))
+    return rows.filter(F.coalesce(F.col("__until") < F.col("node_id"), F.lit(True))).select(*nodes.columns)
