@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import cut, id_bitmap, map_texts, quoted, read, rest, split_by_bitmap, unsigned_key
+from foliospark.llm.common import cut, id_bitmap, map_texts, met_by, quoted, read, rest, split_by_bitmap, unsigned_key
 from foliospark.llm.graph import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
@@ -259,7 +259,7 @@ def _grouped(df: DataFrame, id_col: str, text: str, radius: int) -> DataFrame:
     comps = components(link_fingerprints(reps.select("fp", F.col("fp").alias("id")), reps.count(), radius))
     by_fp = reps.join(comps, reps["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     lows = by_fp.groupBy("c").agg(F.min("least").alias("component_id"))
-    by_fp = by_fp.join(lows, "c").select("fp", "component_id")
+    by_fp = met_by(by_fp, lows, ["c"]).select("fp", "component_id")  # a large group is a hot key
     return fps.join(by_fp, "fp", "left").select("id", "v", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
