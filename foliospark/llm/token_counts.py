@@ -7,6 +7,10 @@ distinct parts are encoded once by the library and summed per text, and a bounde
 remembers parts of earlier batches.  Long texts therefore go through in small parts, and
 nothing but integers returns to Spark.
 
+Where no boundary is safe a text goes to the library whole, by itself: texts that hold the space
+mark itself, and all texts of other vocabularies.  Memory then follows the longest such text, which
+Spark bounds at 2 GB a value.
+
 Nulls count as empty texts; an empty text has zero bytes and zero tokens.
 """
 
