@@ -24,13 +24,14 @@ from foliospark.kernel.format import FormatOptions, settle
 from foliospark.kernel.render import render
 from foliospark.kernel.resolve import resolve
 from foliospark.kernel.schema import Config
+from foliospark.kernel.tokenizer import masked
 from foliospark.kernel.transform import to_plain
 from foliospark.kernel.values import UNDEFINED, decode, encode
 from foliospark.operators import values
 from foliospark.operators.kernels import Shared, ast_plain, dump, renderables, scope
 from foliospark.operators.nodes import deep, flatten
 
-SEGMENT = "kind string, start int, stop int, line int, body string"
+SEGMENT = "kind string, start int, stop int, line int, body string, masked string"
 NODE = "node_id int, parent_id int, depth int, last_desc int, slot string, type string, tag string, inline boolean, attrs string, line int"
 
 # Bodies of the SQL functions that Catalyst inlines.
@@ -41,12 +42,13 @@ _NATIVE = {
 
 
 def segments(source: str, comments: bool = False) -> Iterator[tuple]:
-    """(kind, start, stop, line, body) of each block outside containers and of each block tag anywhere."""
+    """(kind, start, stop, line, body, masked) of each block and each block tag, containers before what is in them; text with inline rules has its tags masked."""
     todo: list[Block] = list(reversed(Blocks(source, comments).parse().children))
     while todo:
         block = todo.pop()
         kind = "tag" if block.kind == "tagline" else block.kind
-        yield kind, block.start, max(block.start, block.end), block.line, block.data.get("body")
+        stop = max(block.start, block.end)
+        yield kind, block.start, stop, block.line, block.data.get("body"), masked(source[block.start : stop])[0] if kind in ("paragraph", "heading", "table") else None
         todo += reversed(block.children)
 
 

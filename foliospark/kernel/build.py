@@ -5,9 +5,10 @@ from __future__ import annotations
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
-from foliospark.kernel.blocks import Block, Blocks
+from foliospark.kernel.blocks import Block
 from foliospark.kernel.grammar import Attribute, TagError, find_tag_end, known_tag, parse_tag, tag_in_url
-from foliospark.kernel.inline import Inline, unescape
+from foliospark.kernel.inline import unescape
+from foliospark.kernel.tokenizer import MARKDOWN, Tokenizer
 from foliospark.kernel.tree import Node, Positions, Problem, annotate, deep
 
 
@@ -19,6 +20,7 @@ class ParseOptions:
     allow_comments: bool = False
     validated_protocols: tuple[str, ...] = ()
     conditional_tags: tuple[str, ...] = ("if",)
+    tokenizer: Tokenizer = MARKDOWN
     bare: bool = False  # no lines and places of inline nodes: for trees that are only rendered
 
 
@@ -53,11 +55,10 @@ class Builder:
         self.owner: int | None = None  # place on the stack of the block that owns the inline run
 
     def parse(self) -> Node:
-        blocks = Blocks(self.source, self.options.allow_comments)
-        root = blocks.parse()
-        self.references = blocks.references
-        self.stack[0].lines = [0, len(blocks.lines)] if blocks.lines else []
-        for block in root.children:
+        tokens = self.options.tokenizer.blocks(self.source, self.options.allow_comments)
+        self.references = tokens.references
+        self.stack[0].lines = [0, tokens.n_lines] if tokens.n_lines else []
+        for block in tokens.root.children:
             self.block(block, False)
         self.close_tags(0)
         rewrite_tables(self.stack[0], self.options.conditional_tags)
@@ -71,9 +72,9 @@ class Builder:
 
     def attach(self, node: Node) -> None:
         top = self.top
-        if node.type == "text" and not node.errors and isinstance(text := node.attributes.get("content"), str) and top.children:
-            last = top.children[-1]
-            if last.type == "text" and last.inline == node.inline and isinstance(last.attributes.get("content"), str):
+        if node.type == "text" and top.children and (last := top.children[-1]).type == "text" and last.inline == node.inline and not node.errors:
+            text = node.attributes.get("content")
+            if isinstance(text, str) and isinstance(last.attributes.get("content"), str):
                 last.attributes["content"] += text
                 if last.span and node.span:
                     last.span = (last.span[0], node.span[1])
@@ -218,14 +219,15 @@ class Builder:
 
     def run(self, run: Run) -> None:
         wrapped = self.top.type == "tag" and not self.top.inline
-        span = (run.at(0), run.at(max(0, len(run.text) - 1)) + 1)
+        bare = self.options.bare
+        span = None if bare else (run.at(0), run.at(max(0, len(run.text) - 1)) + 1)
         if wrapped:
-            self.stack.append(Node("paragraph", lines=self.lines(span), span=span))
+            self.stack.append(Node("paragraph", lines=[] if bare else self.lines(span), span=span))
         self.owner = len(self.stack) - 1
-        inline = Node("inline", lines=list(self.top.lines), span=span)
+        inline = Node("inline", lines=[] if bare else list(self.top.lines), span=span)
         self.stack.append(inline)
         depth = len(self.stack) - 1
-        for event in Inline(run.text, self.references, self.options.allow_comments).run():
+        for event in self.options.tokenizer.inline(run.text, self.references, self.options.allow_comments):
             self.event(event, run, depth)
         self.close_tags(depth)
         protocols = list(self.options.validated_protocols)
@@ -237,25 +239,20 @@ class Builder:
             self.finish()
 
     def event(self, event: list, run: Run, depth: int) -> None:
-        kind, a, b = event[0], event[-1], run
-        bare = self.options.bare
-        if bare and kind == "text":
-            self.attach(Node("text", {"content": event[1]}, inline=True))
-            return
-        span = None if bare and kind != "tag" else (b.at(a[0]), b.at(max(a[0], a[1] - 1)) + 1)
-        make = lambda kind, **attributes: Node(kind, attributes, lines=[] if bare else self.lines(span), inline=True, span=span)
-        if kind == "text":
-            self.attach(make("text", content=event[1]))
-        elif kind == "code":
-            self.attach(make("code", content=event[1]))
-        elif kind == "comment":
-            self.attach(make("comment", content=event[1]))
+        kind, a = event[0], event[-1]
+        if self.options.bare and kind != "tag":
+            span, lines = None, []
+        else:
+            span = (run.at(a[0]), run.at(max(a[0], a[1] - 1)) + 1)
+            lines = self.lines(span)
+        if kind in ("text", "code", "comment"):
+            self.attach(Node(kind, {"content": event[1]}, lines=lines, inline=True, span=span))
         elif kind in ("soft", "hard"):
-            self.attach(make(kind + "break"))
+            self.attach(Node(kind + "break", lines=lines, inline=True, span=span))
         elif kind == "image":
-            self.attach(make("image", **event[1]))
+            self.attach(Node("image", dict(event[1]), lines=lines, inline=True, span=span))
         elif kind == "open":
-            self.stack.append(make(event[1], **event[2]))
+            self.stack.append(Node(event[1], dict(event[2]), lines=lines, inline=True, span=span))
         elif kind == "close":
             at = next((k for k in range(len(self.stack) - 1, depth, -1) if self.stack[k].type == event[1]), None)
             if at is not None:
@@ -277,7 +274,7 @@ class Builder:
             self.attach(node)
             return
         moved = lambda at: None if at is None else at + start
-        attributes = [Attribute(a.kind, a.name, a.value, a.start + start, a.end + start, moved(a.value_start), moved(a.value_end)) for a in item.attributes]
+        attributes = item.attributes if self.options.bare else [Attribute(a.kind, a.name, a.value, a.start + start, a.end + start, moved(a.value_start), moved(a.value_end)) for a in item.attributes]
         if item.kind == "value":
             self.attach(Node("text", {"content": item.value}, lines=lines, inline=inline, span=span))
         elif item.kind == "open":

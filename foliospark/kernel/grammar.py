@@ -19,6 +19,8 @@ _NUMBER = re.compile(r"-?[0-9]+(?:\.[0-9]+)?")
 _STRING = re.compile(r'"((?:[^\x00-\x1f"\\]|\\["\\nrt])*)"')
 _ESCAPES = {'"': '"', "\\": "\\", "n": "\n", "r": "\r", "t": "\t"}
 _MISS = object()
+#: What may stand before a closing `%}`; possessive, so that it never goes back.
+_BEFORE_END = re.compile(r'(?:[^"%]++|"(?:[^"\\]++|\\.)*+"|%(?!\}))*+(?=%\})', re.S)
 
 
 class TagError(ValueError):
@@ -357,20 +359,8 @@ def parse_value(text: str) -> Any:
 
 def find_tag_end(text: str, start: int = 0) -> int | None:
     """Offset of the `%}` that closes the tag begun before `start`, quotes and their escapes passed over."""
-    n, at, quoted = len(text), start, False
-    while at < n:
-        ch = text[at]
-        if quoted:
-            if ch == "\\":
-                at += 1
-            elif ch == '"':
-                quoted = False
-        elif ch == '"':
-            quoted = True
-        elif ch == "%" and text.startswith("%}", at):
-            return at
-        at += 1
-    return None
+    m = _BEFORE_END.match(text, start)
+    return m.end() if m else None
 
 
 def tag_in_url(text: str, protocols: list[str]) -> bool:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -21,9 +22,10 @@ TYPES = [
 
 
 def deep() -> None:
-    """Room for deep documents: Python frames live on the heap, so the interpreter's limit is only a number."""
+    """Room for deep and large documents: Python frames live on the heap, so the interpreter's limit is only a number; trees have no cycles, so the collector may look seldom."""
     if sys.getrecursionlimit() < 60_000:
         sys.setrecursionlimit(60_000)
+        gc.set_threshold(100_000, 20, 20)
 
 
 @dataclass

@@ -25,6 +25,7 @@ from foliospark.kernel.check import validate
 from foliospark.kernel.format import FormatOptions, settle
 from foliospark.kernel.render import HTML, Renderer, render
 from foliospark.kernel.schema import NODES, Config
+from foliospark.kernel.tokenizer import MARKDOWN
 from foliospark.kernel.transform import Many, to_plain, transform
 from foliospark.kernel.tree import Node, Positions
 from foliospark.kernel.values import from_plain
@@ -81,7 +82,7 @@ class Kernels:
     def __init__(self, spark: SparkSession, config: Config | None = None, options: ParseOptions | None = None, renderer: Renderer = HTML, formatting: FormatOptions | None = None):
         self.options = options or ParseOptions()
         built_in = all(config is None or config.nodes.get(n) is NODES[n] for n in ("document", "paragraph", "inline", "text", "softbreak"))
-        self.prose_is_native = built_in and renderer is HTML and (config is None or config.source is None)
+        self.prose_is_native = built_in and renderer is HTML and self.options.tokenizer is MARKDOWN and (config is None or config.source is None)
         self.shared = Shared(spark, (config or Config(), renderer))
         self.formatting = formatting or FormatOptions(allow_comments=self.options.allow_comments)
 

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from foliospark.engine import Engine
 from foliospark.functions import sql
 from foliospark.functions.document import Function
+from foliospark.kernel.blocks import Block
 from foliospark.kernel.build import ParseOptions
 from foliospark.kernel.format import FormatOptions
 from foliospark.kernel.schema import Attribute, AttributeType, Config, Pattern, Schema, Slot
+from foliospark.kernel.tokenizer import Tokens, masked
 from foliospark.kernel.tree import Problem
 from foliospark.operators.nodes import parse_nodes
 from foliospark.operators.values import format_value_column, parse_value_column, tag_end_column
@@ -142,6 +144,45 @@ def own_renderer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, renderer=Dashes()).render(rows, variables="v", html="text").select("n_nationkey", "text")
 
 
+class PlainLines:
+    """A host's own tokenizer: every line with a word is a paragraph, nothing but a tag is markup."""
+
+    def blocks(self, source: str, comments: bool) -> Tokens:
+        root, at, lines = Block("document", 0, 0), 0, source.split("\n")
+        for k, text in enumerate(lines):
+            if text.strip():
+                root.children.append(Block("paragraph", k, at, text=[(text, at)], end_line=k + 1, end=at + len(text)))
+            at += len(text) + 1
+        return Tokens(root, len(lines))
+
+    def inline(self, text: str, references: dict, comments: bool) -> list[list]:
+        events, done = [], 0
+        for start, stop in masked(text)[1]:
+            events += [["text", text[done:start], (done, start)]] * (start > done) + [["tag", text[start + 2 : stop - 2], (start, stop)]]
+            done = stop
+        return events + [["text", text[done:], (done, len(text))]] * (len(text) > done)
+
+
+@query("""SELECT s_suppkey, '<article><p># ' || s_name || ' *not marked*</p><p>- nation <b>' || s_nationkey || '</b></p></article>' AS html, 15 + length(s_name) AS first_end FROM supplier""")
+def own_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A host's own tokenizer under the same tags; places of nodes count its offsets."""
+    source = written("# ", F.col("s_name"), " *not marked*\n\n- nation {% b %}{% $n %}{% /b %}")
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", source.alias("source"), F.to_json(F.struct(F.col("s_nationkey").alias("n"))).alias("v"))
+    engine = Engine(spark, Config.of({"b": Schema("b")}), ParseOptions(tokenizer=PlainLines()))
+    first = engine.parse(rows, "s_suppkey").filter("type = 'paragraph' and loc.start.offset = 0").select(F.col("s_suppkey").alias("k"), F.col("loc.end.offset").cast("long").alias("first_end"))
+    return engine.render(rows, variables="v").join(first, F.col("k") == F.col("s_suppkey")).select("s_suppkey", "html", "first_end")
+
+
+@query("""SELECT s_suppkey, 'see {% xxxx ' || repeat('x', length('id="*' || s_suppkey || '"')) || ' %} *it* {% open' AS masked FROM supplier""")
+def segment_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked copy of a paragraph: bodies of tags written over, an open delimiter left."""
+    sql.register(spark)
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", written('see {% item id="*', F.col("s_suppkey"), '" %} *it* {% open').alias("source"))
+    view = f"masks_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(view)
+    return spark.sql(f"SELECT s_suppkey, masked FROM {view}, LATERAL md_segments(source)")
+
+
 @query("""SELECT o_orderkey, 'order ' || o_orderkey AS message FROM orders WHERE o_orderstatus = 'F'""")
 def hook_with_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A validation hook that sees its ancestors."""

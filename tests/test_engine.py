@@ -1,6 +1,7 @@
 """The engine over tables: plans against kernels, sources, sinks, SQL functions, streams."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +10,11 @@ from foliospark.engine import Engine
 from foliospark.functions import sql
 from foliospark.functions.columns import md_default, md_equals, truthy, unsafe_link
 from foliospark.functions.document import Function
+from foliospark.kernel.blocks import Block
 from foliospark.kernel.build import ParseOptions
 from foliospark.kernel.inline import unsafe_link as unsafe_text
 from foliospark.kernel.schema import Attribute, AttributeType, Config, Pattern, Schema, Slot
+from foliospark.kernel.tokenizer import Tokens, masked
 from foliospark.kernel.tree import Problem
 from foliospark.operators.nodes import parse_nodes
 from foliospark.plans.render import render_nodes
@@ -273,6 +276,33 @@ def test_native_functions_agree_with_the_language(spark):
     assert [r[0] for r in links.select(unsafe_link(F.col("u"))).collect()] == [unsafe_text(u) for u in urls]
 
 
+def test_masks_keep_lengths_lines_and_quote_markers():
+    assert masked("a *b*") == ("a *b*", []) and masked("") == ("", [])
+    assert masked('{% a b="%} *x*" %}*') == ("{% x xxxxx xxxx %}*", [(0, 18)])
+    assert masked("> {% a\n> é=1 %} {% b\n\n%} {% c") == ("> {% x\n> xxx %} {% b\n\n%} {% c", [(2, 15)])
+    for text in filter(None, SOURCES):
+        got, tags = masked(text)
+        assert len(got) == len(text) and got.count("\n") == text.count("\n") and all(got[a : a + 2] == "{%" and got[b - 2 : b] == "%}" for a, b in tags)
+
+
+class _Words:
+    """Every word of a source is a paragraph."""
+
+    def blocks(self, source, comments):
+        root = Block("document", 0, 0, children=[Block("paragraph", 0, m.start(), text=[(m[0], m.start())], end=m.end()) for m in re.finditer(r"\S+", source)])
+        return Tokens(root, 1)
+
+    def inline(self, text, references, comments):
+        return [["text", text, (0, len(text))]]
+
+
+def test_a_hosts_tokenizer_reads_plain_prose_too(spark):
+    df = spark.createDataFrame([("one *two*",), ("",), (None,)], "source string")
+    engine = Engine(spark, options=ParseOptions(tokenizer=_Words()))
+    assert [r["html"] for r in engine.render(df).collect()] == ["<article><p>one</p><p>*two*</p></article>", "<article></article>", None]
+    assert engine.with_partials({"p": "a b"}).config.partials["p"].children[1].type == "paragraph"
+
+
 def test_frontmatter_is_the_hosts_to_strip(spark):
     df = spark.createDataFrame([("---\ntitle: x\n---\n# a\n",), ("# a\n---\n",)], "source string")
     assert [r[0] for r in df.select(strip_frontmatter(F.col("source"))).collect()] == ["# a\n", "# a\n---\n"]
