@@ -1,7 +1,10 @@
-"""Licence templates: short notices of public licences, whole texts of the short ones, and the notices for source files of Apache-2.0 and GPL-3.0."""
+"""Licence templates: short notices of public licences, texts of the short ones, the notices for source files of Apache-2.0 and
+GPL-3.0, and the full texts of the long ones, which stand as published in `licences/`, a file each."""
 
 from __future__ import annotations
 
+from importlib import resources
+
 # Fixed values: (licence, wording of the notice) as public projects write them.
 NOTICES = [
     ("MIT", "Released under the MIT License."),
@@ -74,7 +77,8 @@ TEXTS = [
 def templates() -> list[tuple[str, str, str]]:
     """(template id, licence, text), ids being the licence, its kind and a number."""
     out, seen = [], {}
-    for kind, rows in (("notice", NOTICES), ("text", TEXTS)):
+    files = sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in resources.files(__package__).joinpath("licences").iterdir() if f.name.endswith(".txt"))
+    for kind, rows in (("notice", NOTICES), ("text", TEXTS), ("full", files)):
         for licence, text in rows:
             key = f"{licence}/{kind}"
             seen[key] = seen.get(key, 0) + 1

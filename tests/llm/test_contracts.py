@@ -151,6 +151,24 @@ def test_a_notice_in_prose_stands_beside_a_matching_unit(spark):
     assert row["licenses"] == "AGPL-3.0,GPL-2.0,GPL-3.0,LGPL-3.0,MIT" and row["template"] == "GPL-3.0/notice/1"
 
 
+def test_full_licences_are_known_alone_inside_prose_and_with_changes(spark):
+    full = [t for t in templates() if "/full/" in t[0]]
+    assert {t[1] for t in full} == {"Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"}
+    rng, rows = random.Random(5), []
+    for name, licence, text in full:
+        words = text.split(" ")
+        for k in rng.sample(range(len(words)), len(words) // 30):  # a changed word changes two bigrams
+            words[k] += "x"
+        other = " ".join(f"w{rng.randrange(500)}" for _ in range(300))
+        rows += [(name, licence, text), (name, licence, f"{other}\n{text}\n{other}"), (name, licence, " ".join(words)), (name, "", text[: len(text) // 2])]
+    df = spark.createDataFrame(rows, "name string, licence string, text string")
+    for r in license_scan.scan(df).collect():  # with the notices that stand inside some of them
+        assert r["licence"] in ("", *r["licenses"].split(","))
+    for r in license_scan.scan(df, full).collect():
+        assert r["licence"] == "" or r["template"] == r["name"] and r["licence"] in r["licenses"].split(",") and r["dice"] >= 0.8
+        assert r["licence"] or r["template"] != r["name"]
+
+
 def test_licence_scan_hard_cases(spark, hard):
     got = license_scan.scan(hard)
     assert got.count() == hard.count() and set(hard.columns) - {"dice"} <= set(got.columns)
