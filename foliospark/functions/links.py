@@ -14,6 +14,8 @@ _KEPT = re.compile(r"%[0-9a-fA-F]{2}|[A-Za-z0-9;/?:@&=+$,\-_.!~*'()#]+|.", re.S)
 _NOT_HOST = re.compile(r"[%/?;#'{}|\\^`<>\" \r\n\t]")
 _SCHEME = re.compile(r"[A-Za-z0-9.+-]+:")
 _PORT = re.compile(r":([0-9]*)$")
+#: Destinations that normalize_link leaves as they are: an ASCII origin or none, then only characters that stay.
+SETTLED = r"^(?:https?://[A-Za-z0-9_-]{1,63}(?:\.[A-Za-z0-9_-]{1,63}){0,3}(?::[0-9]{1,5})?(?:[/?#][A-Za-z0-9;/?:@&=+$,_.!~*'()#-]*)?|/?(?:[?#][A-Za-z0-9;/?:@&=+$,_.!~*'()#-]*)?|/[A-Za-z0-9;?:@&=+$,_.!~*'()#-][A-Za-z0-9;/?:@&=+$,_.!~*'()#-]*)\z"
 _PART = re.compile(r"[+A-Za-z0-9_-]{0,63}")
 
 

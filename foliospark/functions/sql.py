@@ -101,8 +101,8 @@ def register(spark: SparkSession, config: Config | None = None, options: ParseOp
         "md_value": values.parse_value_column,
         "md_debug": values.debug_column,
         "md_tag_end": values.tag_end_column,
-        "md_link": values.normalize_link_column,
-        "md_number": values.js_number_column,
+        "md_link": values.normalize_link_udf,
+        "md_number": values.js_number_udf,
     }
     for name, function in named.items():
         spark.udf.register(name, function)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.functions.document import debug_text
-from foliospark.functions.links import normalize_link
+from foliospark.functions.links import SETTLED, normalize_link
 from foliospark.functions.numbers import js_number, plain_number
 from foliospark.kernel.format import scalar_text
 from foliospark.kernel.grammar import TagError, find_tag_end, parse_tag, parse_value
@@ -82,9 +82,9 @@ parse_value_column = _vectorised(T.StringType(), _value_text)
 #: Offset of the `%}` that closes the first tag of a text.
 tag_end_column = _vectorised(T.IntegerType(), _tag_end)
 #: A destination as it is rendered.
-normalize_link_column = _vectorised(T.StringType(), normalize_link)
+normalize_link_udf = _vectorised(T.StringType(), normalize_link)
 #: A number in the host language's spelling, and without an exponent.
-js_number_column = _vectorised(T.StringType(), lambda x: js_number(float(x)))
+js_number_udf = _vectorised(T.StringType(), lambda x: js_number(float(x)))
 plain_number_column = _vectorised(T.StringType(), lambda x: plain_number(float(x)))
 #: Indented JSON of a value, references as null.
 debug_column = _vectorised(T.StringType(), lambda t: debug_text(decode(t)))
@@ -108,3 +108,21 @@ def resolve_column(spark: SparkSession, value: Column, config: Config | None = N
     own = F.lit(None).cast("string") if variables is None else variables
     refers = F.contains(value, F.lit('"$$mdtype"'))
     return F.when(refers, run(F.when(refers, value), own)).otherwise(value)
+
+
+#: Whole numbers below this are exact as doubles and as longs.
+_WHOLE = float(1 << 53)
+
+
+def normalize_link_column(url: Column | str) -> Column:
+    """Destinations as browsers receive them; those that stay as they are never leave the JVM."""
+    url = F.col(url) if isinstance(url, str) else url
+    settled = url.rlike(SETTLED)
+    return F.when(settled, url).otherwise(normalize_link_udf(F.when(~settled, url)))
+
+
+def js_number_column(number: Column | str) -> Column:
+    """ECMAScript's spelling of numbers; whole ones never leave the JVM."""
+    value = (F.col(number) if isinstance(number, str) else number).cast("double")
+    whole = (F.abs(value) < _WHOLE) & (F.floor(value) == value)
+    return F.when(F.isnan(value), "NaN").when(whole, value.cast("long").cast("string")).otherwise(js_number_udf(F.when(~whole, value)))

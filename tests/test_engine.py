@@ -1,6 +1,8 @@
 """The engine over tables: plans against kernels, sources, sinks, SQL functions, streams."""
 
 import json
+import math
+import random
 import re
 
 import pytest
@@ -10,6 +12,8 @@ from foliospark.engine import Engine
 from foliospark.functions import sql
 from foliospark.functions.columns import md_default, md_equals, truthy, unsafe_link
 from foliospark.functions.document import Function
+from foliospark.functions.links import SETTLED, normalize_link
+from foliospark.functions.numbers import js_number
 from foliospark.kernel.blocks import Block
 from foliospark.kernel.build import ParseOptions
 from foliospark.kernel.inline import unsafe_link as unsafe_text
@@ -17,6 +21,7 @@ from foliospark.kernel.schema import Attribute, AttributeType, Config, Pattern,
 from foliospark.kernel.tokenizer import Tokens, masked
 from foliospark.kernel.tree import Problem
 from foliospark.operators.nodes import parse_nodes
+from foliospark.operators.values import js_number_column, normalize_link_column
 from foliospark.plans.render import render_nodes
 from foliospark.sources.declare import DeclarationError, configure, declare, load_text, parse_variable
 from foliospark.sources.documents import read_config, read_documents, read_partials, strip_frontmatter
@@ -265,6 +270,18 @@ def test_sql_functions(spark):
     assert spark.sql("""SELECT shout('{"0":"a"}') AS x""").first()["x"] == '"A"'
 
 
+def test_links_and_numbers_that_stay_in_the_jvm_agree_with_the_kernel(spark):
+    rng = random.Random(4)
+    parts = ["http://", "https://", "HTTP://", "ftp://", "mailto:", "//", "/", "a", "b.c", ":80", ":", "@", "?", "#", "é", "%41", "%", " ", "\\", ";", "=", "_", "x" * 64, ".", "\n", "[", "javascript:"]
+    urls = ["", "/", "//", "#a", "?b", "/a//b", "http://a.b/c?d#e", "https://a_b", "http://a:80?x"] + ["".join(rng.choices(parts, k=rng.randint(1, 6))) for _ in range(3000)]
+    df = spark.createDataFrame([(u,) for u in [*urls, None]], "u string").select("u", normalize_link_column("u").alias("v"), F.col("u").rlike(SETTLED).alias("settled"))
+    got = df.collect()
+    assert all(r["v"] == (None if r["u"] is None else normalize_link(r["u"])) for r in got) and sum(bool(r["settled"]) for r in got) > 100
+    numbers = [0.0, -0.0, 1.0, -17.0, 2.0**53 - 1, 2.0**53, 1e21, 1e300, 0.5, -1e-7, math.nan, math.inf, -math.inf, None]
+    got = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", js_number_column("x").alias("v")).collect()
+    assert [r["v"] for r in got] == [None if x is None else js_number(x) for x in numbers]
+
+
 def test_native_functions_agree_with_the_language(spark):
     df = spark.createDataFrame([(None,), ("null",), ("false",), ("0",), ('""',), ("[]",), ('{"a":1,"b":[2]}',)], "v string")
     assert [r[0] for r in df.select(truthy(F.col("v"))).collect()] == [False, False, False, True, True, True, True]
