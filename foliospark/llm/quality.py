@@ -26,6 +26,8 @@ from foliospark.llm.words import PLAIN, find_words, mix, windows
 
 SAMPLE_ROWS, CHAIN, SAMPLE_CHAINS, SHARE = 4000, 64, 16, 0.5
 MIN_WORDS = 50
+#: Bytes of text that a task works on at once.
+SLICE = 2 << 20
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -223,7 +225,7 @@ def fit_field(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
         _, first, bins, _ = measure(data, offsets)
         return {"bins": pa.array([_sampled(bins[a:b]).astype(np.uint8).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())}
 
-    got = map_texts(rows, fn, [T.StructField("bins", T.BinaryType())], "text", ["__id", "__y"]).collect()
+    got = map_texts(rows, fn, [T.StructField("bins", T.BinaryType())], "text", ["__id", "__y"], limit=SLICE).collect()
     chains = []
     for r in sorted(got, key=lambda r: (str(r["__id"]), r["bins"])):
         bins = np.frombuffer(r["bins"], dtype=np.uint8).reshape(-1, len(EDGES)).astype(np.int64)
@@ -256,13 +258,13 @@ def _judge(field: Field, share: float):
 def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", carry: list[str] | None = None, share: float = SHARE) -> DataFrame:
     """Adds the base counts, base_failed, content_share and kept to every row (columns of these names are replaced)."""
     field = fit_field(df, labels, id_col=id_col, text=text)
-    return map_texts(rest(df, *(f.name for f in FIELDS)), _judge(field, share), FIELDS, text, carry)
+    return map_texts(rest(df, *(f.name for f in FIELDS)), _judge(field, share), FIELDS, text, carry, limit=SLICE)
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
     """The rows that the rules keep, with the table's own columns, in one pass."""
     judge = _judge(fit_field(df, labels, id_col=id_col, text=text), share)
-    return map_texts(df, lambda *a: {"__keep": judge(*a)["kept"]}, [T.StructField("__keep", T.BooleanType())], text, keep="__keep")
+    return map_texts(df, lambda *a: {"__keep": judge(*a)["kept"]}, [T.StructField("__keep", T.BooleanType())], text, keep="__keep", limit=SLICE)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
