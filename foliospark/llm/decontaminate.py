@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from foliospark.llm.common import cut, map_texts, quoted, read, rest
 from foliospark.llm.words import ALNUM, LOWER, find_words, text_buffers
 
-WIDTH, SAMPLE, BLOCK_BYTES, SHARD_BYTES, RUN = 13, 8, 8 << 20, 16 << 20, 1 << 20
+WIDTH, SAMPLE, BLOCK_BYTES, SHARD_BYTES, RUN = 13, 8, 8 << 20, 8 << 20, 1 << 20
 _FILTER_BITS = 22
 FIELDS = [T.StructField(n, T.LongType()) for n in ("n_words", "n_hit", "n_items")] + [T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
 _SPANS = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
