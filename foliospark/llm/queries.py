@@ -11,6 +11,8 @@ from foliospark.llm.license_scan import op1_license_scan
 from foliospark.llm.license_scan import oracle as op1_oracle
 from foliospark.llm.line_dedup import op3_line_dedup
 from foliospark.llm.line_dedup import oracle as op3_oracle
+from foliospark.llm.merkle import op13_merkle_manifest
+from foliospark.llm.merkle import oracle as op13_oracle
 from foliospark.llm.packing import op9_packing
 from foliospark.llm.packing import oracle as op9_oracle
 from foliospark.llm.quality import op10_quality_rules
@@ -32,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -39,4 +42,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": op3_oracle(),
     "op4_tool_calls": op4_oracle(),
     "op9_packing": op9_oracle(),
+    "op13_merkle_manifest": op13_oracle(),
 }
