@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.decontaminate import op7_decontaminate
+from foliospark.llm.hard_negatives import op11_hard_negatives
+from foliospark.llm.hard_negatives import oracle as op11_oracle
 from foliospark.llm.license_scan import op1_license_scan
 from foliospark.llm.license_scan import oracle as op1_oracle
 from foliospark.llm.line_dedup import op3_line_dedup
@@ -34,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -42,5 +45,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": op3_oracle(),
     "op4_tool_calls": op4_oracle(),
     "op9_packing": op9_oracle(),
+    "op11_hard_negatives": op11_oracle(),
     "op13_merkle_manifest": op13_oracle(),
 }
