@@ -20,6 +20,7 @@ from foliospark.llm.packing import oracle as op9_oracle
 from foliospark.llm.quality import op10_quality_rules
 from foliospark.llm.simhash import op2_simhash
 from foliospark.llm.substring_dedup import op6_substring_dedup
+from foliospark.llm.suffix_dedup import op12_suffix_dedup
 from foliospark.llm.token_counts import op8_token_counts
 from foliospark.llm.tool_calls import op4_tool_calls
 from foliospark.llm.tool_calls import oracle as op4_oracle
@@ -37,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
