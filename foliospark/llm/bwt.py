@@ -86,13 +86,14 @@ class Walk:
     def __init__(self, shard: Shard):
         symbol = shard.bwt.astype(np.uint16)
         symbol[shard.starts] = MARK
-        self.psi = np.argsort(symbol, kind="stable")
+        self.psi = np.argsort(symbol, kind="stable").astype(np.int32)
         first = np.sort(symbol, kind="stable").astype(np.int64)
         ends = np.flatnonzero(first == MARK)
         self.psi[ends] = ends  # nothing follows a mark but itself
-        self.word, self.skip = first, self.psi
+        self.word, self.skip = first.copy(), self.psi
         for _ in range(STEP - 1):
-            self.word = (self.word << SYMBOL) | first[self.skip]
+            self.word <<= SYMBOL
+            self.word |= first[self.skip]
             self.skip = self.psi[self.skip]
 
     def places(self, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,8 +124,8 @@ def merge(shards: list[Shard], counts: list[np.ndarray], width: int) -> tuple[np
         own.append(kind + kinds)
         kinds += int(kind[-1]) + 1 if len(kind) else 0
         words.append(walk.word)
-        skips.append(walk.skip + base)
-        rows.append(at + base)
+        skips.append(walk.skip + np.int32(base))
+        rows.append(at.astype(np.int64) + base)
         owner.append(np.full(len(at), s))
         string.append(u)
         offset.append(o)

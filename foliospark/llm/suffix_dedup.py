@@ -6,11 +6,12 @@ make a unit.  Anchors that occur once in the corpus hold no repeated window; the
 are candidates.  Equal units (BLAKE2b, 128 bits) are one content with a count, and one text that has
 it stands for all, so that copies and hot passages are indexed once.
 
-Transforms.  Tasks take the contents' bytes from those texts, group them by bucket (a hash of the
-anchor) and build the Burrows-Wheeler transform of each group, a shard (see bwt).  Shards of a
-bucket meet in one task, which merges them by refining an interleave, without texts and without
-sorting all suffixes again.  Intervals of suffixes with equal first WINDOW bytes whose contents count
-two or more are repeated.  Buckets hold about BUCKET bytes however large the corpus is.
+Transforms.  The contents' bytes are taken from those texts and dealt to buckets by a hash of the
+anchor.  A bucket's bytes stream through a task, which builds the Burrows-Wheeler transform of every
+SHARD bytes and keeps nothing else of them (see bwt); then it merges the transforms by refining an
+interleave, without texts and without sorting all suffixes again.  Intervals of suffixes with equal
+first WINDOW bytes whose contents count two or more are repeated.  Buckets hold about BUCKET bytes
+however large the corpus is, and a task takes its buckets one after the other.
 
 Crowded anchors (more than CROWD contents, such as a passage in front of ever different texts) would
 make a bucket large.  Their windows become units of their own, filed under a hash of the whole window;
@@ -28,6 +29,7 @@ two, so it is binary.  Any bytes are allowed.  An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.bwt import Shard, merge, transform
-from foliospark.llm.common import cut, id_bitmap, map_texts, met_by, quoted, read, rest, split_by_bitmap
+from foliospark.llm.bwt import merge, transform
+from foliospark.llm.common import checkpoint_folder, cut, id_bitmap, map_texts, met_by, quoted, read, remove, rest, split_by_bitmap
 from foliospark.llm.substring_dedup import sliding_min
 from foliospark.llm.words import mix, slices, text_buffers
 
-WINDOW, GRAM = 200, 40
-#: Bytes of text hashed at once, bytes of a bucket, bytes that a task gathers for its shards, and contents of an anchor beyond which it is crowded.
-PIECE, BUCKET, GATHER, CROWD = 1 << 19, 4 << 20, 32 << 20, 2048
+WINDOW, GRAM = 200, 64
+#: Bytes of text hashed at once, bytes of a bucket and of a shard, and contents of an anchor beyond which it is crowded.
+PIECE, BUCKET, SHARD, CROWD = 1 << 19, 2 << 20, 1 << 19, 2048
 _BASE, _BASE_INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FIELDS = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
@@ -162,67 +164,60 @@ def _structs(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return row, {flat.type.field(k).name: np.asarray(flat.field(k)) for k in range(flat.type.num_fields)}
 
 
-def _shards(texts: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(bucket, ...) transforms of the contents that each task takes from its texts."""
-    names = [*KEY, "n", "c"]
+def _unit_bytes(texts: DataFrame, window: int, buckets: int) -> DataFrame:
+    """(bucket, anchor, k1, k2, n, c, data): the wanted contents' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, bytes, np.ndarray]] = []  # (size and names' values of units, their bytes)
-        total = 0
-
-        def send() -> Iterator[pa.RecordBatch]:
-            meta = np.concatenate([m for m, _ in held], axis=1)
-            data = np.frombuffer(b"".join(d for _, d in held), dtype=np.uint8)
-            size = meta[3] + window - 1
-            start = np.cumsum(size) - size
-            place = (mix(meta[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(place, kind="stable")
-            edge = [0, *(np.flatnonzero(np.diff(place[by])) + 1).tolist(), len(by)]
-            for a, b in zip(edge, edge[1:], strict=False):
-                own = by[a:b]
-                pick = np.repeat(start[own], size[own]) + np.arange(int(size[own].sum())) - np.repeat(np.cumsum(size[own]) - size[own], size[own])
-                shard = transform(data[pick], size[own], window)
-                cols = [shard.bwt.tobytes(), shard.starts.astype("<i4").tobytes(), np.packbits(shard.same).tobytes(), *(meta[k][own].astype("<i8").tobytes() for k in range(len(names)))]
-                yield pa.RecordBatch.from_arrays([pa.array([int(place[own[0]])], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)], names=["bucket", "bwt", "starts", "same", *names])
-
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
             row, f = _structs(batch.column(1))
             raw = data.tobytes()
             begin = offsets[row] + f["at"]
+            end = begin + f["n"] + window - 1
             for lo in range(0, len(row), 1 << 14):
                 some = slice(lo, lo + (1 << 14))
-                parts = b"".join([raw[a:b] for a, b in zip(begin[some].tolist(), (begin[some] + f["n"][some] + window - 1).tolist(), strict=True)])
-                held.append((np.stack([f[n][some] for n in names]), parts))
-                total += len(parts)
-                if total >= GATHER:
-                    yield from send()
-                    held, total = [], 0
-        if total:
-            yield from send()
-
-    return texts.mapInArrow(run, "bucket long, bwt binary, starts binary, same binary, anchor binary, k1 binary, k2 binary, n binary, c binary")
-
-
-def _merged(shards: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(anchor, k1, k2, at, n): runs of repeated windows in contents, from the merged transforms of each bucket."""
-
-    def found(held: list[dict]) -> pa.RecordBatch:
-        whole = lambda name: [np.frombuffer(h[name], dtype="<i8") for h in held]
-        n, weight = whole("n"), np.concatenate(whole("c"))
-        meta = np.stack([np.concatenate(whole(k)) for k in KEY])
-        _, once = np.unique(meta, axis=1, return_index=True)  # a content that two tasks took from copies of a text counts once
-        first = np.zeros(len(weight), dtype=bool)
-        first[once] = True
-        shards = []
-        for h in held:
-            bwt = np.frombuffer(h["bwt"], dtype=np.uint8)
-            shards.append(Shard(bwt, np.frombuffer(h["starts"], dtype="<i4").astype(np.int64), np.unpackbits(np.frombuffer(h["same"], dtype=np.uint8), count=len(bwt)).astype(bool)))
-        owner, string, offset, interval = merge(shards, n, window)
-        before = np.cumsum([0, *map(len, n)])
-        unit = before[owner] + string
-        _, kind = np.unique(interval, return_inverse=True)
-        hit = first[unit] & (np.bincount(kind, weights=(weight * first)[unit])[kind] > 1)
+                place = (mix(f["anchor"][some].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                parts = [raw[a:b] for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(place), *(pa.array(f[n][some]) for n in (*KEY, "n", "c")), pa.array(parts, pa.binary())], names=["bucket", *KEY, "n", "c", "data"])
+
+    return texts.mapInArrow(run, "bucket long, anchor long, k1 long, k2 long, n long, c long, data binary")
+
+
+class _Bucket:
+    """The shards of a bucket so far, and the contents gathered for the next one."""
+
+    def __init__(self, window: int):
+        self.window, self.shards, self.meta, self.held, self.size, self.last = window, [], [], [], 0, None
+
+    def add(self, meta: np.ndarray, data: pa.Array) -> None:
+        """Contents in order of their keys: meta has anchor, k1, k2, n and c of each."""
+        fresh = np.ones(meta.shape[1], dtype=bool)  # a content that two tasks took from copies of a text comes twice
+        fresh[1:] = (meta[:3, 1:] != meta[:3, :-1]).any(axis=0)
+        if self.last is not None and (meta[:3, 0] == self.last).all():
+            fresh[0] = False
+        self.last = meta[:3, -1]
+        at = np.flatnonzero(fresh)
+        self.held.append((meta[:, at], data.take(pa.array(at))))
+        self.size += int(meta[3, at].sum()) + (self.window - 1) * len(at)
+        if self.size >= SHARD:
+            self.close()
+
+    def close(self) -> None:
+        """Builds the shard of what is gathered; from here on its bytes are held by its transform only."""
+        meta = np.concatenate([m for m, _ in self.held], axis=1)
+        raw = np.frombuffer(b"".join(x for _, d in self.held for x in d.to_pylist()), dtype=np.uint8)
+        self.shards.append(transform(raw, meta[3] + self.window - 1, self.window))
+        self.meta.append(meta)
+        self.held, self.size = [], 0
+
+    def repeated(self) -> pa.RecordBatch:
+        """(anchor, k1, k2, at, n): runs of windows whose interval in the merged transforms weighs two or more."""
+        if self.held:
+            self.close()
+        meta = np.concatenate(self.meta, axis=1)
+        owner, string, offset, interval = merge(self.shards, [m[3] for m in self.meta], self.window)
+        unit = np.cumsum([0, *(m.shape[1] for m in self.meta)])[owner] + string
+        hit = np.bincount(interval, weights=meta[4][unit])[interval] > 1 if len(interval) else np.zeros(0, dtype=bool)
         unit, offset = unit[hit], offset[hit]
         by = np.lexsort((offset, unit))
         unit, offset = unit[by], offset[by]
@@ -232,19 +227,30 @@ def _merged(shards: DataFrame, window: int, buckets: int) -> DataFrame:
         cols = [*(meta[k][unit[head]] for k in range(3)), offset[head], np.diff(np.append(head, len(unit)))]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[*KEY, "at", "n"])
 
+
+def _merged(contents: DataFrame, window: int, buckets: int) -> DataFrame:
+    """(anchor, k1, k2, at, n): runs of repeated windows in contents; a task takes its buckets one after the other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        now, bucket = None, None
         for batch in batches:
-            for k in range(len(batch)):
-                row = {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
-                if held and held[-1]["bucket"] != row["bucket"]:
-                    yield found(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield found(held)
+            place = batch.column(0).to_numpy()
+            meta, data = np.stack([batch.column(k).to_numpy() for k in range(1, 6)]), batch.column(6)
+            edge = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
+            for a, b in zip(edge, edge[1:], strict=False):
+                if a == b:
+                    continue
+                if place[a] != now:
+                    if bucket is not None:
+                        yield bucket.repeated()
+                    now, bucket = place[a], _Bucket(window)
+                for lo in range(a, b, 512):
+                    bucket.add(meta[:, lo : min(lo + 512, b)], data.slice(lo, min(lo + 512, b) - lo))
+        if bucket is not None:
+            yield bucket.repeated()
 
-    return shards.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "anchor long, k1 long, k2 long, at long, n long")
+    parts = min(buckets, 4 * int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return contents.repartition(parts, "bucket").sortWithinPartitions("bucket", *KEY).mapInArrow(run, "anchor long, k1 long, k2 long, at long, n long")
 
 
 def _contents(rows: DataFrame, weight: F.Column) -> DataFrame:
@@ -277,14 +283,24 @@ def _runs(docs: DataFrame, contents: DataFrame, window: int) -> DataFrame:
     """(anchor, k1, k2, at, n) of the contents: runs of windows that are repeated, by merged transforms."""
     size = contents.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
     buckets = -(-size // BUCKET) or 1
-    return _merged(_shards(_with_texts(docs, contents), window, buckets), window, buckets)
+    return _merged(_unit_bytes(_with_texts(docs, contents), window, buckets), window, buckets)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int | None = None) -> DataFrame:
-    """(t1, t2, at, n): runs of n windows from byte `at` of the texts of (t1, t2, text) that start elsewhere as well."""
-    held = _repeated(cut(_all_units(docs, window, gram)), F.col("w"))
+    """(t1, t2, spans): runs (at, n) of n windows from byte `at` of the texts of (t1, t2, text) that start elsewhere as well."""
+    spark = docs.sparkSession
+    folder = f"{checkpoint_folder(spark)}/units-{uuid.uuid4().hex}"
+    _all_units(docs, window, gram).write.parquet(folder)  # columns compress: half the size of a checkpoint
+    spans = cut(_spans(docs, spark.read.parquet(folder), window, CROWD if crowd is None else crowd).groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "n")).alias("spans")))
+    remove(spark, folder)
+    return spans
+
+
+def _spans(docs: DataFrame, rows: DataFrame, window: int, crowd: int) -> DataFrame:
+    """(t1, t2, at, n) of every run of repeated windows in units."""
+    held = _repeated(rows, F.col("w"))
     contents = _contents(held, F.lit(1))
-    crowded = cut(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > (CROWD if crowd is None else crowd)).select("anchor"))
+    crowded = cut(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > crowd).select("anchor"))
     if crowded.isEmpty():
         runs = _runs(docs, contents, window)
     else:
@@ -307,8 +323,7 @@ def remove_repeats(df: DataFrame, text: str = "text", window: int = WINDOW, gram
     """
     key = _text_key(quoted(text))
     docs = df.filter(F.octet_length(quoted(text)) >= window).select(*key, quoted(text).alias("text"))
-    spans = repeated_spans(docs, window, gram, crowd)
-    spans = cut(spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "n")).alias("__spans")).withColumnsRenamed({"t1": "__t1", "t2": "__t2"}))
+    spans = repeated_spans(docs, window, gram, crowd).withColumnsRenamed({"t1": "__t1", "t2": "__t2", "spans": "__spans"})
     fields = FIELDS + ([T.StructField("kept_bytes", T.BinaryType())] if with_bytes else [])
     base = rest(df, *(f.name for f in fields), "__t1", "__t2", "__spans")
     carry = list(base.columns) if carry is None else carry
