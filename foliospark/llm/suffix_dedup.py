@@ -130,31 +130,53 @@ def _all_units(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, at long, n long, w long, anchor long, k1 long, k2 long")
 
 
-def _repeated(rows: DataFrame, weight: F.Column) -> DataFrame:
+def _repeated(rows: DataFrame, weight: F.Column, store: _Store) -> DataFrame:
     """The rows whose anchor may weigh two or more; rows of single anchors stay where they are."""
-    some = cut(rows.groupBy("anchor").agg(F.sum(weight).alias("w")).filter("w > 1").select("anchor"))
+    some = store.put(rows.groupBy("anchor").agg(F.sum(weight).alias("w")).filter("w > 1").select("anchor"))
     bitmap = id_bitmap(some, ["anchor"])
     left, _ = split_by_bitmap(rows, ["anchor"], bitmap)  # one in eight of the others passes by chance, and is found single later
     return met_by(left, some, ["anchor"]) if bitmap.rows is None else left
 
 
-def _with_texts(docs: DataFrame, contents: DataFrame) -> DataFrame:
-    """(text, wanted): the texts that stand for contents (t1, t2, at, n, ...), with the list of them."""
-    own = [c for c in contents.columns if c not in ("t1", "t2")]
-    wanted = cut(contents.groupBy("t1", "t2").agg(F.collect_list(F.struct(*own)).alias("wanted")))  # as many as the text holds
-    some, _ = split_by_bitmap(docs, ["t1", "t2"], id_bitmap(wanted, ["t1", "t2"]))
+def _once(*columns: int):
+    """The first row of each key that a task sees."""
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, ...]] = set()
         for batch in batches:
             fresh = []
-            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key in zip(*(batch.column(k).to_pylist() for k in columns), strict=True):
                 fresh.append(key not in seen)
                 seen.add(key)
             yield batch.filter(pa.array(fresh, pa.bool_()))
 
-    some = some.mapInArrow(once, some.schema)  # a task sends each text once
-    return some.join(wanted.hint("shuffle_hash"), ["t1", "t2"]).select("text", "wanted")
+    return run
+
+
+class _Store:
+    """Tables of one run as Parquet in the shared folder; columns compress, so they take half of what checkpoints would."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{checkpoint_folder(spark)}/suffixes-{uuid.uuid4().hex}", 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.parquet(f"{self.folder}/{self.n}")
+
+    def clear(self) -> None:
+        remove(self.spark, self.folder)
+
+
+def _with_texts(docs: DataFrame, contents: DataFrame, store: _Store) -> DataFrame:
+    """(text, wanted): the texts that stand for contents (t1, t2, at, n, ...), with the list of them."""
+    own = [c for c in contents.columns if c not in ("t1", "t2")]
+    wanted = store.put(contents.groupBy("t1", "t2").agg(F.collect_list(F.struct(*own)).alias("wanted")))  # as many as the text holds
+    some, _ = split_by_bitmap(docs, ["t1", "t2"], id_bitmap(wanted, ["t1", "t2"]))
+
+    some = some.mapInArrow(_once(0, 1), some.schema)  # a task sends each text once
+    met = some.join(wanted.hint("shuffle_hash"), ["t1", "t2"]).select("t1", "t2", "text", "wanted")
+    return met.mapInArrow(_once(0, 1), met.schema).select("text", "wanted")  # and copies from different tasks have met
 
 
 def _structs(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -253,10 +275,10 @@ def _merged(contents: DataFrame, window: int, buckets: int) -> DataFrame:
     return contents.repartition(parts, "bucket").sortWithinPartitions("bucket", *KEY).mapInArrow(run, "anchor long, k1 long, k2 long, at long, n long")
 
 
-def _contents(rows: DataFrame, weight: F.Column) -> DataFrame:
+def _contents(rows: DataFrame, weight: F.Column, store: _Store) -> DataFrame:
     """(anchor, k1, k2, c, t1, t2, at, n): every content once, with its count and a text that has it."""
     some = rows.groupBy(*KEY).agg(F.sum(weight).alias("c"), F.min(F.struct("t1", "t2", "at", "n")).alias("s"))
-    return cut(some.select(*KEY, "c", "s.*"))
+    return store.put(some.select(*KEY, "c", "s.*"))
 
 
 def _windows(texts: DataFrame, window: int) -> DataFrame:
@@ -279,39 +301,38 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, k1 long, k2 long, c long, t1 long, t2 long, at long, n long, p0 long, p1 long, p2 long, off long")
 
 
-def _runs(docs: DataFrame, contents: DataFrame, window: int) -> DataFrame:
+def _runs(docs: DataFrame, contents: DataFrame, window: int, store: _Store) -> DataFrame:
     """(anchor, k1, k2, at, n) of the contents: runs of windows that are repeated, by merged transforms."""
     size = contents.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
     buckets = -(-size // BUCKET) or 1
-    return _merged(_unit_bytes(_with_texts(docs, contents), window, buckets), window, buckets)
+    return _merged(_unit_bytes(_with_texts(docs, contents, store), window, buckets), window, buckets)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int | None = None) -> DataFrame:
     """(t1, t2, spans): runs (at, n) of n windows from byte `at` of the texts of (t1, t2, text) that start elsewhere as well."""
-    spark = docs.sparkSession
-    folder = f"{checkpoint_folder(spark)}/units-{uuid.uuid4().hex}"
-    _all_units(docs, window, gram).write.parquet(folder)  # columns compress: half the size of a checkpoint
-    spans = cut(_spans(docs, spark.read.parquet(folder), window, CROWD if crowd is None else crowd).groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "n")).alias("spans")))
-    remove(spark, folder)
+    store = _Store(docs.sparkSession)
+    spans = _spans(docs, store.put(_all_units(docs, window, gram)), window, CROWD if crowd is None else crowd, store)
+    spans = cut(spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "n")).alias("spans")))
+    store.clear()
     return spans
 
 
-def _spans(docs: DataFrame, rows: DataFrame, window: int, crowd: int) -> DataFrame:
+def _spans(docs: DataFrame, rows: DataFrame, window: int, crowd: int, store: _Store) -> DataFrame:
     """(t1, t2, at, n) of every run of repeated windows in units."""
-    held = _repeated(rows, F.col("w"))
-    contents = _contents(held, F.lit(1))
-    crowded = cut(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > crowd).select("anchor"))
+    held = _repeated(rows, F.col("w"), store)
+    contents = _contents(held, F.lit(1), store)
+    crowded = store.put(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > crowd).select("anchor"))
     if crowded.isEmpty():
-        runs = _runs(docs, contents, window)
+        runs = _runs(docs, contents, window, store)
     else:
-        runs = _runs(docs, contents.join(crowded, "anchor", "left_anti"), window)
-        many = met_by(contents, crowded, ["anchor"])
-        fine = _windows(_with_texts(docs, many.withColumns({"o1": F.col("t1"), "o2": F.col("t2")})), window)
-        fine = cut(_repeated(cut(fine.dropDuplicates(["p0", "p1", "p2", "off"])), F.col("c")))
-        single = _runs(docs, _contents(fine, F.col("c")), window).select(*KEY)
-        back = met_by(fine.select(*KEY, "p0", "p1", "p2", "off"), single.distinct(), KEY)
+        runs = _runs(docs, contents.join(crowded, "anchor", "left_anti"), window, store)
+        many = met_by(contents, crowded, ["anchor"]).withColumns({"o1": F.col("t1"), "o2": F.col("t2")})
+        fine = store.put(_windows(_with_texts(docs, many, store), window).dropDuplicates(["p0", "p1", "p2", "off"]))
+        fine = _repeated(fine, F.col("c"), store)
+        single = _runs(docs, _contents(fine, F.col("c"), store), window, store).select(*KEY).distinct()
+        back = met_by(fine.select(*KEY, "p0", "p1", "p2", "off"), single, KEY)
         runs = runs.unionByName(back.select(F.col("p0").alias("anchor"), F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.col("off").alias("at"), F.lit(1).cast("long").alias("n")))
-    runs = cut(runs.groupBy(*KEY).agg(F.collect_set(F.struct("at", "n")).alias("runs")))
+    runs = store.put(runs.groupBy(*KEY).agg(F.collect_set(F.struct("at", "n")).alias("runs")))
     met = met_by(held.select("t1", "t2", F.col("at").alias("from"), *KEY), runs, KEY)
     return met.select("t1", "t2", "from", F.explode("runs").alias("r")).select("t1", "t2", (F.col("from") + F.col("r.at")).alias("at"), F.col("r.n").alias("n"))
 
