@@ -7,8 +7,7 @@ step to the next suffix (psi) and the symbols that follow, so shards are merged
 
 The merge refines an interleave: at first the suffixes of all shards lie in one block, those of a
 shard in its order.  Each round reads the next STEP symbols of the suffixes in blocks where shards
-mix, by psi, and parts the blocks by them; within a shard the order holds already, so only shards are
-interleaved.  A block of one shard is settled, since what its suffixes share is known there.  Blocks
+mix, by psi, and parts the blocks by them.  A block of one shard is settled, since what its suffixes share is known there.  Blocks
 that still mix after `width` symbols are the intervals that shards have in common.
 """
 
@@ -47,10 +46,12 @@ def transform(data: np.ndarray, size: np.ndarray, width: int) -> Shard:
     word = np.zeros(n, dtype=np.int64)
     for j in range(STEP):
         word = (word << SYMBOL) | np.where(j < left, padded[j : j + n], MARK)
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word)
     new = np.ones(n, dtype=bool)
     new[1:] = word[order[1:]] != word[order[:-1]]
-    new |= left[order] < STEP  # a mark within reach: alone, in the order of the strings
+    marked = np.flatnonzero(left[order] < STEP)  # a mark within reach: alone, in the order of the strings
+    order[marked] = order[marked][np.lexsort((order[marked], _heads(new)[marked]))]
+    new[marked] = True
     rank = np.empty(n, dtype=np.int64)
     rank[order] = _heads(new)
     known, snapshot = STEP, None
@@ -63,7 +64,7 @@ def transform(data: np.ndarray, size: np.ndarray, width: int) -> Shard:
             break
         at = order[slot]
         key = rank[at] * n + rank[at + known]  # no mark within reach, so at + known lies in the string
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         at, key = at[by], key[by]
         order[slot] = at
         first = np.ones(len(slot), dtype=bool)
@@ -146,7 +147,13 @@ def merge(shards: list[Shard], counts: list[np.ndarray], width: int) -> tuple[np
         live, cur, block = live[keep], cur[keep], block[keep]
         beyond = max(0, depth + STEP - width)
         key = word[cur] >> (SYMBOL * beyond)
-        by = np.lexsort((key, block)) if depth else np.argsort(key, kind="stable")
+        by = np.argsort(key)
+        if depth:  # by block, then by key
+            new = np.ones(len(by), dtype=bool)
+            new[1:] = key[by[1:]] != key[by[:-1]]
+            dense = np.empty(len(by), dtype=np.int64)
+            dense[by] = np.cumsum(new)
+            by = np.argsort(block * (len(by) + 1) + dense)
         live, cur, block, key = live[by], skip[cur[by]], block[by], key[by]
         new = np.ones(len(live), dtype=bool)
         new[1:] = (block[1:] != block[:-1]) | (key[1:] != key[:-1])

@@ -44,8 +44,9 @@ from foliospark.llm.substring_dedup import sliding_min
 from foliospark.llm.words import mix, slices, text_buffers
 
 WINDOW, GRAM = 200, 64
-#: Bytes of text hashed at once, bytes of a bucket and of a shard, and contents of an anchor beyond which it is crowded.
-PIECE, BUCKET, SHARD, CROWD = 1 << 19, 2 << 20, 1 << 19, 2048
+#: Bytes of text hashed at once, bytes of a bucket and of a shard; contents of an anchor beyond which it is crowded, as they alone fill a bucket.
+PIECE, BUCKET, SHARD = 1 << 19, 2 << 20, 1 << 19
+CROWD = BUCKET // 256
 _BASE, _BASE_INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FIELDS = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
@@ -138,19 +139,18 @@ def _repeated(rows: DataFrame, weight: F.Column, store: _Store) -> DataFrame:
     return met_by(left, some, ["anchor"]) if bitmap.rows is None else left
 
 
-def _once(*columns: int):
-    """The first row of each key that a task sees."""
+class _Seen:
+    """Lets the first row of each key pass."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, ...]] = set()
-        for batch in batches:
-            fresh = []
-            for key in zip(*(batch.column(k).to_pylist() for k in columns), strict=True):
-                fresh.append(key not in seen)
-                seen.add(key)
-            yield batch.filter(pa.array(fresh, pa.bool_()))
+    def __init__(self):
+        self.keys: set[tuple[int, int]] = set()
 
-    return run
+    def fresh(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keep.append(key not in self.keys)
+            self.keys.add(key)
+        return batch if all(keep) else batch.filter(pa.array(keep, pa.bool_()))
 
 
 class _Store:
@@ -169,14 +169,19 @@ class _Store:
 
 
 def _with_texts(docs: DataFrame, contents: DataFrame, store: _Store) -> DataFrame:
-    """(text, wanted): the texts that stand for contents (t1, t2, at, n, ...), with the list of them."""
+    """(t1, t2, text, wanted): the texts that stand for contents (t1, t2, at, n, ...), with the list of them; copies of a text from several tasks may meet."""
     own = [c for c in contents.columns if c not in ("t1", "t2")]
     wanted = store.put(contents.groupBy("t1", "t2").agg(F.collect_list(F.struct(*own)).alias("wanted")))  # as many as the text holds
     some, _ = split_by_bitmap(docs, ["t1", "t2"], id_bitmap(wanted, ["t1", "t2"]))
 
-    some = some.mapInArrow(_once(0, 1), some.schema)  # a task sends each text once
-    met = some.join(wanted.hint("shuffle_hash"), ["t1", "t2"]).select("t1", "t2", "text", "wanted")
-    return met.mapInArrow(_once(0, 1), met.schema).select("text", "wanted")  # and copies from different tasks have met
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        for batch in batches:
+            yield seen.fresh(batch)
+
+    some = some.mapInArrow(once, some.schema)  # a task sends each text once
+    return some.join(wanted.hint("shuffle_hash"), ["t1", "t2"]).select("t1", "t2", "text", "wanted")
 
 
 def _structs(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -190,9 +195,10 @@ def _unit_bytes(texts: DataFrame, window: int, buckets: int) -> DataFrame:
     """(bucket, anchor, k1, k2, n, c, data): the wanted contents' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
-            row, f = _structs(batch.column(1))
+        seen = _Seen()
+        for batch in map(seen.fresh, batches):
+            data, offsets = text_buffers(batch.column(2))
+            row, f = _structs(batch.column(3))
             raw = data.tobytes()
             begin = offsets[row] + f["at"]
             end = begin + f["n"] + window - 1
@@ -285,9 +291,10 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
     """(anchor, k1, k2, c, t1, t2, at, n, p...): each window of the wanted contents as a unit of its own, filed under its own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
-            row, f = _structs(batch.column(1))
+        seen = _Seen()
+        for batch in map(seen.fresh, batches):
+            data, offsets = text_buffers(batch.column(2))
+            row, f = _structs(batch.column(3))
             raw = data.tobytes()
             for lo in range(0, len(row), 1 << 10):
                 some = slice(lo, lo + (1 << 10))
