@@ -20,7 +20,7 @@ from foliospark.kernel.format import FormatOptions
 from foliospark.kernel.render import HTML, Renderer
 from foliospark.kernel.schema import Config
 from foliospark.operators.kernels import Kernels
-from foliospark.operators.nodes import parse_nodes
+from foliospark.operators.nodes import NUMBER, numbered, parse_nodes
 from foliospark.operators.renderables import transform_documents
 from foliospark.plans.branches import select_branches
 from foliospark.plans.render import render_nodes
@@ -49,6 +49,10 @@ class Engine:
     def with_options(self, **changes) -> Engine:
         return Engine(self.spark, self.config, replace(self.options, **changes), self.formatting, self.renderer)
 
+    def numbered(self, df: DataFrame) -> DataFrame:
+        """The documents with the number that their nodes, problems and HTML carry."""
+        return numbered(df)
+
     def parse(self, df: DataFrame, id_col: str = "doc_id", source: str = "source", file: str | None = None) -> DataFrame:
         """The flat node table."""
         return parse_nodes(df, id_col, source, file, self.options)
@@ -62,9 +66,10 @@ class Engine:
     def validate_by_kernel(self, df: DataFrame, id_col: str = "doc_id", source: str = "source", file: str | None = None, variables: str | None = None) -> DataFrame:
         """Problems numbered by document; `pos` orders them and `node_id` is null."""
         label = None if file is None else F.col(file)
-        found = df.select(id_col, F.posexplode(self.kernels.problems(F.col(source), None if variables is None else F.col(variables), label)).alias("pos", "p"))
+        given = [NUMBER] if NUMBER in df.columns else []
+        found = df.select(id_col, *given, F.posexplode(self.kernels.problems(F.col(source), None if variables is None else F.col(variables), label)).alias("pos", "p"))
         error = F.col("p.error")
-        return found.select(id_col, F.lit(None).cast("int").alias("node_id"), "pos", "p.type", F.lit(None).cast("string").alias("name"), "p.lines", "p.loc", error["id"].alias("error_id"), error["level"].alias("level"), error["message"].alias("message"))
+        return found.select(id_col, *given, F.lit(None).cast("int").alias("node_id"), "pos", "p.type", F.lit(None).cast("string").alias("name"), "p.lines", "p.loc", error["id"].alias("error_id"), error["level"].alias("level"), error["message"].alias("message"))
 
     def transform(self, df: DataFrame, id_col: str = "doc_id", source: str = "source", variables: str | None = None) -> DataFrame:
         """The renderable node table."""
@@ -75,12 +80,12 @@ class Engine:
         return df.withColumn(html, self.kernels.html(F.col(source), None if variables is None else F.col(variables)))
 
     def render_relational(self, df: DataFrame, id_col: str = "doc_id", source: str = "source", variables: str | None = None) -> DataFrame:
-        """(id, html) by the ordered aggregate over the renderable table."""
-        return render_nodes(self.transform(df, id_col, source, variables), id_col)
+        """(id, html), a row a document, by the ordered aggregate over the renderable table."""
+        return render_nodes(self.transform(df, id_col, source, variables), id_col).drop(NUMBER)
 
-    def select_branches(self, nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    def select_branches(self, nodes: DataFrame) -> DataFrame:
         """The node table without the branches of conditionals that do not hold."""
-        return select_branches(nodes, self.config, id_col)
+        return select_branches(nodes, self.config)
 
     def format(self, df: DataFrame, source: str = "source", formatted: str = "formatted") -> DataFrame:
         """The table with (text, changed, settled) of each document's canonical source."""

@@ -6,9 +6,12 @@ ordered JSON text; SQL NULL is an absent value.  The Python boundary is crossed
 in Arrow batches that are sent on every BATCH_NODES rows, so memory follows the largest document
 and not the partition; nothing is shuffled.
 
-A null source has no nodes; an empty one is a document node alone.  Documents that repeat an id
-each give their own rows.  Columns of the input other than the id and the source do not pass
-through: join them by the id where they are wanted.
+A null source has no nodes; an empty one is a document node alone.  Every row of the input is a
+document of its own, told apart by `_document`, whether its id repeats or is null: its partition's number
+and its place there, or a column that already holds such a number (see `numbered`).  Plans group,
+join and order by it.  It is the same in every run over a table whose rows keep their order, as files
+do; number and write what a shuffle dealt before its rows are joined with their nodes.  Columns of the
+input other than the id and the source do not pass through: join them by the number.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +38,10 @@ LOCATION = T.StructType([T.StructField("file", T.StringType()), T.StructField("s
 ERROR = T.StructType([*(T.StructField(n, T.StringType()) for n in ("id", "level", "message")), T.StructField("loc", LOCATION)])
 ATTRIBUTE = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "value", "shown", "typed")])
 ANNOTATION = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "name", "value")])
+#: The column that tells documents apart.
+NUMBER = "_document"
 FIELDS = [
+    T.StructField(NUMBER, T.LongType()),
     T.StructField("node_id", T.IntegerType()),
     T.StructField("parent_id", T.IntegerType()),
     T.StructField("ordinal", T.IntegerType()),
@@ -114,10 +121,28 @@ def flatten(root: Node, source: str, file: str | None = None, with_location: boo
     yield from rows
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The table with a number for every row, which its nodes and problems then carry."""
+    return df.withColumn(NUMBER, F.monotonically_increasing_id())
+
+
+def given_number(df: DataFrame):
+    """A table's own numbers, or nulls, which with_numbers fills."""
+    return (F.col(NUMBER) if NUMBER in df.columns else F.lit(None)).cast("long").alias("__number")
+
+
+def with_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Batches with the numbers of their rows: the last column, or the task's partition and the place there."""
+    at = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        yield batch, [at + k if n is None else n for k, n in enumerate(batch.columns[-1].to_pylist())]
+        at += len(batch)
+
+
 def parse_nodes(df: DataFrame, id_col: str = "doc_id", source: str = "source", file: str | None = None, options: ParseOptions | None = None) -> DataFrame:
     """The node table of all documents; `file` names a column with each document's label."""
     options = options or ParseOptions()
-    columns = [F.col(id_col).alias("__id"), F.col(source).alias("__source"), (F.col(file) if file else F.lit(options.file)).cast("string").alias("__file")]
+    columns = [F.col(id_col).alias("__id"), F.col(source).alias("__source"), (F.col(file) if file else F.lit(options.file)).cast("string").alias("__file"), given_number(df)]
     rows = df.select(*columns)
     schema = T.StructType([T.StructField(id_col, rows.schema["__id"].dataType), *FIELDS])
     arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
@@ -125,12 +150,12 @@ def parse_nodes(df: DataFrame, id_col: str = "doc_id", source: str = "source", f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deep()
         held: list[dict] = []
-        for batch in batches:
-            for key, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch, numbers in with_numbers(batches):
+            for key, text, label, number in zip(*(c.to_pylist() for c in batch.columns[:3]), numbers, strict=True):
                 if text is None:
                     continue
                 for row in flatten(parse(text, options), text, label, options.location):
-                    row[id_col] = key
+                    row[id_col], row[NUMBER] = key, number
                     held.append(row)
                     if len(held) >= BATCH_NODES:
                         yield pa.RecordBatch.from_pylist(held, schema=arrow)

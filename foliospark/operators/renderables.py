@@ -3,7 +3,7 @@
 The rows have the shape of the node table (pre-order `rnode_id`, `last_desc`, `depth`); `kind` is
 tag or scalar, `value` the JSON text of a scalar, and attributes are in output order (class, id,
 then the schema's order).  An attribute that holds renderables keeps its printed text in `text`.
-Null sources have no rows.
+Null sources have no rows; `_document` tells documents apart as in the node table.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from foliospark.kernel.render import attribute_text
 from foliospark.kernel.schema import Config
 from foliospark.kernel.transform import Element, Many, to_plain
 from foliospark.operators.kernels import Shared, dump, renderables, scope
-from foliospark.operators.nodes import BATCH_NODES, deep
+from foliospark.operators.nodes import BATCH_NODES, NUMBER, deep, given_number, with_numbers
 
 ATTRIBUTE = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType()), T.StructField("text", T.StringType()), T.StructField("is_many", T.BooleanType())])
 FIELDS = [
+    T.StructField(NUMBER, T.LongType()),
     *(T.StructField(n, T.IntegerType()) for n in ("rnode_id", "parent_id", "ordinal", "depth", "last_desc")),
     *(T.StructField(n, T.StringType()) for n in ("kind", "name", "value")),
     T.StructField("attrs", T.ArrayType(ATTRIBUTE)),
@@ -63,7 +64,7 @@ def flatten(roots: list) -> list[dict]:
 def transform_documents(df: DataFrame, config: Config | None = None, id_col: str = "doc_id", source: str = "source", variables: str | None = None, options: ParseOptions | None = None) -> DataFrame:
     """The renderable node table of all documents; `variables` names a JSON column of each row's own."""
     options = replace(options or ParseOptions(), bare=True)
-    rows = df.select(F.col(id_col).alias("__id"), F.col(source).alias("__source"), (F.col(variables) if variables else F.lit(None)).cast("string").alias("__variables"))
+    rows = df.select(F.col(id_col).alias("__id"), F.col(source).alias("__source"), (F.col(variables) if variables else F.lit(None)).cast("string").alias("__variables"), given_number(df))
     schema = T.StructType([T.StructField(id_col, rows.schema["__id"].dataType), *FIELDS])
     arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
     shared = Shared(df.sparkSession, config or Config())
@@ -71,11 +72,11 @@ def transform_documents(df: DataFrame, config: Config | None = None, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deep()
         held: list[dict] = []
-        for batch in batches:
-            for key, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch, numbers in with_numbers(batches):
+            for key, text, own, number in zip(*(c.to_pylist() for c in batch.columns[:3]), numbers, strict=True):
                 if text is None:
                     continue
-                held += [row | {id_col: key} for row in flatten(renderables(text, scope(shared.get(), own), options))]
+                held += [row | {id_col: key, NUMBER: number} for row in flatten(renderables(text, scope(shared.get(), own), options))]
                 if len(held) >= BATCH_NODES:
                     yield pa.RecordBatch.from_pylist(held, schema=arrow)
                     held = []

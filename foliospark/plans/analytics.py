@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.columns import unsafe_link
+from foliospark.operators.nodes import NUMBER
 from foliospark.plans.validate import text_of
 
 
@@ -24,26 +25,26 @@ def node_counts(nodes: DataFrame) -> DataFrame:
 
 
 def error_rollup(problems: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(error_id, level, n_errors, n_docs) over all problems."""
-    by_doc = problems.groupBy("error_id", "level", id_col).agg(F.count(F.lit(1)).alias("n"))
+    """(error_id, level, n_errors, n_docs) over all problems; documents count by their number, or by id where a table of problems has none."""
+    by_doc = problems.groupBy("error_id", "level", NUMBER if NUMBER in problems.columns else id_col).agg(F.count(F.lit(1)).alias("n"))
     return by_doc.groupBy("error_id", "level").agg(F.sum("n").alias("n_errors"), F.count(F.lit(1)).alias("n_docs"))
 
 
 def outline(nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, ordinal, level, text) of every heading, numbered from 1 in each document; text joins the plain text below it."""
+    """(id, _document, ordinal, level, text) of every heading, numbered from 1 in each document; text joins the plain text below it."""
     # In document order a text belongs to the last heading before it if that one reaches so far; all steps go by document.
     is_head = F.col("type") == "heading"
     content = attribute("content")
     level = F.when(is_head, attribute("level").cast("double").cast("int"))
     rows = nodes.filter("type in ('heading', 'text', 'code')").select(
-        id_col, "node_id", level.alias("level"), F.when(content.startswith('"'), text_of(content)).alias("t"), F.when(is_head, F.struct("node_id", "last_desc")).alias("own")
+        id_col, NUMBER, "node_id", level.alias("level"), F.when(content.startswith('"'), text_of(content)).alias("t"), F.when(is_head, F.struct("node_id", "last_desc")).alias("own")
     )
-    before = Window.partitionBy(id_col).orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(NUMBER).orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("head", F.last("own", ignorenulls=True).over(before)).filter("node_id <= head.last_desc")
     parts = F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("node_id", "t"))))
-    heads = rows.groupBy(id_col, F.col("head.node_id").alias("__head")).agg(F.max("level").alias("level"), parts.alias("parts"))
-    order = Window.partitionBy(id_col).orderBy("__head")
-    return heads.select(id_col, F.row_number().over(order).alias("ordinal"), "level", F.array_join(F.transform("parts", lambda p: p["t"]), "").alias("text"))
+    heads = rows.groupBy(NUMBER, id_col, F.col("head.node_id").alias("__head")).agg(F.max("level").alias("level"), parts.alias("parts"))
+    order = Window.partitionBy(NUMBER).orderBy("__head")
+    return heads.select(id_col, NUMBER, F.row_number().over(order).alias("ordinal"), "level", F.array_join(F.transform("parts", lambda p: p["t"]), "").alias("text"))
 
 
 def links(nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:

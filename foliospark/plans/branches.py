@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.columns import truthy
 from foliospark.kernel.schema import Config
+from foliospark.operators.nodes import NUMBER
 from foliospark.operators.values import resolve_column
 
 
@@ -23,7 +24,7 @@ def _primary(attrs: str) -> Column:
     return F.filter(attrs, lambda a: a["name"] == "primary")
 
 
-def select_branches(nodes: DataFrame, config: Config | None = None, id_col: str = "doc_id") -> DataFrame:
+def select_branches(nodes: DataFrame, config: Config | None = None) -> DataFrame:
     """The node table without the branches that do not hold (the `if` and `else` rows stay, `node_id`s too)."""
     is_tag = lambda name: F.coalesce((F.col("type") == "tag") & (F.col("tag") == name), F.lit(False))
     test = is_tag("if") | is_tag("else")
@@ -32,12 +33,12 @@ def select_branches(nodes: DataFrame, config: Config | None = None, id_col: str
     rows = nodes.withColumn("__holds", holds).withColumn("__under", F.explode(F.when(is_tag("if"), F.array("parent_id", "node_id")).otherwise(F.array("parent_id"))))
     head = is_tag("if") & F.coalesce(F.col("__under") == F.col("node_id"), F.lit(False))
     rows = rows.withColumn("__head", head).withColumn("__else", is_tag("else") & F.col("slot").isNull())
-    siblings = Window.partitionBy(id_col, "__under")
+    siblings = Window.partitionBy(NUMBER, "__under")
     before = siblings.orderBy(F.when(F.col("__head"), -1).otherwise(F.col("ordinal"))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("__branch", F.sum(F.col("__else").cast("int")).over(before)).withColumn("__first", F.max(F.when(F.col("__head"), F.col("__holds"))).over(siblings))
     winner = F.when(F.col("__first"), F.lit(0)).otherwise(F.min(F.when(F.col("__else") & F.col("__holds"), F.col("__branch"))).over(siblings))
     rows = rows.withColumn("__winner", winner).filter(~F.col("__head"))
     lost = F.col("__first").isNotNull() & ~F.col("__else") & (F.col("__winner").isNull() | (F.col("__branch") != F.col("__winner")))
-    earlier = Window.partitionBy(id_col).orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(NUMBER).orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("__until", F.max(F.when(lost, F.col("last_desc"))).over(earlier))
     return rows.filter(F.coalesce(F.col("__until") < F.col("node_id"), F.lit(True))).select(*nodes.columns)

@@ -4,7 +4,7 @@ Every element gives an opening event at (rnode_id, 0) and a closing one at (last
 a document's events, sorted, are its HTML.  There is no recursion and one shuffle, on the document.
 A document's events meet in one task, as its HTML is one value in any plan; events combine
 nothing before the shuffle, so where the renderable table is not wanted for itself, render with
-`operators.kernels.Kernels.html`, which shuffles nothing.
+`operators.kernels.Kernels.html`, which shuffles nothing.  Documents are told apart by their number, so ids may repeat or be null.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.columns import escape_html, html_attribute, whole_number_text
 from foliospark.kernel.render import VOID
+from foliospark.operators.nodes import NUMBER
 from foliospark.plans.validate import text_of
 
 
 def events(rnodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, at, k, d, text): what every row prints, and where."""
+    """(id, _document, __event): what every row prints, and where (at, k, d, text)."""
     void = F.col("name").isin(sorted(VOID))
     named = F.col("name").isNotNull() & (F.col("name") != "")
     opening = F.concat(F.lit("<"), "name", F.array_join(F.transform("attrs", html_attribute), ""), F.lit(">"))
@@ -28,18 +29,18 @@ def events(rnodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     text = F.when(is_tag & named, opening).when(~is_tag, leaf)
     first = F.struct(F.col("rnode_id").alias("at"), F.lit(0).alias("k"), F.lit(0).alias("d"), text.alias("text"))
     last = F.when(is_tag & named & ~void, F.struct(F.col("last_desc").alias("at"), F.lit(1).alias("k"), (-F.col("depth")).alias("d"), F.concat(F.lit("</"), "name", F.lit(">")).alias("text")))
-    return rnodes.select(id_col, F.inline(F.array_compact(F.array(first, last)))).filter("text is not null")
+    return rnodes.select(id_col, NUMBER, F.explode(F.array_compact(F.array(first, last))).alias("__event")).filter("__event.text is not null")
 
 
 def without_void_content(rnodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows that are below no void element (which built-in schemas never give children)."""
     void = rnodes.filter((F.col("kind") == "tag") & F.col("name").isin(sorted(VOID)) & (F.col("last_desc") > F.col("rnode_id")))
-    spans = void.select(F.col(id_col).alias("__id"), F.col("rnode_id").alias("__lo"), F.col("last_desc").alias("__hi"))
-    return rnodes.join(spans, (rnodes[id_col] == spans["__id"]) & (rnodes["rnode_id"] > spans["__lo"]) & (rnodes["rnode_id"] <= spans["__hi"]), "left_anti")
+    spans = void.select(F.col(NUMBER).alias("__no"), F.col("rnode_id").alias("__lo"), F.col("last_desc").alias("__hi"))
+    return rnodes.join(spans, (rnodes[NUMBER] == spans["__no"]) & (rnodes["rnode_id"] > spans["__lo"]) & (rnodes["rnode_id"] <= spans["__hi"]), "left_anti")
 
 
 def render_nodes(rnodes: DataFrame, id_col: str = "doc_id", void_content: bool = False) -> DataFrame:
-    """(id, html) of every document of the renderable table; `void_content` says that void elements may have rows below them."""
+    """(id, _document, html) of every document of the renderable table; `void_content` says that void elements may have rows below them."""
     rows = without_void_content(rnodes, id_col) if void_content else rnodes
-    parts = F.array_sort(F.collect_list(F.struct("at", "k", "d", "text")))
-    return events(rows, id_col).groupBy(id_col).agg(F.array_join(F.transform(parts, lambda e: e["text"]), "").alias("html"))
+    parts = F.array_sort(F.collect_list("__event"))
+    return events(rows, id_col).groupBy(id_col, NUMBER).agg(F.array_join(F.transform(parts, lambda e: e["text"]), "").alias("html"))

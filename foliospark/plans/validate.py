@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from foliospark.functions.numbers import js_number
 from foliospark.kernel.check import list_shown
 from foliospark.kernel.schema import GLOBAL, AttributeType, Config, type_text
-from foliospark.operators.nodes import ERROR
+from foliospark.operators.nodes import ERROR, NUMBER
 
 #: Schemas and attributes up to which the schema table is broadcast.
 SCHEMA_LIMIT = 100_000
@@ -209,14 +209,14 @@ def node_errors(config: Config) -> Column:
 
 
 def validate_nodes(nodes: DataFrame, config: Config | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(id, node_id, pos, type, name, lines, loc, id, level, message) of every problem of the node table."""
+    """(id, _document, node_id, pos, type, name, lines, loc, id, level, message) of every problem of the node table."""
     config = config or Config()
     if not config.is_relational:
         raise ValueError("this configuration has hooks: validate with the kernel")
     schemas = F.broadcast(schema_table(nodes.sparkSession, config))  # at most SCHEMA_LIMIT entries
     kind, name = F.when(F.col("tag").isNotNull(), "tag").otherwise("node"), F.coalesce("tag", "type")
     met = nodes.withColumn("__kind", kind).withColumn("__name", name).join(schemas, (F.col("__kind") == F.col("s_kind")) & (F.col("__name") == F.col("s_name")), "left")
-    found = met.select(id_col, "node_id", "type", F.col("__name").alias("name"), "lines", "loc", F.posexplode(node_errors(config)).alias("pos", "e"))
+    found = met.select(id_col, NUMBER, "node_id", "type", F.col("__name").alias("name"), "lines", "loc", F.posexplode(node_errors(config)).alias("pos", "e"))
     own = F.col("e.loc")
     lines = F.when(own.isNotNull(), F.array(F.col("e.loc.start.line"), F.col("e.loc.end.line"))).otherwise(F.col("lines"))
-    return found.select(id_col, "node_id", "pos", "type", "name", lines.alias("lines"), F.coalesce(own, F.col("loc")).alias("loc"), F.col("e.id").alias("error_id"), F.col("e.level").alias("level"), F.col("e.message").alias("message"))
+    return found.select(id_col, NUMBER, "node_id", "pos", "type", "name", lines.alias("lines"), F.coalesce(own, F.col("loc")).alias("loc"), F.col("e.id").alias("error_id"), F.col("e.level").alias("level"), F.col("e.message").alias("message"))

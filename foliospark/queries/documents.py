@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliospark.engine import Engine
 from foliospark.functions.columns import escape_html, md_and, md_default, md_equals, md_not, md_or, truthy, utf16_length
 from foliospark.kernel.schema import Attribute, Config, Schema, Slot
-from foliospark.operators.nodes import parse_nodes
+from foliospark.operators.nodes import NUMBER, parse_nodes
 from foliospark.operators.values import debug_column, js_number_column, normalize_link_column, parse_tag_column, resolve_column
 from foliospark.plans.analytics import error_rollup, links, node_counts, outline, tag_usage
 from foliospark.queries.registry import query, read, written
@@ -215,7 +215,37 @@ def document_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = F.array_sort(F.collect_list(F.struct("o_orderkey", written("## Order ", F.col("o_orderkey"), "\n\n", F.col("o_orderpriority"), "\n\n").alias("line"))))
     source = F.concat(written("# Customer ", F.col("o_custkey"), "\n\n"), F.array_join(F.transform(items, lambda x: x["line"]), ""))
     found = outline(parse_nodes(read(spark, sf_dir, "orders").groupBy("o_custkey").agg(source.alias("source")), "o_custkey"), "o_custkey")
-    return found.withColumn("ordinal", F.col("ordinal").cast("long"))
+    return found.select("o_custkey", F.col("ordinal").cast("long").alias("ordinal"), "level", "text")
+
+
+_REPEATED_SQL = """SELECT CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 7 END AS k, what, CASE what
+    WHEN 'html' THEN '<article><h1>' || c_custkey || '</h1><p>' || CASE WHEN c_acctbal > 0 THEN 'yes ' ELSE 'no ' END || c_custkey || '</p><ul><li>one</li><li>' || c_mktsegment || '</li></ul></article>'
+    WHEN 'outline' THEN '1 ' || c_custkey
+    WHEN 'branches' THEN '2 ' || CASE WHEN c_acctbal > 0 THEN 'yes' ELSE 'no' END
+    ELSE json_object('file', 'c' || c_custkey, 'errors', [])::VARCHAR END AS found
+  FROM customer, (VALUES ('html'), ('outline'), ('branches'), ('diagnostics')) w(what)"""
+
+
+@query(_REPEATED_SQL)
+def documents_of_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that many documents share, and a third that have none: every row keeps its own HTML, outline, branches and diagnostics."""
+    key, flag = F.col("c_custkey"), F.when(F.col("c_acctbal") > 0, "true").otherwise("false")
+    source = written("# ", key, "\n\n{% if ", flag, " %}\nyes ", key, "\n{% else /%}\nno ", key, "\n{% /if %}\n\n- one\n- ", F.col("c_mktsegment"), "\n")
+    rows = read(spark, sf_dir, "customer").select(F.when(key % 3 != 0, key % 7).alias("k"), written("c", key).alias("file"), source.alias("source"))
+    engine = Engine(spark)
+    nodes = engine.parse(rows, "k")
+    found = [
+        ("html", engine.render_relational(rows, "k").select("k", F.col("html").alias("found"))),
+        ("outline", outline(nodes, "k").select("k", F.concat_ws(" ", "ordinal", "text").alias("found"))),
+    ]
+    texts = F.get(F.filter("attrs", lambda a: a["name"] == "content"), F.lit(0))["value"]
+    kept = engine.select_branches(nodes).filter("type = 'paragraph' or type = 'text'").groupBy("k", NUMBER)
+    words = F.max(F.regexp_extract(texts, '"(yes|no)', 1))
+    found.append(("branches", kept.agg((F.count_if(F.col("type") == "paragraph") + 1).alias("n"), words.alias("w")).select("k", F.concat_ws(" ", "n", "w").alias("found"))))
+    docs = engine.numbered(rows)
+    found.append(("diagnostics", diagnostics_json(engine.validate(docs, "k", file="file"), docs, "k").select("k", F.col("json").alias("found"))))
+    out = [df.select("k", F.lit(what).alias("what"), "found") for what, df in found]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 @query("""SELECT p_partkey, 'link' AS type, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 'https://shop.example/' || p_partkey END AS url FROM part WHERE p_size % 3 <> 0""")
@@ -233,7 +263,7 @@ def select_conditional_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.when(F.col("c_custkey") % 3 == 0, "true").otherwise("false")
     parts = ["{% if ", third, " %}\na\n\nb\n{% else /%}\nc\n{% /if %}\n\n{% if ", flag, " %}\nd\n{% /if %}\n\n{% if false %}\ne\n{% else ", flag, " /%}\nf\n{% else /%}\ng\n{% /if %}\n\nh\n"]
     nodes = parse_nodes(read(spark, sf_dir, "customer").select("c_custkey", written(*parts).alias("source")), "c_custkey")
-    kept = Engine(spark).select_branches(nodes, "c_custkey").filter("type = 'paragraph'")
+    kept = Engine(spark).select_branches(nodes).filter("type = 'paragraph'")
     return kept.groupBy("c_custkey").agg(F.count(F.lit(1)).cast("int").alias("n_kept"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.functions.columns import utf16_length
+from foliospark.operators.nodes import NUMBER
 
 _LEVELS_THAT_FAIL = ("error", "critical")
 
@@ -58,14 +59,18 @@ def utf16_position(source: Column, start: Column) -> Column:
 def diagnostics_json(diagnostics: DataFrame, documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, json): {"file", "errors"} of every document, also of those without a problem.
 
-    Problems are gathered by document, which bounds each group by its document.
+    Problems are gathered by document, which bounds each group by its document.  Where both tables hold
+    document numbers (number the documents before they are checked, see `nodes.numbered`), ids may
+    repeat or be null; else they must be unique.
     """
+    key = NUMBER if NUMBER in documents.columns and NUMBER in diagnostics.columns else id_col
     place = lambda at: F.when(at.isNotNull(), F.struct(*([at["file"].alias("file")] + [utf16_position(F.col("source"), at[e]).alias(e) for e in ("start", "end")])))
-    met = documents.select(id_col, F.col("file").alias("__file"), "source").join(diagnostics, id_col, "left")
+    own = documents.select(F.col(id_col).alias("__id"), F.col(key).alias("__key"), F.col("file").alias("__file"), "source")
+    met = own.join(diagnostics, F.col("__key") == F.col(key), "left")
     error = F.struct(F.col("error_id").alias("id"), "level", "message")
     one = F.when(F.col("error_id").isNotNull(), F.struct("node_id", "pos", F.struct("type", "lines", place(F.col("loc")).alias("location"), error.alias("error")).alias("e")))
-    rows = met.groupBy(id_col).agg(F.first("__file").alias("file"), F.array_sort(F.collect_list(one)).alias("found"))
-    return rows.select(id_col, F.to_json(F.struct("file", F.transform("found", lambda x: x["e"]).alias("errors"))).alias("json"))
+    rows = met.groupBy("__key", F.col("__id").alias("__doc")).agg(F.first("__file").alias("file"), F.array_sort(F.collect_list(one)).alias("found"))
+    return rows.select(F.col("__doc").alias(id_col), F.to_json(F.struct("file", F.transform("found", lambda x: x["e"]).alias("errors"))).alias("json"))
 
 
 def exit_code(diagnostics: DataFrame, documents: DataFrame | None = None, error: str = "error") -> int:

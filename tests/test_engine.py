@@ -22,6 +22,7 @@ from foliospark.kernel.tokenizer import Tokens, masked
 from foliospark.kernel.tree import Problem
 from foliospark.operators.nodes import parse_nodes
 from foliospark.operators.values import js_number_column, normalize_link_column
+from foliospark.plans.analytics import error_rollup, outline
 from foliospark.plans.render import render_nodes
 from foliospark.sources.declare import DeclarationError, configure, declare, load_text, parse_variable
 from foliospark.sources.documents import read_config, read_documents, read_partials, strip_frontmatter
@@ -98,6 +99,25 @@ def test_plain_prose_renders_natively_as_the_kernel_does(spark):
     assert own.render(spark.createDataFrame([("x",)], "source string")).first()["html"] == "<article><div>x</div></article>"
 
 
+def test_documents_that_share_an_id_or_have_none_stay_apart(spark):
+    texts = ["# A\n\n- one\n", "# B\n\ntwo\n", "# C\n", "# D\n\n{% if false %}\nno\n{% /if %}\n", "a\n\nb\n\nc\n\nd\n\ne\n", "{% void /%}\n", "{% void /%}\n"]
+    ids = [1, 1, None, None, None, 2, 2]
+    df = spark.createDataFrame([(i, f"f{k}", t) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, file string, source string").repartition(3)
+    engine = Engine(spark)
+    each = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert each(engine.render_relational(df)) == each(engine.render(df).select("doc_id", "html").filter("html <> ''"))
+    heads = outline(engine.parse(df))
+    assert each(heads.select("doc_id", "ordinal", "text")) == each(spark.createDataFrame([(1, 1, "A"), (1, 1, "B"), (None, 1, "C"), (None, 1, "D")], "a long, b int, c string"))
+    assert heads.select("_document").distinct().count() == 4
+    kept = engine.select_branches(engine.parse(df)).filter("type = 'text'").select("doc_id", F.get("attrs", F.lit(0))["value"])
+    assert each(kept) == each(spark.createDataFrame([(1, '"A"'), (1, '"B"'), (1, '"one"'), (1, '"two"'), *((None, f'"{c}"') for c in "CDabcde")], "a long, b string"))
+    docs = engine.numbered(df)
+    for found in (engine.validate(docs, file="file"), engine.validate_by_kernel(docs, file="file")):
+        lines = [json.loads(r["json"]) for r in diagnostics_json(found, docs).collect()]
+        assert sorted((x["file"], len(x["errors"])) for x in lines) == [(f"f{k}", int(k > 4)) for k in range(7)]
+    assert error_rollup(engine.validate(df)).first()["n_docs"] == 2
+
+
 def test_void_elements_have_no_content(spark):
     config = Config.of({"v": Schema("br"), "w": Schema("")})
     df = spark.createDataFrame([(1, "{% v %}\nx\n{% /v %}\n{% w %}\ny\n{% /w %}\n")], "doc_id long, source string")
