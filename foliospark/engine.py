@@ -9,6 +9,7 @@ order is promised (sort by the id columns where it matters).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,11 +24,21 @@ from foliospark.operators.kernels import Kernels
 from foliospark.operators.nodes import NUMBER, numbered, parse_nodes
 from foliospark.operators.renderables import transform_documents
 from foliospark.plans.branches import select_branches
+from foliospark.plans.partials import with_partial_table
 from foliospark.plans.render import render_nodes
 from foliospark.plans.validate import validate_nodes
 from foliospark.sources.documents import with_partials
 
 
+def _texts(value) -> Iterator[str]:
+    """All texts inside a value."""
+    if isinstance(value, str):
+        yield value
+    elif isinstance(value, dict | list | tuple):
+        for x in value.values() if isinstance(value, dict) else value:
+            yield from _texts(x)
+
+
 class Engine:
     """One configuration at work; the configuration is broadcast when it is first used."""
 
@@ -79,6 +90,13 @@ class Engine:
         """The table with its documents' HTML; rows stay where they are."""
         return df.withColumn(html, self.kernels.html(F.col(source), None if variables is None else F.col(variables)))
 
+    def render_with_partials(self, df: DataFrame, partials: DataFrame, source: str = "source", variables: str | None = None, html: str = "html", file: str = "file", text: str = "source") -> DataFrame:
+        """The table with its documents' HTML, partials coming from a table (name, text) of any size."""
+        names = tuple(sorted(set(_texts(self.config.variables))))
+        rows = with_partial_table(df, partials, source, variables, file, text, names, "__partials")
+        own = None if variables is None else F.col(variables)
+        return rows.withColumn(html, self.kernels.html_with(F.col(source), F.col("__partials"), own)).drop("__partials")
+
     def render_relational(self, df: DataFrame, id_col: str = "doc_id", source: str = "source", variables: str | None = None) -> DataFrame:
         """(id, html), a row a document, by the ordered aggregate over the renderable table."""
         return render_nodes(self.transform(df, id_col, source, variables), id_col).drop(NUMBER)

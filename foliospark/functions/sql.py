@@ -52,10 +52,31 @@ def segments(source: str, comments: bool = False) -> Iterator[tuple]:
         todo += reversed(block.children)
 
 
+def comment_ranges(source: str) -> Iterator[tuple[int, int]]:
+    """(start, stop) of each comment block that spans lines, from its `<!--` to behind its `-->`, in order: sorted and disjoint, none inside code, a table or a tag."""
+    for kind, start, stop, *_ in segments(source, True):
+        if kind == "comment" and "\n" in source[start:stop]:
+            yield start, stop
+
+
 class _Segments:
+    def __init__(self, comments: bool = False):
+        self.comments = comments
+
+    def eval(self, source: str):
+        if source is not None:
+            yield from segments(source, self.comments)
+
+
+class _CommentSegments(_Segments):
+    def __init__(self):
+        super().__init__(True)
+
+
+class _Comments:
     def eval(self, source: str):
         if source is not None:
-            yield from segments(source)
+            yield from comment_ranges(source)
 
 
 class _Nodes:
@@ -106,7 +127,8 @@ def register(spark: SparkSession, config: Config | None = None, options: ParseOp
     }
     for name, function in named.items():
         spark.udf.register(name, function)
-    for name, handler, kind in (("md_segments", _Segments, SEGMENT), ("md_nodes", _Nodes, NODE)):
+    tables = (("md_segments", _Segments, SEGMENT), ("md_segments_with_comments", _CommentSegments, SEGMENT), ("md_comments", _Comments, "start int, stop int"), ("md_nodes", _Nodes, NODE))
+    for name, handler, kind in tables:
         spark.udtf.register(name, UserDefinedTableFunction(handler, returnType=kind))
     for signature, body in _NATIVE.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")

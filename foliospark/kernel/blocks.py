@@ -191,6 +191,14 @@ class Blocks:
 
     # ---- one line
 
+    @staticmethod
+    def keep_lead(block: Block, line: Line) -> None:
+        """White space that a paragraph's line loses, by the line's place: an inline comment keeps it."""
+        whole = line.pending and line.text[line.at - 1 : line.at] == ">"  # a tab behind the last quote mark stays a tab
+        rest = line.text[line.at :] if whole else line.rest()
+        if block.text and (lead := rest[: len(rest) - len(rest.lstrip(" \t"))]):
+            block.data.setdefault("leads", {})[len(block.text)] = lead
+
     def add_line(self, text: str, number: int) -> None:
         line = Line(text, self.offsets[number])
         stop = line.offset + len(text)
@@ -242,6 +250,7 @@ class Blocks:
             leaf = None
         lazy = leaf is not None and leaf.kind == "paragraph" and not matched
         if leaf is not None and leaf.kind == "paragraph" and number < self.text_until and not line.blank():
+            self.keep_lead(leaf, line)
             leaf.text.append((text[line.at :].lstrip(" \t"), line.offset + len(text) - len(text[line.at :].lstrip(" \t"))))
             leaf.end_line, leaf.end = number + 1, stop
             return
@@ -273,15 +282,15 @@ class Blocks:
                 block.text.append((line.rest(), line.offset + line.at))
                 block.end = stop
                 return
-            if self.comments and rest.startswith("<!--") and (close := self.source.find("-->", line.offset + at)) >= 0:
-                last = self.source.count("\n", 0, close)
-                if not self.source[close + 3 : self.offsets[last] + len(self.lines[last])].strip():
-                    self.unwind(containers, opened)
-                    block = self.add_block("comment", line.offset + at, content=self.source[line.offset + at + 4 : close].strip())
-                    block.end_line, block.end = last + 1, close + 3
-                    self.skip_until = last + 1
-                    self.close()
-                    return
+            in_table = matched and not opened and leaf is not None and leaf.kind == "table"  # there the line is a row
+            if self.comments and not in_table and rest.startswith("<!--") and (close := self.source.find("-->", line.offset + at)) >= 0:
+                last = self.source.count("\n", 0, close)  # the container goes on behind this line, whose end is dropped
+                self.unwind(containers, opened)
+                block = self.add_block("comment", line.offset + at, content=re.sub(r"\r\n?", "\n", self.source[line.offset + at + 4 : close]).strip())
+                block.end_line, block.end = last + 1, close + 3
+                self.skip_until = last + 1
+                self.close()
+                return
             if rest.startswith(">"):
                 self.unwind(containers, opened)
                 self.add_block("blockquote", line.offset + at)
@@ -391,6 +400,7 @@ class Blocks:
     def extend(self, block: Block, line: Line, text: str, stop: int) -> None:
         line.indent()
         body = text[line.next :]
+        self.keep_lead(block, line)
         block.text.append((body, line.offset + line.next))
         block.end_line, block.end = self.number + 1, stop
         at = body.find("{%")  # a tag left open on this line holds the next ones

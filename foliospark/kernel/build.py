@@ -114,11 +114,12 @@ class Builder:
             run = Run.of([*b.text[:-1], (last.rstrip(" \t"), offset)])
             if not run.text.strip():
                 return
+            leads = b.data.get("leads")
             if tight and self.top.type == "item":
-                self.run(run)
+                self.run(run, leads)
             else:
                 self.stack.append(make("paragraph"))
-                self.run(run)
+                self.run(run, leads)
                 self.finish()
         elif b.kind == "heading":
             self.stack.append(make("heading", level=float(b.data["level"])))
@@ -217,7 +218,8 @@ class Builder:
 
     # ---- inline runs
 
-    def run(self, run: Run) -> None:
+    def run(self, run: Run, leads: dict[int, str] | None = None) -> None:
+        """leads: white space that lines lost, by their number in the run."""
         wrapped = self.top.type == "tag" and not self.top.inline
         bare = self.options.bare
         span = None if bare else (run.at(0), run.at(max(0, len(run.text) - 1)) + 1)
@@ -228,6 +230,8 @@ class Builder:
         self.stack.append(inline)
         depth = len(self.stack) - 1
         for event in self.options.tokenizer.inline(run.text, self.references, self.options.allow_comments):
+            if leads and event[0] == "comment":
+                event = ["comment", with_leads(run.text, *event[-1], leads), event[-1]]
             self.event(event, run, depth)
         self.close_tags(depth)
         protocols = list(self.options.validated_protocols)
@@ -302,6 +306,13 @@ class Builder:
 HREF_MESSAGE = "The 'href' format cannot contain a tag or variable. URLs must be static strings."
 
 
+def with_leads(text: str, start: int, stop: int, leads: dict[int, str]) -> str:
+    """A comment's content with the white space before its later lines."""
+    first = text.count("\n", 0, start)
+    lines = text[start + 4 : stop - 3].split("\n")
+    return "\n".join(leads.get(first + k, "") * (k > 0) + line for k, line in enumerate(lines)).strip()
+
+
 def _is_comment(node: Node) -> bool:
     return node.type == "comment" or node.type == "tag" and node.tag == "comment"
 

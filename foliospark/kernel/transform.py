@@ -16,6 +16,8 @@ from foliospark.kernel.tree import Node, deep
 from foliospark.kernel.values import UNDEFINED, is_number, truthy
 
 MAX_DEPTH = 512
+#: Partials of one document beyond which none expands: two that include themselves twice would make 2 ** MAX_DEPTH.
+MAX_PARTIALS = 100_000
 PARTIAL_NAME = "$$partial:filename"
 
 
@@ -32,7 +34,7 @@ class Many(list):
     """Several renderables in one place (a list that is no array value)."""
 
 
-_depth = 0
+_depth = _partials = 0
 _UNKNOWN = Schema()
 
 
@@ -78,11 +80,12 @@ def children(node: Node, config: Config) -> Many:
 
 def transform(node: Node, config: Config) -> Any:
     """A node's renderables: one, or Many."""
-    global _depth
+    global _depth, _partials
     if _depth >= MAX_DEPTH:
         return Many()
     if not _depth:
         deep()
+        _partials = 0
     _depth += 1
     try:
         schema = config.schema(node)
@@ -137,15 +140,16 @@ def _if(node: Node, config: Config) -> Many:
 
 
 def _partial(node: Node, config: Config) -> Any:
-    """Another document's children under its own variables; null for an unknown file, nothing for one that includes itself."""
+    """Another document's children under its own variables; null for an unknown file.  One that includes itself expands to the depth limit."""
+    global _partials
     file = resolve(node.attributes.get("file", UNDEFINED), config)
     if not isinstance(file, str) or file not in config.partials:
         return None
-    seen = (config.variables or {}).get("$$partial:stack", [])
-    if file in seen:
+    _partials += 1
+    if _partials > MAX_PARTIALS:
         return Many()
     passed = resolve(node.attributes.get("variables", UNDEFINED), config)
-    own = {**(config.variables or {}), **(passed if isinstance(passed, dict) else {}), PARTIAL_NAME: file, "$$partial:stack": [*seen, file]}
+    own = {**(config.variables or {}), **(passed if isinstance(passed, dict) else {}), PARTIAL_NAME: file}
     return children(config.partials[file], config.scoped(own))
 
 

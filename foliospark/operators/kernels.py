@@ -8,6 +8,7 @@ ones.  Null sources give null.
 
 from __future__ import annotations
 
+import functools
 import json
 import pickle
 from dataclasses import replace
@@ -76,6 +77,11 @@ def diagnostics(source: str, config: Config, options: ParseOptions, file: str |
     return out
 
 
+@functools.lru_cache(maxsize=4096)
+def parsed_partial(name: str, text: str, options: ParseOptions) -> Node:
+    return parse(text, replace(options, file=name))
+
+
 class Kernels:
     """The vectorised functions of one configuration."""
 
@@ -110,6 +116,16 @@ class Kernels:
             return parsed(source)
         return F.when(is_plain(source), plain_html(source)).otherwise(parsed(F.when(~is_plain(source), source)))
 
+    def html_with(self, source: Column, partials: Column, variables: Column | None = None) -> Column:
+        """HTML with each row's own partials, a map from name to text, beside those of the configuration; a worker parses each text once."""
+        options = replace(self.options, bare=True)
+
+        def one(text, config, own, renderer):
+            given = {} if own is None else {k: parsed_partial(k, t, options) for k, t in json.loads(own).items()}
+            return render(renderables(text, replace(config, partials={**config.partials, **given}), options), renderer)
+
+        return self._call(T.StringType(), one, source, variables, F.to_json(partials))
+
     def renderable_json(self, source: Column, variables: Column | None = None) -> Column:
         """An array a document, elements as {"$$mdtype":"Tag",...}."""
         options = replace(self.options, bare=True)

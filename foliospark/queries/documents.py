@@ -152,6 +152,28 @@ def render_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.render(rows, variables="variables").select("event_id", "html")
 
 
+@query("""SELECT c_custkey, '<article><p>' || n_name || ' for c' || c_custkey || '</p><h2>' || r_name || '</h2></article>' AS html
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def render_partials_from_a_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partials of two levels in a table: a nation's file includes its region's; a third of the documents name the file by a variable."""
+    nation = read(spark, sf_dir, "nation").select(written("nation/", F.col("n_nationkey"), ".md").alias("file"), written(F.replace(F.col("n_name"), F.lit("_"), F.lit("\\_")), ' for {% $who %}\n\n{% partial file="region/', F.col("n_regionkey"), '.md" /%}\n').alias("text"))
+    region = read(spark, sf_dir, "region").select(written("region/", F.col("r_regionkey"), ".md").alias("file"), written("## ", F.col("r_name"), "\n").alias("text"))
+    who, name = written("c", F.col("c_custkey")), written("nation/", F.col("c_nationkey"), ".md")
+    source = F.when(F.col("c_custkey") % 3 == 0, F.lit("{% partial file=$f variables={who: $me} /%}\n")).otherwise(written('{% partial variables={who: $me} file="', name, '" /%}\n'))
+    docs = read(spark, sf_dir, "customer").select("c_custkey", source.alias("source"), F.to_json(F.struct(who.alias("me"), F.when(F.col("c_custkey") % 3 == 0, name).alias("f"))).alias("variables"))
+    return Engine(spark).render_with_partials(docs, nation.unionByName(region), variables="variables", text="text").select("c_custkey", "html")
+
+
+@query("""SELECT s_suppkey, '<article>' || repeat('<p>ping ' || s_suppkey || '</p><p>pong</p>', 254) || '<p></p><p></p></article>' AS html FROM supplier""")
+def render_partials_in_a_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two partials that include each other expand until the tree is 512 levels deep; what lies deeper is cut off."""
+    key = F.col("s_suppkey")
+    rows = read(spark, sf_dir, "supplier")
+    pages = rows.select(F.explode(F.array(*[F.struct(written(a, "/", key).alias("file"), written(a, " " if a == "ping" else "", *([key] if a == "ping" else []), '\n\n{% partial file="', b, "/", key, '" /%}\n').alias("text")) for a, b in (("ping", "pong"), ("pong", "ping"))])).alias("p")).select("p.*")
+    docs = rows.select("s_suppkey", written('{% partial file="ping/', key, '" /%}\n').alias("source"))
+    return Engine(spark).render_with_partials(docs, pages, text="text").select("s_suppkey", "html")
+
+
 @query("""SELECT s_suppkey, '<article><section title="' || s_name || '"><p>Nation ' || s_nationkey || '</p></section></article>' AS html FROM supplier""")
 def render_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slot lifted out of its tag and rendered as an attribute."""

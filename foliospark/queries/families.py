@@ -20,7 +20,7 @@ from foliospark.queries.registry import query, read
 from foliospark.sources.declare import DeclarationError, declare
 from foliospark.sources.documents import read_config, read_documents
 from foliospark.sources.sinks import diff_column, exit_code, format_code, utf16_position, write_formatted, write_html
-from foliospark.streaming.documents import shared_folder
+from foliospark.sources.documents import shared_folder
 
 
 def _text(value: str) -> str:

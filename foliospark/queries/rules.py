@@ -242,6 +242,22 @@ def segment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT s_suppkey, kind, line, body FROM {view}, LATERAL md_segments(source)")
 
 
+@query("""WITH c AS (SELECT c_custkey, c_name AS n, c_custkey % 4 AS k FROM customer), r AS (
+    SELECT c_custkey, n, CASE k WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 12 + length(n) ELSE 24 + length(n) END AS start, k FROM c
+  ) SELECT c_custkey, start::INTEGER AS start, (start + CASE k WHEN 0 THEN 11 + length(n) WHEN 1 THEN 9 + length(n) WHEN 2 THEN 9 + length(n) ELSE 16 + length(n) END)::INTEGER AS stop FROM r""")
+def comment_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comment blocks over several lines: in a quote, an item, behind text (of which an inline comment is none), and behind a fence in a quote whose own comment is code."""
+    sql.register(spark)
+    n, key = F.col("c_name"), F.col("c_custkey")
+    quote, item = written("> <!-- ", n, "\n> -->\n"), written("1. <!-- ", n, "\n--> gone\nafter\n")
+    behind = written("x <!-- ", n, "\n-->\n<!--", n, "\n\n--> {% no /%}\n")
+    fence = written("> ```\n> <!-- a\n> ", n, "\n> ```\n<!--\n{% no %}", n, "-->\n")
+    source = F.when(key % 4 == 0, quote).when(key % 4 == 1, item).when(key % 4 == 2, behind).otherwise(fence)
+    view = f"comments_{uuid.uuid4().hex}"
+    read(spark, sf_dir, "customer").select("c_custkey", source.alias("source")).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT c_custkey, start, stop FROM {view}, LATERAL md_comments(source)")
+
+
 @query("""SELECT p_partkey, 17 + length(p_brand) AS tag_end, '{"a":[1,{"$$mdtype":"Variable","path":["x",' || p_size || ']}],"b":"' || p_brand || '"}' AS value, '{a: [1, $x[' || p_size || ']], b: "' || p_brand || '"}' AS source FROM part""")
 def written_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The end of a tag past quoted delimiters; a value parsed and printed again."""

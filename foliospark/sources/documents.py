@@ -6,6 +6,8 @@ error, never a failed job; a named file that does not exist is one too.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import replace
 from typing import Any
 
@@ -64,6 +66,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that the session shares between machines; where none is named, only a session on one machine gets one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(named or tempfile.mkdtemp(prefix='tables-')).rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
 def strip_frontmatter(source: Column) -> Column:
     """The source without a leading block between lines of three dashes (a host's concern, not the parser's)."""
     return F.regexp_replace(source, r"^---[ \t]*\r?\n(?:[^\n]*\n)*?---[ \t]*(?:\r?\n|$)", "")

@@ -8,15 +8,14 @@ as the watermark says.  `first_documents` keeps one row an id within the waterma
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foliospark.engine import Engine
+from foliospark.sources.documents import shared_folder
 
 
 def render_stream(engine: Engine, stream: DataFrame, source: str = "source", variables: str | None = None) -> DataFrame:
@@ -40,14 +39,6 @@ def first_documents(stream: DataFrame, time: str, id_col: str = "doc_id", delay:
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([id_col])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the session shares between machines; where none is named, only a session on one machine gets one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(named or tempfile.mkdtemp(prefix='streams-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame) -> DataFrame:
     """What a bounded stream gives to its end, through a Parquet table in the shared folder."""
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)

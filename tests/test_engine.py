@@ -23,6 +23,7 @@ from foliospark.kernel.tree import Problem
 from foliospark.operators.nodes import parse_nodes
 from foliospark.operators.values import js_number_column, normalize_link_column
 from foliospark.plans.analytics import error_rollup, outline
+from foliospark.plans.partials import closure, includes
 from foliospark.plans.render import render_nodes
 from foliospark.sources.declare import DeclarationError, configure, declare, load_text, parse_variable
 from foliospark.sources.documents import read_config, read_documents, read_partials, strip_frontmatter
@@ -371,3 +372,26 @@ def test_streams_need_no_state(spark, tmp_path):
     seen = []
     write_batches(stream, lambda df, k: seen.append(engine.render_relational(df).count()), str(tmp_path / "batches")).awaitTermination(120)
     assert sum(seen) == len(SOURCES) - 1
+
+
+def test_partials_from_a_table_are_those_of_the_configuration(spark):
+    texts = {"a.md": 'A {% $x %}\n\n{% partial file="b.md" /%}\n', "b.md": 'B\n\n{% partial file=$next /%}\n', "c.md": 'C\n\n{% partial file="a b\\"c.md" /%}\n', 'a b"c.md': "D\n", "loop.md": 'L\n\n{% partial file="loop.md" /%}\n', "unused.md": "U\n"}
+    sources = [
+        ('{% partial file="a.md" variables={x: 1, next: "c.md"} /%}\n', None), ('say "hi\n\n{% partial file=$f /%}\n', '{"f": "c.md"}'), ("no include\n", None), ('{% partial file="lost.md" /%}\nx\n', None),
+        ('{% partial file=default($no, "loop.md") /%}\n', None), (None, None), ("", None), ('{% partial file=$site.page /%}\n', '{"x": 2}'), ('{% partial file="a.md" variables={x: 1, next: "c.md"} /%}\n', None),
+    ]
+    docs = spark.createDataFrame([(k, *row) for k, row in enumerate(sources)], "doc_id int, source string, variables string").repartition(3)
+    table = spark.createDataFrame([*texts.items(), ("a.md", "Z later\n"), (None, "n"), ("n.md", None)], "name string, body string")
+    config = Config.of(variables={"site": {"page": "b.md"}})
+    got = Engine(spark, config).render_with_partials(docs, table, variables="variables", file="name", text="body")
+    assert got.columns == [*docs.columns, "html"]
+    want = Engine(spark, config).with_partials(texts).render(docs, variables="variables").select("doc_id", "html")
+    assert rows(got.select("doc_id", "html")) == rows(want)
+    assert rows(Engine(spark, config).render_with_partials(docs.select("doc_id", "source"), table.limit(0), file="name", text="body").select("doc_id", "html").filter("doc_id = 2")) == rows(want.filter("doc_id = 2"))
+
+
+def test_the_graph_of_includes_is_closed_over_cycles_and_long_chains(spark):
+    chain = [(f"p{k}", f'{{% partial file="p{k + 1}" /%}}') for k in range(40)] + [("p40", "end"), ("q", '{% partial file="q" /%}'), ("r", '"q" "s"'), ("s", '"r"')]
+    edges = includes(spark.createDataFrame(chain, "file string, source string"))
+    reach = {(r["file"], r["other"]) for r in closure(edges).collect()}
+    assert reach == {(f"p{i}", f"p{j}") for i in range(41) for j in range(i + 1, 41)} | {("q", "q")} | {(a, b) for a in "rs" for b in "qrs"}

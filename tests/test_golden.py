@@ -2,6 +2,7 @@
 
 import pytest
 
+from foliospark.functions.sql import comment_ranges
 from foliospark.kernel.build import ParseOptions, outline, parse
 from foliospark.kernel.check import validate
 from foliospark.kernel.render import render
@@ -94,9 +95,63 @@ def test_partials_take_variables_and_know_their_name():
     assert html('{% partial file="p.md" variables={n: 2} /%}', config) == "<article><p>Hi A 2</p></article>"
 
 
-def test_a_partial_that_includes_itself_ends():
+def test_a_partial_that_includes_itself_expands_to_the_depth_limit():
     config = Config.of(partials={"p.md": parse('x\n\n{% partial file="p.md" /%}\n')})
-    assert html('{% partial file="p.md" /%}', config) == "<article><p>x</p></article>"
+    assert html('{% partial file="p.md" /%}', config) == "<article>" + "<p>x</p>" * 508 + "<p></p>" * 2 + "</article>"
+
+
+def test_a_partial_that_includes_itself_twice_ends():
+    config = Config.of(partials={"p.md": parse('{% partial file="p.md" /%}\n\n{% partial file="p.md" /%}\n')})
+    assert html('{% partial file="p.md" /%}', config) == "<article></article>"
+
+
+def comments_of(node):
+    """Block and inline comments of a tree as (kind of the node above, content)."""
+    found = [(node.tag or node.type, c.attributes["content"]) for c in node.children if c.type == "comment"]
+    return found + [x for c in node.children for x in comments_of(c)]
+
+
+#: Where a comment block is one, what it holds and what goes on behind it; sources by place.
+COMMENTS = {
+    "past the end of an item": ("2. <!-- one\ntwo\n--> lost\nnext\n", [("item", "one\ntwo")], '<ol start="2"><li></li></ol><p>next</p>'),
+    "the list goes on": ("* <!-- one\ntwo -->\n* next\n", [("item", "one\ntwo")], "<ul><li></li><li>next</li></ul>"),
+    "the quote goes on": ("> <!-- one\ntwo -->\n> next\n", [("blockquote", "one\ntwo")], "<blockquote><p>next</p></blockquote>"),
+    "over a blank line": ("* <!-- one\n\ntwo -->\nnext\n", [("item", "one\n\ntwo")], "<ul><li></li></ul><p>next</p>"),
+    "quote in quote": ("> > <!-- one\n> two -->\n> next\n", [("blockquote", "one\n> two")], "<blockquote><blockquote></blockquote><p>next</p></blockquote>"),
+    "one in each item": ("+ <!-- one\n1 -->\n+ <!-- two\n2 -->\n", [("item", "one\n1"), ("item", "two\n2")], "<ul><li></li><li></li></ul>"),
+    "a tag behind it": ("<!-- one\ntwo --> {% if $x %}\n", [("document", "one\ntwo")], ""),
+    "a tag inside it": ("{% if true %}\n> <!-- one\n{% /if %}\n-->\n{% /if %}\nnext\n", [("blockquote", "one\n{% /if %}")], "<blockquote></blockquote><p>next</p>"),
+    "a fence in a quote": ("> ~~~\n> <!-- one\n> two -->\n> ~~~\n", [], "<blockquote><pre>&lt;!-- one\ntwo --&gt;\n</pre></blockquote>"),
+    "behind such a fence": ("> ~~~\n> <!-- one\n> <!-- two\n> ~~~\n> <!-- three\n{% if %}\n> -->\n", [("blockquote", "three\n{% if %}\n>")], "<blockquote><pre>&lt;!-- one\n&lt;!-- two\n</pre></blockquote>"),
+    "indented code": ("    <!-- one\n    two -->\n", [], "<pre>&lt;!-- one\ntwo --&gt;\n</pre>"),
+    "bars but no table": ("p | q\n<!-- one\ntwo -->\n", [("document", "one\ntwo")], "<p>p | q</p>"),
+    "a row of a table": ("| p |\n|---|\n<!-- one\ntwo -->\n", [], "<table><thead><tr><th>p</th></tr></thead><tbody><tr><td>&lt;!-- one</td></tr><tr><td>two --&gt;</td></tr></tbody></table>"),
+    "a cell's own": ("| p |\n|---|\n<!-- one --> two\n", [("inline", "one")], "<table><thead><tr><th>p</th></tr></thead><tbody><tr><td> two</td></tr></tbody></table>"),
+    "behind a table": ("> | p |\n> |---|\n>\n> <!-- one\n> two -->\n", [("blockquote", "one\n> two")], "<blockquote><table><thead><tr><th>p</th></tr></thead></table></blockquote>"),
+    "other line ends": ("<!-- one\r\ntwo\rthree -->\r\n", [("document", "one\ntwo\nthree")], ""),
+    "no end": ("<!-- one\n\n# two", [], "<p>&lt;!-- one</p><h1>two</h1>"),
+    "the shortest": ("<!-->\n<!-- two -->", [("document", ""), ("document", "two")], ""),
+    "inline, a quote's lines": ("> p <!-- one\n>     two --> q\n", [("inline", "one\n    two")], "<blockquote><p>p  q</p></blockquote>"),
+    "inline, an item's lines": ("* p <!-- one\n    two\n three --> q\n", [("inline", "one\n  two\n three")], "<ul><li>p  q</li></ul>"),
+    "inline, a tab in a quote": ("> p <!-- one\n>\ttwo --> q\n", [("inline", "one\n\ttwo")], "<blockquote><p>p  q</p></blockquote>"),
+    "inline, a tab in an item": ("* p <!-- one\n\ttwo --> q\n", [("inline", "one\n  two")], "<ul><li>p  q</li></ul>"),
+    "inline, parted": ("p <!-- one\n\ntwo --> q\n", [], "<p>p &lt;!-- one</p><p>two --&gt; q</p>"),
+}
+
+
+@pytest.mark.parametrize("case", COMMENTS)
+def test_comments_by_place(case):
+    source, found, want = COMMENTS[case]
+    assert comments_of(parse(source, OPTIONS)) == found
+    assert html(source) == f"<article>{want}</article>"
+
+
+def test_ranges_of_comments_are_sorted_disjoint_and_in_no_code():
+    for source, found, _ in COMMENTS.values():
+        ranges = list(comment_ranges(source))
+        assert all(a < b for pair in zip(ranges, ranges[1:], strict=False) for (_, a), (b, _) in [pair])
+        blocks = [text for kind, text in found if kind != "inline" and ("\n" in text)]
+        assert [source[a:b][4:-3].strip().replace("\r\n", "\n").replace("\r", "\n") for a, b in ranges] == blocks
 
 
 def test_slots_become_attributes():
