@@ -60,8 +60,7 @@ def comment_ranges(source: str) -> Iterator[tuple[int, int]]:
 
 
 class _Segments:
-    def __init__(self, comments: bool = False):
-        self.comments = comments
+    comments = False
 
     def eval(self, source: str):
         if source is not None:
@@ -69,8 +68,7 @@ class _Segments:
 
 
 class _CommentSegments(_Segments):
-    def __init__(self):
-        super().__init__(True)
+    comments = True
 
 
 class _Comments:
