@@ -30,6 +30,7 @@ from foliospark.kernel.values import UNDEFINED, decode, encode
 from foliospark.operators import values
 from foliospark.operators.kernels import Shared, ast_plain, dump, renderables, scope
 from foliospark.operators.nodes import deep, flatten
+from foliospark.operators.vocabularies import DeclarationRows
 
 SEGMENT = "kind string, start int, stop int, line int, body string, masked string"
 NODE = "node_id int, parent_id int, depth int, last_desc int, slot string, type string, tag string, inline boolean, attrs string, line int"
@@ -125,7 +126,7 @@ def register(spark: SparkSession, config: Config | None = None, options: ParseOp
     }
     for name, function in named.items():
         spark.udf.register(name, function)
-    tables = (("md_segments", _Segments, SEGMENT), ("md_segments_with_comments", _CommentSegments, SEGMENT), ("md_comments", _Comments, "start int, stop int"), ("md_nodes", _Nodes, NODE))
+    tables = (("md_segments", _Segments, SEGMENT), ("md_segments_with_comments", _CommentSegments, SEGMENT), ("md_comments", _Comments, "start int, stop int"), ("md_declaration", DeclarationRows, "path string, reason string, tags array<string>, nodes array<string>"), ("md_nodes", _Nodes, NODE))
     for name, handler, kind in tables:
         spark.udtf.register(name, UserDefinedTableFunction(handler, returnType=kind))
     for signature, body in _NATIVE.items():

@@ -6,21 +6,24 @@ case that its key names, so every table row runs and every case occurs.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.engine import Engine
+from foliospark.functions import sql
 from foliospark.functions.document import Function
 from foliospark.kernel.build import ParseOptions
 from foliospark.kernel.schema import Attribute, Config, Schema, Slot
 from foliospark.kernel.transform import Element
 from foliospark.kernel.transform import children as render_children
 from foliospark.kernel.tree import Problem
+from foliospark.operators.vocabularies import render_by_vocabulary, validate_by_vocabulary
 from foliospark.queries.registry import query, read
-from foliospark.sources.declare import DeclarationError, declare
-from foliospark.sources.documents import read_config, read_documents
+from foliospark.sources.documents import read_config, read_documents, shared_folder
 from foliospark.sources.sinks import diff_column, exit_code, format_code, utf16_position, write_formatted, write_html
-from foliospark.sources.documents import shared_folder
 
 
 def _text(value: str) -> str:
@@ -293,31 +296,55 @@ def files_to_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.substring_index("value", "|", 1).alias("name"), F.expr("substring(value, instr(value, '|') + 1)").alias("html"))
 
 
-_REFUSED = [
-    ("config.tags.x.transform", {"tags": {"x": {"transform": "f"}}}),
-    ("config.tags.x.render", {"tags": {"x": {"render": True}}}),
-    ("config.tags.x.attributes.a.type", {"tags": {"x": {"attributes": {"a": {"type": "Text"}}}}}),
-    ("config.tags.x.attributes.a.matches", {"tags": {"x": {"attributes": {"a": {"matches": "a|b"}}}}}),
-    ("config.tags.x.attributes.a.errorLevel", {"tags": {"x": {"attributes": {"a": {"errorLevel": "loud"}}}}}),
-    ("config.tags.x.slots.s.required", {"tags": {"x": {"slots": {"s": {"required": "yes"}}}}}),
+#: (path of the refusal or null, declaration); the @ is the row's name.
+_DECLARATIONS = [
+    ("config.tags.@.transform", {"tags": {"@": {"transform": "f"}}}),
+    ("config.tags.@.render", {"tags": {"@": {"render": True}}}),
+    ("config.tags.@.attributes.a.type", {"tags": {"@": {"attributes": {"a": {"type": "Text"}}}}}),
+    ("config.tags.x.attributes.@.matches", {"tags": {"x": {"attributes": {"@": {"matches": "a|b"}}}}}),
+    ("config.tags.x.attributes.a.errorLevel", {"tags": {"x": {"attributes": {"a": {"errorLevel": "@"}}}}}),
+    ("config.tags.x.slots.@.required", {"tags": {"x": {"slots": {"@": {"required": "yes"}}}}}),
     ("config.tags.x.slots.s.size", {"tags": {"x": {"slots": {"s": {"size": 1}}}}}),
     ("config.nodes.tag", {"nodes": {"tag": {}}}),
-    ("config.nodes.word", {"nodes": {"word": {}}}),
+    ("config.nodes.@", {"nodes": {"@": {}}}),
     ("config.functions", {"functions": {}}),
-    ("none", {"tags": {"x": {"slots": {"s": {"render": "t", "required": True}}}}, "variables": {"a": [1, {"b": None}]}}),
+    (None, {"tags": {"@": {"slots": {"s": {"render": "t", "required": True}}}}, "variables": {"a": [1, {"b": None}]}}),
+    (None, None),
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{path}')" for k, (path, _) in enumerate(_REFUSED)) + ") AS t(n, path)")
-def declarations_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each refused declaration goes wrong; slot keys that are accepted."""
+def _vocabularies(rows: DataFrame, key: str) -> DataFrame:
+    """(key, declaration): each row's declaration by its key, with the key in its names."""
+    texts = F.array(*[F.lit(None if d is None else json.dumps(d)).cast("string") for _, d in _DECLARATIONS])
+    text = F.get(texts, (F.col(key) % len(_DECLARATIONS)).cast("int"))
+    return rows.select(key, F.replace(text, F.lit("@"), F.concat(F.lit("k"), F.col(key).cast("string"))).alias("declaration"))
+
 
-    def refused(root) -> str:
-        try:
-            declare(root)
-        except DeclarationError as e:
-            return e.path
-        return "none"
+def _path_sql(path: str | None) -> str:
+    return "NULL" if path is None else "'" + path.replace("@", "k' || p_partkey || '") + "'"
 
-    return spark.createDataFrame([(k, refused(root)) for k, (_, root) in enumerate(_REFUSED)], "n int, path string")
 
+_CASES = " ".join(f"WHEN {k} THEN {_path_sql(path)}" for k, (path, _) in enumerate(_DECLARATIONS))
+
+
+@query(f"SELECT p_partkey, CASE p_partkey % {len(_DECLARATIONS)} {_CASES} END AS path, CASE p_partkey % {len(_DECLARATIONS)} WHEN 10 THEN 'k' || p_partkey WHEN 11 THEN '' END AS tags FROM part")
+def declarations_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the declaration of each row goes wrong, by the SQL table function; the tags of those that are accepted."""
+    sql.register(spark)
+    view = f"declarations_{uuid.uuid4().hex}"
+    _vocabularies(read(spark, sf_dir, "part"), "p_partkey").createOrReplaceTempView(view)
+    return spark.sql(f"SELECT p_partkey, path, array_join(tags, ',') AS tags FROM {view}, LATERAL md_declaration(declaration)")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_nationkey % 5 = 4 THEN NULL ELSE '<article><n' || c_nationkey || ' kind="k' || c_nationkey % 3 || '"><p>of ' || n_name || '</p></n' || c_nationkey || '></article>' END AS html,
+  CASE WHEN c_nationkey % 5 = 4 THEN NULL WHEN c_custkey % 2 = 0 THEN 0 ELSE 1 END AS n_problems FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def documents_by_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary a nation, a fifth of them refused: the same tag renders by the vocabulary of each document's key, and its attribute is valid by it or not."""
+    key, kind = F.col("n_nationkey").cast("string"), F.concat(F.lit("k"), (F.col("n_nationkey") % 3).cast("string"))
+    start = F.when(F.col("n_nationkey") % 5 == 4, '{"tags": {"box": {"render": true').otherwise(F.concat(F.lit('{"tags": {"box": {"render": "n'), key, F.lit('"')))
+    rest = F.concat(F.lit(', "attributes": {"kind": {"type": "String", "matches": ["'), kind, F.lit('"], "default": "'), kind, F.lit('"}}}}, "variables": {"name": "'), F.col("n_name"), F.lit('"}}'))
+    vocabularies = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.concat(start, rest).alias("declaration"))
+    wrong = F.when(F.col("c_custkey") % 2 == 0, "").otherwise(" other=1")
+    docs = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.concat(F.lit("{% box"), wrong, F.lit(" %}\nof {% $name %}\n{% /box %}\n")).alias("source"))
+    found = validate_by_vocabulary(render_by_vocabulary(docs, vocabularies, "c_nationkey"), vocabularies, "c_nationkey")
+    return found.select("c_custkey", "html", F.when(F.col("problems").isNotNull(), F.size("problems")).alias("n_problems"))

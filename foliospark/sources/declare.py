@@ -33,8 +33,8 @@ class DeclarationError(ValueError):
     """A refused declaration; `path` is where, as in config.tags.x.render."""
 
     def __init__(self, path: str, what: str, reason: str | None = None):
-        super().__init__(f"{path}: {what}" + (f" -- {reason}" if reason else ""))
-        self.path = path
+        self.path, self.reason = path, what + (f" -- {reason}" if reason else "")
+        super().__init__(f"{path}: {self.reason}")
 
 
 @dataclass

@@ -21,6 +21,7 @@ from foliospark.kernel.schema import Attribute, AttributeType, Config, Pattern,
 from foliospark.kernel.tokenizer import Tokens, masked
 from foliospark.kernel.tree import Problem
 from foliospark.operators.nodes import parse_nodes
+from foliospark.operators.vocabularies import render_by_vocabulary, validate_by_vocabulary, verdicts
 from foliospark.operators.values import js_number_column, normalize_link_column
 from foliospark.plans.analytics import error_rollup, outline
 from foliospark.plans.partials import closure, includes
@@ -395,3 +396,16 @@ def test_the_graph_of_includes_is_closed_over_cycles_and_long_chains(spark):
     edges = includes(spark.createDataFrame(chain, "file string, source string"))
     reach = {(r["file"], r["other"]) for r in closure(edges).collect()}
     assert reach == {(f"p{i}", f"p{j}") for i in range(41) for j in range(i + 1, 41)} | {("q", "q")} | {(a, b) for a in "rs" for b in "qrs"}
+
+
+def test_documents_meet_their_vocabulary_by_a_key(spark):
+    given = [("a", "tags: {box: {render: aside}}"), ("b", '{"tags": {"box": {"render": "div", "attributes": {"n": {"type": "Number", "required": true}}}}}'), ("c", "tags: {box: {render: true}}"), ("d", None), ("e", "{"), (None, "tags: {}")]
+    table = spark.createDataFrame(given, "site string, declaration string")
+    docs = spark.createDataFrame([(k, site, "{% box %}\nx\n{% /box %}\n") for k, site in enumerate(["a", "b", "c", "d", "e", None, "lost", "a"])] + [(8, "a", None)], "doc_id int, site string, source string")
+    got = validate_by_vocabulary(render_by_vocabulary(docs, table, "site"), table, "site").orderBy("doc_id").collect()
+    box = {"a": "<article><aside><p>x</p></aside></article>", "b": "<article><div><p>x</p></div></article>", "d": "<article><p>x</p></article>"}
+    assert [r["html"] for r in got] == [box["a"], box["b"], None, box["d"], None, None, None, box["a"], None]
+    assert [None if r["problems"] is None else [p["error"]["id"] for p in r["problems"]] for r in got] == [[], ["attribute-missing-required"], None, ["tag-undefined"], None, None, None, [], None]
+    found = {r["site"]: r for r in verdicts(table).collect()}
+    assert [found[s]["path"] for s in "abcde"] == [None, None, "config.tags.box.render", None, "config"] and all((found[s]["path"] is None) == (found[s]["reason"] is None) for s in "abcde")
+    assert found["a"]["tags"] == ["box"] and found["d"]["tags"] == []
