@@ -58,3 +58,40 @@ def tag_usage(nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(tag, attribute, n): how often each tag is written with each attribute ("" for all its uses)."""
     tags = nodes.filter("type = 'tag'").select("tag", F.explode(F.array_prepend(F.transform("attrs", lambda a: a["name"]), F.lit(""))).alias("attribute"))
     return tags.groupBy("tag", "attribute").agg(F.count(F.lit(1)).alias("n"))
+
+
+def problem_cube(problems: DataFrame, by: tuple[str, ...] = ("error_id", "level", "name"), cube: bool = False) -> DataFrame:
+    """Counts over all levels of `by` (ROLLUP, or CUBE): n problems and n_docs documents that have one; `grain` is the grouping's number, whose bits mark columns summed over.
+
+    A document's problems are counted once before anything is rolled up, so each document travels once for each group it is in.
+    """
+    each = problems.groupBy(*by, NUMBER).agg(F.count(F.lit(1)).alias("__n"))
+    rolled = (each.cube if cube else each.rollup)(*by)
+    return rolled.agg(F.grouping_id().cast("int").alias("grain"), F.sum("__n").alias("n"), F.count_distinct(NUMBER).alias("n_docs"))
+
+
+def document_sketches(problems: DataFrame, by: tuple[str, ...] = ("error_id", "level"), id_col: str = "doc_id", log2_size: int = 12) -> DataFrame:
+    """(by, documents, n): for each group a HyperLogLog sketch of the ids of its documents and its problems; a few KB, whatever it has seen.
+
+    Sketches of batches are stored and merged later (merge_sketches), so no batch is read again.  The
+    relative standard error of 2 ** 12 registers is 1.6 per cent.  Ids that are null are not counted.
+    """
+    return problems.groupBy(*by).agg(F.hll_sketch_agg(F.col(id_col).cast("string"), F.lit(log2_size)).alias("documents"), F.count(F.lit(1)).alias("n"))
+
+
+def merge_sketches(sketches: DataFrame, by: tuple[str, ...] = ("error_id", "level")) -> DataFrame:
+    """Sketches of equal groups as one, also for fewer columns than they were made for."""
+    return sketches.groupBy(*by).agg(F.hll_union_agg("documents").alias("documents"), F.sum("n").alias("n"))
+
+
+def estimated(sketches: DataFrame) -> DataFrame:
+    """The sketches with n_docs, the estimated number of documents."""
+    return sketches.withColumn("n_docs", F.hll_sketch_estimate("documents"))
+
+
+def top_by_group(rows: DataFrame, by: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
+    """The first k rows of each group, numbered from 1; equal rows in `order` are told apart by its last columns, which should be unique.
+
+    Spark keeps k rows a group in every task before the shuffle (WindowGroupLimit), so a hot group costs k rows a task.
+    """
+    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)

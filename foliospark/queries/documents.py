@@ -13,9 +13,11 @@ from foliospark.functions.columns import escape_html, md_and, md_default, md_equ
 from foliospark.kernel.schema import Attribute, Config, Schema, Slot
 from foliospark.operators.nodes import NUMBER, parse_nodes
 from foliospark.operators.values import debug_column, js_number_column, normalize_link_column, parse_tag_column, resolve_column
-from foliospark.plans.analytics import error_rollup, links, node_counts, outline, tag_usage
+from foliospark.plans.analytics import error_rollup, links, node_counts, outline, problem_cube, tag_usage, top_by_group
+from foliospark.plans.places import as_of_join, nodes_at
 from foliospark.queries.registry import query, read, written
 from foliospark.sources.declare import configure
+from foliospark.sources.documents import stored
 from foliospark.sources.sinks import diagnostics_json, format_check, human_lines
 
 #: The vocabulary of the queries, as a user would declare it.
@@ -240,6 +242,49 @@ def document_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_custkey", F.col("ordinal").cast("long").alias("ordinal"), "level", "text")
 
 
+@query("""SELECT o_orderkey, 'text' AS type, 'Order ' || o_orderkey AS heading FROM orders""")
+def nodes_at_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places inside documents of many headings: the deepest node that holds each, by an interval join, and the heading in force, by an as-of join."""
+    key = F.col("o_orderkey")
+    head = written("## Order ", key, "\n\n")
+    orders = read(spark, sf_dir, "orders").select("o_custkey", F.struct(key, F.concat(head, "o_orderpriority", F.lit("\n\n")).alias("text"), F.octet_length(head).alias("lead")).alias("e"))
+    docs = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list("e")).alias("x"))
+    docs = docs.select("o_custkey", F.col("o_custkey").alias(NUMBER), F.array_join(F.transform("x", lambda e: e["text"]), "").alias("source"), "x")
+    before = F.col("x").getField("text")
+    size = lambda k: F.octet_length(F.array_join(F.slice(before, F.lit(1), k), ""))
+    places = docs.select(NUMBER, "x", F.posexplode("x").alias("k", "e")).select(NUMBER, "e.o_orderkey", (size(F.col("k")) + F.col("e.lead") + 2).alias("at"))
+    nodes = stored(parse_nodes(docs, "o_custkey"))
+    text = F.get(F.filter("attrs", lambda a: a["name"] == "content"), F.lit(0))["value"]
+    heads = nodes.filter("type = 'text'").select(NUMBER, F.col("loc.start.offset").alias("by"), F.get_json_object(F.concat(F.lit("["), text, F.lit("]")), "$[0]").alias("heading")).filter("heading like 'Order %'")
+    return as_of_join(nodes_at(places, nodes), heads, [NUMBER], "at", "by").select("o_orderkey", "type", "heading")
+
+
+@query("""WITH p AS (
+    SELECT c_custkey, 'attribute-missing-required' AS error_id, 'error' AS level, 'callout' AS name FROM customer WHERE c_custkey % 2 = 0
+    UNION ALL SELECT c_custkey, 'attribute-undefined', 'error', 'callout' FROM customer WHERE c_custkey % 3 = 0
+    UNION ALL SELECT c_custkey, 'tag-undefined', 'critical', 'k' || c_custkey % 5 FROM customer CROSS JOIN range(2)
+  ) SELECT error_id, level, name, grouping_id(error_id, level, name)::INTEGER AS grain, count(*) AS n, count(DISTINCT c_custkey) AS n_docs FROM p GROUP BY ROLLUP (error_id, level, name)""")
+def problems_rolled_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems by rule, level and tag, with all totals above them, and the documents that have one."""
+    key = F.col("c_custkey")
+    given, other = F.when(key % 2 == 0, "").otherwise(' type="tip"'), F.when(key % 3 == 0, " lost=1").otherwise("")
+    tag = written("\n{% k", key % 5, " /%}\n")
+    source = F.concat(F.lit("{% callout"), given, other, F.lit(" %}\nx\n{% /callout %}\n"), tag, tag)
+    docs = read(spark, sf_dir, "customer").select("c_custkey", source.alias("source"))
+    return problem_cube(Engine(spark, _config()).validate(docs, "c_custkey"))
+
+
+@query("""SELECT 'k' || c_nationkey AS name, rank, c_custkey, 'Undefined tag: ' || chr(39) || 'k' || c_nationkey || chr(39) AS message FROM (
+    SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 3 DESC, c_custkey)::INTEGER AS rank FROM customer
+  ) WHERE rank <= 4""")
+def top_problems_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each tag's problems the four that stand last in their documents, ties by the smaller id."""
+    source = F.concat(F.repeat(F.lit("a\n\n"), (F.col("c_custkey") % 3).cast("int")), written("{% k", F.col("c_nationkey"), " /%}\n"))
+    found = Engine(spark).validate(read(spark, sf_dir, "customer").select("c_custkey", source.alias("source")), "c_custkey")
+    best = top_by_group(found, ["name"], [F.desc(F.get("lines", F.lit(0))), "c_custkey"], 4)
+    return best.select("name", "rank", "c_custkey", "message")
+
+
 _REPEATED_SQL = """SELECT CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 7 END AS k, what, CASE what
     WHEN 'html' THEN '<article><h1>' || c_custkey || '</h1><p>' || CASE WHEN c_acctbal > 0 THEN 'yes ' ELSE 'no ' END || c_custkey || '</p><ul><li>one</li><li>' || c_mktsegment || '</li></ul></article>'
     WHEN 'outline' THEN '1 ' || c_custkey

@@ -74,6 +74,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{(named or tempfile.mkdtemp(prefix='tables-')).rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table written once to the shared folder and read again: what several plans read is computed once, and lineage ends here."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def strip_frontmatter(source: Column) -> Column:
     """The source without a leading block between lines of three dashes (a host's concern, not the parser's)."""
     return F.regexp_replace(source, r"^---[ \t]*\r?\n(?:[^\n]*\n)*?---[ \t]*(?:\r?\n|$)", "")
