@@ -16,6 +16,8 @@ input other than the id and the source do not pass through: join them by the num
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -82,7 +84,21 @@ def attribute_row(name: str, value) -> dict:
     return {"name": name, "value": text, "shown": shown(value) if odd else None, "typed": typed(value) if isinstance(value, list | dict) else None}
 
 
-def flatten(root: Node, source: str, file: str | None = None, with_location: bool = True) -> Iterator[dict]:
+def digest_rows(rows: list[dict]) -> None:
+    """Adds `digest`, a hash of each subtree without its place, and `place`, the way to it by slots and ordinals."""
+    below: list[list[str]] = [[] for _ in rows]
+    for row in reversed(rows):
+        own = [row[k] for k in ("type", "tag", "inline", "attrs", "annotations")]
+        kids = below[row["node_id"]][::-1]
+        row["digest"] = hashlib.sha256(json.dumps([*own, kids], ensure_ascii=False).encode("utf-8", "surrogatepass")).hexdigest()
+        if row["parent_id"] is not None:
+            below[row["parent_id"]].append(row["digest"] if row["slot"] is None else f"{row['slot']}:{row['digest']}")
+    for row in rows:
+        up = "" if row["parent_id"] is None else rows[row["parent_id"]]["place"]
+        row["place"] = f"{up}/{row['ordinal']}" if row["slot"] is None else f"{up}/{row['slot']}"
+
+
+def flatten(root: Node, source: str, file: str | None = None, with_location: bool = True, digests: bool = False) -> Iterator[dict]:
     """Rows of a tree in pre-order."""
     positions = Positions(source)
     rows: list[dict] = []
@@ -118,6 +134,8 @@ def flatten(root: Node, source: str, file: str | None = None, with_location: boo
         if row["parent_id"] is not None:
             up = rows[row["parent_id"]]
             up["last_desc"] = max(up["last_desc"], row["last_desc"])
+    if digests:
+        digest_rows(rows)
     yield from rows
 
 
@@ -139,12 +157,12 @@ def with_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordB
         at += len(batch)
 
 
-def parse_nodes(df: DataFrame, id_col: str = "doc_id", source: str = "source", file: str | None = None, options: ParseOptions | None = None) -> DataFrame:
-    """The node table of all documents; `file` names a column with each document's label."""
+def parse_nodes(df: DataFrame, id_col: str = "doc_id", source: str = "source", file: str | None = None, options: ParseOptions | None = None, digests: bool = False) -> DataFrame:
+    """The node table of all documents; `file` names a column with each document's label, `digests` adds the hash of each subtree and its place in the tree."""
     options = options or ParseOptions()
     columns = [F.col(id_col).alias("__id"), F.col(source).alias("__source"), (F.col(file) if file else F.lit(options.file)).cast("string").alias("__file"), given_number(df)]
     rows = df.select(*columns)
-    schema = T.StructType([T.StructField(id_col, rows.schema["__id"].dataType), *FIELDS])
+    schema = T.StructType([T.StructField(id_col, rows.schema["__id"].dataType), *FIELDS, *([T.StructField(n, T.StringType()) for n in ("digest", "place")] if digests else [])])
     arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +172,7 @@ def parse_nodes(df: DataFrame, id_col: str = "doc_id", source: str = "source", f
             for key, text, label, number in zip(*(c.to_pylist() for c in batch.columns[:3]), numbers, strict=True):
                 if text is None:
                     continue
-                for row in flatten(parse(text, options), text, label, options.location):
+                for row in flatten(parse(text, options), text, label, options.location, digests):
                     row[id_col], row[NUMBER] = key, number
                     held.append(row)
                     if len(held) >= BATCH_NODES:

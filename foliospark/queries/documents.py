@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from foliospark.engine import Engine
 from foliospark.functions.columns import escape_html, md_and, md_default, md_equals, md_not, md_or, truthy, utf16_length
+from foliospark.kernel.build import ParseOptions
 from foliospark.kernel.schema import Attribute, Config, Schema, Slot
 from foliospark.operators.nodes import NUMBER, parse_nodes
 from foliospark.operators.values import debug_column, js_number_column, normalize_link_column, parse_tag_column, resolve_column
 from foliospark.plans.analytics import error_rollup, links, node_counts, outline, problem_cube, tag_usage, top_by_group
+from foliospark.plans.changes import changes
 from foliospark.plans.places import as_of_join, nodes_at
 from foliospark.queries.registry import query, read, written
 from foliospark.sources.declare import configure
@@ -285,6 +287,20 @@ def top_problems_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("name", "rank", "c_custkey", "message")
 
 
+@query("""SELECT c_custkey, w.change, w.n FROM customer JOIN (VALUES (0, 'kept', 1), (1, 'kept', 3), (1, 'changed', 1), (1, 'new', 1), (1, 'gone', 1), (2, 'changed', 1), (2, 'moved', 2), (2, 'kept', 2), (3, 'changed', 1), (3, 'kept', 4), (3, 'new', 1)) w(k, change, n) ON c_custkey % 4 = w.k""")
+def changed_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two states of each document: left alone, with one paragraph rewritten, with two exchanged, with one added."""
+    key = F.col("c_custkey")
+    head, other = written("# Customer ", key, "\n\n"), F.when(key % 4 == 1, F.col("c_mktsegment")).otherwise("b")
+    docs = read(spark, sf_dir, "customer")
+    first, last = F.when(key % 4 == 2, "c").otherwise("a"), F.when(key % 4 == 2, "a").otherwise("c")
+    end = F.when(key % 4 == 3, written("d ", F.col("c_name"), "\n")).otherwise("")
+    before = docs.select("c_custkey", F.concat(head, F.lit("a\n\nb\n\nc\n")).alias("source"))
+    after = docs.select("c_custkey", F.concat(head, first, F.lit("\n\n"), other, F.lit("\n\n"), last, F.lit("\n\n"), end).alias("source"))
+    states = [parse_nodes(x, "c_custkey", options=ParseOptions(location=False), digests=True) for x in (before, after)]
+    return changes(*states, "c_custkey").groupBy("c_custkey", "change").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
 _REPEATED_SQL = """SELECT CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 7 END AS k, what, CASE what
     WHEN 'html' THEN '<article><h1>' || c_custkey || '</h1><p>' || CASE WHEN c_acctbal > 0 THEN 'yes ' ELSE 'no ' END || c_custkey || '</p><ul><li>one</li><li>' || c_mktsegment || '</li></ul></article>'
     WHEN 'outline' THEN '1 ' || c_custkey

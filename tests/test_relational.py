@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.engine import Engine
-from foliospark.operators.nodes import NUMBER
+from foliospark.operators.nodes import NUMBER, parse_nodes
 from foliospark.plans.analytics import document_sketches, estimated, merge_sketches, problem_cube, top_by_group
+from foliospark.plans.changes import changes
 from foliospark.plans.places import as_of_join, interval_join, node_intervals, nodes_at
 
 
@@ -101,3 +102,36 @@ def test_first_rows_of_groups_are_bounded_before_the_shuffle(spark):
     assert each(got) == sorted(want, key=str)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.index("WindowGroupLimit") < plan.rindex("Exchange") < plan.rindex("WindowGroupLimit")
+
+
+def test_changes_by_comparing_subtrees(spark):
+    pieces = ["a", "b", "- x\n- y", "- x\n- z", "> q\n>\n> r", "# h", "{% t n=1 %}\ni\n{% /t %}"]
+    rng = random.Random(9)
+    docs = [(k, "\n\n".join(rng.choice(pieces) for _ in range(rng.randrange(5))), "\n\n".join(rng.choice(pieces) for _ in range(rng.randrange(5)))) for k in range(40)] + [(None, "a", "a"), (99, "a", None), (98, None, "b")]
+    df = spark.createDataFrame(docs, "doc_id long, old string, new string")
+    states = [parse_nodes(df, source=s, digests=True) for s in ("old", "new")]
+    got = {tuple(r) for r in changes(*states).select("doc_id", "change", "node_id", "n_nodes").collect()}
+    want = set()
+    for k, *_ in docs:
+        old, new = ([r.asDict() for r in s.filter(F.col("doc_id").eqNullSafe(k)).orderBy("node_id").collect()] for s in states)
+
+        def fresh(row, rows, known):
+            return not any(r["digest"] in known for r in rows if row["node_id"] <= r["node_id"] <= row["last_desc"])
+
+        had = {r["digest"] for r in old} if k is not None else set()
+        has = {r["digest"] for r in new} if k is not None else set()
+        at = {(r["digest"], r["place"]) for r in old}
+        for rows, known, side in ((new, had, "new"), (old, has, "gone")):
+            for r in rows:
+                up = None if r["parent_id"] is None else rows[r["parent_id"]]
+                if fresh(r, rows, known):
+                    change = None if up is not None and fresh(up, rows, known) else side
+                elif side == "gone":
+                    change = None
+                elif r["digest"] in known:
+                    change = None if up is not None and up["digest"] in known else "kept" if (r["digest"], r["place"]) in at else "moved"
+                else:
+                    change = "changed"
+                if change:
+                    want.add((k, change, r["node_id"], r["last_desc"] - r["node_id"] + 1))
+    assert got == want and {c for _, c, _, _ in got} == {"kept", "moved", "new", "changed", "gone"}
