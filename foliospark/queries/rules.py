@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from foliospark.operators.nodes import parse_nodes
 from foliospark.operators.values import format_value_column, parse_value_column, tag_end_column
 from foliospark.queries.registry import query, read, written
 from foliospark.sources.sinks import exit_code
-from foliospark.streaming.documents import drained, render_stream
+from foliospark.streaming.documents import drained, newest_versions, render_stream
 
 # ---- every rule
 
@@ -306,3 +307,13 @@ def stream_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/part*.parquet")
     docs = stream.select("p_partkey", written("# ", F.col("p_name"), " {% #p", F.col("p_partkey"), " %}\n").alias("source"))
     return drained(render_stream(Engine(spark), docs).select("p_partkey", "html"))
+
+
+@query("""SELECT o_custkey::VARCHAR AS doc_id, o_orderkey AS version, CASE WHEN o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) THEN 'new' ELSE 'late' END AS status, 'Order ' || o_orderkey AS source FROM orders""")
+def stream_newest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as versions of their customer's document, streamed to the end: the newest of each document, all others late."""
+    table = read(spark, sf_dir, "orders")
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/orders*.parquet")
+    docs = stream.select("o_custkey", "o_orderkey", "o_orderdate", written("Order ", F.col("o_orderkey")).alias("source"))
+    found = drained(newest_versions(docs, "o_custkey", "o_orderkey", "o_orderdate", idle=timedelta(days=36500)))
+    return found.select("doc_id", "version", "status", "source")

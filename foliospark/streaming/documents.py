@@ -3,16 +3,20 @@
 Rendering, parsing, formatting and validation work row by row, so a stream of documents needs no
 state: the same columns and plans run on streaming tables in append mode.  Corpus counts over a
 stream are windowed aggregates behind a watermark; documents later than it are dropped by Spark,
-as the watermark says.  `first_documents` keeps one row an id within the watermark.
+as the watermark says.  `first_documents` keeps one row an id within the watermark; `newest_versions`
+keeps the newest version of every document in state, which timers end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from foliospark.engine import Engine
 from foliospark.sources.documents import shared_folder
@@ -28,9 +32,9 @@ def validate_stream(engine: Engine, stream: DataFrame, id_col: str = "doc_id", s
     return engine.validate(stream, id_col, source)
 
 
-def problem_counts(problems: DataFrame, time: str, delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:
-    """(window_start, error_id, level, n) of a stream of problems that carries an event time."""
-    rows = problems.withWatermark(time, delay).groupBy(F.window(time, window).alias("w"), "error_id", "level").agg(F.count(F.lit(1)).alias("n"))
+def problem_counts(problems: DataFrame, time: str, delay: str = "10 minutes", window: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """(window_start, error_id, level, n) of a stream of problems that carries an event time; windows slide where `slide` says so."""
+    rows = problems.withWatermark(time, delay).groupBy(F.window(time, window, slide).alias("w"), "error_id", "level").agg(F.count(F.lit(1)).alias("n"))
     return rows.select(F.col("w.start").alias("window_start"), "error_id", "level", "n")
 
 
@@ -50,3 +54,69 @@ def drained(stream: DataFrame) -> DataFrame:
 def write_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
     """Plans that need whole tables (ordered aggregates, sorted diagnostics) on each micro-batch."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+#: What `newest_versions` gives: a version's status is new, newer, late or ended.
+VERSION = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("version", T.LongType()), T.StructField("at", T.TimestampType()), T.StructField("status", T.StringType()), T.StructField("source", T.StringType())])
+
+
+def _newest(idle_ms: int) -> StatefulProcessor:
+    """The processor; its class is made here so that it travels by value, as the process that sets up state has no files of the session."""
+    columns = VERSION.fieldNames()
+
+    class Newest(StatefulProcessor):
+        """Per document the newest version so far; a timer ends the state when none has come for a while."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("newest", "version long, at timestamp")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            found = pd.concat([*rows]).sort_values(["version", "at", "source"], na_position="first", kind="stable")  # a document's rows of one batch
+            held = self.state.get() if self.state.exists() else None
+            late = found[found["version"] <= held[0]] if held else found[:0]
+            fresh = found[found["version"] > held[0]] if held else found
+            out = [late.assign(status="late")]
+            if len(fresh):
+                best = fresh.tail(1)
+                out += [fresh.iloc[:-1].assign(status="late"), best.assign(status="newer" if held else "new")]
+                at = max([best["at"].iloc[0], *([pd.Timestamp(held[1])] if held else [])])
+                self.state.update((int(best["version"].iloc[0]), at.to_pydatetime()))
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(int(at.timestamp() * 1000) + idle_ms)
+            yield pd.concat(out).assign(doc_id=key[0])[columns]
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            version, at = self.state.get()
+            self.state.clear()
+            yield pd.DataFrame([(key[0], version, pd.Timestamp(at), "ended", None)], columns=columns)
+
+        def close(self) -> None:
+            pass
+
+    return Newest()
+
+
+def newest_versions(stream: DataFrame, id_col: str = "doc_id", version: str = "version", time: str = "at", source: str = "source", delay: str = "10 minutes", idle: timedelta = timedelta(days=1)) -> DataFrame:
+    """(doc_id, version, at, status, source) of every version of a stream of documents.
+
+    The greatest version wins, the later and then the larger text of equals.  A version that is no
+    greater than its document's newest is `late`, also one that was overtaken in its own batch; the
+    first is `new`, others are `newer`.  When the watermark is `idle` past the newest version's time,
+    the document's state ends with a row `ended`, and what comes then is new again.  Rows older than
+    the watermark (which Spark applies a batch later), and null ids, versions and times, are dropped.
+    State is one version number and one time a document; texts are not kept.  The session's state
+    store becomes RocksDB, which timers need.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = stream.select(F.col(id_col).cast("string").alias("doc_id"), F.col(version).cast("long").alias("version"), F.col(time).cast("timestamp").alias("at"), F.col(source).alias("source"))
+    rows = rows.filter("doc_id is not null and version is not null and at is not null").withWatermark("at", delay)
+    return rows.groupBy("doc_id").transformWithStateInPandas(_newest(int(idle.total_seconds() * 1000)), VERSION, "Append", "EventTime")
+
+
+def problem_sessions(problems: DataFrame, time: str, by: list[str], gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """(start, stop, by, n): runs of problems with less than `gap` between one and the next."""
+    rows = problems.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), *by, "n")

@@ -1,6 +1,8 @@
-"""Joins by range and as-of, roll-ups, sketches and the first rows of groups against plain versions."""
+"""Joins by range and as-of, roll-ups, sketches, changes, first rows of groups and stateful streams against plain versions."""
 
+import os
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from foliospark.operators.nodes import NUMBER, parse_nodes
 from foliospark.plans.analytics import document_sketches, estimated, merge_sketches, problem_cube, top_by_group
 from foliospark.plans.changes import changes
 from foliospark.plans.places import as_of_join, interval_join, node_intervals, nodes_at
+from foliospark.streaming.documents import drained, newest_versions, problem_counts, problem_sessions
 
 
 def each(df):
@@ -135,3 +138,43 @@ def test_changes_by_comparing_subtrees(spark):
                 if change:
                     want.add((k, change, r["node_id"], r["last_desc"] - r["node_id"] + 1))
     assert got == want and {c for _, c, _, _ in got} == {"kept", "moved", "new", "changed", "gone"}
+
+
+def streamed(spark, folder, batches, schema):
+    """A stream that takes one batch after the other."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{k}")
+        for path in (folder / str(k)).glob("*.parquet"):
+            (folder / "in").mkdir(exist_ok=True)
+            os.utime(path, (1_700_000_000 + 60 * k,) * 2)
+            path.rename(folder / "in" / f"{k}.parquet")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+
+
+def test_the_newest_version_wins_and_timers_end_documents(spark, tmp_path):
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    batches = [
+        [("a", 1, at(0), "a1"), ("a", 3, at(1), "a3"), ("a", 2, at(1), "a2"), ("b", 5, at(0), "b5"), (None, 1, at(0), "x"), ("c", None, at(0), "y"), ("d", 1, at(0), None), ("d", 1, at(0), "d")],
+        [("a", 2, at(2), "a2 again"), ("a", 4, at(2), "a4"), ("b", 5, at(1), "b5 again")],
+        [("z", 1, at(100), "z1")],
+        [("z", 2, at(101), "z2")],
+        [("a", 1, at(102), "a new life")],
+    ]
+    stream = streamed(spark, tmp_path, batches, "doc_id string, version long, at timestamp, source string")
+    got = drained(newest_versions(stream))
+    want = [
+        ("a", 3, "new", "a3"), ("a", 1, "late", "a1"), ("a", 2, "late", "a2"), ("b", 5, "new", "b5"), ("d", 1, "new", "d"), ("d", 1, "late", None), ("a", 2, "late", "a2 again"), ("a", 4, "newer", "a4"),
+        ("b", 5, "late", "b5 again"), ("z", 1, "new", "z1"), ("z", 2, "newer", "z2"), ("a", 4, "ended", None), ("b", 5, "ended", None), ("d", 1, "ended", None), ("a", 1, "new", "a new life"),
+    ]
+    assert each(got.select("doc_id", "version", "status", "source")) == sorted(want, key=str)
+
+
+def test_problems_in_sliding_and_session_windows(spark, tmp_path):
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    minutes = [0, 10, 25, 90, 100, 5000, 5001]
+    stream = streamed(spark, tmp_path, [[("r", "error", at(m))] for m in minutes[:5]] + [[("r", "error", at(5000))], [("r", "error", at(5001))]], "error_id string, level string, at timestamp")
+    sessions = drained(problem_sessions(stream, "at", ["error_id"]))
+    assert each(sessions) == sorted([(at(0), at(55), "r", 3), (at(90), at(130), "r", 2)], key=str)
+    slid = drained(problem_counts(stream, "at", window="1 hour", slide="30 minutes"))
+    want = {w: sum(w <= m < w + 60 for m in minutes[:5]) for w in range(-30, 120, 30)}
+    assert each(slid) == sorted([(at(w), "r", "error", n) for w, n in want.items() if n], key=str)
