@@ -7,8 +7,9 @@ step to the next suffix (psi) and the symbols that follow, so shards are merged
 
 The merge refines an interleave: at first the suffixes of all shards lie in one block, those of a
 shard in its order.  Each round reads the next STEP symbols of the suffixes in blocks where shards
-mix, by psi, and parts the blocks by them.  A block of one shard is settled, since what its suffixes share is known there.  Blocks
-that still mix after `width` symbols are the intervals that shards have in common.
+mix, by psi, and parts the blocks by them.  A block of one shard is settled, since what its suffixes
+share is known there.  Blocks that still mix after `width` symbols are the intervals that shards have
+in common.
 """
 
 from __future__ import annotations
@@ -24,6 +25,11 @@ def _heads(new: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
+def _shared(new: np.ndarray) -> np.ndarray:
+    """Which places are in a group of more than one; True begins a group."""
+    return ~(new & np.append(new[1:], True))
+
+
 class Shard:
     """Transform, ranks of the strings' beginnings, and whether a suffix shares `width` symbols with the one before."""
 
@@ -54,12 +60,10 @@ def transform(data: np.ndarray, size: np.ndarray, width: int) -> Shard:
     new[marked] = True
     rank = np.empty(n, dtype=np.int64)
     rank[order] = _heads(new)
-    known, snapshot = STEP, None
+    known, snapshot, slot = STEP, None, np.flatnonzero(_shared(new))
     while True:
         if known * 2 > width >= known and snapshot is None:
             snapshot = known, rank.copy()
-        size_of = np.bincount(rank, minlength=n)
-        slot = np.flatnonzero(size_of[rank[order]] > 1)
         if not len(slot):
             break
         at = order[slot]
@@ -70,6 +74,7 @@ def transform(data: np.ndarray, size: np.ndarray, width: int) -> Shard:
         first = np.ones(len(slot), dtype=bool)
         first[1:] = key[1:] != key[:-1]
         rank[at] = slot[_heads(first)]
+        slot = slot[_shared(first)]  # groups of more than one: the others are settled
         known *= 2
     same = np.zeros(n, dtype=bool)
     if snapshot is not None:  # two overlapping runs of `known` symbols make up the width
@@ -88,7 +93,7 @@ class Walk:
         symbol = shard.bwt.astype(np.uint16)
         symbol[shard.starts] = MARK
         self.psi = np.argsort(symbol, kind="stable").astype(np.int32)
-        first = np.sort(symbol, kind="stable").astype(np.int64)
+        first = np.repeat(np.arange(MARK + 1), np.bincount(symbol, minlength=MARK + 1))
         ends = np.flatnonzero(first == MARK)
         self.psi[ends] = ends  # nothing follows a mark but itself
         self.word, self.skip = first.copy(), self.psi
