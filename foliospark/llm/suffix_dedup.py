@@ -44,9 +44,8 @@ from foliospark.llm.substring_dedup import sliding_min
 from foliospark.llm.words import mix, slices, text_buffers
 
 WINDOW, GRAM = 200, 64
-#: Bytes of text hashed at once, bytes of a bucket and of a shard; contents of an anchor beyond which it is crowded, as they alone fill a bucket.
-PIECE, BUCKET, SHARD = 1 << 19, 2 << 20, 1 << 19
-CROWD = BUCKET // 256
+#: Bytes of text hashed at once, bytes of a bucket and of a shard; contents of an anchor beyond which it is crowded, as they alone fill two buckets.
+PIECE, BUCKET, SHARD, CROWD = 1 << 19, 1 << 20, 1 << 18, 8192
 _BASE, _BASE_INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FIELDS = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
@@ -100,7 +99,7 @@ def units(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int
     return tuple(np.concatenate([x[k] for x in out]) for k in range(4))
 
 
-def digests(raw: bytes, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+def digests(raw: bytes | memoryview, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Two longs for the bytes of each unit."""
     hashed = hashlib.blake2b
     got = b"".join([hashed(raw[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)])
@@ -199,13 +198,13 @@ def _unit_bytes(texts: DataFrame, window: int, buckets: int) -> DataFrame:
         for batch in map(seen.fresh, batches):
             data, offsets = text_buffers(batch.column(2))
             row, f = _structs(batch.column(3))
-            raw = data.tobytes()
+            raw = memoryview(data)  # batches of whole texts are large: no copy
             begin = offsets[row] + f["at"]
             end = begin + f["n"] + window - 1
             for lo in range(0, len(row), 1 << 14):
                 some = slice(lo, lo + (1 << 14))
                 place = (mix(f["anchor"][some].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                parts = [raw[a:b] for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)]
+                parts = [bytes(raw[a:b]) for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(place), *(pa.array(f[n][some]) for n in (*KEY, "n", "c")), pa.array(parts, pa.binary())], names=["bucket", *KEY, "n", "c", "data"])
 
     return texts.mapInArrow(run, "bucket long, anchor long, k1 long, k2 long, n long, c long, data binary")
@@ -295,7 +294,7 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
         for batch in map(seen.fresh, batches):
             data, offsets = text_buffers(batch.column(2))
             row, f = _structs(batch.column(3))
-            raw = data.tobytes()
+            raw = memoryview(data)  # batches of whole texts are large: no copy
             for lo in range(0, len(row), 1 << 10):
                 some = slice(lo, lo + (1 << 10))
                 n = f["n"][some]
