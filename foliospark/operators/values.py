@@ -10,12 +10,13 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.functions.document import debug_text
+from foliospark.functions.document import BUILTIN, debug_text
 from foliospark.functions.links import SETTLED, normalize_link
 from foliospark.functions.numbers import js_number, plain_number
+from foliospark.functions.resolving import NATIVE, resolve_text
 from foliospark.kernel.format import scalar_text
 from foliospark.kernel.grammar import TagError, find_tag_end, parse_tag, parse_value
-from foliospark.kernel.resolve import resolve
+from foliospark.kernel.resolve import has_reference, resolve
 from foliospark.kernel.schema import Config
 from foliospark.kernel.values import UNDEFINED, decode, encode
 from foliospark.operators.kernels import Shared, scope
@@ -92,9 +93,28 @@ debug_column = _vectorised(T.StringType(), lambda t: debug_text(decode(t)))
 format_value_column = _vectorised(T.StringType(), lambda t: scalar_text(decode(t)))
 
 
+def is_native(config: Config) -> bool:
+    """Whether values resolve without Python: the built-in functions as they are, no others that have code, plain variables."""
+    own = [f for n, f in config.functions.items() if f is not BUILTIN.get(n)]
+    built_in = all(config.functions.get(n) is BUILTIN[n] for n in NATIVE)
+    return built_in and all(f.transform is None for f in own) and not has_reference(config.variables)
+
+
 def resolve_column(spark: SparkSession, value: Column, config: Config | None = None, variables: Column | None = None) -> Column:
-    """JSON text of a value with its variables and functions evaluated; plain values do not leave the JVM."""
-    shared = Shared(spark, config or Config())
+    """JSON text of a value with its variables and functions evaluated; plain values are not touched.
+
+    All stays in the JVM where every function of the configuration has an expression there (`resolving.NATIVE`) and
+    its variables hold no references; other configurations use the kernel.  A row's variables are data: what looks
+    like a reference in them stays as it is on the first way.
+    """
+    config = config or Config()
+    refers = F.contains(value, F.lit('"$$mdtype"'))
+    if is_native(config):
+        scopes = [] if variables is None else [variables]
+        if config.variables is not None:
+            scopes.append(F.lit(encode(config.variables)))
+        return F.when(refers, resolve_text(F.when(refers, value), scopes)).otherwise(value)
+    shared = Shared(spark, config)
 
     @F.pandas_udf(T.StringType())
     def run(values: pd.Series, own: pd.Series) -> pd.Series:
@@ -106,7 +126,6 @@ def resolve_column(spark: SparkSession, value: Column, config: Config | None = N
         return pd.Series(out, dtype=object)
 
     own = F.lit(None).cast("string") if variables is None else variables
-    refers = F.contains(value, F.lit('"$$mdtype"'))
     return F.when(refers, run(F.when(refers, value), own)).otherwise(value)
 
 
