@@ -12,7 +12,8 @@ task, so nothing is shuffled and no key is hot.
 The phrases are broadcast in blocks of about BLOCK_BYTES of benchmark text, as word numbers and the
 places where phrases begin, some five times that size; a larger benchmark takes one pass per block,
 whose word spans are then merged by id and text (two hashes).  Either way every row is judged by its
-own text, whatever rows share its id or have none.  Words are equal where their XXH64 is.
+own text, whatever rows share its id or have none.  A word is one of the vocabulary where its bytes
+are; its XXH64 only says where to look.
 
 Null texts have no words; items with a null id or no word are ignored; items that repeat an id count
 once, with the windows of all their texts.  A single item longer than a block is a block of its own.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.common import cut, map_texts, quoted, read, rest
-from foliospark.llm.words import ALNUM, LOWER, find_words, text_buffers
+from foliospark.llm.words import ALNUM, LOWER, equal_spans, exact_numbers, find_words, text_buffers
 
 WIDTH, SAMPLE, BLOCK_BYTES, SHARD_BYTES, RUN = 13, 8, 8 << 20, 8 << 20, 1 << 20
 _FILTER_BITS = 22
@@ -156,7 +157,9 @@ def distinct_runs(numbers: np.ndarray, start: np.ndarray, size: int) -> np.ndarr
 class Phrases:
     """Distinct windows of benchmark items by length, with the items of each."""
 
-    vocabulary: np.ndarray  # sorted word hashes; word number = place + 1
+    vocabulary: np.ndarray  # sorted word hashes (two words may share one); word number = place + 1
+    letters: np.ndarray  # the bytes of the vocabulary's words, one after the other
+    edges: np.ndarray  # where each word begins in them, and their end
     maybe: np.ndarray  # low hash bits that some vocabulary word has
     numbers: np.ndarray  # word numbers of all items, one after the other
     groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # (length, where each phrase begins, first owner of each, owners)
@@ -167,8 +170,16 @@ class Phrases:
     def of(cls, items: list[tuple[str, str]], width: int = WIDTH) -> Phrases:
         data, offsets = text_buffers(pa.array([t for _, t in items], pa.large_string()))
         words = find_words(data, offsets, ALNUM, LOWER)
-        vocabulary, numbers = np.unique(words.hashes[1], return_inverse=True)
-        numbers = (numbers + 1).astype(np.int32)
+        low = LOWER[data]
+        exact = exact_numbers(low, words.start, words.end, words.hashes[1])
+        _, model = np.unique(exact, return_index=True)
+        order = np.argsort(words.hashes[1][model], kind="stable")
+        place_of = np.empty(len(model), dtype=np.int32)
+        place_of[order] = np.arange(1, len(model) + 1)
+        numbers, model = place_of[exact], model[order]
+        vocabulary, size = words.hashes[1][model], words.end[model] - words.start[model]
+        edges = np.concatenate([[0], np.cumsum(size)])
+        letters = low[np.repeat(words.start[model] - edges[:-1], size) + np.arange(int(edges[-1]))]
         maybe = np.zeros(1 << _FILTER_BITS, dtype=bool)
         maybe[(vocabulary & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
         names = sorted({i for i, _ in items})
@@ -184,25 +195,33 @@ class Phrases:
             pair = np.unique(kind * len(names) + np.repeat(owner[some], n))  # an item owns a phrase once
             _, first = np.unique(kind, return_index=True)
             groups.append((size, start[first], np.searchsorted(pair // len(names), np.arange(len(first) + 1)), (pair % len(names)).astype(np.int32)))
-        return cls(vocabulary, maybe, numbers, groups, names, min((g[0] for g in groups), default=0))
+        return cls(vocabulary, letters, edges, maybe, numbers, groups, names, min((g[0] for g in groups), default=0))
 
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        """Word numbers; 0 for a word in no phrase."""
+    def number(self, data: np.ndarray, words) -> np.ndarray:
+        """Numbers of the words of texts, compared in lower case; 0 for a word in no phrase."""
+        hashes = words.hashes[1]
         out = np.zeros(len(hashes), dtype=np.int64)
-        if len(self.vocabulary):
-            some = np.flatnonzero(self.maybe[(hashes & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.vocabulary, hashes[some]), len(self.vocabulary) - 1)
-            right = self.vocabulary[at] == hashes[some]
+        some = np.flatnonzero(self.maybe[(hashes & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
+        at = np.searchsorted(self.vocabulary, hashes[some])
+        low = LOWER[data]
+        while len(some):  # more than once only where words of the vocabulary share a hash
+            there = np.minimum(at, len(self.vocabulary) - 1)
+            met = (at < len(self.vocabulary)) & (self.vocabulary[there] == hashes[some])
+            some, at = some[met], at[met]
+            size = words.end[some] - words.start[some]
+            right = self.edges[at + 1] - self.edges[at] == size
+            near = np.flatnonzero(right)
+            right[near] = equal_spans(low, words.start[some[near]], self.letters, self.edges[at[near]], size[near])
             out[some[right]] = at[right] + 1
+            some, at = some[~right], at[~right] + 1
         return out
 
 
-def occurrences(phrases: Phrases, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Over one shard's words: (first word, word after the last) of each occurrence; (row, item number) pairs."""
+def occurrences(phrases: Phrases, number: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Over one shard's words by number: (first word, word after the last) of each occurrence; (row, item number) pairs."""
     none = np.zeros(0, dtype=np.int64)
     if not phrases.groups:
         return none, none, none, none
-    number = phrases.number(hashes)
     inside = np.flatnonzero(number)
     if not len(inside):
         return none, none, none, none
@@ -237,9 +256,11 @@ def occurrences(phrases: Phrases, hashes: np.ndarray, first: np.ndarray) -> tupl
             where = word[index.locate(hit)]
             starts.append(where)
             ends.append(where + length)
+            met = np.unique((np.searchsorted(first, where, side="right") - 1) * len(begins) + which)  # a text names a phrase's owners once
+            which = met % len(begins)
             k = owner_at[which + 1] - owner_at[which]
             take = np.repeat(owner_at[which] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
-            rows.append(np.repeat(np.searchsorted(first, where, side="right") - 1, k))
+            rows.append(np.repeat(met // len(begins), k))
             items.append(owners[take].astype(np.int64))
     if not starts:
         return none, none, none, none
@@ -266,7 +287,7 @@ def _columns(n_words, n_hit, items: list[list[str]]) -> dict[str, pa.Array]:
 
 def _scan(phrases: Phrases, data: np.ndarray, offsets: np.ndarray):
     words = find_words(data, offsets, ALNUM, LOWER)
-    start, end, row, item = occurrences(phrases, words.hashes[1], words.first)
+    start, end, row, item = occurrences(phrases, phrases.number(data, words), words.first)
     hit = merged(start, end, len(words.start))
     items: list[list[str]] = [[] for _ in range(len(offsets) - 1)]
     for r, i in zip(row.tolist(), item.tolist(), strict=True):

@@ -8,7 +8,7 @@ some label calls bad is, and of several texts of an id the smallest counts.  Vit
 in content lines decides: a document is kept if the base rules pass and the share is at least
 SHARE.  Counting and decoding are one Arrow pass over the documents with no shuffle.
 
-Words and lines are equal where their XXH64 is (lines: within one text).  Nulls count as empty
+Words and lines are equal where their bytes are (hashes only propose what repeats).  Nulls count as empty
 texts, which fail the base rules; every row is judged by its own text.  With no labels (an empty table, or one
 label only) the field keeps its zero weights, ties go to content, and the base rules decide alone.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.common import map_texts, read, rest
-from foliospark.llm.words import PLAIN, find_words, mix, windows
+from foliospark.llm.words import PIECE, PLAIN, exact_numbers, find_words, mix, windows
 
 SAMPLE_ROWS, CHAIN, SAMPLE_CHAINS, SHARE = 4000, 64, 16, 0.5
 MIN_WORDS = 50
@@ -34,6 +34,7 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _LINE = np.ones(256, dtype=bool)
 _LINE[0x0A] = False
 _HEAD = (np.arange(256) & 0xC0) != 0x80  # the first byte of a code point
+_CHAR = PLAIN & _HEAD
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[0x41:0x5B] = True
 _DIGIT = np.zeros(256, dtype=bool)
@@ -63,9 +64,26 @@ _BASE = np.cumsum([0, *(len(e) + 1 for e in EDGES.values())])
 N_FEATURES = int(_BASE[-1])
 
 
-def _sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Number of set flags between consecutive positions."""
-    return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[at])
+def _before(table: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Number of bytes of a class before each of some ascending positions, a piece of the text at a time."""
+    out, total = np.empty(len(at), dtype=np.int64), 0
+    for lo in range(0, len(data), PIECE):
+        count = np.concatenate([[0], np.cumsum(table[data[lo : lo + PIECE]], dtype=np.int64)])
+        a, b = np.searchsorted(at, [lo, lo + PIECE])
+        out[a:b] = total + count[np.minimum(at[a:b] - lo, len(count) - 1)]
+        total += int(count[-1])
+    out[np.searchsorted(at, len(data)) :] = total
+    return out
+
+
+def _repeated(words, at: np.ndarray, data: np.ndarray, width: int = 3) -> np.ndarray:
+    """Those of the windows that begin at words `at` whose bytes stand twice or more in their text."""
+    inside = np.unique(at[:, None] + np.arange(width))
+    number = exact_numbers(data, words.start[inside], words.end[inside], words.hashes[1][inside])
+    top, kind = int(number.max(initial=0)) + 1, words.row[at]
+    for k in range(width):
+        _, kind = np.unique(kind * top + number[np.searchsorted(inside, at + k)], return_inverse=True)
+    return at[np.bincount(kind)[kind] > 1] if len(at) else at
 
 
 def _between(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -83,7 +101,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
     if len(at):
         keyed = mix(grams ^ (words.row[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         _, back, count = np.unique(keyed, return_inverse=True, return_counts=True)
-        twice = at[count[back] > 1]
+        twice = _repeated(words, at[count[back] > 1], data)
         for k in range(3):
             repeat[twice + k] = True
     lines = find_words(data, offsets, _LINE)
@@ -93,28 +111,33 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
     start, end, row = lines.start[full], lines.end[full], lines.row[full]
     first_word, last_word = first_word[full], last_word[full]
     keyed = mix(lines.hashes[1][full] ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    _, seen = np.unique(keyed, return_index=True)
-    dup = np.ones(len(start), dtype=bool)
-    dup[seen] = False
+    _, back, count = np.unique(keyed, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(count[back] > 1)
+    number = exact_numbers(data, start[some], end[some], keyed[some])
+    _, seen = np.unique(row[some] * (int(number.max(initial=0)) + 1) + number, return_index=True)
+    dup = np.zeros(len(start), dtype=bool)
+    dup[some] = True
+    dup[some[seen]] = False
+    within = lambda table: _before(table, data, end) - _before(table, data, start)
     counts = {
         "n_words": words.counts,
-        "word_chars": _sums(PLAIN[data] & _HEAD[data], offsets),
-        "n_symbols": _sums(_SYMBOL[data], offsets),
+        "word_chars": np.diff(_before(_CHAR, data, offsets)),
+        "n_symbols": np.diff(_before(_SYMBOL, data, offsets)),
         "n_dup_lines": np.bincount(row[dup], minlength=n),
         "n_repeat_words": np.bincount(words.row[repeat], minlength=n),
     }
     n_words = last_word - first_word
-    chars = np.maximum(_between(_HEAD[data] & PLAIN[data], start, end), 1)
+    chars = np.maximum(within(_CHAR), 1)
     same = np.zeros(len(hashes), dtype=bool)
     same[1:] = hashes[1:] == hashes[:-1]
     same[first_word] = False
     values = {
         "words": n_words,
         "mean_chars": chars / n_words,
-        "symbols": _between(_SYMBOL[data], start, end) / chars,
-        "capitals": _between(_UPPER[data], start, end) / chars,
-        "digits": _between(_DIGIT[data], start, end) / chars,
-        "stops": _between(_STOP[data], start, end) / n_words,
+        "symbols": within(_SYMBOL) / chars,
+        "capitals": within(_UPPER) / chars,
+        "digits": within(_DIGIT) / chars,
+        "stops": within(_STOP) / n_words,
         "end": _END[data[words.end[last_word - 1] - 1]] if len(start) else np.zeros(0),
         "repeated": _between(repeat, first_word, last_word) / n_words,
         "same_word": _between(same, first_word, last_word) / n_words,

@@ -1,11 +1,12 @@
 """Vectorised word spans, word hashes and window hashes over Arrow text batches.
 
 Every operator that reads whole texts word by word shares this kernel: one numpy pass
-over the bytes of a batch gives the word boundaries and the XXH64 of every word; window
+over the bytes of a batch gives the word boundaries and the XXH64 of every word (spans of
+equal hash are told apart by their bytes in exact_numbers); window
 hashes then come from prefix sums of polynomials over the word hashes in the field of
 2**61 - 1 elements (modulo a power of two, some word patterns would collide for every
-base).  Work is done in pieces of about a megabyte cut between words, so memory does not
-follow the longest text.
+base).  Bytes are read in pieces of about a megabyte cut between words; what is returned
+takes 32 bytes a word, so memory follows the words of a batch.
 """
 
 from __future__ import annotations
@@ -214,6 +215,37 @@ def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = PLAIN,
     return Words(start, end, row, got, first)
 
 
+def equal_spans(data: np.ndarray, start: np.ndarray, other: np.ndarray, there: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[start:start + size] and other[there:there + size] hold the same bytes, elementwise: eight bytes at a time, long spans by slices."""
+    same = np.ones(len(size), dtype=bool)
+    short = np.flatnonzero(size <= 64)
+    a, b, n = start[short], there[short], size[short]
+    mine, its = (np.ndarray((max(len(x) - 7, 0),), "<u8", np.ascontiguousarray(x), 0, (1,)) for x in (data, other))
+    for k in range(0, int(n.max(initial=0)), 8):
+        some = np.flatnonzero(n >= k + 8)
+        same[short[some]] &= mine[a[some] + k] == its[b[some] + k]
+    for k in range(7):
+        some = np.flatnonzero((n & 7) > k)
+        at = (n[some] & ~7) + k
+        same[short[some]] &= data[a[some] + at] == other[b[some] + at]
+    for i in np.flatnonzero(size > 64).tolist():
+        same[i] = data[start[i] : start[i] + size[i]].tobytes() == other[there[i] : there[i] + size[i]].tobytes()
+    return same
+
+
+def exact_numbers(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each span, the same for equal bytes and for these only; hashes only propose."""
+    kinds, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    model, size = first[number], end - start
+    same = size == size[model]
+    some = np.flatnonzero(same)
+    same[some] = equal_spans(data, start[some], data, start[model[some]], size[some])
+    others: dict[bytes, int] = {}
+    for i in np.flatnonzero(~same).tolist():
+        number[i] = len(kinds) + others.setdefault(data[start[i] : end[i]].tobytes(), len(others))
+    return number
+
+
 def windows(hashes: np.ndarray, first: np.ndarray, width: int, base: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:
     """(index of the first word, hash) of every window of `width` words inside one text."""
     n = len(hashes)
