@@ -53,14 +53,13 @@ def fingerprint(raw: bytes, width: int = SHINGLE) -> int:
         lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         ends = np.cumsum(lens + 1) - 1
         starts = ends - lens
-        spans = [joined[a:b] for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in spans), dtype=np.uint64, count=len(spans))
-    votes = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)]
-        votes += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    on = np.packbits(votes * 2 > len(hashes), bitorder="little")
+        spans = (joined[a:b] for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True))
+    digest, votes, n = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64), max(1, len(words) - width + 1)
+    hashes = (digest(s, SEED) for s in spans)
+    for at in range(0, n, 1 << 16):
+        part = np.fromiter(hashes, dtype="<u8", count=min(1 << 16, n - at))
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    on = np.packbits(votes * 2 > n, bitorder="little")
     return int(on.view("<u8")[0])
 
 
@@ -252,26 +251,33 @@ def _in_parts(rows: DataFrame, radius: int) -> DataFrame:
 
 
 def _grouped(df: DataFrame, id_col: str, text: str, radius: int) -> DataFrame:
-    """(id, v, fp, component_id) of every row, v telling texts of one id apart."""
+    """(id, v, fp, c, component_id) of every row: v tells texts of one id apart, c (a fingerprint) the groups."""
     docs = df.select(quoted(id_col).cast("long").alias("id"), F.xxhash64(quoted(text)).alias("v"), quoted(text).alias("text"))
     fps = cut(fingerprints(docs, "text", ["id", "v"]))
     reps = cut(fps.filter("id is not null").groupBy("fp").agg(F.min("id").alias("least")))
     comps = components(link_fingerprints(reps.select("fp", F.col("fp").alias("id")), reps.count(), radius))
     by_fp = reps.join(comps, reps["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     lows = by_fp.groupBy("c").agg(F.min("least").alias("component_id"))
-    by_fp = met_by(by_fp, lows, ["c"]).select("fp", "component_id")  # a large group is a hot key
-    return fps.join(by_fp, "fp", "left").select("id", "v", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    by_fp = met_by(by_fp, lows, ["c"]).select("fp", "c", "component_id")  # a large group is a hot key
+    return fps.join(by_fp, "fp", "left").select("id", "v", "fp", "c", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id, fp, component_id) of every row: component_id is the smallest id reachable over links."""
-    return _grouped(df, id_col, text, radius).drop("v")
+    return _grouped(df, id_col, text, radius).drop("v", "c")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `df` whose id is the smallest of its group of near copies; rows with a null id stay."""
-    gone = _grouped(df.filter(quoted(id_col).isNotNull()), id_col, text, RADIUS).filter("id <> component_id")
-    gone = cut(gone.select(F.col("id").alias("__id"), F.col("v").alias("__v")).distinct())
+    """One document of each group of near copies: the smallest id and, of several texts of it in the group, the one with the smallest hash.
+
+    Rows with a null id stay; so do equal rows of the document that stays.
+    """
+    rows = cut(_grouped(df.filter(quoted(id_col).isNotNull()), id_col, text, RADIUS).select("id", "v", "c", "component_id").distinct())
+    least = rows.filter("id = component_id")
+    several = least.groupBy("c").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")  # an id with near copies of its own
+    again = least.join(several, "c").filter("v > least")
+    gone = rows.filter("id <> component_id").select("id", "v").unionByName(again.select("id", "v"))
+    gone = cut(gone.select(F.col("id").alias("__id"), F.col("v").alias("__v")))
     keyed = df.withColumn("__key", quoted(id_col).cast("long")).withColumn("__version", F.xxhash64(quoted(text)))
     some, none = split_by_bitmap(keyed, ["__key", "__version"], id_bitmap(gone, ["__id", "__v"]))  # other rows are not shuffled
     kept = some.join(gone, (F.col("__key") == F.col("__id")) & (F.col("__version") == F.col("__v")), "left_anti")
