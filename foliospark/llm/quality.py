@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.common import map_texts, read, rest
-from foliospark.llm.words import PIECE, PLAIN, exact_numbers, find_words, mix, windows
+from foliospark.llm.words import PIECE, PLAIN, exact_numbers, find_words, mix
 
 SAMPLE_ROWS, CHAIN, SAMPLE_CHAINS, SHARE = 4000, 64, 16, 0.5
 MIN_WORDS = 50
@@ -91,19 +91,32 @@ def _between(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return total[end] - total[start]
 
 
+def _in_repeats(words, data: np.ndarray) -> np.ndarray:
+    """Flags of the words in 3-word windows that stand twice or more in their text; windows are met in shares of about PIECE by hash."""
+    hashes, row = words.hashes[1], words.row
+    repeat = np.zeros(len(hashes), dtype=bool)
+    n = max(0, len(hashes) - 2)
+    keyed, shares = np.empty(n, dtype=np.uint64), n // PIECE + 1
+    for lo in range(0, n, PIECE):
+        h = hashes[lo : min(lo + PIECE, n) + 2]
+        own = row[lo : lo + len(h) - 2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keyed[lo : lo + len(h) - 2] = mix(mix(mix(h[:-2] ^ own) + h[1:-1]) + h[2:])
+    for k in range(shares):
+        at = np.flatnonzero(keyed % np.uint64(shares) == k) if shares > 1 else np.arange(n)
+        at = at[row[at] == row[at + 2]]
+        _, back, count = np.unique(keyed[at], return_inverse=True, return_counts=True)
+        twice = _repeated(words, at[count[back] > 1], data)
+        for j in range(3):
+            repeat[twice + j] = True
+    return repeat
+
+
 def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """(counts by text; first line of each text; feature bins by line; words by line) of a batch of texts."""
     n = len(offsets) - 1
     words = find_words(data, offsets)
     hashes = words.hashes[1]
-    repeat = np.zeros(len(hashes), dtype=bool)
-    at, grams = windows(hashes, words.first, 3)
-    if len(at):
-        keyed = mix(grams ^ (words.row[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        _, back, count = np.unique(keyed, return_inverse=True, return_counts=True)
-        twice = _repeated(words, at[count[back] > 1], data)
-        for k in range(3):
-            repeat[twice + k] = True
+    repeat = _in_repeats(words, data)
     lines = find_words(data, offsets, _LINE)
     first_word = np.searchsorted(words.start, lines.start)
     last_word = np.searchsorted(words.start, lines.end)

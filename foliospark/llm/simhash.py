@@ -21,6 +21,7 @@ them.  An empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,32 +34,33 @@ from pyspark.sql import types as T
 
 from foliospark.llm.common import cut, id_bitmap, map_texts, met_by, quoted, read, rest, split_by_bitmap, unsigned_key
 from foliospark.llm.graph import components
+from foliospark.llm.words import PIECE
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Fingerprints of a shard that one tree holds, and rows that a task searches at once.
 SHARD, FOREST = 2048, 1 << 15
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Mean size of a shard up to which no further block is added, and the most blocks over the radius.
 MEAN_SHARD, MORE = 64, 4
 
 
 def fingerprint(raw: bytes, width: int = SHINGLE) -> int:
-    """Fingerprint of one text's UTF-8 bytes."""
-    words = raw.lower().split()  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= width:
-        spans = [joined]
-    else:
+    """Fingerprint of one text's UTF-8 bytes, read in pieces that end before white space."""
+    digest, votes, n, at, words = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64), 0, 0, []
+    while at < len(raw):
+        gap = _SPACE.search(raw, at + PIECE)
+        to = gap.start() if gap else len(raw)
+        words = words + raw[at:to].lower().split()  # of bytes: A-Z and ASCII white space only
+        at = to
+        if len(words) < width and (gap or n or not words):
+            continue
+        joined, k = b" ".join(words), max(1, len(words) - width + 1)
         lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         ends = np.cumsum(lens + 1) - 1
-        starts = ends - lens
-        spans = (joined[a:b] for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True))
-    digest, votes, n = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64), max(1, len(words) - width + 1)
-    hashes = (digest(s, SEED) for s in spans)
-    for at in range(0, n, 1 << 16):
-        part = np.fromiter(hashes, dtype="<u8", count=min(1 << 16, n - at))
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        spans = zip((ends - lens)[:k].tolist(), ends[-k:].tolist(), strict=True)
+        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype="<u8", count=k)
+        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n, words = n + k, words[len(words) - width + 1 :] if width > 1 else []
     on = np.packbits(votes * 2 > n, bitorder="little")
     return int(on.view("<u8")[0])
 

@@ -75,3 +75,17 @@ def test_near_copies_of_one_id_leave_one_text(spark):
     rows = [(1, text), (1, text + " "), (2, text), (3, "alone here"), (3, "quite another text of the same id"), (None, text), (4, "twice"), (4, "twice")]
     kept = near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, len(r["text"].strip())) for r in kept) == [(0, len(text)), (1, len(text)), (3, 10), (3, 33), (4, 5), (4, 5)]
+
+
+def test_results_do_not_depend_on_pieces(monkeypatch):
+    from foliospark.llm import simhash as S
+
+    texts = ["", "  ", "a", "a b c", "a b c d", "A b c d e\n f", " a  b c d e f g h a b c d e ", "long" * 9 + " x " + "y" * 30 + " z a b c d a b c d", "é " * 20]
+    fps, (want, _, bins, _) = [S.fingerprint(t.encode()) for t in texts], Q.measure(*buffers(*texts))
+    assert want["n_repeat_words"].tolist() == [0, 0, 0, 0, 0, 0, 10, 8, 20]
+    for size in (1, 3, 10):
+        monkeypatch.setattr(S, "PIECE", size)
+        monkeypatch.setattr(Q, "PIECE", size)
+        got, _, again, _ = Q.measure(*buffers(*texts))
+        assert [S.fingerprint(t.encode()) for t in texts] == fps
+        assert all((want[k] == got[k]).all() for k in want) and (bins == again).all()
