@@ -5,7 +5,8 @@ of its length, in buckets as wide as the next power of two, of which it touches
 asks one bucket on each level that occurs.  So rows meet by equality, a long interval (the document
 itself) is two rows and not one for every bucket below it, and a point meets few intervals that miss
 it.  Levels are at most 32 small numbers; a pass over the intervals finds which occur, so write them
-first where they are costly to make (see `sources.documents.stored`).
+first where they are costly to make (see `sources.documents.stored`).  Both joins merge sorted rows:
+Spark guesses node tables from the bytes of their compressed columns and would broadcast millions of rows.
 
 The as-of join takes for every left row the last right row at or before it.  Both sides are dealt by
 their keys and passed once in order, so keys should be as fine as a document; nothing is compared
@@ -39,12 +40,12 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at:
     numbered = points.withColumn("__point", F.monotonically_increasing_id()) if how == "left" else points
     asked = numbered.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     asked = asked.withColumn("__bucket", bucket(F.col(at), F.col("__level")))
-    met = asked.join(filed, [*keys, "__level", "__bucket"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop))).drop("__level", "__bucket")
+    met = asked.join(filed.hint("merge"), [*keys, "__level", "__bucket"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop))).drop("__level", "__bucket")
     new = [c for c in intervals.columns if c not in keys]
     if how == "inner":
         return met.select(*points.columns, *new)
     found = met.select("__point", *new)
-    return numbered.join(found, "__point", "left").select(*points.columns, *new)
+    return numbered.join(found.hint("merge"), "__point", "left").select(*points.columns, *new)
 
 
 def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], at: str = "at", by: str = "at", columns: list[str] | None = None) -> DataFrame:
@@ -70,5 +71,5 @@ def nodes_at(places: DataFrame, nodes: DataFrame, at: str = "at") -> DataFrame:
     own = list(places.columns)
     met = interval_join(places, node_intervals(nodes).withColumnsRenamed({"start": "__start", "stop": "__stop"}), [NUMBER], at, "__start", "__stop")
     best = met.groupBy(NUMBER, F.col(at).alias("__at")).agg(F.max(F.struct("depth", "node_id", "type", "tag")).alias("n")).withColumnRenamed(NUMBER, "__no")
-    joined = places.join(best, (places[NUMBER] == best["__no"]) & (places[at] == best["__at"]), "left")
+    joined = places.join(best.hint("merge"), (places[NUMBER] == best["__no"]) & (places[at] == best["__at"]), "left")
     return joined.select(*own, F.col("n.node_id").alias("node_id"), F.col("n.type").alias("type"), F.col("n.tag").alias("tag"))
