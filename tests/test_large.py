@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from foliospark.engine import Engine
 from foliospark.kernel.build import ParseOptions
 from foliospark.operators.nodes import NUMBER, parse_nodes
 from foliospark.plans.changes import changes
 from foliospark.plans.places import as_of_join, interval_join, nodes_at
+from foliospark.sources.documents import spread, tasks
 
 
 def plan(df):
@@ -30,3 +32,13 @@ def test_places_meet_nodes_without_a_broadcast(spark, docs):
 def test_states_meet_without_a_broadcast(spark, docs):
     states = [parse_nodes(docs.withColumn("source", F.lit(s)), options=ParseOptions(location=False), digests=True) for s in ("a\n\nb\n", "b\n\na\n")]
     assert "Broadcast" not in plan(changes(*states))
+
+
+def test_documents_of_one_bundle_render_in_many_tasks(spark):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit('{% partial file="p.md" /%}\n\nx'), F.col("id")).alias("source"))
+    partials = spark.createDataFrame([("p.md", "hello\n")], "file string, source string")
+    html = Engine(spark).render_with_partials(docs, partials)
+    filled = [n for n in html.select("doc_id").rdd.glom().map(len).collect() if n]
+    assert len(filled) > spark.sparkContext.defaultParallelism and sum(filled) == 200
+    assert {r["html"] for r in html.collect()} == {f"<article><p>hello</p><p>x{k}</p></article>" for k in range(200)}
+    assert spread(spark.range(9).coalesce(1)).rdd.getNumPartitions() == tasks(spark) > spark.sparkContext.defaultParallelism
