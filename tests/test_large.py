@@ -1,10 +1,13 @@
 """What only large tables show: plans that must not broadcast, tasks that must be many, memory that must not follow rows."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from foliospark.engine import Engine
 from foliospark.kernel.build import ParseOptions
+from foliospark.kernel.schema import Config, Schema
+from foliospark.operators import kernels
 from foliospark.operators.nodes import NUMBER, parse_nodes
 from foliospark.plans.changes import changes
 from foliospark.plans.places import as_of_join, interval_join, nodes_at
@@ -42,3 +45,19 @@ def test_documents_of_one_bundle_render_in_many_tasks(spark):
     assert len(filled) > spark.sparkContext.defaultParallelism and sum(filled) == 200
     assert {r["html"] for r in html.collect()} == {f"<article><p>hello</p><p>x{k}</p></article>" for k in range(200)}
     assert spread(spark.range(9).coalesce(1)).rdd.getNumPartitions() == tasks(spark) > spark.sparkContext.defaultParallelism
+
+
+def test_equal_sources_are_parsed_once_unless_hooks_see_the_tree():
+    text, options = "{% if $a %}\nequal sources\n{% /if %}\n", ParseOptions(bare=True)
+    hits = kernels.kept_tree.cache_info().hits
+    got = [kernels.render(kernels.renderables(text, Config.of(variables={"a": k % 2 == 0}), options, keep=True)) for k in range(4)]
+    assert got == ["<article><p>equal sources</p></article>", "<article></article>"] * 2
+    assert kernels.kept_tree.cache_info().hits == hits + 3
+    assert not kernels.has_own_hooks(Config()) and kernels.has_own_hooks(Config.of({"x": Schema("b", transform=lambda node, config: None)}))
+
+
+def test_results_leave_a_worker_by_pieces():
+    rows = pd.Series(["x" * 1000] * 3000 + [None] + ["y" * 3_000_000] * 2)
+    found = list(kernels.pieces(rows, rows))
+    assert [r[0] for piece in found for r in piece] == list(rows) and max(map(len, found)) <= kernels.PIECE_ROWS
+    assert all(sum(len(r[0] or "") for r in piece[:-1]) < kernels.PIECE_CHARS for piece in found)
