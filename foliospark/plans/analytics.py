@@ -30,6 +30,10 @@ def error_rollup(problems: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return by_doc.groupBy("error_id", "level").agg(F.sum("n").alias("n_errors"), F.count(F.lit(1)).alias("n_docs"))
 
 
+#: What `outline` reads of the node table.
+OUTLINE = {"columns": ("node_id", "last_desc", "type", "attrs"), "types": ("heading", "text", "code")}
+
+
 def outline(nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, _document, ordinal, level, text) of every heading, numbered from 1 in each document; text joins the plain text below it."""
     # In document order a text belongs to the last heading before it if that one reaches so far; all steps go by document.

@@ -14,12 +14,13 @@ from foliospark.kernel.build import ParseOptions
 from foliospark.kernel.schema import Attribute, Config, Schema, Slot
 from foliospark.operators.nodes import NUMBER, parse_nodes
 from foliospark.operators.values import debug_column, js_number_column, normalize_link_column, parse_tag_column, resolve_column
-from foliospark.plans.analytics import error_rollup, links, node_counts, outline, problem_cube, tag_usage, top_by_group
+from foliospark.plans.analytics import OUTLINE, error_rollup, links, node_counts, outline, problem_cube, tag_usage, top_by_group
+from foliospark.plans.branches import BRANCHES
 from foliospark.plans.changes import changes
 from foliospark.plans.places import as_of_join, nodes_at
 from foliospark.queries.registry import query, read, written
 from foliospark.sources.declare import configure
-from foliospark.sources.documents import stored
+from foliospark.sources.documents import dealt, stored
 from foliospark.sources.sinks import diagnostics_json, format_check, human_lines
 
 #: The vocabulary of the queries, as a user would declare it.
@@ -91,7 +92,7 @@ def render_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = written("- order ", F.col("o_orderkey"), ": **", F.col("o_orderpriority"), "**")
     items = F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line"))))
     rows = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(items, lambda x: x["line"]), "\n").alias("source"))
-    return Engine(spark).render(rows).select("o_custkey", "html")
+    return Engine(spark).render(dealt(rows)).select("o_custkey", "html")
 
 
 def _tables(spark: SparkSession, sf_dir: str, line: Column, head: str, foot: str) -> DataFrame:
@@ -240,7 +241,8 @@ def document_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of each document with their ordinals."""
     items = F.array_sort(F.collect_list(F.struct("o_orderkey", written("## Order ", F.col("o_orderkey"), "\n\n", F.col("o_orderpriority"), "\n\n").alias("line"))))
     source = F.concat(written("# Customer ", F.col("o_custkey"), "\n\n"), F.array_join(F.transform(items, lambda x: x["line"]), ""))
-    found = outline(parse_nodes(read(spark, sf_dir, "orders").groupBy("o_custkey").agg(source.alias("source")), "o_custkey"), "o_custkey")
+    docs = dealt(read(spark, sf_dir, "orders").groupBy("o_custkey").agg(source.alias("source")))
+    found = outline(parse_nodes(docs, "o_custkey", **OUTLINE), "o_custkey")
     return found.select("o_custkey", F.col("ordinal").cast("long").alias("ordinal"), "level", "text")
 
 
@@ -250,12 +252,12 @@ def nodes_at_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     head = written("## Order ", key, "\n\n")
     orders = read(spark, sf_dir, "orders").select("o_custkey", F.struct(key, F.concat(head, "o_orderpriority", F.lit("\n\n")).alias("text"), F.octet_length(head).alias("lead")).alias("e"))
-    docs = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list("e")).alias("x"))
+    docs = dealt(orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list("e")).alias("x")))
     docs = docs.select("o_custkey", F.col("o_custkey").alias(NUMBER), F.array_join(F.transform("x", lambda e: e["text"]), "").alias("source"), "x")
     before = F.col("x").getField("text")
     size = lambda k: F.octet_length(F.array_join(F.slice(before, F.lit(1), k), ""))
     places = docs.select(NUMBER, "x", F.posexplode("x").alias("k", "e")).select(NUMBER, "e.o_orderkey", (size(F.col("k")) + F.col("e.lead") + 2).alias("at"))
-    nodes = stored(parse_nodes(docs, "o_custkey"))
+    nodes = stored(parse_nodes(docs, "o_custkey", columns=("node_id", "depth", "type", "tag", "attrs", "loc")))
     text = F.get(F.filter("attrs", lambda a: a["name"] == "content"), F.lit(0))["value"]
     heads = nodes.filter("type = 'text'").select(NUMBER, F.col("loc.start.offset").alias("by"), F.get_json_object(F.concat(F.lit("["), text, F.lit("]")), "$[0]").alias("heading")).filter("heading like 'Order %'")
     return as_of_join(nodes_at(places, nodes), heads, [NUMBER], "at", "by").select("o_orderkey", "type", "heading")
@@ -297,7 +299,8 @@ def changed_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.when(key % 4 == 3, written("d ", F.col("c_name"), "\n")).otherwise("")
     before = docs.select("c_custkey", F.concat(head, F.lit("a\n\nb\n\nc\n")).alias("source"))
     after = docs.select("c_custkey", F.concat(head, first, F.lit("\n\n"), other, F.lit("\n\n"), last, F.lit("\n\n"), end).alias("source"))
-    states = [parse_nodes(x, "c_custkey", options=ParseOptions(location=False), digests=True) for x in (before, after)]
+    wanted = ("node_id", "last_desc", "type", "tag", "digest", "place")
+    states = [parse_nodes(x, "c_custkey", options=ParseOptions(location=False), digests=True, columns=wanted) for x in (before, after)]
     return changes(*states, "c_custkey").groupBy("c_custkey", "change").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
@@ -316,7 +319,7 @@ def documents_of_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = written("# ", key, "\n\n{% if ", flag, " %}\nyes ", key, "\n{% else /%}\nno ", key, "\n{% /if %}\n\n- one\n- ", F.col("c_mktsegment"), "\n")
     rows = read(spark, sf_dir, "customer").select(F.when(key % 3 != 0, key % 7).alias("k"), written("c", key).alias("file"), source.alias("source"))
     engine = Engine(spark)
-    nodes = engine.parse(rows, "k")
+    nodes = engine.parse(rows, "k", columns=BRANCHES)
     found = [
         ("html", engine.render_relational(rows, "k").select("k", F.col("html").alias("found"))),
         ("outline", outline(nodes, "k").select("k", F.concat_ws(" ", "ordinal", "text").alias("found"))),
@@ -345,7 +348,7 @@ def select_conditional_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.when(F.col("c_acctbal") > 0, "true").otherwise("false")
     third = F.when(F.col("c_custkey") % 3 == 0, "true").otherwise("false")
     parts = ["{% if ", third, " %}\na\n\nb\n{% else /%}\nc\n{% /if %}\n\n{% if ", flag, " %}\nd\n{% /if %}\n\n{% if false %}\ne\n{% else ", flag, " /%}\nf\n{% else /%}\ng\n{% /if %}\n\nh\n"]
-    nodes = parse_nodes(read(spark, sf_dir, "customer").select("c_custkey", written(*parts).alias("source")), "c_custkey")
+    nodes = parse_nodes(read(spark, sf_dir, "customer").select("c_custkey", written(*parts).alias("source")), "c_custkey", columns=BRANCHES)
     kept = Engine(spark).select_branches(nodes).filter("type = 'paragraph'")
     return kept.groupBy("c_custkey").agg(F.count(F.lit(1)).cast("int").alias("n_kept"))
 

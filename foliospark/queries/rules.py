@@ -271,7 +271,7 @@ def written_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def node_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, columns and byte offsets of a tag behind a line with characters of two and four bytes."""
     rows = read(spark, sf_dir, "orders").select("o_orderkey", written("é😀\n", F.col("o_orderkey"), "\n{% a /%}\n").alias("source"))
-    tags = parse_nodes(rows, "o_orderkey").filter("type = 'tag'")
+    tags = parse_nodes(rows, "o_orderkey", columns=("loc",), types=("tag",))
     start, end = F.col("loc.start"), F.col("loc.end")
     return tags.select("o_orderkey", start["offset"].cast("long").alias("start_offset"), start["line"].alias("start_line"), start["column"].alias("start_column"), end["offset"].cast("long").alias("end_offset"))
 

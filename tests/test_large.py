@@ -9,8 +9,11 @@ from foliospark.kernel.build import ParseOptions
 from foliospark.kernel.schema import Config, Schema
 from foliospark.operators import kernels
 from foliospark.operators.nodes import NUMBER, parse_nodes
+from foliospark.plans.analytics import OUTLINE
+from foliospark.plans.branches import BRANCHES
 from foliospark.plans.changes import changes
 from foliospark.plans.places import as_of_join, interval_join, nodes_at
+from foliospark.plans.validate import READ
 from foliospark.sources.documents import spread, tasks
 
 
@@ -61,3 +64,16 @@ def test_results_leave_a_worker_by_pieces():
     found = list(kernels.pieces(rows, rows))
     assert [r[0] for piece in found for r in piece] == list(rows) and max(map(len, found)) <= kernels.PIECE_ROWS
     assert all(sum(len(r[0] or "") for r in piece[:-1]) < kernels.PIECE_CHARS for piece in found)
+
+
+def test_nodes_of_wanted_columns_and_types(spark):
+    docs = spark.createDataFrame([(1, "# A {% #x %}\n\n{% if true %}\nb\n{% /if %}\n"), (2, None)], "doc_id long, source string")
+    whole = parse_nodes(docs)
+    some = parse_nodes(docs, columns=("loc", "path", "depth"), types=("tag", "heading"))
+    assert some.columns == ["doc_id", NUMBER, "depth", "path", "loc"]
+    assert sorted(some.collect()) == sorted(whole.filter("type in ('tag', 'heading')").select(*some.columns).collect())
+    for columns in (BRANCHES, READ, OUTLINE["columns"]):
+        own = parse_nodes(docs, columns=columns)
+        assert sorted(map(str, own.collect())) == sorted(map(str, whole.select(*own.columns).collect()))
+    with pytest.raises(ValueError, match="lost"):
+        parse_nodes(docs, columns=("lost",))
