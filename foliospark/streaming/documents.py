@@ -10,10 +10,9 @@ keeps the newest version of every document in state, which timers end.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -62,35 +61,43 @@ VERSION = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("
 
 def _newest(idle_ms: int) -> StatefulProcessor:
     """The processor; its class is made here so that it travels by value, as the process that sets up state has no files of the session."""
-    columns = VERSION.fieldNames()
+    made = Row(*VERSION.fieldNames())
+    epoch, tick = datetime(1970, 1, 1, tzinfo=timezone.utc), timedelta(microseconds=1)
+    order = lambda r: (r[1], r[2], r[3] is not None, r[3] or "")
 
     class Newest(StatefulProcessor):
         """Per document the newest version so far; a timer ends the state when none has come for a while."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.state = handle.getValueState("newest", "version long, at timestamp")
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            found = pd.concat([*rows]).sort_values(["version", "at", "source"], na_position="first", kind="stable")  # a document's rows of one batch
-            held = self.state.get() if self.state.exists() else None
-            late = found[found["version"] <= held[0]] if held else found[:0]
-            fresh = found[found["version"] > held[0]] if held else found
-            out = [late.assign(status="late")]
-            if len(fresh):
-                best = fresh.tail(1)
-                out += [fresh.iloc[:-1].assign(status="late"), best.assign(status="newer" if held else "new")]
-                at = max([best["at"].iloc[0], *([pd.Timestamp(held[1])] if held else [])])
-                self.state.update((int(best["version"].iloc[0]), at.to_pydatetime()))
-                for timer in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(timer)
-                self.handle.registerTimer(int(at.timestamp() * 1000) + idle_ms)
-            yield pd.concat(out).assign(doc_id=key[0])[columns]
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            version, at = self.state.get()
+            self.state = handle.getValueState("newest", "version long, micros long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            held = self.state.get()  # nothing, where the document has no state
+            best = None
+            for row in rows:  # (doc_id, version, at, source): a document's rows of one batch
+                if held and row[1] <= held[0]:
+                    yield made(key[0], row[1], row[2], "late", row[3])
+                elif best is None or order(row) >= order(best):
+                    if best is not None:
+                        yield made(key[0], best[1], best[2], "late", best[3])
+                    best = row
+                else:
+                    yield made(key[0], row[1], row[2], "late", row[3])
+            if best is not None:
+                yield made(key[0], best[1], best[2], "newer" if held else "new", best[3])
+                micros = (best[2] - epoch) // tick  # rows have times with a zone, a state would lose it
+                micros = max(micros, held[1]) if held else micros
+                self.state.update((best[1], micros))
+                if held:
+                    for timer in list(self.handle.listTimers()):
+                        self.handle.deleteTimer(timer)
+                self.handle.registerTimer(micros // 1000 + idle_ms)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            version, micros = self.state.get()
             self.state.clear()
-            yield pd.DataFrame([(key[0], version, pd.Timestamp(at), "ended", None)], columns=columns)
+            yield made(key[0], version, epoch + micros * tick, "ended", None)
 
         def close(self) -> None:
             pass
@@ -113,7 +120,7 @@ def newest_versions(stream: DataFrame, id_col: str = "doc_id", version: str = "v
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = stream.select(F.col(id_col).cast("string").alias("doc_id"), F.col(version).cast("long").alias("version"), F.col(time).cast("timestamp").alias("at"), F.col(source).alias("source"))
     rows = rows.filter("doc_id is not null and version is not null and at is not null").withWatermark("at", delay)
-    return rows.groupBy("doc_id").transformWithStateInPandas(_newest(int(idle.total_seconds() * 1000)), VERSION, "Append", "EventTime")
+    return rows.groupBy("doc_id").transformWithState(_newest(int(idle.total_seconds() * 1000)), VERSION, "Append", "EventTime")
 
 
 def problem_sessions(problems: DataFrame, time: str, by: list[str], gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:

@@ -1,5 +1,7 @@
 """What only large tables show: plans that must not broadcast, tasks that must be many, memory that must not follow rows."""
 
+from datetime import datetime, timezone
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from foliospark.plans.changes import changes
 from foliospark.plans.places import as_of_join, interval_join, nodes_at
 from foliospark.plans.validate import READ
 from foliospark.sources.documents import spread, tasks
+from foliospark.streaming.documents import _newest
 
 
 def plan(df):
@@ -77,3 +80,37 @@ def test_nodes_of_wanted_columns_and_types(spark):
         assert sorted(map(str, own.collect())) == sorted(map(str, whole.select(*own.columns).collect()))
     with pytest.raises(ValueError, match="lost"):
         parse_nodes(docs, columns=("lost",))
+
+
+def test_versions_are_judged_by_rows_with_few_calls_of_the_state():
+    calls, noon = [], datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
+
+    class State:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return State()
+
+        def listTimers(self):
+            calls.append("list")
+            return iter([])
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    newest = _newest(1000)
+    newest.init(Handle())
+    rows = [("a", 1, noon, "x"), ("a", 3, noon, None), ("a", 3, noon, "y"), ("a", 2, noon, "z")]
+    got = [tuple(r) for r in newest.handleInputRows(("a",), iter(rows), None)]
+    assert got == [("a", 1, noon, "late", "x"), ("a", 3, noon, "late", None), ("a", 2, noon, "late", "z"), ("a", 3, noon, "new", "y")]
+    assert calls == ["get", "update", 1704110400000 + 1000]
+    assert [r[3] for r in newest.handleInputRows(("a",), iter([("a", 3, noon, "w"), ("a", 4, noon, "v")]), None)] == ["late", "newer"]
