@@ -413,7 +413,7 @@ def diagnostics_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems as lines for people."""
     docs = _callouts(spark, sf_dir)
     found = Engine(spark, _config()).validate(docs, "c_custkey", file="file")
-    return human_lines(found.join(docs, "c_custkey")).select("c_custkey", "line")
+    return human_lines(found.hint("merge").join(docs, "c_custkey")).select("c_custkey", "line")
 
 
 @query(f"""SELECT c_custkey, '{{"file":"customer-' || c_custkey || '.md"' AS head, 1::BIGINT AS n_errors, error_id FROM ({_FAULTS})""")

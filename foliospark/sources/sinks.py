@@ -66,7 +66,7 @@ def diagnostics_json(diagnostics: DataFrame, documents: DataFrame, id_col: str =
     key = NUMBER if NUMBER in documents.columns and NUMBER in diagnostics.columns else id_col
     place = lambda at: F.when(at.isNotNull(), F.struct(*([at["file"].alias("file")] + [utf16_position(F.col("source"), at[e]).alias(e) for e in ("start", "end")])))
     own = documents.select(F.col(id_col).alias("__id"), F.col(key).alias("__key"), F.col("file").alias("__file"), "source")
-    met = own.join(diagnostics, F.col("__key") == F.col(key), "left")
+    met = own.join(diagnostics.hint("merge"), F.col("__key") == F.col(key), "left")
     error = F.struct(F.col("error_id").alias("id"), "level", "message")
     one = F.when(F.col("error_id").isNotNull(), F.struct("node_id", "pos", F.struct("type", "lines", place(F.col("loc")).alias("location"), error.alias("error")).alias("e")))
     rows = met.groupBy("__key", F.col("__id").alias("__doc")).agg(F.first("__file").alias("file"), F.array_sort(F.collect_list(one)).alias("found"))

@@ -17,6 +17,7 @@ from foliospark.plans.changes import changes
 from foliospark.plans.places import as_of_join, interval_join, nodes_at
 from foliospark.plans.validate import READ
 from foliospark.sources.documents import spread, tasks
+from foliospark.sources.sinks import diagnostics_json
 from foliospark.streaming.documents import _newest
 
 
@@ -114,3 +115,8 @@ def test_versions_are_judged_by_rows_with_few_calls_of_the_state():
     assert got == [("a", 1, noon, "late", "x"), ("a", 3, noon, "late", None), ("a", 2, noon, "late", "z"), ("a", 3, noon, "new", "y")]
     assert calls == ["get", "update", 1704110400000 + 1000]
     assert [r[3] for r in newest.handleInputRows(("a",), iter([("a", 3, noon, "w"), ("a", 4, noon, "v")]), None)] == ["late", "newer"]
+
+
+def test_diagnostics_meet_documents_without_a_broadcast(spark, docs):
+    own = docs.withColumn("file", F.lit("a.md"))
+    assert "SortMergeJoin [__key" in plan(diagnostics_json(Engine(spark).validate(own, file="file"), own))
