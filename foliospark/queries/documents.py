@@ -13,7 +13,7 @@ from foliospark.functions.columns import escape_html, md_and, md_default, md_equ
 from foliospark.kernel.build import ParseOptions
 from foliospark.kernel.schema import Attribute, Config, Schema, Slot
 from foliospark.operators.nodes import NUMBER, parse_nodes
-from foliospark.operators.values import debug_column, js_number_column, normalize_link_column, parse_tag_column, resolve_column
+from foliospark.operators.values import debug_column, js_number_column, normalize_link_column, parse_tag_column, resolve_constant
 from foliospark.plans.analytics import OUTLINE, error_rollup, links, node_counts, outline, problem_cube, tag_usage, top_by_group
 from foliospark.plans.branches import BRANCHES
 from foliospark.plans.changes import changes
@@ -457,8 +457,8 @@ def resolve_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variables and calls evaluated against each row's variables."""
     e = read(spark, sf_dir, "events")
     own = F.to_json(F.struct(F.from_json("props", "k bigint").alias("p"), F.col("event_type").alias("t")))
-    k = resolve_column(spark, F.lit('{"$$mdtype":"Variable","path":["p","k"]}'), variables=own)
-    click = resolve_column(spark, F.lit('{"$$mdtype":"Function","name":"equals","parameters":{"0":{"$$mdtype":"Variable","path":["t"]},"1":"click"}}'), variables=own)
+    k = resolve_constant(spark, '{"$$mdtype":"Variable","path":["p","k"]}', variables=own)
+    click = resolve_constant(spark, '{"$$mdtype":"Function","name":"equals","parameters":{"0":{"$$mdtype":"Variable","path":["t"]},"1":"click"}}', variables=own)
     return e.select("event_id", k.alias("k"), click.alias("is_click"))
 
 

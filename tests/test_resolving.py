@@ -11,7 +11,7 @@ from foliospark.kernel.resolve import resolve
 from foliospark.kernel.schema import Config
 from foliospark.kernel.values import decode, encode
 from foliospark.operators.kernels import scope
-from foliospark.operators.values import is_native, resolve_column
+from foliospark.operators.values import is_native, resolve_column, resolve_constant
 
 SCOPE = '{"a": {"z":[1, 2.0 ,{"q":"x\\"y\\\\"}],"b":null,"n":1.50,"":"none","é":[]},"t":"view","s":"1","list":[[0,[true]],"null",{}], "false": false, "big":1e21}'
 CONFIG = Config(variables={"c": 7.0, "t": "hidden", "deep": [{"k": [1.0, None]}]})
@@ -85,3 +85,24 @@ def test_configurations_with_code_use_the_kernel(spark):
     twice = Config.of(functions={"twice": Function(lambda p, _: p["0"] * 2)})
     row = spark.range(1).select(resolve_column(spark, F.lit(json.dumps(function("twice", 4))), twice).alias("got")).first()
     assert row["got"] == "8"
+
+
+#: Shapes that the grammar does not write go by the fold.
+ODD = [{"$$mdtype": "Variable"}, [{"$$mdtype": "Function", "parameters": {}, "name": "and"}]]
+
+
+@pytest.mark.parametrize("k", [1, 11, 18, 20, 35, 39, 46, 49, 50, 51, -1, -2])
+def test_known_values_as_columns_of_values(spark, k):
+    value = [*CASES, *ODD][k]
+    text = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    rows = spark.createDataFrame([(own,) for own in (SCOPE, None, "{}", "no json")], "own string").repartition(1)
+    known = rows.select("own", resolve_constant(spark, text, CONFIG, F.col("own")).alias("known"))
+    folded = rows.select("own", resolve_column(spark, F.lit(text), CONFIG, F.col("own")).alias("known"))
+    assert sorted(map(str, known.collect())) == sorted(map(str, folded.collect()))
+
+
+def test_known_values_are_not_folded_in_each_row(spark):
+    rows = spark.range(1).select(F.lit(SCOPE).alias("own"))
+    text = json.dumps(function("not", variable("a")))
+    known = rows.select(resolve_constant(spark, text, CONFIG, F.col("own")))
+    assert "aggregate(" not in known._jdf.queryExecution().analyzed().toString()
