@@ -16,8 +16,8 @@ from foliospark.plans.branches import BRANCHES
 from foliospark.plans.changes import changes
 from foliospark.plans.places import as_of_join, interval_join, nodes_at
 from foliospark.plans.validate import READ
-from foliospark.sources.documents import spread, tasks
-from foliospark.sources.sinks import diagnostics_json
+from foliospark.sources.documents import dealt, spread, tasks
+from foliospark.sources.sinks import diagnostics_json, format_check
 from foliospark.streaming.documents import _newest
 
 
@@ -120,3 +120,9 @@ def test_versions_are_judged_by_rows_with_few_calls_of_the_state():
 def test_diagnostics_meet_documents_without_a_broadcast(spark, docs):
     own = docs.withColumn("file", F.lit("a.md"))
     assert "SortMergeJoin [__key" in plan(diagnostics_json(Engine(spark).validate(own, file="file"), own))
+
+
+def test_formatting_stays_behind_the_deal_and_runs_once(spark, docs):
+    rows = dealt(docs.withColumn("file", F.col("doc_id").cast("string")))
+    steps = [line for line in plan(format_check(Engine(spark).format(rows))).split("\n") if "[run(" in line or "Exchange" in line]
+    assert ["[run(" in line for line in steps] == [True, False]  # once, above the exchange
