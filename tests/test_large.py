@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from foliospark.engine import Engine
 from foliospark.kernel.build import ParseOptions
 from foliospark.kernel.schema import Config, Schema
+from foliospark.kernel.tree import Problem
 from foliospark.operators import kernels
+from foliospark.operators.kernels import Kernels
 from foliospark.operators.nodes import NUMBER, parse_nodes
 from foliospark.plans.analytics import OUTLINE
 from foliospark.plans.branches import BRANCHES
@@ -126,3 +128,19 @@ def test_formatting_stays_behind_the_deal_and_runs_once(spark, docs):
     rows = dealt(docs.withColumn("file", F.col("doc_id").cast("string")))
     steps = [line for line in plan(format_check(Engine(spark).format(rows))).split("\n") if "[run(" in line or "Exchange" in line]
     assert ["[run(" in line for line in steps] == [True, False]  # once, above the exchange
+
+
+def test_clean_documents_are_judged_without_places_or_pandas(spark, docs, monkeypatch):
+    options = ParseOptions()
+    monkeypatch.setattr(kernels, "Positions", None)
+    assert kernels.diagnostics("# A\n", Config(), options) == []
+    monkeypatch.undo()
+    hook = Schema("i", validate=lambda node, config: [Problem("inside", "info", ".".join(n.type for n in config.parents))])
+    config = Config.of({"outer": Schema("div"), "inner": hook})
+    rows = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "{% outer %}\n{% inner /%}\n{% /outer %}\n").when(F.col("doc_id") % 5 != 0, "x\n").alias("source"))
+    problems = Kernels(spark, config, options).problems(F.col("source"))
+    got = rows.select("doc_id", problems.alias("p"))
+    assert "Arrow-optimized" not in plan(got) and " 204" not in plan(got)  # 204 is an iterator of pandas series
+    for row in got.collect():
+        found = None if row["p"] is None else [(p["error"]["id"], p["error"]["message"], p["loc"]["start"]["line"]) for p in row["p"]]
+        assert found == ([("inside", "document.tag", 1)] if row["doc_id"] % 2 == 0 else [] if row["doc_id"] % 5 else None)
